@@ -1,0 +1,67 @@
+"""Local copy of the correctness gate: a registered Spark query against its
+DuckDB oracle SQL on the same parquet tables (row count, columns, values)."""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+import pandas as pd
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return None
+        return round(v, 6)
+    if isinstance(v, (list, tuple)):
+        return tuple(_norm(x) for x in v)
+    if isinstance(v, dict):
+        return tuple(sorted((k, _norm(x)) for k, x in v.items()))
+    if hasattr(v, "asDict"):
+        return _norm(v.asDict())
+    if isinstance(v, pd.Timestamp):
+        return v.to_pydatetime().replace(tzinfo=None)
+    if hasattr(v, "tolist"):
+        return _norm(v.tolist())
+    return v
+
+
+def rows_of_spark(df) -> tuple[list[str], list[tuple]]:
+    cols = sorted(df.columns)
+    return cols, sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+
+
+def rows_of_duck(con, sql: str) -> tuple[list[str], list[tuple]]:
+    rel = con.sql(sql)
+    names = rel.columns
+    data = rel.fetchall()
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    cols = [names[i] for i in order]
+    return cols, sorted((tuple(_norm(r[i]) for i in order) for r in data), key=repr)
+
+
+def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+    sc, sr = rows_of_spark(spark_df)
+    dc, dr = rows_of_duck(con, sql)
+    if sc != dc:
+        return False, f"columns differ: spark={sc} duck={dc}"
+    if len(sr) != len(dr):
+        return False, f"row count differ: spark={len(sr)} duck={len(dr)}"
+    for a, b in zip(sr, dr):
+        if a != b:
+            return False, f"first differing row: spark={a} duck={b}"
+    return True, f"{len(sr)} rows"
