@@ -99,3 +99,80 @@ def q_cid_seen(spark, sf_dir):
     known = second.join(stored, ["stream_id", "cid"], "left_semi").withColumn("cid_stored", F.lit(True))
     new = second.join(stored, ["stream_id", "cid"], "left_anti").withColumn("cid_stored", F.lit(False))
     return known.unionByName(new).select("arrival_seq", "stream_id", "cid", "cid_stored")
+
+
+# ---------------------------------------------------------------- J2 batching
+from datetime import timedelta as _td  # noqa: E402
+
+from ..operators import batching as bt  # noqa: E402
+from ..options import BatchOptions  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import sinks  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+CLOSED = BatchOptions(size=16, linger=_td(hours=24), flush=_td(days=1))
+LINGER = BatchOptions(size=16, linger=_td(hours=1), flush=_td(days=1))
+
+
+def _batch_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), "ts")
+
+
+@register("flush_window")
+def q_flush_window(spark, sf_dir):
+    from ..functions.timecols import epoch_micros, flush_boundary_micros, flush_window, ntz_from_micros
+    e = _batch_rows(spark, sf_dir)
+    us = epoch_micros("ts", e.schema["ts"].dataType)
+    w = flush_window(us, CLOSED.flush)
+    return e.select("rid", w.alias("flush_window"),
+                    ntz_from_micros(flush_boundary_micros(w, CLOSED.flush)).alias("boundary"))
+
+
+@register("batch_ordinal")
+def q_batch_ordinal(spark, sf_dir):
+    return bt.batch_ordinal(_batch_rows(spark, sf_dir), CLOSED).select("rid", "flush_window", "rn", "batch_no")
+
+
+def _batch_cols(b):
+    return b.select("bid", "flush_window", "batch_no", "n", "rids", "reason", "first_ts", "boundary")
+
+
+@register("collect_batch_members")
+def q_collect_batch_members(spark, sf_dir):
+    return _batch_cols(bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED))
+
+
+@register("batch_linger")
+def q_batch_linger(spark, sf_dir):
+    return _batch_cols(bt.batch_requests(_batch_rows(spark, sf_dir), LINGER))
+
+
+@register("batch_size_distribution")
+def q_batch_size_distribution(spark, sf_dir):
+    return bt.size_distribution(bt.batch_requests(_batch_rows(spark, sf_dir), LINGER))
+
+
+@register("batch_key")
+def q_batch_key(spark, sf_dir):
+    return bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED).select("bid", "batch_key")
+
+
+@register("write_batches")
+def q_write_batches(spark, sf_dir):
+    path = scratch_path(spark, "batches")
+    sinks.write_batches(bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED), path)
+    return sinks.read_json(spark, path, sinks.BATCH_DOC_SCHEMA).select("bid", "batch_key", "rids", "flush_window")
+
+
+@register("write_batch_manifest")
+def q_write_batch_manifest(spark, sf_dir):
+    b = bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED)
+    base = scratch_path(spark, "batch-out")
+    sinks.write_batches(b, base + "/store")
+    sinks.write_batch_manifest(b, base + "/manifest")
+    m = sinks.read_json(spark, base + "/manifest", sinks.MANIFEST_SCHEMA)
+    stored = sinks.read_json(spark, base + "/store", sinks.BATCH_DOC_SCHEMA).select("bid", "rids")
+    # every manifest entry resolves to its stored batch
+    return (m.select("bid", F.size("rids").alias("manifest_ids"), "flush_window")
+            .join(stored, "bid", "left").select("bid", "flush_window", "manifest_ids",
+                                                F.size("rids").alias("stored_ids")))

@@ -161,3 +161,109 @@ SELECT d.arrival_seq, d.stream_id, d.cid,
        EXISTS (SELECT 1 FROM seed_cids s WHERE s.stream_id = d.stream_id AND s.cid = d.cid) AS cid_stored
 FROM second_half d
 """
+
+
+# ---------------------------------------------------------------- J2 batching
+DAY_US = 86400000000
+
+
+def _batch_rows_sql() -> str:
+    return f"""
+brows AS (
+  SELECT event_id AS rid, ts, epoch_us(ts) AS us, epoch_us(ts) // {DAY_US} AS flush_window,
+         row_number() OVER (PARTITION BY epoch_us(ts) // {DAY_US} ORDER BY ts, event_id) AS rn
+  FROM events)"""
+
+
+def _closed_members_sql(size: int) -> str:
+    return f"""{_batch_rows_sql()},
+members AS (SELECT *, (rn - 1) // {size} AS batch_no FROM brows)"""
+
+
+def _linger_members_sql(size: int, linger_us: int) -> str:
+    """Greedy chain with a recursive CTE: start at row 1; the next batch starts
+    after ``size`` rows or at the first row at/after first + linger."""
+    return f"""{_batch_rows_sql()},
+wsize AS (SELECT flush_window, count(*) AS n FROM brows GROUP BY flush_window),
+nxt AS (
+  SELECT a.flush_window, a.rn,
+         least(a.rn + {size}, 1 + (SELECT count(*) FROM brows b
+                                    WHERE b.flush_window = a.flush_window AND b.us < a.us + {linger_us})) AS nrn
+  FROM brows a),
+chain AS (
+  WITH RECURSIVE c(flush_window, rn) AS (
+    SELECT flush_window, 1 FROM wsize
+    UNION ALL
+    SELECT x.flush_window, x.nrn FROM c JOIN nxt x ON x.flush_window = c.flush_window AND x.rn = c.rn
+    JOIN wsize s ON s.flush_window = x.flush_window WHERE x.nrn <= s.n)
+  SELECT * FROM c),
+members AS (
+  SELECT r.*, (SELECT count(*) FROM chain c WHERE c.flush_window = r.flush_window AND c.rn <= r.rn) - 1 AS batch_no
+  FROM brows r)"""
+
+
+def _batches_sql(size: int, linger_us: int) -> str:
+    return f"""
+batches AS (
+  SELECT flush_window, batch_no, count(*) AS n, min(us) AS first_us,
+         list(rid ORDER BY rn) AS rids
+  FROM members GROUP BY flush_window, batch_no),
+out AS (
+  SELECT b.*,
+         CASE WHEN n >= {size} THEN 'full'
+              WHEN first_us + {linger_us} < (flush_window + 1) * {DAY_US} THEN 'linger'
+              ELSE 'flush' END AS reason,
+         make_timestamp(first_us) AS first_ts,
+         make_timestamp((flush_window + 1) * {DAY_US}) AS boundary,
+         sha256(concat_ws('|', CAST(flush_window AS VARCHAR), CAST(batch_no AS VARCHAR),
+                          CAST(rids[1] AS VARCHAR))) AS h
+  FROM batches b),
+final AS (
+  SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' ||
+            substr(h, 17, 4) || '-' || substr(h, 21, 12) AS bid
+  FROM out)"""
+
+
+H24, H1 = 24 * 3600 * 1000000, 3600 * 1000000
+BATCH_COLS = "bid, flush_window, batch_no, n, rids, reason, first_ts, boundary"
+
+SQL["flush_window"] = f"""
+SELECT event_id AS rid, epoch_us(ts) // {DAY_US} AS flush_window,
+       make_timestamp((epoch_us(ts) // {DAY_US} + 1) * {DAY_US}) AS boundary
+FROM events
+"""
+
+SQL["batch_ordinal"] = f"""
+WITH {_closed_members_sql(16)}
+SELECT rid, flush_window, rn, batch_no FROM members
+"""
+
+SQL["collect_batch_members"] = f"""
+WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
+SELECT {BATCH_COLS} FROM final
+"""
+
+SQL["batch_linger"] = f"""
+WITH {_linger_members_sql(16, H1)}, {_batches_sql(16, H1)}
+SELECT {BATCH_COLS} FROM final
+"""
+
+SQL["batch_size_distribution"] = f"""
+WITH {_linger_members_sql(16, H1)}, {_batches_sql(16, H1)}
+SELECT n AS batch_size, count(*) AS n_batches FROM final GROUP BY n
+"""
+
+SQL["batch_key"] = f"""
+WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
+SELECT bid, 'cas/anchor/batch/' || bid AS batch_key FROM final
+"""
+
+SQL["write_batches"] = f"""
+WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
+SELECT bid, 'cas/anchor/batch/' || bid AS batch_key, rids, flush_window FROM final
+"""
+
+SQL["write_batch_manifest"] = f"""
+WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
+SELECT bid, flush_window, CAST(0 AS INTEGER) AS manifest_ids, CAST(len(rids) AS INTEGER) AS stored_ids FROM final
+"""
