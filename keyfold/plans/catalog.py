@@ -176,3 +176,126 @@ def q_write_batch_manifest(spark, sf_dir):
     return (m.select("bid", F.size("rids").alias("manifest_ids"), "flush_window")
             .join(stored, "bid", "left").select("bid", "flush_window", "manifest_ids",
                                                 F.size("rids").alias("stored_ids")))
+
+
+# ---------------------------------------------------------------- J3 status
+from ..operators import status as st  # noqa: E402
+
+AS_OF = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
+
+
+def _replaced_events(spark, sf_dir):
+    """Status events of J1: REPLACED messages in emission order."""
+    o = dd.dedupe_requests(td.deliveries(spark, sf_dir)).outcomes.filter(F.col("event") == dd.REPLACED)
+    return o.select(F.col("target_rid").alias("id"), F.lit(st.REPLACED).cast("smallint").alias("sts"),
+                    (F.col("arrival_seq") * 2 + F.col("event_ord")).alias("seq"))
+
+
+@register("status_fold")
+def q_status_fold(spark, sf_dir):
+    events_df, initial = td.status_events(spark, sf_dir)
+    return st.status_fold(events_df, initial)
+
+
+@register("update_status")
+def q_update_status(spark, sf_dir):
+    req = td.request_table(spark, sf_dir)
+    out = st.update_status(req, _replaced_events(spark, sf_dir), F.expr(AS_OF))
+    return out.select("request_id", "status", "changed", "updated_at")
+
+
+@register("filter_allowed_transition")
+def q_filter_allowed(spark, sf_dir):
+    req = td.request_table(spark, sf_dir).select(F.col("request_id").alias("id"), "status")
+    ev = _replaced_events(spark, sf_dir).join(req, "id")
+    return ev.select("seq", "id", st.transition_allowed(F.col("sts"), F.col("status")).alias("allowed"))
+
+
+@register("pending_count")
+def q_pending_count(spark, sf_dir):
+    req = td.request_table(spark, sf_dir)
+    return req.agg(F.count_if(F.col("status") == st.PENDING).alias("pending_requests"))
+
+
+# ---------------------------------------------------------------- messages / J5
+from ..operators import deadletter as dl  # noqa: E402
+from ..sources import messages as msg  # noqa: E402
+
+
+@register("parse_requests")
+def q_parse_requests(spark, sf_dir):
+    p = msg.parse_requests(td.request_texts(spark, sf_dir))
+    return p.select("seq", "rid", "stream_id", "cid", "origin", "ts", "crt", "malformed")
+
+
+@register("parse_status")
+def q_parse_status(spark, sf_dir):
+    return msg.parse_status(td.status_texts(spark, sf_dir)).select("seq", "rid", "sts", "malformed")
+
+
+@register("quarantine_malformed")
+def q_quarantine(spark, sf_dir):
+    good, bad = dl.quarantine(msg.parse_requests(td.request_texts(spark, sf_dir)))
+    return (good.select("seq", F.lit("valid").alias("route"))
+            .unionByName(bad.select("seq", F.lit("quarantine").alias("route"))))
+
+
+@register("read_dead_letters")
+def q_read_dead_letters(spark, sf_dir):
+    path = scratch_path(spark, "dlq-text")
+    td.dead_letter_texts(spark, sf_dir).select("value").write.mode("overwrite").text(path)
+    return spark.read.text(path).select("value")
+
+
+@register("classify_dead_letter")
+def q_classify(spark, sf_dir):
+    return dl.classify_dead_letters(td.dead_letter_texts(spark, sf_dir)).select("seq", "msg_type", "msg_id")
+
+
+@register("alert_text")
+def q_alert_text(spark, sf_dir):
+    a = dl.dead_letter_alerts(dl.classify_dead_letters(td.dead_letter_texts(spark, sf_dir)))
+    return a.select("seq", "title", "desc", "content")
+
+
+@register("write_alerts")
+def q_write_alerts(spark, sf_dir):
+    a = dl.dead_letter_alerts(dl.classify_dead_letters(td.dead_letter_texts(spark, sf_dir)))
+    path = scratch_path(spark, "alerts")
+    sinks.write_table(a.select("seq", "title", "desc", "content"), path)
+    return spark.read.parquet(path)
+
+
+@register("redrive_split")
+def q_redrive(spark, sf_dir):
+    return dl.redrive_split(td.redrive_deliveries(spark, sf_dir), "rid")
+
+
+@register("uuid_valid")
+def q_uuid_valid(spark, sf_dir):
+    from ..functions.ids import NIL_UUID, uuid_valid
+    e = table(spark, sf_dir, "events").select("event_id")
+    c = (F.when(F.col("event_id") % 9 == 0, F.lit(NIL_UUID))
+         .when(F.col("event_id") % 9 == 1, F.substring(td.uuid_of(F.col("event_id")), 1, 35))
+         .when(F.col("event_id") % 9 == 2, F.upper(td.uuid_of(F.col("event_id"))))
+         .otherwise(td.uuid_of(F.col("event_id"))))
+    return e.select(F.col("event_id").alias("seq"), c.alias("candidate")).withColumn("valid", uuid_valid(F.col("candidate")))
+
+
+@register("alert_route")
+def q_alert_route(spark, sf_dir):
+    from ..functions.text import alert_route
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 4
+    alert = F.when(k.isin(0, 1), F.col("c_mktsegment")).otherwise(F.lit(""))
+    test = F.when(k.isin(0, 2), F.col("c_name")).otherwise(F.lit(""))
+    return c.select("c_custkey", alert_route(alert, test).alias("channel"))
+
+
+@register("encode_messages")
+def q_encode(spark, sf_dir):
+    d = td.deliveries(spark, sf_dir)
+    return d.select("arrival_seq", msg.encode_request(td.uuid_of(F.col("rid")), F.col("stream_id").cast("string"),
+                                                      F.col("cid"), F.col("origin"), F.col("ts"),
+                                                      F.col("crt")).alias("request_json"),
+                    msg.encode_status(td.uuid_of(F.col("rid")), F.lit(5)).alias("status_json"))

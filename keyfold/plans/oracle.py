@@ -267,3 +267,199 @@ SQL["write_batch_manifest"] = f"""
 WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
 SELECT bid, flush_window, CAST(0 AS INTEGER) AS manifest_ids, CAST(len(rids) AS INTEGER) AS stored_ids FROM final
 """
+
+
+# ---------------------------------------------------------------- J3 status
+REQUESTS = """
+requests AS (
+  SELECT event_id AS request_id, CAST(event_id % 6 AS SMALLINT) AS status, ts AS updated_at FROM events)"""
+
+REPLACED_EVENTS = f"""
+outcomes AS ({OUTCOMES_FROM_FLAGS}),
+rep AS (SELECT target_rid AS id, arrival_seq * 2 + event_ord AS seq FROM outcomes WHERE event = 'REPLACED')"""
+
+SQL["status_fold"] = """
+WITH RECURSIVE
+ev AS (
+  SELECT user_id AS id,
+         CASE WHEN event_id % 3 <> 0 THEN 5 ELSE (event_id // 3) % 6 END AS sts,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
+  FROM events),
+ids AS (SELECT DISTINCT user_id AS id, user_id % 6 AS status FROM events),
+fold(id, k, status) AS (
+  SELECT id, 0, status FROM ids
+  UNION ALL
+  SELECT f.id, f.k + 1,
+         CASE WHEN e.sts = 5 THEN (CASE WHEN f.status = 0 THEN 5 ELSE f.status END) ELSE e.sts END
+  FROM fold f JOIN ev e ON e.id = f.id AND e.k = f.k + 1)
+SELECT id, CAST(status AS SMALLINT) AS status
+FROM fold f WHERE k = (SELECT max(k) FROM fold g WHERE g.id = f.id)
+"""
+
+SQL["update_status"] = f"""
+WITH {DELIVERIES}, {dedupe_flags()}, {REPLACED_EVENTS}, {REQUESTS},
+hit AS (SELECT DISTINCT id FROM rep)
+SELECT r.request_id,
+       CAST(CASE WHEN r.status = 0 AND h.id IS NOT NULL THEN 5 ELSE r.status END AS SMALLINT) AS status,
+       (r.status = 0 AND h.id IS NOT NULL) AS changed,
+       CASE WHEN r.status = 0 AND h.id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE r.updated_at END
+         AS updated_at
+FROM requests r LEFT JOIN hit h ON h.id = r.request_id
+"""
+
+SQL["filter_allowed_transition"] = f"""
+WITH {DELIVERIES}, {dedupe_flags()}, {REPLACED_EVENTS}, {REQUESTS}
+SELECT rep.seq, rep.id, (r.status = 0) AS allowed
+FROM rep JOIN requests r ON r.request_id = rep.id
+"""
+
+SQL["pending_count"] = """
+SELECT count(*) FILTER (WHERE event_id % 6 = 0) AS pending_requests FROM events
+"""
+
+# ---------------------------------------------------------------- messages / J5
+UUID_SQL = "('00000000-0000-4000-8000-' || lower(lpad(hex({e}), 12, '0')))"
+MSG_TS = "(CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(event_id % 5 AS INTEGER)))"
+RFC = "'%Y-%m-%dT%H:%M:%S.%fZ'"
+
+
+def _uuid(e: str) -> str:
+    return UUID_SQL.format(e=e)
+
+
+REQUEST_JSON = (f"json_object('rid', {_uuid('event_id')}, 'sid', CAST(user_id AS VARCHAR), 'cid', props, "
+                f"'org', event_type, 'ts', strftime({MSG_TS}, {RFC}), 'crt', strftime(ts, {RFC}))::VARCHAR")
+BAD_TS_JSON = f"json_object('rid', {_uuid('event_id')}, 'ts', 'bad')::VARCHAR"
+
+REQUEST_TEXTS = f"""
+texts AS (
+  SELECT event_id AS seq,
+         CASE WHEN event_id % 17 = 0 THEN 'hello'
+              WHEN event_id % 19 = 0 THEN {BAD_TS_JSON}
+              WHEN event_id % 23 = 0 THEN '{{}}'
+              ELSE {REQUEST_JSON} END AS value
+  FROM events)"""
+
+PARSED_REQUESTS = f"""
+{REQUEST_TEXTS},
+j AS (
+  SELECT seq, value, json_valid(value) AND starts_with(ltrim(value), '{{') AS is_obj,
+         CASE WHEN json_valid(value) THEN json_extract_string(value, '$.rid') END AS rid, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.sid') END AS sid,
+         CASE WHEN json_valid(value) THEN json_extract_string(value, '$.cid') END AS cid, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.org') END AS org,
+         CASE WHEN json_valid(value) THEN json_extract_string(value, '$.ts') END AS ts, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.crt') END AS crt
+  FROM texts),
+chk AS (
+  SELECT *, coalesce(is_obj
+         AND (rid IS NULL OR regexp_full_match(rid, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}'))
+         AND (ts IS NULL OR regexp_full_match(ts, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?Z'))
+         AND (crt IS NULL OR regexp_full_match(crt, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?Z')),
+         false) AS ok
+  FROM j),
+parsed AS (
+  SELECT seq,
+         CASE WHEN ok THEN lower(coalesce(rid, '00000000-0000-0000-0000-000000000000')) END AS rid,
+         CASE WHEN ok THEN coalesce(sid, '') END AS stream_id,
+         CASE WHEN ok THEN coalesce(cid, '') END AS cid,
+         CASE WHEN ok THEN coalesce(org, '') END AS origin,
+         CASE WHEN ok THEN coalesce(CAST(rtrim(ts, 'Z') AS TIMESTAMP), TIMESTAMP '0001-01-01 00:00:00') END AS ts,
+         CASE WHEN ok THEN coalesce(CAST(rtrim(crt, 'Z') AS TIMESTAMP), TIMESTAMP '0001-01-01 00:00:00') END AS crt,
+         NOT ok AS malformed
+  FROM chk)"""
+
+SQL["parse_requests"] = f"""
+WITH {PARSED_REQUESTS}
+SELECT seq, rid, stream_id, cid, origin, ts, crt, malformed FROM parsed
+"""
+
+SQL["quarantine_malformed"] = f"""
+WITH {PARSED_REQUESTS}
+SELECT seq, CASE WHEN malformed THEN 'quarantine' ELSE 'valid' END AS route FROM parsed
+"""
+
+SQL["parse_status"] = f"""
+WITH texts AS (
+  SELECT event_id AS seq,
+         CASE WHEN event_id % 10 = 9 THEN 'invalid request'
+              WHEN event_id % 7 = 0 THEN json_object('rid', {_uuid('user_id')})::VARCHAR
+              ELSE json_object('rid', {_uuid('user_id')},
+                               'sts', CASE WHEN event_id % 3 <> 0 THEN 5 ELSE (event_id // 3) % 6 END)::VARCHAR
+         END AS value
+  FROM events),
+j AS (
+  SELECT seq, coalesce(json_valid(value) AND starts_with(value, '{{'), false) AS ok,
+         CASE WHEN json_valid(value) THEN json_extract_string(value, '$.rid') END AS rid, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.sts') END AS sts
+  FROM texts)
+SELECT seq, CASE WHEN ok THEN lower(coalesce(rid, '00000000-0000-0000-0000-000000000000')) END AS rid,
+       CASE WHEN ok THEN CAST(coalesce(sts, '0') AS SMALLINT) END AS sts, NOT ok AS malformed
+FROM j
+"""
+
+DEAD_LETTER_TEXTS = f"""
+dl AS (
+  SELECT event_id AS seq,
+         CASE event_id % 5
+           WHEN 0 THEN {REQUEST_JSON}
+           WHEN 1 THEN json_object('rid', {_uuid('event_id')}, 'sts', 5)::VARCHAR
+           WHEN 2 THEN json_object('bid', {_uuid('event_id')}, 'rids', []::VARCHAR[])::VARCHAR
+           WHEN 3 THEN {BAD_TS_JSON}
+           ELSE 'hello' END AS value,
+         CASE WHEN event_id % 5 IN (0, 1) THEN 'Anchor request'
+              WHEN event_id % 5 = 2 THEN 'Batch request' ELSE 'Unknown' END AS msg_type,
+         CASE WHEN event_id % 5 IN (0, 1, 2) THEN {_uuid('event_id')} ELSE 'Unknown' END AS msg_id
+  FROM events)"""
+
+SQL["read_dead_letters"] = f"""
+WITH {DEAD_LETTER_TEXTS}
+SELECT value FROM dl
+"""
+
+SQL["classify_dead_letter"] = f"""
+WITH {DEAD_LETTER_TEXTS}
+SELECT seq, msg_type, msg_id FROM dl
+"""
+
+ALERT_SQL = f"""
+WITH {DEAD_LETTER_TEXTS}
+SELECT seq, 'CASv5 Alert' AS title, 'Dead Letter Queue' AS "desc", msg_type || ':' || chr(10) || msg_id AS content
+FROM dl
+"""
+SQL["alert_text"] = ALERT_SQL
+SQL["write_alerts"] = ALERT_SQL
+
+SQL["redrive_split"] = f"""
+WITH {DELIVERIES},
+extra AS (SELECT * FROM deliveries WHERE arrival_seq % 10 = 0 AND (arrival_seq // 10) % 17 = 0),
+all_receives AS (
+  SELECT rid FROM deliveries UNION ALL SELECT rid FROM extra UNION ALL SELECT rid FROM extra)
+SELECT rid, count(*) AS receive_count, count(*) > 3 AS dead FROM all_receives GROUP BY rid
+"""
+
+SQL["uuid_valid"] = f"""
+WITH c AS (
+  SELECT event_id AS seq,
+         CASE WHEN event_id % 9 = 0 THEN '00000000-0000-0000-0000-000000000000'
+              WHEN event_id % 9 = 1 THEN substr({_uuid('event_id')}, 1, 35)
+              WHEN event_id % 9 = 2 THEN upper({_uuid('event_id')})
+              ELSE {_uuid('event_id')} END AS candidate
+  FROM events)
+SELECT seq, candidate,
+       regexp_full_match(candidate, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
+       AND lower(candidate) <> '00000000-0000-0000-0000-000000000000' AS valid
+FROM c
+"""
+
+SQL["alert_route"] = """
+SELECT c_custkey,
+       coalesce(nullif(trim(CASE WHEN c_custkey % 4 IN (0, 1) THEN c_mktsegment ELSE '' END), ''),
+                nullif(trim(CASE WHEN c_custkey % 4 IN (0, 2) THEN c_name ELSE '' END), '')) AS channel
+FROM customer
+"""
+
+SQL["encode_messages"] = f"""
+WITH {DELIVERIES}
+SELECT arrival_seq,
+       json_object('rid', {_uuid('rid')}, 'sid', CAST(stream_id AS VARCHAR), 'cid', cid, 'org', origin,
+                   'ts', strftime(ts, {RFC}), 'crt', strftime(crt, {RFC}))::VARCHAR AS request_json,
+       json_object('rid', {_uuid('rid')}, 'sts', 5)::VARCHAR AS status_json
+FROM deliveries
+"""
