@@ -299,3 +299,138 @@ def q_encode(spark, sf_dir):
                                                       F.col("cid"), F.col("origin"), F.col("ts"),
                                                       F.col("crt")).alias("request_json"),
                     msg.encode_status(td.uuid_of(F.col("rid")), F.lit(5)).alias("status_json"))
+
+
+# ---------------------------------------------------------------- J4 backfill
+from datetime import datetime as _dt  # noqa: E402
+
+from ..functions.timecols import US_PER_DAY, epoch_micros, ntz_from_micros  # noqa: E402
+from ..operators import backfill as bf  # noqa: E402
+from ..options import DEFAULT_BATCH_SIZE, DEFAULT_SCAN_SPAN, PollOptions  # noqa: E402
+
+POLL = PollOptions(now=_dt(2024, 1, 30))
+ZERO_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
+
+
+def _poll(spark, sf_dir, limit=DEFAULT_BATCH_SIZE):
+    req = td.request_table(spark, sf_dir)
+    meta = td.metadata_table(spark, sf_dir)
+    lo, hi = bf.poll_window(bf.ntz_lit(POLL.now), F.expr(ZERO_TIME), POLL.min_age, POLL.look_back)
+    return bf.scan_requests(req, meta, st.PENDING, lo, hi, limit)
+
+
+REQ_COLS = ["request_id", "cid", "stream_id", "origin", "ts", "created_at", "controllers", "family"]
+
+
+def _flat(df):
+    return (df.withColumn("controllers", F.col("metadata.controllers"))
+            .withColumn("family", F.col("metadata.family")).drop("metadata"))
+
+
+@register("scan_requests")
+def q_scan_requests(spark, sf_dir):
+    return _flat(_poll(spark, sf_dir)).select(*REQ_COLS)
+
+
+@register("filter_status")
+def q_filter_status(spark, sf_dir):
+    return bf.filter_status(td.request_table(spark, sf_dir), st.PENDING).select("request_id")
+
+
+@register("filter_open_interval")
+def q_filter_open_interval(spark, sf_dir):
+    lo, hi = bf.poll_window(bf.ntz_lit(POLL.now), F.expr(ZERO_TIME), POLL.min_age, POLL.look_back)
+    return bf.filter_open_interval(td.request_table(spark, sf_dir), lo, hi).select("request_id")
+
+
+@register("poll_window")
+def q_poll_window(spark, sf_dir):
+    e = td.events(spark, sf_dir)
+    day = F.floor(F.col("ts_us") / F.lit(US_PER_DAY))
+    days = e.select(day.alias("d")).distinct()
+    now = ntz_from_micros((F.col("d") + 1) * F.lit(US_PER_DAY))
+    ckpt = ntz_from_micros((F.col("d") - 1) * F.lit(US_PER_DAY)
+                           + (F.col("d") % 3 - 1) * F.lit(6 * 3600 * 1000000))
+    lo, hi = bf.poll_window(now, ckpt)
+    return days.select(now.alias("now"), ckpt.alias("checkpoint"), lo.alias("newer_than"), hi.alias("older_than"))
+
+
+@register("request_to_message")
+def q_request_to_message(spark, sf_dir):
+    return bf.request_to_message(_poll(spark, sf_dir))
+
+
+@register("left_join_metadata")
+def q_left_join_metadata(spark, sf_dir):
+    req = td.request_table(spark, sf_dir).select("request_id", "stream_id")
+    return bf.left_join_metadata(req, td.metadata_table(spark, sf_dir)).select(
+        "request_id", "stream_id", F.col("metadata.controllers").alias("controllers"),
+        F.col("metadata.family").alias("family"))
+
+
+@register("oldest_pending_topk")
+def q_oldest_pending_topk(spark, sf_dir):
+    return _flat(_poll(spark, sf_dir, limit=5)).select(*REQ_COLS)
+
+
+@register("load_limit")
+def q_load_limit(spark, sf_dir):
+    return _flat(_poll(spark, sf_dir, limit=CLOSED.size)).select(*REQ_COLS)
+
+
+@register("sent_prefix_checkpoint")
+def q_sent_prefix(spark, sf_dir):
+    req = td.request_table(spark, sf_dir)
+    us = epoch_micros("created_at", req.schema["created_at"].dataType)
+    rows = req.withColumn("poll_day", F.floor(us / F.lit(US_PER_DAY)))
+    return bf.sent_prefix_checkpoint(rows, "poll_day", F.col("request_id") % 97 == 0)
+
+
+@register("unprocessed_alert")
+def q_unprocessed_alert(spark, sf_dir):
+    return bf.daily_tick_backlog(td.request_table(spark, sf_dir))
+
+
+@register("backfill_union")
+def q_backfill_union(spark, sf_dir):
+    live = td.deliveries(spark, sf_dir)
+    audit = bf.request_to_message(_poll(spark, sf_dir)).withColumn(
+        "arrival_seq", (F.col("rid") + F.lit(1_000_000_000)) * 10 + 5)
+    return dd.dedupe_requests(live.unionByName(audit)).outcomes
+
+
+def _checkpoint_proposals(spark, sf_dir):
+    r = td.requests_base(spark, sf_dir)
+    return r.select(F.col("origin").alias("name"), F.col("ts").alias("value"), F.col("e").alias("seq"))
+
+
+@register("checkpoint_accept")
+def q_checkpoint_accept(spark, sf_dir):
+    return bf.checkpoint_accept(_checkpoint_proposals(spark, sf_dir), DEFAULT_SCAN_SPAN)
+
+
+@register("checkpoint_max")
+def q_checkpoint_max(spark, sf_dir):
+    return bf.checkpoint_max(_checkpoint_proposals(spark, sf_dir))
+
+
+@register("load_checkpoint")
+def q_load_checkpoint(spark, sf_dir):
+    acc = bf.checkpoint_accept(_checkpoint_proposals(spark, sf_dir), DEFAULT_SCAN_SPAN).filter("accepted")
+    path = scratch_path(spark, "checkpoints")
+    sinks.write_table(acc.select("name", "value"), path)
+    state = spark.read.parquet(path)
+    names = (td.requests_base(spark, sf_dir).select(F.col("origin").alias("name")).distinct()
+             .unionByName(spark.range(1).select(F.lit("rpoll").alias("name")))
+             .unionByName(spark.range(1).select(F.lit("fpoll").alias("name"))))
+    return bf.load_checkpoint(state, names)
+
+
+@register("time_codecs")
+def q_time_codecs(spark, sf_dir):
+    from ..functions import timecols as tc
+    d = td.deliveries(spark, sf_dir)
+    ts_us = epoch_micros("ts", d.schema["ts"].dataType)
+    crt_us = epoch_micros("crt", d.schema["crt"].dataType)
+    return d.select("arrival_seq", tc.ts_nanos(ts_us).alias("ts_ns"), tc.ts_seconds(crt_us).alias("crt_s"),
+                    tc.checkpoint_text(F.col("crt")).alias("crt_text"))

@@ -463,3 +463,120 @@ SELECT arrival_seq,
        json_object('rid', {_uuid('rid')}, 'sts', 5)::VARCHAR AS status_json
 FROM deliveries
 """
+
+
+# ---------------------------------------------------------------- J4 backfill
+REQ_FULL = f"""
+req AS (
+  SELECT event_id AS request_id, props AS cid, user_id AS stream_id, event_type AS origin,
+         {MSG_TS} AS ts, ts AS created_at, event_id % 6 AS status FROM events),
+meta AS (
+  SELECT c_custkey AS stream_id, {{'controllers': [c_name], 'family': c_mktsegment}} AS metadata
+  FROM customer WHERE c_custkey % 3 <> 0)"""
+
+POLL_SQL = f"""
+WITH {REQ_FULL}
+SELECT r.request_id, r.cid, r.stream_id, r.origin, r.ts, r.created_at,
+       m.metadata.controllers AS controllers, m.metadata.family AS family
+FROM req r LEFT JOIN meta m ON m.stream_id = r.stream_id
+WHERE r.status = 0 AND r.created_at > TIMESTAMP '2024-01-28 00:00:00'
+  AND r.created_at < TIMESTAMP '2024-01-29 12:00:00'
+"""
+
+SQL["scan_requests"] = POLL_SQL
+SQL["oldest_pending_topk"] = POLL_SQL + " ORDER BY r.created_at LIMIT 5"
+SQL["load_limit"] = POLL_SQL + " ORDER BY r.created_at LIMIT 16"
+
+SQL["filter_status"] = "SELECT event_id AS request_id FROM events WHERE event_id % 6 = 0"
+
+SQL["filter_open_interval"] = """
+SELECT event_id AS request_id FROM events
+WHERE ts > TIMESTAMP '2024-01-28 00:00:00' AND ts < TIMESTAMP '2024-01-29 12:00:00'
+"""
+
+SQL["poll_window"] = f"""
+WITH d AS (SELECT DISTINCT epoch_us(ts) // {DAY_US} AS d FROM events),
+t AS (
+  SELECT make_timestamp((d + 1) * {DAY_US}) AS now,
+         make_timestamp((d - 1) * {DAY_US} + (d % 3 - 1) * 21600000000) AS checkpoint
+  FROM d)
+SELECT now, checkpoint, greatest(checkpoint, now - INTERVAL 48 HOUR) AS newer_than,
+       now - INTERVAL 12 HOUR AS older_than
+FROM t
+"""
+
+SQL["request_to_message"] = f"""
+WITH {REQ_FULL}
+SELECT request_id AS rid, stream_id, cid, origin, ts, created_at AS crt FROM req
+WHERE status = 0 AND created_at > TIMESTAMP '2024-01-28 00:00:00'
+  AND created_at < TIMESTAMP '2024-01-29 12:00:00'
+"""
+
+SQL["left_join_metadata"] = f"""
+WITH {REQ_FULL}
+SELECT r.request_id, r.stream_id, m.metadata.controllers AS controllers, m.metadata.family AS family
+FROM req r LEFT JOIN meta m USING (stream_id)
+"""
+
+SQL["sent_prefix_checkpoint"] = f"""
+WITH r AS (
+  SELECT event_id, ts, epoch_us(ts) // {DAY_US} AS poll_day,
+         row_number() OVER (PARTITION BY epoch_us(ts) // {DAY_US} ORDER BY ts) AS k
+  FROM events),
+ff AS (SELECT poll_day, min(k) FILTER (WHERE event_id % 97 = 0) AS fk, count(*) AS n FROM r GROUP BY poll_day)
+SELECT ff.poll_day, ff.n AS n_rows, coalesce(ff.fk - 1, ff.n) AS n_sent,
+       CASE WHEN ff.fk IS NULL THEN (SELECT max(ts) FROM r WHERE r.poll_day = ff.poll_day)
+            WHEN ff.fk = 1 THEN (SELECT ts FROM r WHERE r.poll_day = ff.poll_day AND k = 1) - INTERVAL 1 MILLISECOND
+            ELSE (SELECT ts FROM r WHERE r.poll_day = ff.poll_day AND k = ff.fk - 1) END AS next_checkpoint,
+       CASE WHEN ff.fk IS NULL THEN 'all' WHEN ff.fk = 1 THEN 'first' ELSE 'later' END AS outcome
+FROM ff
+"""
+
+SQL["unprocessed_alert"] = f"""
+WITH ticks AS (
+  SELECT DISTINCT make_timestamp(d * {DAY_US}) AS now
+  FROM (SELECT epoch_us(ts) // {DAY_US} + k AS d FROM events, range(0, 4) AS g(k))),
+c AS (
+  SELECT t.now, count(*) AS n FROM ticks t JOIN events e
+    ON e.event_id % 6 = 0 AND e.ts > t.now - INTERVAL 48 HOUR AND e.ts < t.now - INTERVAL 12 HOUR
+  GROUP BY t.now)
+SELECT now, n AS n_requests, 'CASv5 Alert' AS title, 'Unprocessed Requests' AS "desc",
+       CAST(n AS VARCHAR) || ' requests found since:' || chr(10) ||
+       strftime(now - INTERVAL 48 HOUR, '%Y-%m-%d %H:%M:%S') || ' +0000 UTC' AS content
+FROM c
+"""
+
+SQL["backfill_union"] = f"""
+WITH {REQ_FULL}, live AS ({DELIVERIES.split('AS (', 1)[1].rsplit(')', 1)[0]}),
+deliveries AS (
+  SELECT * FROM live
+  UNION ALL
+  SELECT request_id, stream_id, origin, cid, ts, created_at, (request_id + 1000000000) * 10 + 5 FROM req
+  WHERE status = 0 AND created_at > TIMESTAMP '2024-01-28 00:00:00'
+    AND created_at < TIMESTAMP '2024-01-29 12:00:00'),
+{dedupe_flags()}
+{OUTCOMES_FROM_FLAGS}
+"""
+
+CKPT = f"""
+p AS (SELECT event_type AS name, {MSG_TS} AS value, event_id AS seq FROM events),
+acc AS (
+  SELECT p.*, NOT EXISTS (SELECT 1 FROM p q WHERE q.name = p.name AND q.seq < p.seq AND q.value >= p.value)
+         AS accepted
+  FROM p)"""
+
+SQL["checkpoint_accept"] = f"WITH {CKPT} SELECT name, value, seq, accepted FROM acc"
+SQL["checkpoint_max"] = f"WITH {CKPT} SELECT name, max(value) AS value FROM acc WHERE accepted GROUP BY name"
+SQL["load_checkpoint"] = f"""
+WITH {CKPT},
+names AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT 'rpoll' UNION SELECT 'fpoll')
+SELECT n.name, coalesce(max(a.value), TIMESTAMP '0001-01-01 00:00:00') AS value
+FROM names n LEFT JOIN acc a ON a.name = n.name AND a.accepted GROUP BY n.name
+"""
+
+SQL["time_codecs"] = f"""
+WITH {DELIVERIES}
+SELECT arrival_seq, epoch_us(ts) * 1000 AS ts_ns, epoch_us(crt) // 1000000 AS crt_s,
+       strftime(crt, '%Y-%m-%d %H:%M:%S.%f') AS crt_text
+FROM deliveries
+"""
