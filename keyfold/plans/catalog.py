@@ -434,3 +434,203 @@ def q_time_codecs(spark, sf_dir):
     crt_us = epoch_micros("crt", d.schema["crt"].dataType)
     return d.select("arrival_seq", tc.ts_nanos(ts_us).alias("ts_ns"), tc.ts_seconds(crt_us).alias("crt_s"),
                     tc.checkpoint_text(F.col("crt")).alias("crt_text"))
+
+
+# ---------------------------------------------------------------- J7 capacity
+from ..operators import capacity as cp  # noqa: E402
+from ..options import CapacityOptions  # noqa: E402
+
+UNLIMITED = CapacityOptions(max_workers=-1, amortization=0.5)
+MAX3 = CapacityOptions(max_workers=3, amortization=0.5)
+HOUR_US = 3600 * 1000000
+
+
+def _hourly_samples(spark, sf_dir):
+    """§4 D9: one sample per non-empty hour of events."""
+    e = td.events(spark, sf_dir)
+    hour = F.floor(F.col("ts_us") / F.lit(HOUR_US))
+    return (e.groupBy(hour.alias("hour"))
+            .agg(F.count(F.lit(1)).alias("unprocessed"),
+                 F.count_if(F.col("event_type") == "purchase").alias("inflight"),
+                 F.count_if(F.col("event_type") == "signup").alias("existing")))
+
+
+def _plans(spark, sf_dir):
+    s = _hourly_samples(spark, sf_dir)
+    u = cp.capacity_plan(F.col("unprocessed"), F.col("inflight"), F.col("existing"), UNLIMITED)
+    m = cp.capacity_plan(F.col("unprocessed"), F.col("inflight"), F.col("existing"), MAX3)
+    return s.select("hour", "unprocessed", "inflight", "existing", u["required"].alias("required"),
+                    u["create"].alias("create"), m["create"].alias("create_max3"))
+
+
+@register("queue_utilisation")
+def q_queue_utilisation(spark, sf_dir):
+    return _hourly_samples(spark, sf_dir).select("hour", "unprocessed", "inflight")
+
+
+@register("capacity_plan")
+def q_capacity_plan(spark, sf_dir):
+    return _plans(spark, sf_dir)
+
+
+@register("job_requests")
+def q_job_requests(spark, sf_dir):
+    now = ntz_from_micros(F.col("hour") * F.lit(HOUR_US))
+    return cp.job_requests(_plans(spark, sf_dir).withColumn("_now", now), "hour", F.col("_now"))
+
+
+def _job_states(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    stage = (F.when(F.col("o_orderstatus") == "O", cp.STAGE_QUEUED)
+             .when(F.col("o_orderstatus") == "P", cp.STAGE_STARTED)
+             .when(F.col("o_orderstatus") == "F", cp.STAGE_COMPLETED))
+    return o.select(F.col("o_custkey").alias("job"), stage.alias("stage"),
+                    F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("tie"))
+
+
+@register("latest_job_state")
+def q_latest_job_state(spark, sf_dir):
+    return cp.latest_job_state(_job_states(spark, sf_dir))
+
+
+@register("existing_jobs")
+def q_existing_jobs(spark, sf_dir):
+    return cp.existing_jobs(cp.latest_job_state(_job_states(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- J8 allow-list
+from ..operators import allowlist as al  # noqa: E402
+
+OWNER = 0
+
+
+def _calls(spark, sf_dir):
+    """§4 D10: owner 0; caller 0 when e % 3 = 0 else user % 10; signup adds
+    (e div 3) % 10, error removes (caller if e odd else (e div 2) % 10)."""
+    e = table(spark, sf_dir, "events")
+    eid, et = F.col("event_id"), F.col("event_type")
+    caller = F.when(eid % 3 == 0, F.lit(0)).otherwise(F.col("user_id") % 10)
+    kind = F.when(et == "signup", al.ADD).when(et == "error", al.REMOVE).otherwise(al.ANCHOR)
+    target = (F.when(et == "signup", F.floor(eid / 3) % 10)
+              .when(et == "error", F.when(eid % 2 == 1, caller).otherwise(F.floor(eid / 2) % 10)))
+    root = F.when(kind == al.ANCHOR, F.sha2(eid.cast("string"), 256))
+    return e.select(eid.alias("seq"), caller.cast("long").alias("caller"), kind.alias("kind"),
+                    target.cast("long").alias("target"), root.alias("root"))
+
+
+@register("allowlist_state")
+def q_allowlist_state(spark, sf_dir):
+    return al.membership(_calls(spark, sf_dir), OWNER)
+
+
+@register("anchor_authorised_asof")
+def q_anchor_authorised(spark, sf_dir):
+    r = al.replay(_calls(spark, sf_dir), OWNER, DEFAULT_SCAN_SPAN)
+    return r.select("seq", "caller", "kind", "target", "listed_before", "valid")
+
+
+@register("chain_events")
+def q_chain_events(spark, sf_dir):
+    return al.event_log(al.replay(_calls(spark, sf_dir), OWNER, DEFAULT_SCAN_SPAN))
+
+
+# ---------------------------------------------------------------- state expiry
+@register("state_expiry")
+def q_state_expiry(spark, sf_dir):
+    from ..options import JOB_TTL
+    cids = dd.cid_state_after(_flags(spark, sf_dir))
+    now = F.expr("TIMESTAMP_NTZ'2024-01-31 00:00:00'")
+    exp = F.timestamp_add("MICROSECOND", F.lit(int(JOB_TTL.total_seconds()) * 1000000), F.col("crt")) < now
+    return cids.withColumn("expired", exp)
+
+
+# ---------------------------------------------------------------- J6 metrics
+from ..functions.text import metric_name  # noqa: E402
+from ..operators import metrics as mt  # noqa: E402
+
+
+def _metric_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    suffix = F.when(F.col("event_id") % 7 == 0, F.lit("_tsdb")).otherwise(F.lit(""))
+    return e.select("event_id", "ts", F.concat(F.col("event_type"), suffix).alias("metric"))
+
+
+@register("filter_metric_names")
+def q_filter_metric_names(spark, sf_dir):
+    kept = mt.filter_metric_names(_metric_rows(spark, sf_dir))
+    return kept.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("metric_name")
+def q_metric_name(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return (e.groupBy(metric_name(F.col("event_type"), "count").alias("metric"))
+            .agg(F.count(F.lit(1)).alias("value")))
+
+
+@register("write_metrics")
+def q_write_metrics(spark, sf_dir):
+    rows = mt.filter_metric_names(_metric_rows(spark, sf_dir))
+    us = epoch_micros("ts", rows.schema["ts"].dataType)
+    samples = (rows.groupBy(metric_name(F.col("metric"), "count").alias("metric"),
+                            ntz_from_micros(F.floor(us / F.lit(HOUR_US)) * F.lit(HOUR_US)).alias("ts"))
+               .agg(F.count(F.lit(1)).alias("value")))
+    path = scratch_path(spark, "metrics")
+    sinks.write_table(samples, path, ["metric"])
+    return spark.read.parquet(path).select("metric", "ts", "value")
+
+
+@register("counter_totals")
+def q_counter_totals(spark, sf_dir):
+    r = dd.dedupe_requests(td.deliveries(spark, sf_dir))
+    o = r.outcomes
+    validate = o.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("event") == dd.REPLACED).alias("validate_replaced_request"),
+        F.count_if(F.col("event") == dd.READY).alias("validate_processed_request"),
+        F.count_if(F.col("reason") == "reprocessed").alias("validate_reprocessed_request"))
+    v = validate.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
+        for c in ["validate_replaced_request", "validate_processed_request", "validate_reprocessed_request"]
+    ])).alias("m")).select("m.metric", "m.value")
+    ingress = td.deliveries(spark, sf_dir).agg(F.count(F.lit(1)).alias("value")) \
+        .select(F.lit("validate_ingress_request").alias("metric"), "value")
+    b = bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED)
+    batches = b.agg(F.count(F.lit(1)).alias("nb"), F.sum("n").alias("nr")).select(F.explode(F.array(
+        F.struct(F.lit("batch_created").alias("metric"), F.col("nb").alias("value")),
+        F.struct(F.lit("batch_stored").alias("metric"), F.col("nb").alias("value")),
+        F.struct(F.lit("batch_ingress_request").alias("metric"), F.col("nr").alias("value")))).alias("m")) \
+        .select("m.metric", "m.value")
+    dlq = td.dead_letter_texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("value")) \
+        .select(F.lit("failure_dlq_message").alias("metric"), "value")
+    ps = msg.parse_status(td.status_texts(spark, sf_dir)).filter(~F.col("malformed"))
+    status = ps.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(
+        F.struct(F.lit("status_ingress_message").alias("metric"), F.col("n").alias("value")),
+        F.struct(F.lit("status_updated").alias("metric"), F.col("n").alias("value")))).alias("m")) \
+        .select("m.metric", "m.value")
+    jobs = _plans(spark, sf_dir).agg(F.sum("create").alias("value")) \
+        .select(F.lit("worker_job_created").alias("metric"), "value")
+    return mt.counter_totals([v, ingress, batches, dlq, status, jobs])
+
+
+# ---------------------------------------------------------------- sinks of J1
+@register("write_ready")
+def q_write_ready(spark, sf_dir):
+    r = dd.dedupe_requests(td.deliveries(spark, sf_dir))
+    ready = (r.outcomes.filter(F.col("event") == dd.READY).select("arrival_seq")
+             .join(r.flags.select("arrival_seq", "rid", "stream_id", "origin", "cid", "ts", "crt"), "arrival_seq"))
+    path = scratch_path(spark, "ready")
+    sinks.write_table(ready, path)
+    return spark.read.parquet(path)
+
+
+@register("write_status_events")
+def q_write_status_events(spark, sf_dir):
+    o = dd.dedupe_requests(td.deliveries(spark, sf_dir)).outcomes.filter(F.col("event") == dd.REPLACED)
+    path = scratch_path(spark, "status-events")
+    (o.select("arrival_seq", "event_ord",
+              msg.encode_status(td.uuid_of(F.col("target_rid")), F.lit(st.REPLACED)).alias("value"))
+     .write.mode("overwrite").json(path))
+    back = spark.read.schema("arrival_seq long, event_ord int, value string").json(path)
+    p = msg.parse_status(back)
+    return p.select("arrival_seq", "event_ord", "rid", "sts")

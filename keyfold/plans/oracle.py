@@ -580,3 +580,145 @@ SELECT arrival_seq, epoch_us(ts) * 1000 AS ts_ns, epoch_us(crt) // 1000000 AS cr
        strftime(crt, '%Y-%m-%d %H:%M:%S.%f') AS crt_text
 FROM deliveries
 """
+
+
+# ---------------------------------------------------------------- J7 capacity
+HOUR = 3600000000
+SAMPLES = f"""
+samples AS (
+  SELECT epoch_us(ts) // {HOUR} AS hour, count(*) AS unprocessed,
+         count(*) FILTER (WHERE event_type = 'purchase') AS inflight,
+         count(*) FILTER (WHERE event_type = 'signup') AS existing
+  FROM events GROUP BY 1),
+plans AS (
+  SELECT hour, unprocessed, inflight, existing,
+         CAST(greatest(unprocessed + inflight - existing, 0) AS BIGINT) AS required,
+         CAST(least(ceil(greatest(unprocessed + inflight - existing, 0) * 0.5),
+                    greatest(unprocessed + inflight - existing, 0)) AS BIGINT) AS "create",
+         CAST(least(ceil((CASE WHEN existing < 3 THEN 3 - existing ELSE 0 END) * 0.5),
+                    greatest(unprocessed + inflight - existing, 0)) AS BIGINT) AS create_max3
+  FROM samples)"""
+
+SQL["queue_utilisation"] = f"WITH {SAMPLES} SELECT hour, unprocessed, inflight FROM samples"
+SQL["capacity_plan"] = f"WITH {SAMPLES} SELECT * FROM plans"
+SQL["job_requests"] = f"""
+WITH {SAMPLES}
+SELECT p.hour, CAST(g.k AS INTEGER) AS job_ordinal, 'queued' AS stage, 'anchor' AS type,
+       '{{"version":"5","overrides":{{"APP_MODE":"continual-anchoring","SCHEDULER_STOP_AFTER_NO_OP":"true"}}}}'
+         AS params,
+       make_timestamp(p.hour * {HOUR}) AS ts,
+       make_timestamp(p.hour * {HOUR}) + INTERVAL 14 DAY AS ttl
+FROM plans p, LATERAL range(1, p."create" + 1) AS g(k)
+WHERE p."create" > 0
+"""
+
+JOBS = """
+js AS (
+  SELECT o_custkey AS job,
+         CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'started' WHEN 'F' THEN 'completed' END AS stage,
+         o_orderdate AS ts, o_orderkey AS tie
+  FROM orders),
+latest AS (
+  SELECT job, stage, ts FROM (
+    SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, tie DESC) AS k FROM js) WHERE k = 1)"""
+
+SQL["latest_job_state"] = f"WITH {JOBS} SELECT job, stage, ts FROM latest"
+SQL["existing_jobs"] = f"""
+WITH {JOBS}
+SELECT count(*) FILTER (WHERE stage IS NULL OR stage NOT IN ('completed', 'failed')) AS existing_jobs FROM latest
+"""
+
+# ---------------------------------------------------------------- J8 allow-list
+CALLS = """
+calls AS (
+  SELECT event_id AS seq,
+         CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 10 END AS BIGINT) AS caller,
+         CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'anchor' END AS kind,
+         CAST(CASE WHEN event_type = 'signup' THEN (event_id // 3) % 10
+                   WHEN event_type = 'error' THEN
+                     CASE WHEN event_id % 2 = 1 THEN (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 10 END)
+                          ELSE (event_id // 2) % 10 END END AS BIGINT) AS target,
+         CASE WHEN event_type NOT IN ('signup', 'error') THEN sha256(CAST(event_id AS VARCHAR)) END AS root
+  FROM events),
+eff AS (
+  SELECT *, CASE WHEN kind = 'anchor' THEN caller ELSE target END AS addr,
+         CASE WHEN kind = 'add' AND caller = 0 THEN true
+              WHEN kind = 'remove' AND (caller = 0 OR caller = target) THEN false END AS effect
+  FROM calls),
+replayed AS (
+  SELECT e.*,
+         coalesce((SELECT p.effect FROM eff p WHERE p.addr = e.addr AND p.seq < e.seq AND p.effect IS NOT NULL
+                   ORDER BY p.seq DESC LIMIT 1), false) AS listed_before
+  FROM eff e),
+valid AS (
+  SELECT *, CASE WHEN kind = 'add' THEN caller = 0
+                 WHEN kind = 'remove' THEN caller = 0 OR (caller = target AND listed_before)
+                 ELSE caller = 0 OR listed_before END AS valid
+  FROM replayed)"""
+
+SQL["allowlist_state"] = f"""
+WITH {CALLS}
+SELECT addr, arg_max(effect, seq) AS allowed FROM eff WHERE effect IS NOT NULL GROUP BY addr
+"""
+SQL["anchor_authorised_asof"] = f"WITH {CALLS} SELECT seq, caller, kind, target, listed_before, valid FROM valid"
+SQL["chain_events"] = f"""
+WITH {CALLS}
+SELECT seq, CASE kind WHEN 'add' THEN 'DidAddCas' WHEN 'remove' THEN 'DidRemoveCas' ELSE 'DidAnchor' END AS event,
+       addr AS service, root
+FROM valid WHERE valid
+"""
+
+SQL["state_expiry"] = f"""
+WITH {DELIVERIES}, {dedupe_flags()}
+SELECT stream_id, cid, crt, crt + INTERVAL 14 DAY < TIMESTAMP '2024-01-31 00:00:00' AS expired
+FROM flags WHERE new_cid
+"""
+
+# ---------------------------------------------------------------- J6 metrics
+METRIC_ROWS = """
+mrows AS (
+  SELECT event_id, ts, event_type || CASE WHEN event_id % 7 = 0 THEN '_tsdb' ELSE '' END AS metric FROM events),
+kept AS (SELECT * FROM mrows WHERE NOT regexp_matches(metric, '^.*tsdb$'))"""
+
+SQL["filter_metric_names"] = f"WITH {METRIC_ROWS} SELECT metric, count(*) AS n FROM kept GROUP BY metric"
+SQL["metric_name"] = "SELECT 'go-cas:' || event_type || '_count' AS metric, count(*) AS value FROM events GROUP BY 1"
+SQL["write_metrics"] = f"""
+WITH {METRIC_ROWS}
+SELECT 'go-cas:' || metric || '_count' AS metric, make_timestamp(epoch_us(ts) // {HOUR} * {HOUR}) AS ts,
+       count(*) AS value
+FROM kept GROUP BY 1, 2
+"""
+
+SQL["counter_totals"] = f"""
+WITH {DELIVERIES}, {dedupe_flags()}, outcomes AS ({OUTCOMES_FROM_FLAGS}),
+{_closed_members_sql(16)}, {SAMPLES},
+st AS (
+  SELECT count(*) AS n FROM events
+  WHERE event_id % 10 <> 9),
+parts(metric, value) AS (
+  SELECT 'validate_ingress_request', (SELECT count(*) FROM deliveries)
+  UNION ALL SELECT 'validate_replaced_request', (SELECT count(*) FROM outcomes WHERE event = 'REPLACED')
+  UNION ALL SELECT 'validate_processed_request', (SELECT count(*) FROM outcomes WHERE event = 'READY')
+  UNION ALL SELECT 'validate_reprocessed_request', (SELECT count(*) FROM outcomes WHERE reason = 'reprocessed')
+  UNION ALL SELECT 'batch_created', (SELECT count(DISTINCT (flush_window, batch_no)) FROM members)
+  UNION ALL SELECT 'batch_stored', (SELECT count(DISTINCT (flush_window, batch_no)) FROM members)
+  UNION ALL SELECT 'batch_ingress_request', (SELECT count(*) FROM members)
+  UNION ALL SELECT 'failure_dlq_message', (SELECT count(*) FROM events)
+  UNION ALL SELECT 'failure_message', 0
+  UNION ALL SELECT 'status_ingress_message', (SELECT n FROM st)
+  UNION ALL SELECT 'status_updated', (SELECT n FROM st)
+  UNION ALL SELECT 'worker_job_created', (SELECT sum("create") FROM plans))
+SELECT metric, CAST(value AS BIGINT) AS value FROM parts
+"""
+
+SQL["write_ready"] = f"""
+WITH {DELIVERIES}, {dedupe_flags()}, outcomes AS ({OUTCOMES_FROM_FLAGS})
+SELECT o.arrival_seq, f.rid, f.stream_id, f.origin, f.cid, f.ts, f.crt
+FROM outcomes o JOIN flags f ON f.arrival_seq = o.arrival_seq WHERE o.event = 'READY'
+"""
+
+SQL["write_status_events"] = f"""
+WITH {DELIVERIES}, {dedupe_flags()}, outcomes AS ({OUTCOMES_FROM_FLAGS})
+SELECT arrival_seq, event_ord, {_uuid('target_rid')} AS rid, CAST(5 AS SMALLINT) AS sts
+FROM outcomes WHERE event = 'REPLACED'
+"""
