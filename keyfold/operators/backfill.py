@@ -154,3 +154,37 @@ def load_checkpoint(state: DataFrame, names: DataFrame) -> DataFrame:
     zero = F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'")
     got = state.join(names, "name", "right").groupBy("name").agg(F.max("value").alias("value"))
     return got.select("name", F.coalesce(F.col("value"), zero).alias("value"))
+
+
+def incremental_backfill(requests: DataFrame, metadata: DataFrame, ticks: list[datetime],
+                         store, failed: Column, limit: int,
+                         min_age: timedelta = POLL_MIN_AGE, look_back: timedelta = POLL_LOOK_BACK) -> DataFrame:
+    """The poller as a scheduled job, one Spark job per tick.
+
+    The checkpoint is read from the store (A10) once, floored to
+    ``first tick - look_back`` (B3); each tick polls ``(checkpoint,
+    now - min_age)`` oldest-first up to ``limit`` (A1/F2), re-sends until the
+    first failure (E7) and stores the new checkpoint only when it moved
+    forward (E6/D7). The driver only reads one summary row per tick."""
+    spark = requests.sparkSession
+    stored = None  # A10 on a fresh store: absent = zero time
+    ckpt = ticks[0] - look_back
+    if stored is not None and stored > ckpt:
+        ckpt = stored
+    for k, now in enumerate(ticks):
+        lo, hi = ntz_lit(ckpt), ntz_lit(now - min_age)
+        rows = scan_requests(requests, metadata, PENDING, lo, hi, limit).withColumn("_poll", F.lit(k))
+        summ = sent_prefix_checkpoint(rows, "_poll", failed)
+        s = summ.first()
+        start = ckpt
+        if s is not None and s["next_checkpoint"] > ckpt:
+            ckpt = s["next_checkpoint"]
+            store.write("checkpoint", k, spark.range(1).select(F.lit("rpoll").alias("name"),
+                                                               ntz_lit(ckpt).alias("value")))
+        tick_row = spark.range(1).select(
+            F.lit(k).alias("tick"), ntz_lit(now).alias("now"), ntz_lit(start).alias("checkpoint"),
+            F.lit(s["n_rows"] if s else 0).cast("long").alias("n_rows"),
+            F.lit(s["n_sent"] if s else 0).cast("long").alias("n_sent"),
+            ntz_lit(ckpt).alias("next_checkpoint"))
+        store.write("ticks", k, tick_row)
+    return store.read_all("ticks").drop("epoch")

@@ -634,3 +634,131 @@ def q_write_status_events(spark, sf_dir):
     back = spark.read.schema("arrival_seq long, event_ord int, value string").json(path)
     p = msg.parse_status(back)
     return p.select("arrival_seq", "event_ord", "rid", "sts")
+
+
+# ---------------------------------------------------------------- streaming
+from ..streaming import jobs as sj  # noqa: E402
+from ..streaming.epochs import EpochStore  # noqa: E402
+
+STREAM_CHUNKS = 4
+FILES_PER_CHUNK = 2
+
+
+def _stage_stream(df, order_col: str, root: str) -> str:
+    """Write ``df`` as an arrival-ordered file stream: STREAM_CHUNKS appends
+    cut on ``order_col`` quantile-free (equal-width ranges), each of exactly
+    FILES_PER_CHUNK files, so one trigger of FILES_PER_CHUNK files is one
+    chunk and chunks arrive in order."""
+    bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    width = (hi - lo) // STREAM_CHUNKS + 1
+    src = f"{root}/source"
+    for i in range(STREAM_CHUNKS):
+        part = df.filter((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
+        part.repartition(FILES_PER_CHUNK).write.mode("append").parquet(src)
+    return src
+
+
+def _ddl(df) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _stream_dedupe(spark, sf_dir, retry_last=False):
+    root = scratch_path(spark, "stream-dedupe")
+    d = td.deliveries(spark, sf_dir)
+    src = _stage_stream(d, "arrival_seq", root)
+    store = EpochStore(spark, root + "/state")
+    fn = sj.dedupe_batch_fn(store)
+    sj.run_file_stream(spark, src, _ddl(d), fn, root + "/checkpoint", FILES_PER_CHUNK)
+    if retry_last:
+        # an epoch retried after a failure rewrites identical outputs and state
+        last = STREAM_CHUNKS - 1
+        hi = d.agg(F.max("arrival_seq")).first()[0]
+        lo_all = d.agg(F.min("arrival_seq")).first()[0]
+        width = (hi - lo_all) // STREAM_CHUNKS + 1
+        fn(d.filter(F.col("arrival_seq") >= lo_all + last * width), last)
+    return store.read_all("outcomes").drop("epoch")
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, sf_dir):
+    return _stream_dedupe(spark, sf_dir)
+
+
+@register("late_tip")
+def q_late_tip(spark, sf_dir):
+    o = _stream_dedupe(spark, sf_dir)
+    return o.filter(F.col("reason") == "stale").select("arrival_seq", "rid", "target_rid")
+
+
+@register("redelivery_idempotence")
+def q_redelivery_idempotence(spark, sf_dir):
+    return _stream_dedupe(spark, sf_dir, retry_last=True)
+
+
+def _stream_batches(spark, sf_dir):
+    root = scratch_path(spark, "stream-batches")
+    rows = td.events(spark, sf_dir).select(F.col("event_id").alias("rid"), "ts", "ts_us")
+    src = _stage_stream(rows, "ts_us", root)
+    store = EpochStore(spark, root + "/state")
+    sj.run_file_stream(spark, src, _ddl(rows), sj.batching_batch_fn(store, CLOSED), root + "/checkpoint",
+                       FILES_PER_CHUNK)
+    drained = sj.drain(store, STREAM_CHUNKS - 1, CLOSED)
+    return store.read_all("batches").drop("epoch"), drained
+
+
+@register("stream_batches")
+def q_stream_batches(spark, sf_dir):
+    emitted, drained = _stream_batches(spark, sf_dir)
+    return _batch_cols(emitted.unionByName(drained))
+
+
+@register("drain_flush")
+def q_drain_flush(spark, sf_dir):
+    _, drained = _stream_batches(spark, sf_dir)
+    return _batch_cols(drained)
+
+
+@register("apply_status_stream")
+def q_apply_status_stream(spark, sf_dir):
+    root = scratch_path(spark, "stream-status")
+    events_df, initial = td.status_events(spark, sf_dir)
+    src = _stage_stream(events_df, "seq", root)
+    store = EpochStore(spark, root + "/state")
+    sj.run_file_stream(spark, src, _ddl(events_df), sj.status_batch_fn(store, initial), root + "/checkpoint",
+                       FILES_PER_CHUNK)
+    return store.read("status", STREAM_CHUNKS - 1)
+
+
+@register("dlq_stream")
+def q_dlq_stream(spark, sf_dir):
+    root = scratch_path(spark, "stream-dlq")
+    texts = td.dead_letter_texts(spark, sf_dir)
+    src = _stage_stream(texts, "seq", root)
+    store = EpochStore(spark, root + "/state")
+    sj.run_file_stream(spark, src, _ddl(texts), sj.dlq_batch_fn(store), root + "/checkpoint", FILES_PER_CHUNK)
+    return store.read_all("alerts").drop("epoch")
+
+
+@register("capacity_samples")
+def q_capacity_samples(spark, sf_dir):
+    root = scratch_path(spark, "stream-capacity")
+    ev = td.events(spark, sf_dir).select("event_id", "event_type", "ts_us")
+    src = _stage_stream(ev, "ts_us", root)
+    sj.capacity_sample_stream(spark, src, _ddl(ev), root + "/sink", root + "/checkpoint",
+                              tick="1 hour", watermark="2 hours")
+    s = sj.latest_per_window(spark, root + "/sink").withColumn("hour", F.floor(F.col("start_us") / F.lit(HOUR_US)))
+    u = cp.capacity_plan(F.col("unprocessed"), F.col("inflight"), F.col("existing"), UNLIMITED)
+    m = cp.capacity_plan(F.col("unprocessed"), F.col("inflight"), F.col("existing"), MAX3)
+    return s.select("hour", "unprocessed", "inflight", "existing", u["required"].alias("required"),
+                    u["create"].alias("create"), m["create"].alias("create_max3"))
+
+
+@register("incremental_backfill")
+def q_incremental_backfill(spark, sf_dir):
+    from datetime import timedelta
+    root = scratch_path(spark, "backfill")
+    store = EpochStore(spark, root)
+    ticks = [_dt(2024, 1, 1) + timedelta(days=2 * k + 2) for k in range(15)]
+    return bf.incremental_backfill(td.request_table(spark, sf_dir), td.metadata_table(spark, sf_dir), ticks,
+                                   store, F.col("request_id") % 97 == 0, limit=CLOSED.size)

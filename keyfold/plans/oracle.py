@@ -722,3 +722,52 @@ WITH {DELIVERIES}, {dedupe_flags()}, outcomes AS ({OUTCOMES_FROM_FLAGS})
 SELECT arrival_seq, event_ord, {_uuid('target_rid')} AS rid, CAST(5 AS SMALLINT) AS sts
 FROM outcomes WHERE event = 'REPLACED'
 """
+
+
+# ---------------------------------------------------------------- streaming (batch twins)
+SQL["stream_dedupe"] = SQL["dedupe_outcomes"]
+SQL["redelivery_idempotence"] = SQL["dedupe_outcomes"]
+SQL["late_tip"] = f"""
+WITH {DELIVERIES}, {dedupe_flags()}
+SELECT arrival_seq, rid, rid AS target_rid FROM flags WHERE NOT accepted
+"""
+SQL["stream_batches"] = SQL["collect_batch_members"]
+SQL["drain_flush"] = f"""
+WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
+SELECT {BATCH_COLS} FROM final
+WHERE flush_window = (SELECT max(flush_window) FROM final) AND n < 16
+"""
+SQL["apply_status_stream"] = SQL["status_fold"]
+SQL["dlq_stream"] = f"""
+WITH {DEAD_LETTER_TEXTS}
+SELECT seq, msg_type, msg_id, 'CASv5 Alert' AS title, 'Dead Letter Queue' AS "desc",
+       msg_type || ':' || chr(10) || msg_id AS content
+FROM dl
+"""
+SQL["capacity_samples"] = SQL["capacity_plan"]
+
+SQL["incremental_backfill"] = """
+WITH RECURSIVE
+pend AS (SELECT event_id AS request_id, ts AS created_at FROM events WHERE event_id % 6 = 0),
+ticks AS (SELECT k, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(2 * k + 2 AS INTEGER)) AS now
+          FROM range(0, 15) t(k)),
+run(k, now, checkpoint, next_checkpoint, n_rows, n_sent) AS (
+  SELECT -1, NULL::TIMESTAMP, NULL::TIMESTAMP, TIMESTAMP '2024-01-01 00:00:00', 0::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT t.k, t.now, r.next_checkpoint,
+         CASE WHEN s.nxt IS NOT NULL AND s.nxt > r.next_checkpoint THEN s.nxt ELSE r.next_checkpoint END,
+         s.n, s.n_sent
+  FROM run r JOIN ticks t ON t.k = r.k + 1,
+  LATERAL (
+    SELECT count(*) AS n,
+           count(*) FILTER (WHERE ff IS NULL OR created_at < ff) AS n_sent,
+           CASE WHEN count(*) = 0 THEN NULL
+                WHEN max(ff) IS NULL THEN max(created_at)
+                WHEN max(ff) = min(created_at) THEN min(created_at) - INTERVAL 1 MILLISECOND
+                ELSE max(created_at) FILTER (WHERE created_at < ff) END AS nxt
+    FROM (SELECT w.*, min(CASE WHEN request_id % 97 = 0 THEN created_at END) OVER () AS ff
+          FROM (SELECT * FROM pend p WHERE p.created_at > r.next_checkpoint
+                  AND p.created_at < t.now - INTERVAL 12 HOUR
+                ORDER BY p.created_at LIMIT 16) w)) s)
+SELECT CAST(k AS INTEGER) AS tick, now, checkpoint, n_rows, n_sent, next_checkpoint FROM run WHERE k >= 0
+"""
