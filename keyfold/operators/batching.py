@@ -72,10 +72,16 @@ def _orbit_from_first(ptr: DataFrame, max_n: int, spark) -> DataFrame:
     shared_dir(spark)
     reach = ptr.select("flush_window").distinct().select("flush_window", F.lit(1).cast("long").alias("i"))
     jump = ptr
+    known = reach.count()
     for _ in range(max(1, math.ceil(math.log2(max_n + 1)))):
         step = (reach.join(jump, ["flush_window", "i"])
                 .select("flush_window", F.col("j").alias("i")))
         reach = reach.unionByName(step).distinct().checkpoint()
+        grown = reach.count()
+        if grown == known:
+            # closed under next^(2^k): every orbit ended within 2^k steps
+            break
+        known = grown
         j2 = jump.select("flush_window", F.col("i").alias("j"), F.col("j").alias("j2"))
         jump = (jump.join(j2, ["flush_window", "j"])
                 .select("flush_window", "i", F.col("j2").alias("j")).checkpoint())

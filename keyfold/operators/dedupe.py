@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..options import DEFAULT_SCAN_SPAN
+from ..session import shared_dir
 from .scan import prefix_max_before
 
 DELIVERY_COLS = ["rid", "stream_id", "origin", "cid", "ts", "crt", "arrival_seq"]
@@ -141,9 +142,18 @@ def cid_state_after(flags: DataFrame, cid_state: DataFrame | None = None) -> Dat
 
 def dedupe_requests(deliveries: DataFrame, tip_state: DataFrame | None = None,
                     cid_state: DataFrame | None = None,
-                    span: int = DEFAULT_SCAN_SPAN) -> DedupeResult:
-    """J1 on a bounded set of deliveries, optionally continuing from stored state."""
-    flags = first_cid_flags(tip_flags(deliveries, tip_state, span), cid_state)
+                    span: int = DEFAULT_SCAN_SPAN, materialize: bool = True) -> DedupeResult:
+    """J1 on a bounded set of deliveries, optionally continuing from stored state.
+
+    The tip flags feed both the first-cid aggregate and the join back, so by
+    default they are written once with a reliable ``checkpoint()`` to the
+    shared folder: the scan/shuffle/window pipeline runs once, lineage is cut
+    and a lost executor recomputes from the checkpoint, not from the source."""
+    tf = tip_flags(deliveries, tip_state, span)
+    if materialize:
+        shared_dir(deliveries.sparkSession)
+        tf = tf.checkpoint(eager=True)
+    flags = first_cid_flags(tf, cid_state)
     return DedupeResult(flags=flags, outcomes=outcomes_of(flags),
-                        tips=tip_state_after(deliveries, tip_state),
+                        tips=tip_state_after(tf.select(*DELIVERY_COLS), tip_state),
                         cids=cid_state_after(flags, cid_state))

@@ -12,6 +12,11 @@ window over the whole key.
 The chunk summary table has one row per (key, chunk); AQE turns the join into
 a broadcast only when that table is small at run time, otherwise it stays a
 sort-merge join. One exchange of the rows is paid, on ``(key, chunk)``.
+
+The chunked plan is chosen behind a size check, like a broadcast: one
+partial/final count per key finds the largest key; when no key holds more
+than ``max_rows_per_task`` rows the plain keyed window is already bounded
+per task and is used directly (fewer stages), otherwise the chunked scan.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# rows one window task may hold before a key is split into chunks
+DEFAULT_MAX_ROWS_PER_TASK = 1 << 22
+
 _CHUNK = "_kf_chunk"
 _CARRY = "_kf_carry"
 
@@ -28,12 +36,23 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the largest group (a partial + final hash count, one scalar to the driver)."""
+    r = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return int(r or 0)
+
+
 def prefix_max_before(df: DataFrame, keys: Sequence[str], seq: str, value: Column,
-                      out: str, span: int) -> DataFrame:
+                      out: str, span: int, max_rows_per_task: int | None = None) -> DataFrame:
     """``out`` = max(value) over rows of the same key with a smaller ``seq``
     (null when there is none). ``seq`` must be unique within a key; a chunk
-    is ``span`` consecutive ``seq`` values, so holds at most ``span`` rows."""
+    is ``span`` consecutive ``seq`` values, so holds at most ``span`` rows.
+    ``max_rows_per_task`` (default ``span``) bounds the plain-window path."""
     keys = list(keys)
+    bound = span if max_rows_per_task is None else max_rows_per_task
+    if largest_group(df, keys) <= bound:
+        w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.max(value).over(w))
     d = df.withColumn("_kf_v", value).withColumn(_CHUNK, F.floor(F.col(seq) / F.lit(span)))
     summ = d.groupBy(*keys, _CHUNK).agg(F.max("_kf_v").alias("_kf_cmax"))
     w_chunks = (Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -48,12 +67,18 @@ def prefix_max_before(df: DataFrame, keys: Sequence[str], seq: str, value: Colum
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column],
-               value: Column, out: str, inclusive: bool = True) -> DataFrame:
+               value: Column, out: str, inclusive: bool = True,
+               max_rows_per_task: int | None = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
     """``out`` = sum(value) over rows of the same key that come before (or at,
     when ``inclusive``) each row in ``order``. ``chunk`` must be monotone in
     ``order`` within a key (for example a time slice of the order column);
-    it bounds how many rows share one task."""
+    it bounds how many rows share one task. With ``max_rows_per_task`` set,
+    keys that all fit that bound use the plain keyed window."""
     keys = list(keys)
+    end = 0 if inclusive else -1
+    if max_rows_per_task is not None and largest_group(df, keys) <= max_rows_per_task:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     d = df.withColumn("_kf_v", value).withColumn(_CHUNK, chunk)
     summ = d.groupBy(*keys, _CHUNK).agg(F.sum("_kf_v").alias("_kf_csum"))
     w_chunks = (Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -61,7 +86,6 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequenc
     carry = summ.select(*keys, _CHUNK,
                         F.coalesce(F.sum("_kf_csum").over(w_chunks), F.lit(0)).alias(_CARRY))
     d = d.join(carry, on=[*keys, _CHUNK], how="left")
-    end = 0 if inclusive else -1
     w_rows = (Window.partitionBy(*keys, _CHUNK).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, end))
     local = F.coalesce(F.sum("_kf_v").over(w_rows), F.lit(0))
@@ -69,6 +93,7 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequenc
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column],
-            out: str) -> DataFrame:
+            out: str, max_rows_per_task: int | None = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
     """1-based row number within ``keys`` in ``order`` (a distributed row_number)."""
-    return prefix_sum(df, keys, chunk, order, F.lit(1).cast("long"), out, inclusive=True)
+    return prefix_sum(df, keys, chunk, order, F.lit(1).cast("long"), out, inclusive=True,
+                      max_rows_per_task=max_rows_per_task)

@@ -677,7 +677,7 @@ def _stream_dedupe(spark, sf_dir, retry_last=False):
         lo_all = d.agg(F.min("arrival_seq")).first()[0]
         width = (hi - lo_all) // STREAM_CHUNKS + 1
         fn(d.filter(F.col("arrival_seq") >= lo_all + last * width), last)
-    return store.read_all("outcomes").drop("epoch")
+    return sj.outcomes(store)
 
 
 @register("stream_dedupe")

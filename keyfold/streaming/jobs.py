@@ -48,16 +48,25 @@ def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN) -> BatchFn
         flags = dd.first_cid_flags(dd.tip_flags(batch, tips, span), cids)
         store.write("flags", epoch, flags)
         flags = store.read("flags", epoch)
-        outcomes = dd.outcomes_of(flags)
-        store.write("outcomes", epoch, outcomes)
-        ready = flags.filter(F.col("accepted") & (F.col("reprocessed") | F.col("new_cid")))
-        store.write("ready", epoch, ready.select(*dd.DELIVERY_COLS))
         # state last: a crash before this point reruns the epoch from epoch - 1
         store.write("tips", epoch, dd.tip_state_after(flags.select(*dd.DELIVERY_COLS), tips))
         store.write("cids", epoch, dd.cid_state_after(flags, cids))
     return fn
 
 
+def outcomes(store: EpochStore) -> DataFrame:
+    """A8/G1 for the stream: READY / REPLACED events of every epoch, derived
+    from the durable per-epoch flags (a projection, so not stored twice)."""
+    return dd.outcomes_of(store.read_all("flags").drop("epoch"))
+
+
+def ready_requests(store: EpochStore) -> DataFrame:
+    """A7 for the stream: deliveries that went READY, across all epochs (the
+    per-epoch flags are the durable record; no second copy is written)."""
+    f = store.read_all("flags")
+    return f.filter(F.col("accepted") & (F.col("reprocessed") | F.col("new_cid"))).select("epoch", *dd.DELIVERY_COLS)
+
+
 # ------------------------------------------------------------------ I2 / I4
 def batching_batch_fn(store: EpochStore, opts: BatchOptions) -> BatchFn:
     """I2 for the closed form (linger >= flush): rows continue the row number
