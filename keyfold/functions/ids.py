@@ -7,8 +7,9 @@ from pyspark.sql import Column, functions as F
 # fixed values: canonical UUID text and the nil UUID
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 NIL_UUID = "00000000-0000-0000-0000-000000000000"
-# fixed value: object key prefix of stored batches
-BATCH_KEY_PREFIX = "cas/anchor/batch/"
+# Object key prefix of stored batches: a deployment setting (the service
+# uses its own name here); pass yours to ``batch_key``.
+BATCH_KEY_PREFIX = "anchor/batch/"
 
 
 def uuid_valid(c: Column) -> Column:
@@ -25,6 +26,6 @@ def deterministic_batch_id(*parts: Column) -> Column:
                        F.substring(h, 21, 12))
 
 
-def batch_key(bid: Column) -> Column:
-    """H6: object key of a stored batch."""
-    return F.concat(F.lit(BATCH_KEY_PREFIX), bid)
+def batch_key(bid: Column, prefix: str = BATCH_KEY_PREFIX) -> Column:
+    """H6: object key of a stored batch: ``prefix + bid``."""
+    return F.concat(F.lit(prefix), bid)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# fixed values: alert title, descriptions and formats
-ALERT_TITLE = "CASv5 Alert"
+# Alert title and metric caller name are deployment settings (the service
+# uses its own product name); the defaults here are neutral.
+ALERT_TITLE = "Pipeline Alert"
+METRICS_CALLER = "keyfold"
+
+# fixed values: alert descriptions and formats
 ALERT_DESC_DEAD_LETTER = "Dead Letter Queue"
 ALERT_DESC_UNPROCESSED = "Unprocessed Requests"
 ALERT_FMT_DEAD_LETTER = "%s:\n%s"
 ALERT_FMT_UNPROCESSED = "%d requests found since:\n%s"
 
-# fixed value: metric caller prefix
-METRICS_CALLER = "go-cas"
 # fixed value: metric names ending like this are dropped by the exporter
 METRIC_EXCLUDE_PATTERN = "^.*tsdb$"
 

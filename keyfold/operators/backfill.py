@@ -114,7 +114,7 @@ def go_time_text(ts: Column) -> Column:
 
 
 def daily_tick_backlog(requests: DataFrame, min_age: timedelta = POLL_MIN_AGE,
-                       look_back: timedelta = POLL_LOOK_BACK) -> DataFrame:
+                       look_back: timedelta = POLL_LOOK_BACK, title: str = ALERT_TITLE) -> DataFrame:
     """D12 over a calendar of polls at every UTC midnight: PENDING rows in
     ``(now - look_back, now - min_age)`` per tick, one alert row per tick
     with a backlog. The range condition becomes an equi-join: each row lists
@@ -131,7 +131,7 @@ def daily_tick_backlog(requests: DataFrame, min_age: timedelta = POLL_MIN_AGE,
     now = ntz_from_micros(F.col("tick_day") * F.lit(US_PER_DAY))
     since = F.timestamp_add("MICROSECOND", F.lit(-micros_of(look_back)), now)
     return g.filter(F.col("n") > 0).select(
-        now.alias("now"), F.col("n").alias("n_requests"), F.lit(ALERT_TITLE).alias("title"),
+        now.alias("now"), F.col("n").alias("n_requests"), F.lit(title).alias("title"),
         F.lit(ALERT_DESC_UNPROCESSED).alias("desc"),
         unprocessed_alert(F.col("n"), go_time_text(since)).alias("content"))
 

@@ -36,9 +36,9 @@ def classify_dead_letters(texts: DataFrame, value: str = "value") -> DataFrame:
             .drop("_rid", "_req_bad", "_batch_bad", "bid"))
 
 
-def dead_letter_alerts(classified: DataFrame) -> DataFrame:
+def dead_letter_alerts(classified: DataFrame, title: str = ALERT_TITLE) -> DataFrame:
     """One alert row per dead letter (title, desc, content)."""
-    return classified.withColumn("title", F.lit(ALERT_TITLE)) \
+    return classified.withColumn("title", F.lit(title)) \
         .withColumn("desc", F.lit(ALERT_DESC_DEAD_LETTER)) \
         .withColumn("content", dead_letter_alert(F.col("msg_type"), F.col("msg_id")))
 

@@ -255,12 +255,12 @@ SELECT n AS batch_size, count(*) AS n_batches FROM final GROUP BY n
 
 SQL["batch_key"] = f"""
 WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
-SELECT bid, 'cas/anchor/batch/' || bid AS batch_key FROM final
+SELECT bid, 'anchor/batch/' || bid AS batch_key FROM final
 """
 
 SQL["write_batches"] = f"""
 WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
-SELECT bid, 'cas/anchor/batch/' || bid AS batch_key, rids, flush_window FROM final
+SELECT bid, 'anchor/batch/' || bid AS batch_key, rids, flush_window FROM final
 """
 
 SQL["write_batch_manifest"] = f"""
@@ -420,7 +420,7 @@ SELECT seq, msg_type, msg_id FROM dl
 
 ALERT_SQL = f"""
 WITH {DEAD_LETTER_TEXTS}
-SELECT seq, 'CASv5 Alert' AS title, 'Dead Letter Queue' AS "desc", msg_type || ':' || chr(10) || msg_id AS content
+SELECT seq, 'Pipeline Alert' AS title, 'Dead Letter Queue' AS "desc", msg_type || ':' || chr(10) || msg_id AS content
 FROM dl
 """
 SQL["alert_text"] = ALERT_SQL
@@ -540,7 +540,7 @@ c AS (
   SELECT t.now, count(*) AS n FROM ticks t JOIN events e
     ON e.event_id % 6 = 0 AND e.ts > t.now - INTERVAL 48 HOUR AND e.ts < t.now - INTERVAL 12 HOUR
   GROUP BY t.now)
-SELECT now, n AS n_requests, 'CASv5 Alert' AS title, 'Unprocessed Requests' AS "desc",
+SELECT now, n AS n_requests, 'Pipeline Alert' AS title, 'Unprocessed Requests' AS "desc",
        CAST(n AS VARCHAR) || ' requests found since:' || chr(10) ||
        strftime(now - INTERVAL 48 HOUR, '%Y-%m-%d %H:%M:%S') || ' +0000 UTC' AS content
 FROM c
@@ -681,10 +681,10 @@ mrows AS (
 kept AS (SELECT * FROM mrows WHERE NOT regexp_matches(metric, '^.*tsdb$'))"""
 
 SQL["filter_metric_names"] = f"WITH {METRIC_ROWS} SELECT metric, count(*) AS n FROM kept GROUP BY metric"
-SQL["metric_name"] = "SELECT 'go-cas:' || event_type || '_count' AS metric, count(*) AS value FROM events GROUP BY 1"
+SQL["metric_name"] = "SELECT 'keyfold:' || event_type || '_count' AS metric, count(*) AS value FROM events GROUP BY 1"
 SQL["write_metrics"] = f"""
 WITH {METRIC_ROWS}
-SELECT 'go-cas:' || metric || '_count' AS metric, make_timestamp(epoch_us(ts) // {HOUR} * {HOUR}) AS ts,
+SELECT 'keyfold:' || metric || '_count' AS metric, make_timestamp(epoch_us(ts) // {HOUR} * {HOUR}) AS ts,
        count(*) AS value
 FROM kept GROUP BY 1, 2
 """
@@ -740,7 +740,7 @@ WHERE flush_window = (SELECT max(flush_window) FROM final) AND n < 16
 SQL["apply_status_stream"] = SQL["status_fold"]
 SQL["dlq_stream"] = f"""
 WITH {DEAD_LETTER_TEXTS}
-SELECT seq, msg_type, msg_id, 'CASv5 Alert' AS title, 'Dead Letter Queue' AS "desc",
+SELECT seq, msg_type, msg_id, 'Pipeline Alert' AS title, 'Dead Letter Queue' AS "desc",
        msg_type || ':' || chr(10) || msg_id AS content
 FROM dl
 """
