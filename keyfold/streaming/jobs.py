@@ -21,7 +21,8 @@ from ..operators import status as st
 from ..operators.deadletter import classify_dead_letters, dead_letter_alerts
 from ..operators.scan import ordinal
 from ..options import DEFAULT_SCAN_SPAN, BatchOptions
-from .epochs import EpochStore
+from ..session import SAFE_UNION, conf_override
+from .epochs import DeltaState, EpochStore
 
 BatchFn = Callable[[DataFrame, int], None]
 
@@ -38,22 +39,52 @@ def run_file_stream(spark: SparkSession, source: str, schema: str, fn: BatchFn,
 
 
 # ------------------------------------------------------------------ I1 / I5 / I6
-def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN) -> BatchFn:
-    """J1 per micro-batch, continuing from the tip / cid state of the
-    previous epoch. Only state of keys present in the batch is seeded
-    (left-semi inside the operator)."""
+def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_every: int = 16) -> BatchFn:
+    """J1 per micro-batch, continuing from the tip / cid state.
+
+    State is delta-encoded (``DeltaState``): an epoch reads only state of
+    keys present in its batch (left-semi), writes its flags (the durable
+    record), then the tips of the (stream, origin) keys it touched and the
+    (stream, cid) pairs it stored. Every ``compact_every`` epochs the deltas
+    are folded into a base, so reads stay bounded."""
+    tips_state = DeltaState(store.spark, store.root, "tips")
+    cids_state = DeltaState(store.spark, store.root, "cids")
+
     def fn(batch: DataFrame, epoch: int) -> None:
-        tips, cids = store.read("tips", epoch - 1), store.read("cids", epoch - 1)
+        with conf_override(store.spark, SAFE_UNION):
+            _epoch(batch, epoch)
+
+    def _epoch(batch: DataFrame, epoch: int) -> None:
+        keys = batch.select("stream_id", "origin").distinct()
+        pairs = batch.select("stream_id", "cid").distinct()
+        tips = tips_state.read(epoch - 1)
+        if tips is not None:
+            tips = latest_tips(tips.join(keys, ["stream_id", "origin"], "left_semi"))
+        cids = cids_state.read(epoch - 1)
+        if cids is not None:
+            cids = cids.drop("_epoch").join(pairs, ["stream_id", "cid"], "left_semi")
         # flags are materialised once per epoch; every output derives from them
         flags = dd.first_cid_flags(dd.tip_flags(batch, tips, span), cids)
         store.write("flags", epoch, flags)
         flags = store.read("flags", epoch)
         # state last: a crash before this point reruns the epoch from epoch - 1
-        store.write("tips", epoch, dd.tip_state_after(flags.select(*dd.DELIVERY_COLS), tips))
-        store.write("cids", epoch, dd.cid_state_after(flags, cids))
+        tips_state.write_delta(epoch, dd.tip_state_after(flags.select(*dd.DELIVERY_COLS), tips))
+        cids_state.write_delta(epoch, flags.filter("new_cid").select(*dd.CID_COLS))
+        if compact_every and epoch % compact_every == compact_every - 1:
+            tips_state.compact(epoch, latest_tips)
+            cids_state.compact(epoch, lambda c: c.dropDuplicates(["stream_id", "cid"]))
     return fn
 
 
+def latest_tips(tips: DataFrame) -> DataFrame:
+    """One tip per (stream, origin): the version written by the latest epoch
+    (each epoch's delta holds the tip *after* that epoch for the keys it
+    touched, so the newest version is the current tip)."""
+    best = F.max_by(F.struct("rid", "cid", "ts", "crt"), "_epoch").alias("t")
+    return tips.groupBy("stream_id", "origin").agg(best).select("stream_id", "origin", "t.rid", "t.cid",
+                                                                "t.ts", "t.crt")
+
+
 def outcomes(store: EpochStore) -> DataFrame:
     """A8/G1 for the stream: READY / REPLACED events of every epoch, derived
     from the durable per-epoch flags (a projection, so not stored twice)."""
