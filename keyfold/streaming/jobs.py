@@ -149,15 +149,43 @@ def drain(store: EpochStore, last_epoch: int, opts: BatchOptions) -> DataFrame |
 
 
 # ------------------------------------------------------------------ I8
-def status_batch_fn(store: EpochStore, initial: DataFrame) -> BatchFn:
-    """I8: fold each micro-batch of status events into the status table."""
+def status_batch_fn(store: EpochStore, initial: DataFrame, compact_every: int = 16) -> BatchFn:
+    """I8: fold each micro-batch of status events into the status table.
+
+    Only ids present in the batch are read (latest stored version, else the
+    initial table) and written back as a delta; ids absent from the initial
+    table stay no-ops. ``current_status(store, initial)`` gives the table."""
+    state = DeltaState(store.spark, store.root, "status")
+
     def fn(batch: DataFrame, epoch: int) -> None:
-        cur = store.read("status", epoch - 1)
-        cur = initial if cur is None else cur
-        store.write("status", epoch, st.status_fold(batch, cur))
+        with conf_override(store.spark, SAFE_UNION):
+            ids = batch.select("id").distinct()
+            cur = initial.join(ids, "id", "left_semi")
+            stored = state.read(epoch - 1)
+            if stored is not None:
+                latest = latest_status(stored.join(ids, "id", "left_semi"))
+                cur = (cur.join(latest.select("id", F.col("status").alias("_s")), "id", "left")
+                       .select("id", F.coalesce("_s", "status").cast("smallint").alias("status")))
+            state.write_delta(epoch, st.status_fold(batch, cur))
+            if compact_every and epoch % compact_every == compact_every - 1:
+                state.compact(epoch, latest_status)
     return fn
 
 
+def latest_status(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("id").agg(F.max_by("status", "_epoch").alias("status"))
+
+
+def current_status(store: EpochStore, initial: DataFrame, upto: int) -> DataFrame:
+    """The status table after epoch ``upto``: initial rows overlaid with the latest versions."""
+    stored = DeltaState(store.spark, store.root, "status").read(upto)
+    if stored is None:
+        return initial
+    latest = latest_status(stored).withColumnRenamed("status", "_s")
+    return (initial.join(latest, "id", "left")
+            .select("id", F.coalesce("_s", "status").cast("smallint").alias("status")))
+
+
 # ------------------------------------------------------------------ I9
 def dlq_batch_fn(store: EpochStore) -> BatchFn:
     """Classify dead letters, append alerts and the DLQ counter."""
