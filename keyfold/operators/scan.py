@@ -97,3 +97,12 @@ def ordinal(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[C
     """1-based row number within ``keys`` in ``order`` (a distributed row_number)."""
     return prefix_sum(df, keys, chunk, order, F.lit(1).cast("long"), out, inclusive=True,
                       max_rows_per_task=max_rows_per_task)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin spread of an input that has fewer partitions than the
+    session can run at once (a one-file or one-row-group input), before
+    per-row heavy work such as JSON decoding. At cluster scale an input has
+    far more splits than cores and this is a no-op (planning only, no job)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

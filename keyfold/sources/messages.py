@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.ids import NIL_UUID, UUID_PATTERN
 from ..functions.timecols import ntz_from_micros
+from ..operators.scan import spread
 
 # fixed values: wire field names of the three message kinds
 REQUEST_FIELDS = ["rid", "sid", "cid", "org", "ts", "crt"]
@@ -34,7 +35,7 @@ def _text_schema(fields: list[str]) -> StructType:
 
 def _decode(df: DataFrame, value: str, fields: list[str]) -> DataFrame:
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return df.withColumn("_kf_m", F.from_json(F.col(value), _text_schema(fields), opts))
+    return spread(df).withColumn("_kf_m", F.from_json(F.col(value), _text_schema(fields), opts))
 
 
 def _object_ok(value: Column) -> Column:
@@ -90,7 +91,7 @@ def parse_batch(df: DataFrame, value: str = "value") -> DataFrame:
     """Batch messages ``{bid, rids}``; adds ``bid, malformed``."""
     schema = StructType([StructField("bid", StringType()), StructField("rids", StringType()),
                          StructField(_CORRUPT, StringType())])
-    d = df.withColumn("_kf_m", F.from_json(F.col(value), schema,
+    d = spread(df).withColumn("_kf_m", F.from_json(F.col(value), schema,
                                            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
     m = lambda f: F.col(f"_kf_m.{f}")
     rids_ok = m("rids").isNull() | m("rids").rlike(r"^\s*\[.*\]\s*$")
