@@ -731,7 +731,7 @@ SQL["late_tip"] = f"""
 WITH {DELIVERIES}, {dedupe_flags()}
 SELECT arrival_seq, rid, rid AS target_rid FROM flags WHERE NOT accepted
 """
-SQL["stream_batches"] = SQL["collect_batch_members"]
+SQL["stream_batches"] = SQL["batch_linger"]
 SQL["drain_flush"] = f"""
 WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
 SELECT {BATCH_COLS} FROM final

@@ -49,7 +49,9 @@ def build_session(master: str = "local[8]", app: str = "keyfold",
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "8g"))
+         .config("spark.driver.memory", "8g")
+         # checkpoint files of collected Datasets are removed, not left behind
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in JOB_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

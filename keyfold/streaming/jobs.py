@@ -19,7 +19,7 @@ from ..operators import batching as bt
 from ..operators import dedupe as dd
 from ..operators import status as st
 from ..operators.deadletter import classify_dead_letters, dead_letter_alerts
-from ..operators.scan import ordinal
+from ..functions.timecols import epoch_micros, micros_of
 from ..options import DEFAULT_SCAN_SPAN, BatchOptions
 from ..session import SAFE_UNION, conf_override
 from .epochs import DeltaState, EpochStore
@@ -100,50 +100,70 @@ def ready_requests(store: EpochStore) -> DataFrame:
 
 # ------------------------------------------------------------------ I2 / I4
 def batching_batch_fn(store: EpochStore, opts: BatchOptions) -> BatchFn:
-    """I2 for the closed form (linger >= flush): rows continue the row number
-    of their flush window; a batch is emitted once full or once a later
-    window has been seen (its boundary passed). Open members and per-window
-    counts are the state; ``drain`` (I4) flushes what is left."""
-    if opts.linger < opts.flush:
-        raise ValueError("streaming batching implements the linger >= flush form; use batch_requests")
+    """Size / linger / flush batching across micro-batches.
+
+    State: the open tail (members of batches that may still grow) and, per
+    flush window, the number of batches already emitted. Each epoch batches
+    ``tail + new rows`` with the bounded-table operator (the chain restarts
+    at the tail's first member, which is a batch start, so boundaries are
+    unchanged) and emits every batch that can no longer grow: its window is
+    older than the newest window seen (boundary passed), it is full, or its
+    linger expired before the latest arrival seen. Arrivals must come in
+    time order across micro-batches. ``drain`` (I4) flushes the rest."""
+    lin = micros_of(opts.linger)
 
     def fn(batch: DataFrame, epoch: int) -> None:
+        with conf_override(store.spark, SAFE_UNION):
+            _epoch(batch, epoch)
+
+    def _epoch(batch: DataFrame, epoch: int) -> None:
         counts = store.read("counts", epoch - 1)
         tail = store.read("tail", epoch - 1)
-        d = bt._prepared(batch.select("rid", "ts"), opts)
-        d = ordinal(d, ["flush_window"], bt._slice("_us", opts), [F.col("_us"), F.col("rid")], "_local")
+        rows = batch.select("rid", "ts")
+        if tail is not None:
+            rows = rows.unionByName(tail.select("rid", "ts"))
+        assigned = bt.assign_batches(rows, opts).drop("_first")
+        us = epoch_micros("ts", assigned.schema["ts"].dataType)
+        assigned = assigned.withColumn("_us", us)
+        clock = assigned.agg(F.max("flush_window").alias("_top"), F.max("_us").alias("_now"))
+        sizes = (assigned.groupBy("flush_window", "batch_no")
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_first_us"))
+                 .crossJoin(F.broadcast(clock))  # one-row scalar
+                 .withColumn("_closed", (F.col("flush_window") < F.col("_top")) | (F.col("_n") >= opts.size)
+                             | (F.col("_first_us") + F.lit(lin) <= F.col("_now")))
+                 .select("flush_window", "batch_no", "_closed"))
+        tagged = assigned.join(sizes, ["flush_window", "batch_no"]).drop("_us")
+        closed = tagged.filter("_closed")
         if counts is not None:
-            d = d.join(counts, "flush_window", "left")
-        else:
-            d = d.withColumn("n_seen", F.lit(None).cast("long"))
-        d = (d.withColumn("rn", F.coalesce(F.col("n_seen"), F.lit(0)) + F.col("_local"))
-             .withColumn("batch_no", F.floor((F.col("rn") - 1) / F.lit(opts.size)).cast("long"))
-             .select("rid", "ts", "flush_window", "rn", "batch_no"))
-        members = d if tail is None else tail.unionByName(d)
-        top = members.agg(F.max("flush_window").alias("_top"))
-        sizes = members.groupBy("flush_window", "batch_no").agg(F.count(F.lit(1)).alias("_n"))
-        tagged = (members.join(sizes, ["flush_window", "batch_no"]).crossJoin(F.broadcast(top))
-                  .withColumn("_closed", (F.col("_n") >= opts.size) | (F.col("flush_window") < F.col("_top"))))
-        closed = tagged.filter("_closed").drop("_n", "_top", "_closed")
+            closed = (closed.join(counts, "flush_window", "left")
+                      .withColumn("batch_no", F.col("batch_no") + F.coalesce(F.col("n_emitted"), F.lit(0)))
+                      .drop("n_emitted"))
+        closed = closed.drop("_closed").checkpoint()
         store.write("batches", epoch, bt.collect_batches(closed, opts))
-        new_counts = d.groupBy("flush_window").agg(F.count(F.lit(1)).alias("_add"))
+        emitted = closed.groupBy("flush_window").agg(F.countDistinct("batch_no").alias("_add"))
         if counts is not None:
-            new_counts = (counts.join(new_counts, "flush_window", "full")
-                          .select("flush_window", (F.coalesce("n_seen", F.lit(0)) + F.coalesce("_add", F.lit(0)))
-                                  .alias("n_seen")))
+            emitted = (counts.join(emitted, "flush_window", "full")
+                       .select("flush_window", (F.coalesce("n_emitted", F.lit(0)) + F.coalesce("_add", F.lit(0)))
+                               .alias("n_emitted")))
         else:
-            new_counts = new_counts.withColumnRenamed("_add", "n_seen")
-        store.write("tail", epoch, tagged.filter(~F.col("_closed")).drop("_n", "_top", "_closed"))
-        store.write("counts", epoch, new_counts)
+            emitted = emitted.withColumnRenamed("_add", "n_emitted")
+        store.write("tail", epoch, tagged.filter(~F.col("_closed")).select("rid", "ts"))
+        store.write("counts", epoch, emitted)
     return fn
 
 
 def drain(store: EpochStore, last_epoch: int, opts: BatchOptions) -> DataFrame | None:
-    """I4: flush every open batch at shutdown (written as epoch ``drain``)."""
+    """I4: flush every open batch at shutdown (written once, as ``drained``)."""
     tail = store.read("tail", last_epoch)
     if tail is None:
         return None
-    out = bt.collect_batches(tail, opts)
+    counts = store.read("counts", last_epoch)
+    a = bt.assign_batches(tail, opts).drop("_first")
+    if counts is not None:
+        a = (a.join(counts, "flush_window", "left")
+             .withColumn("batch_no", F.col("batch_no") + F.coalesce(F.col("n_emitted"), F.lit(0)))
+             .drop("n_emitted"))
+    out = bt.collect_batches(a, opts)
     out.write.mode("overwrite").parquet(f"{store.root}/drained")
     return store.spark.read.parquet(f"{store.root}/drained")
 
