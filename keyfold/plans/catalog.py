@@ -5,11 +5,29 @@ adapters of ``keyfold/sources/testdata.py`` and runs over whole tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime as _dt
+from datetime import timedelta as _td
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import metric_name
+from ..functions.timecols import US_PER_DAY, epoch_micros, ntz_from_micros
+from ..operators import allowlist as al
+from ..operators import backfill as bf
+from ..operators import batching as bt
+from ..operators import capacity as cp
 from ..operators import dedupe as dd
+from ..operators import deadletter as dl
+from ..operators import metrics as mt
+from ..operators import status as st
+from ..options import DEFAULT_BATCH_SIZE, DEFAULT_SCAN_SPAN, BatchOptions, CapacityOptions, PollOptions
+from ..session import scratch_path
+from ..sources import messages as msg
+from ..sources import sinks
 from ..sources import testdata as td
+from ..sources.tables import table
+from ..streaming import jobs as sj
+from ..streaming.epochs import EpochStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,13 +120,7 @@ def q_cid_seen(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J2 batching
-from datetime import timedelta as _td  # noqa: E402
 
-from ..operators import batching as bt  # noqa: E402
-from ..options import BatchOptions  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import sinks  # noqa: E402
-from ..sources.tables import table  # noqa: E402
 
 CLOSED = BatchOptions(size=16, linger=_td(hours=24), flush=_td(days=1))
 LINGER = BatchOptions(size=16, linger=_td(hours=1), flush=_td(days=1))
@@ -179,7 +191,6 @@ def q_write_batch_manifest(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J3 status
-from ..operators import status as st  # noqa: E402
 
 AS_OF = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
 
@@ -218,8 +229,6 @@ def q_pending_count(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- messages / J5
-from ..operators import deadletter as dl  # noqa: E402
-from ..sources import messages as msg  # noqa: E402
 
 
 @register("parse_requests")
@@ -302,11 +311,7 @@ def q_encode(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J4 backfill
-from datetime import datetime as _dt  # noqa: E402
 
-from ..functions.timecols import US_PER_DAY, epoch_micros, ntz_from_micros  # noqa: E402
-from ..operators import backfill as bf  # noqa: E402
-from ..options import DEFAULT_BATCH_SIZE, DEFAULT_SCAN_SPAN, PollOptions  # noqa: E402
 
 POLL = PollOptions(now=_dt(2024, 1, 30))
 ZERO_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
@@ -437,8 +442,6 @@ def q_time_codecs(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J7 capacity
-from ..operators import capacity as cp  # noqa: E402
-from ..options import CapacityOptions  # noqa: E402
 
 UNLIMITED = CapacityOptions(max_workers=-1, amortization=0.5)
 MAX3 = CapacityOptions(max_workers=3, amortization=0.5)
@@ -499,7 +502,6 @@ def q_existing_jobs(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J8 allow-list
-from ..operators import allowlist as al  # noqa: E402
 
 OWNER = 0
 
@@ -545,8 +547,6 @@ def q_state_expiry(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J6 metrics
-from ..functions.text import metric_name  # noqa: E402
-from ..operators import metrics as mt  # noqa: E402
 
 
 def _metric_rows(spark, sf_dir):
@@ -637,8 +637,6 @@ def q_write_status_events(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-from ..streaming import jobs as sj  # noqa: E402
-from ..streaming.epochs import EpochStore  # noqa: E402
 
 STREAM_CHUNKS = 4
 FILES_PER_CHUNK = 2
