@@ -21,7 +21,7 @@ from ..operators import status as st
 from ..operators.deadletter import classify_dead_letters, dead_letter_alerts
 from ..functions.timecols import epoch_micros, micros_of
 from ..options import DEFAULT_SCAN_SPAN, BatchOptions
-from ..session import SAFE_UNION, conf_override
+from ..session import SAFE_UNION, conf_override, shared_dir
 from .epochs import DeltaState, EpochStore
 
 BatchFn = Callable[[DataFrame, int], None]
@@ -55,17 +55,18 @@ def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_ev
             _epoch(batch, epoch)
 
     def _epoch(batch: DataFrame, epoch: int) -> None:
+        shared_dir(store.spark)
         keys = batch.select("stream_id", "origin").distinct()
         pairs = batch.select("stream_id", "cid").distinct()
+        # seeds: stored state of the keys in this batch only, materialised once
         tips = tips_state.read(epoch - 1)
         if tips is not None:
-            tips = latest_tips(tips.join(keys, ["stream_id", "origin"], "left_semi"))
+            tips = latest_tips(tips.join(keys, ["stream_id", "origin"], "left_semi")).checkpoint()
         cids = cids_state.read(epoch - 1)
         if cids is not None:
-            cids = cids.drop("_epoch").join(pairs, ["stream_id", "cid"], "left_semi")
-        # flags are materialised once per epoch; every output derives from them
-        flags = dd.first_cid_flags(dd.tip_flags(batch, tips, span), cids)
-        store.write("flags", epoch, flags)
+            cids = cids.drop("_epoch").join(pairs, ["stream_id", "cid"], "left_semi").checkpoint()
+        r = dd.dedupe_requests(batch, tips, cids, span)  # tip flags checkpointed inside
+        store.write("flags", epoch, r.flags)
         flags = store.read("flags", epoch)
         # state last: a crash before this point reruns the epoch from epoch - 1
         tips_state.write_delta(epoch, dd.tip_state_after(flags.select(*dd.DELIVERY_COLS), tips))
