@@ -97,6 +97,16 @@ def first_cid_flags(flags: DataFrame, cid_state: DataFrame | None = None) -> Dat
             .drop("_new"))
 
 
+def mark_stored_cids(rows: DataFrame, cid_state: DataFrame) -> DataFrame:
+    """C3 batch-vs-state form in one pass: ``cid_stored`` is true where the
+    (stream, cid) pair is already in ``cid_state`` (the left-semi side) and
+    false otherwise (the left-anti side). State pairs are distinct, so the
+    left join keeps the row count."""
+    known = cid_state.select("stream_id", "cid").distinct().withColumn("_known", F.lit(True))
+    return (rows.join(known, ["stream_id", "cid"], "left")
+            .withColumn("cid_stored", F.coalesce(F.col("_known"), F.lit(False))).drop("_known"))
+
+
 def outcomes_of(flags: DataFrame) -> DataFrame:
     """G1 dedupe_outcomes: each delivery yields 1-2 status events, in one pass."""
     acc, reproc, new_cid = F.col("accepted"), F.col("reprocessed"), F.col("new_cid")

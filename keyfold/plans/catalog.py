@@ -42,7 +42,8 @@ def register(name: str):
 
 # ---------------------------------------------------------------- J1 dedupe
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dd.first_cid_flags(dd.tip_flags(td.deliveries(spark, sf_dir)))
+    """E1-E4 flags of the whole run (tip flags materialised once)."""
+    return dd.dedupe_requests(td.deliveries(spark, sf_dir)).flags
 
 
 @register("tip_accept")
@@ -113,10 +114,8 @@ def q_seed_state(spark, sf_dir):
 @register("cid_seen_semi_anti")
 def q_cid_seen(spark, sf_dir):
     first, second = _split(spark, sf_dir)
-    stored = dd.dedupe_requests(first).cids.select("stream_id", "cid")
-    known = second.join(stored, ["stream_id", "cid"], "left_semi").withColumn("cid_stored", F.lit(True))
-    new = second.join(stored, ["stream_id", "cid"], "left_anti").withColumn("cid_stored", F.lit(False))
-    return known.unionByName(new).select("arrival_seq", "stream_id", "cid", "cid_stored")
+    stored = dd.dedupe_requests(first).cids
+    return dd.mark_stored_cids(second, stored).select("arrival_seq", "stream_id", "cid", "cid_stored")
 
 
 # ---------------------------------------------------------------- J2 batching
@@ -244,9 +243,7 @@ def q_parse_status(spark, sf_dir):
 
 @register("quarantine_malformed")
 def q_quarantine(spark, sf_dir):
-    good, bad = dl.quarantine(msg.parse_requests(td.request_texts(spark, sf_dir)))
-    return (good.select("seq", F.lit("valid").alias("route"))
-            .unionByName(bad.select("seq", F.lit("quarantine").alias("route"))))
+    return dl.quarantine_route(msg.parse_requests(td.request_texts(spark, sf_dir))).select("seq", "route")
 
 
 @register("read_dead_letters")
