@@ -62,13 +62,17 @@ def build_session(master: str = "local[8]", app: str = "keyfold",
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when unset (local tests) a private folder is
-    created and registered as the checkpoint dir.
+    Read from the session; only when unset on a local master (tests) a
+    private folder is created and registered as the checkpoint dir. On a
+    cluster an unset dir is an error, never a machine-local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints and job outputs must survive executor loss)")
         d = tempfile.mkdtemp(prefix="keyfold-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
