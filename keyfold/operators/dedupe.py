@@ -68,7 +68,8 @@ def tip_flags(deliveries: DataFrame, tip_state: DataFrame | None = None,
     """E1 tip_accept, E2 previous_tip, E4 reprocessed_flag per delivery."""
     rows = seed_rows(deliveries, tip_state)
     tip = F.struct(F.col("ts").alias("ts"), F.col("arrival_seq").alias("seq"), F.col("rid").alias("rid"))
-    rows = prefix_max_before(rows, ["stream_id", "origin"], "arrival_seq", tip, "_prev", span)
+    rows = prefix_max_before(rows, ["stream_id", "origin"], "arrival_seq", tip, "_prev", span,
+                             total_out="_final")
     rows = rows.filter(~F.col("_seed"))
     accepted = F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev.ts"))
     return (rows
@@ -76,7 +77,9 @@ def tip_flags(deliveries: DataFrame, tip_state: DataFrame | None = None,
             .withColumn("prev_tip_rid", F.when(F.col("accepted"), F.col("_prev.rid")))
             .withColumn("reprocessed", F.coalesce(F.col("accepted") & (F.col("prev_tip_rid") == F.col("rid")),
                                                   F.lit(False)))
-            .drop("_prev", "_seed"))
+            # The delivery that is the tip after the run (the key's greatest (ts, seq))
+            .withColumn("final_tip", F.coalesce(tip == F.col("_final"), F.lit(False)))
+            .drop("_prev", "_seed", "_final"))
 
 
 def first_cid_flags(flags: DataFrame, cid_state: DataFrame | None = None) -> DataFrame:
@@ -128,16 +131,19 @@ def outcomes_of(flags: DataFrame) -> DataFrame:
                     F.col("o.reason").alias("reason")))
 
 
-def tip_state_after(deliveries: DataFrame, tip_state: DataFrame | None = None) -> DataFrame:
-    """D5 tip_state: final tip per (stream, origin) = greatest (ts, arrival_seq)
-    over stored tip and all deliveries (rejected ones never reach the max).
-    A partial + final hash aggregate: hot keys are combined map-side."""
-    rows = deliveries.select(*DELIVERY_COLS)
-    if tip_state is not None:
-        rows = rows.unionByName(tip_state.select(*TIP_COLS).withColumn("arrival_seq", F.lit(-1).cast("long")))
-    best = F.max(F.struct("ts", "arrival_seq", "rid", "cid", "crt")).alias("t")
-    return (rows.groupBy("stream_id", "origin").agg(best)
-            .select("stream_id", "origin", "t.rid", "t.cid", "t.ts", "t.crt"))
+def tip_state_after(flags: DataFrame, tip_state: DataFrame | None = None) -> DataFrame:
+    """D5 tip_state: final tip per (stream, origin).
+
+    ``flags`` carry ``final_tip`` from the tip scan (the row equal to the
+    key's greatest ``(ts, arrival_seq, rid)``, stored tip included), so the
+    new tips are a filter: no aggregate, no shuffle. Stored tips of keys
+    whose tip did not change are kept (left-anti on the changed keys)."""
+    changed = flags.filter("final_tip").select(*TIP_COLS)
+    if tip_state is None:
+        return changed
+    kept = tip_state.select(*TIP_COLS).join(changed.select("stream_id", "origin"), ["stream_id", "origin"],
+                                            "left_anti")
+    return kept.unionByName(changed)
 
 
 def cid_state_after(flags: DataFrame, cid_state: DataFrame | None = None) -> DataFrame:
@@ -165,5 +171,5 @@ def dedupe_requests(deliveries: DataFrame, tip_state: DataFrame | None = None,
         tf = tf.checkpoint(eager=True)
     flags = first_cid_flags(tf, cid_state)
     return DedupeResult(flags=flags, outcomes=outcomes_of(flags),
-                        tips=tip_state_after(tf.select(*DELIVERY_COLS), tip_state),
+                        tips=tip_state_after(tf, tip_state),
                         cids=cid_state_after(flags, cid_state))

@@ -43,27 +43,41 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def prefix_max_before(df: DataFrame, keys: Sequence[str], seq: str, value: Column,
-                      out: str, span: int, max_rows_per_task: int | None = None) -> DataFrame:
+                      out: str, span: int, max_rows_per_task: int | None = None,
+                      total_out: str | None = None) -> DataFrame:
     """``out`` = max(value) over rows of the same key with a smaller ``seq``
-    (null when there is none). ``seq`` must be unique within a key; a chunk
-    is ``span`` consecutive ``seq`` values, so holds at most ``span`` rows.
-    ``max_rows_per_task`` (default ``span``) bounds the plain-window path."""
+    (null when there is none); ``total_out`` (optional) = max(value) over the
+    whole key, from the same window / the same chunk carries (no extra pass).
+    ``seq`` must be unique within a key; a chunk is ``span`` consecutive
+    ``seq`` values, so holds at most ``span`` rows. ``max_rows_per_task``
+    (default ``span``) bounds the plain-window path."""
     keys = list(keys)
     bound = span if max_rows_per_task is None else max_rows_per_task
     if largest_group(df, keys) <= bound:
         w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.max(value).over(w))
+        d = df.withColumn(out, F.max(value).over(w))
+        if total_out:
+            w_all = (Window.partitionBy(*keys).orderBy(seq)
+                     .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            d = d.withColumn(total_out, F.max(value).over(w_all))
+        return d
     d = df.withColumn("_kf_v", value).withColumn(_CHUNK, F.floor(F.col(seq) / F.lit(span)))
     summ = d.groupBy(*keys, _CHUNK).agg(F.max("_kf_v").alias("_kf_cmax"))
     w_chunks = (Window.partitionBy(*keys).orderBy(_CHUNK)
                 .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summ.select(*keys, _CHUNK, F.max("_kf_cmax").over(w_chunks).alias(_CARRY))
+    w_key = (Window.partitionBy(*keys).orderBy(_CHUNK)
+             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    carry = summ.select(*keys, _CHUNK, F.max("_kf_cmax").over(w_chunks).alias(_CARRY),
+                        F.max("_kf_cmax").over(w_key).alias("_kf_total"))
     d = d.join(carry, on=[*keys, _CHUNK], how="left")
     w_rows = (Window.partitionBy(*keys, _CHUNK).orderBy(seq)
               .rowsBetween(Window.unboundedPreceding, -1))
     local = F.max("_kf_v").over(w_rows)
     # greatest() skips nulls: no carry or no earlier row in the chunk
-    return d.withColumn(out, F.greatest(F.col(_CARRY), local)).drop("_kf_v", _CHUNK, _CARRY)
+    d = d.withColumn(out, F.greatest(F.col(_CARRY), local))
+    if total_out:
+        d = d.withColumn(total_out, F.col("_kf_total"))
+    return d.drop("_kf_v", _CHUNK, _CARRY, "_kf_total")
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column],

@@ -69,7 +69,7 @@ def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_ev
         store.write("flags", epoch, r.flags)
         flags = store.read("flags", epoch)
         # state last: a crash before this point reruns the epoch from epoch - 1
-        tips_state.write_delta(epoch, dd.tip_state_after(flags.select(*dd.DELIVERY_COLS), tips))
+        tips_state.write_delta(epoch, flags.filter("final_tip").select(*dd.TIP_COLS))  # changed tips only
         cids_state.write_delta(epoch, flags.filter("new_cid").select(*dd.CID_COLS))
         if compact_every and epoch % compact_every == compact_every - 1:
             tips_state.compact(epoch, latest_tips)

@@ -17,9 +17,9 @@ def _data(spark, n=400, seed=1):
 
 def test_prefix_max_chunked_equals_window(spark):
     df = _data(spark)
-    chunked = prefix_max_before(df, ["k"], "seq", F.col("v"), "m", span=500)  # hot key > bound
+    chunked = prefix_max_before(df, ["k"], "seq", F.col("v"), "m", span=500, total_out="t")  # hot key > bound
     w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    plain = df.withColumn("m", F.max("v").over(w))
+    plain = df.withColumn("m", F.max("v").over(w)).withColumn("t", F.max("v").over(Window.partitionBy("k")))
     assert sorted(chunked.collect()) == sorted(plain.collect())
 
 
