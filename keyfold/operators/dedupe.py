@@ -146,6 +146,19 @@ def tip_state_after(flags: DataFrame, tip_state: DataFrame | None = None) -> Dat
     return kept.unionByName(changed)
 
 
+def final_tips(deliveries: DataFrame, tip_state: DataFrame | None = None) -> DataFrame:
+    """D5 standalone (no flags at hand): greatest ``(ts, arrival_seq)`` per
+    (stream, origin) over stored tips and deliveries as a partial + final
+    aggregate, so only about one row per key and map task is shuffled (less
+    than the scan's full-row exchange when the flags are not needed)."""
+    rows = deliveries.select(*DELIVERY_COLS)
+    if tip_state is not None:
+        rows = rows.unionByName(tip_state.select(*TIP_COLS).withColumn("arrival_seq", F.lit(-1).cast("long")))
+    best = F.max(F.struct("ts", "arrival_seq", "rid", "cid", "crt")).alias("t")
+    return (rows.groupBy("stream_id", "origin").agg(best)
+            .select("stream_id", "origin", "t.rid", "t.cid", "t.ts", "t.crt"))
+
+
 def cid_state_after(flags: DataFrame, cid_state: DataFrame | None = None) -> DataFrame:
     """D6 cid_state: distinct (stream, cid) of accepted deliveries with the crt
     of the first one; stored pairs keep their crt."""

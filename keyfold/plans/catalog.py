@@ -76,7 +76,7 @@ def q_dedupe_outcomes(spark, sf_dir):
 
 @register("tip_state")
 def q_tip_state(spark, sf_dir):
-    return dd.tip_state_after(dd.tip_flags(td.deliveries(spark, sf_dir)))
+    return dd.final_tips(td.deliveries(spark, sf_dir))
 
 
 @register("cid_state")
