@@ -24,6 +24,24 @@ JOB_CONF = {
 }
 
 
+# Starting point for 100 TB-scale runs (set at submit time; none is required
+# for correctness). Shuffles start wide and AQE coalesces them to ~256 MB
+# partitions, so no task holds more than it can sort in memory plus spill;
+# input splits of 256 MB keep scan tasks in the tens of thousands; skewed
+# join partitions above 5x the median (and 1 GB) are split by AQE. Keyed
+# scans do not rely on AQE for skew: operators/scan.py chunks hot keys.
+SCALE_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 @contextmanager
 def conf_override(spark: SparkSession, conf: dict[str, str]):
     """Set session confs for the duration of a block, then restore them."""
