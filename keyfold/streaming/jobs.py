@@ -219,11 +219,16 @@ def dlq_batch_fn(store: EpochStore) -> BatchFn:
 
 # ------------------------------------------------------------------ I10
 def capacity_sample_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str,
-                           tick: str, watermark: str) -> None:
+                           tick: str, watermark: str, state_partitions: int | None = None) -> None:
     """One utilisation sample per tick window, via a stateful streaming
     window aggregation (state bounded by the watermark); every trigger's
     updated windows are appended with their batch id, and readers keep the
-    last version of each window."""
+    last version of each window.
+
+    The state holds only the windows inside the watermark, so it is
+    partitioned ``state_partitions`` ways (default: the session's
+    parallelism) instead of ``spark.sql.shuffle.partitions``; the count is
+    fixed in the checkpoint at the first start."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     ev = src.withColumn("ets", F.timestamp_micros(F.col("ts_us")))
     agg = (ev.withWatermark("ets", watermark)
@@ -237,9 +242,11 @@ def capacity_sample_stream(spark: SparkSession, source: str, schema: str, sink:
                       F.lit(epoch).alias("epoch"))
          .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}"))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(fn).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    with conf_override(spark, {"spark.sql.shuffle.partitions": str(parts)}):
+        q = (agg.writeStream.outputMode("update").foreachBatch(fn).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def latest_per_window(spark: SparkSession, sink: str) -> DataFrame:
