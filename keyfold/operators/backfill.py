@@ -64,8 +64,9 @@ def scan_requests(requests: DataFrame, metadata: DataFrame, status: int,
     cutting through ties the way ``ORDER BY ... LIMIT`` does."""
     cand = filter_open_interval(filter_status(requests, status), newer_than, older_than)
     if limit is not None and tie_safe:
-        kth = cand.orderBy("created_at").limit(limit).agg(F.max("created_at").alias("_kth"))
-        cand = cand.crossJoin(F.broadcast(kth)).filter(F.col("created_at") <= F.col("_kth")).drop("_kth")
+        # one scalar: the k-th created_at (top-k merge of per-partition top-k)
+        kth = cand.orderBy("created_at").limit(limit).agg(F.max("created_at")).first()[0]
+        cand = cand.filter(F.col("created_at") <= F.lit(kth)) if kth is not None else cand
     elif limit is not None:
         cand = cand.orderBy("created_at", "request_id").limit(limit)
     return left_join_metadata(cand, metadata)

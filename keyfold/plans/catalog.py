@@ -97,11 +97,8 @@ def q_project_state_keys(spark, sf_dir):
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Deliveries cut at the middle of the event-id range: first and second run."""
     d = td.deliveries(spark, sf_dir)
-    at = td.events(spark, sf_dir).agg(((F.max("event_id") + 1) * 5).alias("at"))
-    d = d.crossJoin(F.broadcast(at))  # one-row scalar
-    first = d.filter(F.col("arrival_seq") < F.col("at")).drop("at")
-    second = d.filter(F.col("arrival_seq") >= F.col("at")).drop("at")
-    return first, second
+    at = td.events(spark, sf_dir).agg(((F.max("event_id") + 1) * 5).alias("at")).first()["at"]
+    return d.filter(F.col("arrival_seq") < F.lit(at)), d.filter(F.col("arrival_seq") >= F.lit(at))
 
 
 @register("seed_state")

@@ -126,12 +126,12 @@ def batching_batch_fn(store: EpochStore, opts: BatchOptions) -> BatchFn:
         assigned = bt.assign_batches(rows, opts).drop("_first")
         us = epoch_micros("ts", assigned.schema["ts"].dataType)
         assigned = assigned.withColumn("_us", us)
-        clock = assigned.agg(F.max("flush_window").alias("_top"), F.max("_us").alias("_now"))
+        # the stream's clock: newest flush window and latest arrival seen (two scalars)
+        top, now = assigned.agg(F.max("flush_window"), F.max("_us")).first()
         sizes = (assigned.groupBy("flush_window", "batch_no")
                  .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_first_us"))
-                 .crossJoin(F.broadcast(clock))  # one-row scalar
-                 .withColumn("_closed", (F.col("flush_window") < F.col("_top")) | (F.col("_n") >= opts.size)
-                             | (F.col("_first_us") + F.lit(lin) <= F.col("_now")))
+                 .withColumn("_closed", (F.col("flush_window") < F.lit(top)) | (F.col("_n") >= opts.size)
+                             | (F.col("_first_us") + F.lit(lin) <= F.lit(now)))
                  .select("flush_window", "batch_no", "_closed"))
         tagged = assigned.join(sizes, ["flush_window", "batch_no"]).drop("_us")
         closed = tagged.filter("_closed")
