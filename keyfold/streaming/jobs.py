@@ -44,7 +44,7 @@ def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_ev
 
     State is delta-encoded (``DeltaState``): an epoch reads only state of
     keys present in its batch (left-semi), writes its flags (the durable
-    record), then the tips of the (stream, origin) keys it touched and the
+    record), then the tips that changed (rows flagged ``final_tip``) and the
     (stream, cid) pairs it stored. Every ``compact_every`` epochs the deltas
     are folded into a base, so reads stay bounded."""
     tips_state = DeltaState(store.spark, store.root, "tips")
