@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ids import batch_key, deterministic_batch_id
 from ..functions.timecols import (epoch_micros, flush_boundary_micros,
                                   flush_window, micros_of, ntz_from_micros)
-from ..options import BatchOptions
+from ..options import DEFAULT_SCAN_SPAN, BatchOptions
 from ..session import shared_dir
-from .scan import ordinal, prefix_sum
+from .scan import largest_group, ordinal, prefix_max_before, prefix_sum
 
 
 def _prepared(rows: DataFrame, opts: BatchOptions) -> DataFrame:
@@ -48,29 +48,28 @@ def batch_ordinal(rows: DataFrame, opts: BatchOptions) -> DataFrame:
     return d.withColumn("batch_no", F.floor((F.col("rn") - 1) / F.lit(opts.size)).cast("long"))
 
 
-def _linger_next(d: DataFrame, opts: BatchOptions) -> DataFrame:
-    """``next`` pointer per row: min(rn + size, 1 + #rows with ts < ts + linger)."""
+def _linger_limits(d: DataFrame, opts: BatchOptions) -> DataFrame:
+    """``lim(i) = 1 + #rows with ts < ts_i + linger`` per row of a window: a
+    prefix count over rows and probes (probes sort before rows of equal
+    time, so the inclusive count at a probe counts strictly earlier rows)."""
     lin = micros_of(opts.linger)
     data = d.select("flush_window", "_us", "rid", "rn", F.lit(1).alias("_is_row"))
     probes = d.select("flush_window", (F.col("_us") + F.lit(lin)).alias("_us"),
                       F.col("rid"), F.col("rn"), F.lit(0).alias("_is_row"))
-    both = data.unionByName(probes)
-    # probes sort before rows of equal time: the inclusive count at a probe is #rows with ts < t
-    counted = prefix_sum(both, ["flush_window"], _slice("_us", opts),
+    counted = prefix_sum(data.unionByName(probes), ["flush_window"], _slice("_us", opts),
                          [F.col("_us"), F.col("_is_row"), F.col("rid")],
                          F.col("_is_row").cast("long"), "_lt")
-    lt = counted.filter(F.col("_is_row") == 0).select("flush_window", "rn", F.col("_lt"))
-    return lt.select("flush_window", F.col("rn").alias("i"),
-                     F.least(F.col("rn") + F.lit(opts.size), F.col("_lt") + 1).alias("j"))
+    return (counted.filter(F.col("_is_row") == 0)
+            .select("flush_window", F.col("rn").alias("i"), (F.col("_lt") + 1).alias("lim")))
 
 
-def _orbit_from_first(ptr: DataFrame, max_n: int, spark) -> DataFrame:
-    """Nodes ``{next^d(1)}`` per window, by pointer doubling.
-
-    ``ptr(flush_window, i, j)`` maps every row to its successor; positions
-    past the last row point nowhere and simply drop out of the joins."""
+def _orbit(ptr: DataFrame, start: DataFrame, max_n: int, spark) -> DataFrame:
+    """Nodes reachable from ``start(flush_window, i)`` under ``ptr(flush_window, i, j)``,
+    by pointer doubling; pointers past the last node are absent and end the walk.
+    Each round is checkpointed to the shared folder; the loop stops once the
+    reached set stops growing (the walk is then complete)."""
     shared_dir(spark)
-    reach = ptr.select("flush_window").distinct().select("flush_window", F.lit(1).cast("long").alias("i"))
+    reach = start.select("flush_window", "i").checkpoint()
     jump = ptr
     known = reach.count()
     for _ in range(max(1, math.ceil(math.log2(max_n + 1)))):
@@ -79,7 +78,7 @@ def _orbit_from_first(ptr: DataFrame, max_n: int, spark) -> DataFrame:
         reach = reach.unionByName(step).distinct().checkpoint()
         grown = reach.count()
         if grown == known:
-            # closed under next^(2^k): every orbit ended within 2^k steps
+            # closed under next^(2^k): every walk ended within 2^k steps
             break
         known = grown
         j2 = jump.select("flush_window", F.col("i").alias("j"), F.col("j").alias("j2"))
@@ -88,22 +87,71 @@ def _orbit_from_first(ptr: DataFrame, max_n: int, spark) -> DataFrame:
     return reach
 
 
+def _linger_batch_numbers(d: DataFrame, opts: BatchOptions) -> DataFrame:
+    """Greedy linger batching of ``d(flush_window, rn, _us, ...)``: adds ``batch_no``.
+
+    Batch starts are the orbit of row 1 under ``next(i) = min(i + size,
+    lim(i))``. A node is *dense* when ``lim(i) >= i + size``: its batch
+    fills up and the next start is ``i + size``. From any start the chain
+    therefore walks its residue class (mod size) until the first non-dense
+    node ``jmp``, whose batch closes on linger and the next start is
+    ``lim``. Only non-dense nodes need pointer doubling (``u -> jmp(lim(u))``);
+    under steady load batches fill before the linger expires and almost every
+    node is dense, so the doubled graph is tiny. Every chain segment ``[v,
+    jmp(v)]`` then holds starts ``v, v + size, ...`` and a row's batch number
+    is arithmetic on its segment."""
+    size = opts.size
+    spark = d.sparkSession
+    nw = d.groupBy("flush_window").agg(F.count(F.lit(1)).alias("_n"))
+    nodes = (_linger_limits(d, opts)
+             .withColumn("dense", F.col("lim") >= F.col("i") + F.lit(size))
+             .withColumn("_res", F.pmod(F.col("i") - 1, F.lit(size)))
+             .withColumn("_neg", -F.col("i")))
+    # jmp(i): first non-dense node at or after i in i's residue class (a suffix min)
+    nodes = prefix_max_before(nodes, ["flush_window", "_res"], "_neg",
+                              F.when(~F.col("dense"), -F.col("i")), "_nd", DEFAULT_SCAN_SPAN)
+    nodes = (nodes.withColumn("jmp", F.when(~F.col("dense"), F.col("i")).otherwise(-F.col("_nd")))
+             .select("flush_window", "i", "lim", "dense", "jmp").checkpoint())
+    look = nodes.select("flush_window", F.col("i").alias("lim"), F.col("jmp").alias("j"))
+    graph = (nodes.filter(~F.col("dense")).select("flush_window", "i", "lim")
+             .join(look, ["flush_window", "lim"]).filter(F.col("j").isNotNull())
+             .select("flush_window", "i", "j").checkpoint())
+    start = nodes.filter((F.col("i") == 1) & F.col("jmp").isNotNull()).select("flush_window", F.col("jmp").alias("i"))
+    max_m = largest_group(nodes.filter(~F.col("dense")), ["flush_window"])
+    reached = _orbit(graph, start, max_m, spark)
+    # segment starts: row 1, and lim(u) of every reached non-dense u inside the window
+    follow = (reached.join(nodes.select("flush_window", "i", "lim"), ["flush_window", "i"])
+              .join(nw, "flush_window").filter(F.col("lim") <= F.col("_n"))
+              .select("flush_window", F.col("lim").alias("v")))
+    segs = nw.select("flush_window", F.lit(1).cast("long").alias("v")).unionByName(follow)
+    segs = (segs.join(nodes.select("flush_window", F.col("i").alias("v"), "jmp"), ["flush_window", "v"])
+            .join(nw, "flush_window"))
+    starts = F.when(F.col("jmp").isNotNull(), F.floor((F.col("jmp") - F.col("v")) / F.lit(size)) + 1) \
+        .otherwise(F.floor((F.col("_n") - F.col("v")) / F.lit(size)) + 1).cast("long")
+    segs = prefix_sum(segs, ["flush_window"], F.floor(F.col("v") / F.lit(DEFAULT_SCAN_SPAN)), [F.col("v")],
+                      starts, "_before", inclusive=False).select("flush_window", "v", "_before")
+    # each row's segment: the greatest segment start at or before it
+    marks = segs.select("flush_window", (F.col("v") * 2).alias("_seq"), F.col("v").alias("_val"),
+                        F.lit(None).cast("long").alias("rn"))
+    rows = d.select("flush_window", (F.col("rn") * 2 + 1).alias("_seq"), F.lit(None).cast("long").alias("_val"), "rn")
+    seg_of = (prefix_max_before(marks.unionByName(rows), ["flush_window"], "_seq", F.col("_val"), "v",
+                                DEFAULT_SCAN_SPAN)
+              .filter(F.col("rn").isNotNull()).select("flush_window", "rn", "v"))
+    num = (seg_of.join(segs, ["flush_window", "v"])
+           .select("flush_window", "rn",
+                   (F.col("_before") + F.floor((F.col("rn") - F.col("v")) / F.lit(size))).cast("long")
+                   .alias("batch_no")))
+    return d.drop("batch_no").join(num, ["flush_window", "rn"])
+
+
 def assign_batches(rows: DataFrame, opts: BatchOptions) -> DataFrame:
     """Rows (``rid, ts`` + any) with ``flush_window, rn, batch_no`` added."""
     d = batch_ordinal(rows, opts)
     if opts.linger >= opts.flush:
         return d.drop("_us").withColumn("_first", F.lit(None))
-    spark = rows.sparkSession
-    d = d.checkpoint()
-    ptr = _linger_next(d, opts).checkpoint()
-    max_n = d.groupBy("flush_window").count().agg(F.max("count")).first()[0] or 0
-    starts = _orbit_from_first(ptr, max_n, spark).select(
-        "flush_window", F.col("i").alias("rn"), F.lit(1).alias("_start"))
-    d = d.join(starts, ["flush_window", "rn"], "left")
-    d = prefix_sum(d, ["flush_window"], _slice("_us", opts), [F.col("rn")],
-                   F.coalesce(F.col("_start"), F.lit(0)).cast("long"), "_nstarts")
-    return (d.withColumn("batch_no", F.col("_nstarts") - 1)
-            .drop("_start", "_nstarts", "_us").withColumn("_first", F.lit(None)))
+    shared_dir(rows.sparkSession)
+    d = _linger_batch_numbers(d.checkpoint(), opts)
+    return d.drop("_us").withColumn("_first", F.lit(None))
 
 
 @dataclass
