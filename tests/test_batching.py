@@ -50,3 +50,22 @@ def test_golden_counts_sf0001(spark):
         got = {x.reason: x["count"] for x in b.groupBy("reason").count().collect()}
         assert got == exp
         assert b.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_bursts_and_gaps_match_fold(spark):
+    """Dense bursts (batches fill by size) separated by sparse stretches (batches
+    close on linger): chains move between residue-class runs and linger hops."""
+    rng = random.Random(17)
+    rows, t, rid = [], 0.0, 0
+    for _ in range(12):
+        for _ in range(rng.randint(5, 40)):      # burst: a row every few seconds
+            t += rng.uniform(0.5, 8)
+            rows.append((rid, T + timedelta(seconds=t))); rid += 1
+        for _ in range(rng.randint(1, 6)):       # sparse: rows minutes apart
+            t += rng.uniform(60, 400)
+            rows.append((rid, T + timedelta(seconds=t))); rid += 1
+    opts = BatchOptions(size=5, linger=timedelta(minutes=2), flush=timedelta(hours=2),
+                        slice=timedelta(minutes=3))
+    _, got = sizes(spark, rows, opts)
+    us = [(r, int((ts - datetime(1970, 1, 1)) / timedelta(microseconds=1))) for r, ts in rows]
+    assert got == batch_fold(us, 5, 2 * 60 * 10**6, 2 * 3600 * 10**6)
