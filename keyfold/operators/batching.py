@@ -95,11 +95,14 @@ def _linger_batch_numbers(d: DataFrame, opts: BatchOptions) -> DataFrame:
     fills up and the next start is ``i + size``. From any start the chain
     therefore walks its residue class (mod size) until the first non-dense
     node ``jmp``, whose batch closes on linger and the next start is
-    ``lim``. Only non-dense nodes need pointer doubling (``u -> jmp(lim(u))``);
-    under steady load batches fill before the linger expires and almost every
-    node is dense, so the doubled graph is tiny. Every chain segment ``[v,
-    jmp(v)]`` then holds starts ``v, v + size, ...`` and a row's batch number
-    is arithmetic on its segment."""
+    ``lim``. Only non-dense nodes need pointer doubling (``u -> jmp(lim(u))``).
+    Their number per window is bounded by configuration, not by data: a
+    non-dense node has fewer than ``size`` rows in its own linger interval,
+    so any linger-long span of the window holds at most ``size`` of them,
+    i.e. at most ``size * ceil(flush / linger)`` per window. Under steady
+    load almost every node is dense and the doubled graph is tiny. Every
+    chain segment ``[v, jmp(v)]`` then holds starts ``v, v + size, ...`` and
+    a row's batch number is arithmetic on its segment."""
     size = opts.size
     spark = d.sparkSession
     nw = d.groupBy("flush_window").agg(F.count(F.lit(1)).alias("_n"))
