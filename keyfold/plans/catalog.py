@@ -718,9 +718,10 @@ def q_apply_status_stream(spark, sf_dir):
     events_df, initial = td.status_events(spark, sf_dir)
     src = _stage_stream(events_df, "seq", root)
     store = EpochStore(spark, root + "/state")
-    sj.run_file_stream(spark, src, _ddl(events_df), sj.status_batch_fn(store, initial, compact_every=2),
+    sj.run_file_stream(spark, src, _ddl(events_df),
+                       sj.status_batch_fn(store, initial, compact_every=2, state_buckets=4),
                        root + "/checkpoint", FILES_PER_CHUNK)
-    return sj.current_status(store, initial, STREAM_CHUNKS - 1)
+    return sj.current_status(store, initial, STREAM_CHUNKS - 1, state_buckets=4)
 
 
 @register("dlq_stream")

@@ -54,10 +54,32 @@ class DeltaState:
     base with a caller-given "latest per key" reduction.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str):
+    def __init__(self, spark: SparkSession, root: str, name: str, bucket_by: str | None = None,
+                 buckets: int = 64):
         self.spark = spark
         self.deltas = f"{root.rstrip('/')}/{name}"
         self.bases = f"{root.rstrip('/')}/{name}_base"
+        # state files are partitioned by hash(bucket_by) % buckets, so a batch
+        # reads only the buckets its keys fall in
+        self.bucket_by = bucket_by
+        self.buckets = buckets
+
+    def _bucket(self, c: str):
+        from pyspark.sql import functions as F
+        return F.pmod(F.hash(F.col(c)), F.lit(self.buckets))
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        if self.bucket_by:
+            df = df.withColumn("_bucket", self._bucket(self.bucket_by))
+            df.write.mode("overwrite").partitionBy("_bucket").parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
+
+    def buckets_of(self, keys: DataFrame) -> list[int] | None:
+        """The (at most ``buckets``) bucket ids the keys of a batch fall in."""
+        if not self.bucket_by:
+            return None
+        return [r[0] for r in keys.select(self._bucket(self.bucket_by)).distinct().collect()]
 
     def _base_epochs(self) -> list[int]:
         if not exists(self.spark, self.bases):
@@ -72,21 +94,28 @@ class DeltaState:
                 out.append(int(n[5:]))
         return sorted(out)
 
-    def read(self, upto: int) -> DataFrame | None:
+    def read(self, upto: int, buckets: list[int] | None = None) -> DataFrame | None:
         """State rows visible to epoch ``upto + 1`` (base + later deltas), with
-        ``_epoch``: the epoch that wrote each version (a base counts as ``upto``)."""
+        ``_epoch``: the epoch that wrote each version (a base counts as ``upto``).
+        ``buckets`` prunes to those bucket partitions (see ``buckets_of``)."""
         if upto < 0:
             return None
         from pyspark.sql import functions as F
+
+        def prune(df: DataFrame) -> DataFrame:
+            if self.bucket_by and buckets is not None:
+                df = df.filter(F.col("_bucket").isin(buckets))
+            return df.drop("_bucket") if self.bucket_by else df
+
         bases = [b for b in self._base_epochs() if b <= upto]
         start = bases[-1] if bases else -1
         parts = []
         if bases:
-            parts.append(self.spark.read.parquet(f"{self.bases}/upto={start}")
+            parts.append(prune(self.spark.read.parquet(f"{self.bases}/upto={start}"))
                          .withColumn("_epoch", F.lit(start).cast("int")))
         if exists(self.spark, self.deltas):
             d = self.spark.read.parquet(self.deltas)
-            d = (d.filter((F.col("epoch") > start) & (F.col("epoch") <= upto))
+            d = (prune(d.filter((F.col("epoch") > start) & (F.col("epoch") <= upto)))
                  .withColumn("_epoch", F.col("epoch").cast("int")).drop("epoch"))
             parts.append(d)
         if not parts:
@@ -97,10 +126,10 @@ class DeltaState:
         return out
 
     def write_delta(self, epoch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.deltas}/epoch={epoch}")
+        self._write(df, f"{self.deltas}/epoch={epoch}")
 
     def compact(self, upto: int, latest: "callable") -> None:
         """Write base ``upto`` = ``latest(state visible after epoch upto)``."""
         cur = self.read(upto)
         if cur is not None:
-            latest(cur).drop("_epoch").write.mode("overwrite").parquet(f"{self.bases}/upto={upto}")
+            self._write(latest(cur).drop("_epoch"), f"{self.bases}/upto={upto}")

@@ -39,16 +39,20 @@ def run_file_stream(spark: SparkSession, source: str, schema: str, fn: BatchFn,
 
 
 # ------------------------------------------------------------------ I1 / I5 / I6
-def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_every: int = 16) -> BatchFn:
+def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_every: int = 16,
+                    state_buckets: int | None = None) -> BatchFn:
     """J1 per micro-batch, continuing from the tip / cid state.
 
     State is delta-encoded (``DeltaState``): an epoch reads only state of
     keys present in its batch (left-semi), writes its flags (the durable
     record), then the tips that changed (rows flagged ``final_tip``) and the
     (stream, cid) pairs it stored. Every ``compact_every`` epochs the deltas
-    are folded into a base, so reads stay bounded."""
-    tips_state = DeltaState(store.spark, store.root, "tips")
-    cids_state = DeltaState(store.spark, store.root, "cids")
+    are folded into a base, so reads stay bounded. With ``state_buckets``
+    the state is partitioned by ``hash(stream_id)`` and a micro-batch reads
+    only the buckets of its streams (worth it once state dwarfs a batch)."""
+    by = "stream_id" if state_buckets else None
+    tips_state = DeltaState(store.spark, store.root, "tips", bucket_by=by, buckets=state_buckets or 1)
+    cids_state = DeltaState(store.spark, store.root, "cids", bucket_by=by, buckets=state_buckets or 1)
 
     def fn(batch: DataFrame, epoch: int) -> None:
         with conf_override(store.spark, SAFE_UNION):
@@ -59,10 +63,11 @@ def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_ev
         keys = batch.select("stream_id", "origin").distinct()
         pairs = batch.select("stream_id", "cid").distinct()
         # seeds: stored state of the keys in this batch only, materialised once
-        tips = tips_state.read(epoch - 1)
+        touched = tips_state.buckets_of(batch.select("stream_id"))
+        tips = tips_state.read(epoch - 1, touched)
         if tips is not None:
             tips = latest_tips(tips.join(keys, ["stream_id", "origin"], "left_semi")).checkpoint()
-        cids = cids_state.read(epoch - 1)
+        cids = cids_state.read(epoch - 1, touched)
         if cids is not None:
             cids = cids.drop("_epoch").join(pairs, ["stream_id", "cid"], "left_semi").checkpoint()
         r = dd.dedupe_requests(batch, tips, cids, span)  # tip flags checkpointed inside
@@ -170,19 +175,20 @@ def drain(store: EpochStore, last_epoch: int, opts: BatchOptions) -> DataFrame |
 
 
 # ------------------------------------------------------------------ I8
-def status_batch_fn(store: EpochStore, initial: DataFrame, compact_every: int = 16) -> BatchFn:
+def status_batch_fn(store: EpochStore, initial: DataFrame, compact_every: int = 16,
+                    state_buckets: int | None = None) -> BatchFn:
     """I8: fold each micro-batch of status events into the status table.
 
     Only ids present in the batch are read (latest stored version, else the
     initial table) and written back as a delta; ids absent from the initial
     table stay no-ops. ``current_status(store, initial)`` gives the table."""
-    state = DeltaState(store.spark, store.root, "status")
+    state = _status_state(store, state_buckets)
 
     def fn(batch: DataFrame, epoch: int) -> None:
         with conf_override(store.spark, SAFE_UNION):
             ids = batch.select("id").distinct()
             cur = initial.join(ids, "id", "left_semi")
-            stored = state.read(epoch - 1)
+            stored = state.read(epoch - 1, state.buckets_of(ids))
             if stored is not None:
                 latest = latest_status(stored.join(ids, "id", "left_semi"))
                 cur = (cur.join(latest.select("id", F.col("status").alias("_s")), "id", "left")
@@ -197,9 +203,15 @@ def latest_status(stored: DataFrame) -> DataFrame:
     return stored.groupBy("id").agg(F.max_by("status", "_epoch").alias("status"))
 
 
-def current_status(store: EpochStore, initial: DataFrame, upto: int) -> DataFrame:
+def _status_state(store: EpochStore, state_buckets: int | None) -> DeltaState:
+    return DeltaState(store.spark, store.root, "status", bucket_by="id" if state_buckets else None,
+                      buckets=state_buckets or 1)
+
+
+def current_status(store: EpochStore, initial: DataFrame, upto: int,
+                   state_buckets: int | None = None) -> DataFrame:
     """The status table after epoch ``upto``: initial rows overlaid with the latest versions."""
-    stored = DeltaState(store.spark, store.root, "status").read(upto)
+    stored = _status_state(store, state_buckets).read(upto)
     if stored is None:
         return initial
     latest = latest_status(stored).withColumnRenamed("status", "_s")

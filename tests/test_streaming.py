@@ -21,7 +21,7 @@ def test_micro_batches_equal_single_run(spark):
     full = dd.dedupe_requests(spark.createDataFrame(rows, DCOLS)).outcomes
     exp = sorted(tuple(r) for r in full.collect())
     store = EpochStore(spark, scratch_path(spark, "t-stream"))
-    fn = sj.dedupe_batch_fn(store, compact_every=2)
+    fn = sj.dedupe_batch_fn(store, compact_every=2, state_buckets=4)
     for epoch in range(5):
         part = [r for r in rows if epoch * 40 <= r[6] < (epoch + 1) * 40]
         fn(spark.createDataFrame(part, DCOLS), epoch)
