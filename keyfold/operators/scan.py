@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts every row of a key into
 one task, so a key holding a third of the data becomes one third of the job in
 one task. The scans here cut each key into *chunks* that are contiguous in the
-scan order, aggregate every chunk (partial + final hash aggregate), carry the
+scan order, aggregate every chunk (partial + final aggregate), carry the
 prefix of earlier chunks over a small window of chunk summaries, join that
 carry back on ``(key, chunk)`` and finish with a window per ``(key, chunk)``.
 Every operator is associative (max, sum), so the result equals the single
@@ -32,10 +32,6 @@ _CHUNK = "_kf_chunk"
 _CARRY = "_kf_carry"
 
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
-
-
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest group (a partial + final hash count, one scalar to the driver)."""
     r = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
