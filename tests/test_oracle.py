@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from keyfold.plans.catalog import QUERIES
 from keyfold.plans.verify import compare, duck
 from conftest import SF0001
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)
