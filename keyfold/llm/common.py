@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
 
-#: Rows that one window task sorts; longer partitions are cut into chunks.
-CHUNK_ROWS = 50_000
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the cluster's shared folder and read it
     back: lineage is cut and a lost executor costs a reread, not a rerun."""
@@ -26,11 +22,16 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def chunk_of(seed: Column, n_rows: Column | int) -> Column:
-    """Chunk number of a row of a group of ``n_rows`` rows: chunks of about
-    CHUNK_ROWS rows each, dealt by the hash of ``seed``."""
+def n_chunks(n_rows: Column | int) -> Column:
+    """Chunks that a group of ``n_rows`` rows is cut into: so many that the
+    rows of a chunk and the chunks of a group both grow with the square root."""
     n = F.lit(n_rows) if isinstance(n_rows, int) else n_rows
-    return F.pmod(F.xxhash64(seed, F.lit("chunk")), F.greatest(F.ceil(n / CHUNK_ROWS).cast("long"), F.lit(1).cast("long")))
+    return F.greatest(F.ceil(F.sqrt(n) / 4).cast("long"), F.lit(1).cast("long"))
+
+
+def chunk_of(seed: Column, n_rows: Column | int) -> Column:
+    """Chunk number of a row of a group of ``n_rows`` rows, dealt by hash."""
+    return F.pmod(F.xxhash64(seed, F.lit("chunk")), n_chunks(n_rows))
 
 
 def prefix_sums(df: DataFrame, part: list[str], chunk: str, order: list[str], value: str, out: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import CHUNK_ROWS, null_safe, prefix_sums, stage
+from .common import chunk_of, n_chunks, null_safe, prefix_sums, stage
 
 #: Fixed value: a word is a run of anything but space and the ASCII controls tab to carriage return.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -153,7 +153,7 @@ def plan_mix(measured: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling
     partial = plan.filter("extra > 0 AND extra < n").select(
         F.col("source").alias("s"), F.col("size").alias("z"), "n", "extra")
     rows = measured.join(_small(partial), null_safe(measured, partial, [("source", "s"), ("size", "z")])).drop("s", "z")
-    rows = rows.withColumn("chunk", F.floor(_unit(F.col("h")) * F.ceil(F.col("n") / CHUNK_ROWS)))
+    rows = rows.withColumn("chunk", F.floor(_unit(F.col("h")) * n_chunks(F.col("n"))))
     rows = stage(rows, "mix-partial")
     chunks = rows.groupBy("source", "size", "chunk").agg(F.count(F.lit(1)).alias("m"), F.max("extra").alias("extra"))
     upto = Window.partitionBy("source", "size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
@@ -197,7 +197,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float =
         return sure.select(*keep)
     # rows that are equal in id and text, of which only some are taken
     some = joined.filter(split).withColumns({"__row": F.monotonically_increasing_id(), "__one": F.lit(1)})
-    some = stage(some.withColumn("__chunk", F.floor(F.col("__row") / CHUNK_ROWS)), "mix-ties")
+    some = stage(some.withColumn("__chunk", chunk_of(F.col("__row"), F.col("__tied"))), "mix-ties")
     some = prefix_sums(some, ["__s", "__z"], "__chunk", ["__row"], "__one", "__rank")
     some = some.withColumn("__copies", F.col("__passes") + (F.col("__rank") < F.col("__ties")).cast("int"))
     return sure.select(*keep).unionByName(some.select(*keep))

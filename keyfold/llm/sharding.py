@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import CHUNK_ROWS, chunk_of, null_safe, prefix_sums, stage
+from .common import chunk_of, prefix_sums, stage
 
 LAW = "rows"
 N_SHARDS = 40
