@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import scratch_path
+from ..session import conf_override, scratch_path
+
+#: Rows of an Arrow batch that carries whole texts to Python.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Bytes of a slice whose rows become Python objects at once.
+SLICE_BYTES = 2 << 20
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the cluster's shared folder and read it
     back: lineage is cut and a lost executor costs a reread, not a rerun."""
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    with conf_override(spark, TEXT_BATCH):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -22,6 +31,21 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES of a text column, one row at
+    least, so a worker holds few texts as Python objects."""
+    for b in batches:
+        sizes = pa.compute.binary_length(b.column(column)).to_pylist()
+        start = held = 0
+        for i, n in enumerate(sizes):
+            held += n or 0
+            if held >= SLICE_BYTES:
+                yield b.slice(start, i + 1 - start)
+                start, held = i + 1, 0
+        if start < len(sizes):
+            yield b.slice(start)
+
+
 def n_chunks(n_rows: Column | int) -> Column:
     """Chunks that a group of ``n_rows`` rows is cut into: so many that the
     rows of a chunk and the chunks of a group both grow with the square root."""

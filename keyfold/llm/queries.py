@@ -10,6 +10,7 @@ from ..sources.tables import table
 from .decontaminate import contamination
 from .language import predict_language
 from .mixing import mix_documents
+from .personal import find_personal
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .tokenfile import token_digest
@@ -48,6 +49,10 @@ def op7_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_bilstm_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 def op9_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op5_range_coded_token_ids,
     op6_link_graph_url_filter,
     op7_suffix_automaton_decontamination,
+    op8_bilstm_crf_personal_data,
     op9_pigeonhole_simhash,
     op10_subset_sum_mixing,
 )}

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import stage
+from .common import slices, stage
 from .components import components
 
 SHINGLE = 3
@@ -41,7 +41,7 @@ PLAN_SAMPLE = 8_000
 HOT = 400
 TILE = 4_000
 #: Shingles whose bits are unpacked at once.
-FLUSH = 1 << 17
+FLUSH = 1 << 16
 
 
 def _hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | Non
     schema = T.StructType([*carried.schema.fields[:-1], T.StructField("__fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, len(names)):
             fp = fingerprints(b.column(b.num_columns - 1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=[*names, "__fp"])
 
