@@ -12,6 +12,21 @@ NIL_UUID = "00000000-0000-0000-0000-000000000000"
 BATCH_KEY_PREFIX = "anchor/batch/"
 
 
+# fixed values: the spellings that the service's id decoder takes
+_UUID_FORMS = (r"^(?:(?i:urn:uuid:))?([0-9a-fA-F]{8})-([0-9a-fA-F]{4})-([0-9a-fA-F]{4})-([0-9a-fA-F]{4})-([0-9a-fA-F]{12})$",
+               r"^\{([0-9a-fA-F]{8})-([0-9a-fA-F]{4})-([0-9a-fA-F]{4})-([0-9a-fA-F]{4})-([0-9a-fA-F]{12})\}$",
+               r"^([0-9a-fA-F]{8})([0-9a-fA-F]{4})([0-9a-fA-F]{4})([0-9a-fA-F]{4})([0-9a-fA-F]{12})$")
+
+
+def canonical_uuid(c: Column) -> Column:
+    """The lower-case dashed form of any accepted spelling (dashed, with a
+    ``urn:uuid:`` prefix, in braces, or 32 plain digits); null for other text."""
+    out = F.lit(None).cast("string")
+    for form in _UUID_FORMS:
+        out = F.when(c.rlike(form), F.lower(F.regexp_replace(c, form, "$1-$2-$3-$4-$5"))).otherwise(out)
+    return out
+
+
 def uuid_valid(c: Column) -> Column:
     """H5: well-formed and not the nil UUID (null is not valid)."""
     return F.coalesce(c.rlike(UUID_PATTERN) & (F.lower(c) != F.lit(NIL_UUID)), F.lit(False))

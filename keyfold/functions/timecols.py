@@ -39,16 +39,26 @@ def floor_micros(us: Column, step_us: int) -> Column:
     return us - F.pmod(us, F.lit(step_us))
 
 
+#: Fixed value: days from the first day of year 1 to the epoch.
+YEAR1_DAYS = 719_162
+
+
+def _year1_shift(flush: timedelta) -> int:
+    """Time since the last multiple of the interval, counted from year 1, at the epoch."""
+    return YEAR1_DAYS * US_PER_DAY % micros_of(flush)
+
+
 def flush_window(us: Column, flush: timedelta) -> Column:
-    """H1: index of the UTC flush window holding ``us``; the window closes at
-    ``(index + 1) * flush``. Boundaries count from the epoch, which equals
-    truncation from year 1 for every interval that divides a day."""
-    return F.floor(us / F.lit(micros_of(flush))).cast("long")
+    """H1: index of the UTC flush window holding ``us``. Windows count from
+    the first day of year 1, shifted to the window at the epoch, so any
+    interval gives the service's boundaries (for intervals that divide a day
+    the shift is zero)."""
+    return F.floor((us + F.lit(_year1_shift(flush))) / F.lit(micros_of(flush))).cast("long")
 
 
 def flush_boundary_micros(window_idx: Column, flush: timedelta) -> Column:
     """H1: next UTC boundary = truncate(t, interval) + interval."""
-    return (window_idx + 1) * F.lit(micros_of(flush))
+    return (window_idx + 1) * F.lit(micros_of(flush)) - F.lit(_year1_shift(flush))
 
 
 # H4 encodings of the state tables.

@@ -31,11 +31,11 @@ def _with_effect(calls: DataFrame, owner: str) -> DataFrame:
     return calls.withColumn("addr", addr).withColumn("effect", effect)
 
 
-def replay(calls: DataFrame, owner: str, span: int) -> DataFrame:
+def replay(calls: DataFrame, owner: str) -> DataFrame:
     """C4 anchor_authorised_asof + validity of every call."""
     d = _with_effect(calls, owner)
     mark = F.when(F.col("effect").isNotNull(), F.struct(F.col("seq").alias("s"), F.col("effect").alias("e")))
-    d = prefix_max_before(d, ["addr"], "seq", mark, "_last", span)
+    d = prefix_max_before(d, ["addr"], "seq", mark, "_last")
     before = F.coalesce(F.col("_last.e"), F.lit(False))
     is_owner = F.col("caller") == F.lit(owner)
     valid = (F.when(F.col("kind") == ADD, is_owner)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ..functions.text import (ALERT_DESC_UNPROCESSED, ALERT_TITLE,
                               unprocessed_alert)
@@ -66,7 +67,10 @@ def scan_requests(requests: DataFrame, metadata: DataFrame, status: int,
     if limit is not None and tie_safe:
         # one scalar: the k-th created_at (top-k merge of per-partition top-k)
         kth = cand.orderBy("created_at").limit(limit).agg(F.max("created_at")).first()[0]
-        cand = cand.filter(F.col("created_at") <= F.lit(kth)) if kth is not None else cand
+        if kth is not None:
+            # a zoned literal would depend on the session's time zone where the column has none
+            at = ntz_lit(kth) if isinstance(cand.schema["created_at"].dataType, TimestampNTZType) else F.lit(kth)
+            cand = cand.filter(F.col("created_at") <= at)
     elif limit is not None:
         cand = cand.orderBy("created_at", "request_id").limit(limit)
     return left_join_metadata(cand, metadata)
@@ -84,19 +88,20 @@ def poll(requests: DataFrame, metadata: DataFrame, checkpoint: Column, opts: Pol
 
 
 def sent_prefix_checkpoint(rows: DataFrame, poll_key: str, failed: Column) -> DataFrame:
-    """E7 per poll: rows are sent in created_at order until the first failure.
+    """E7 per poll: rows are sent in (created_at, request_id) order until the
+    first failure; rows of one created_at are told apart by their id.
 
     Two aggregates and a join on the poll key, no per-poll window: the first
-    failure time, then the last row before it. Output per poll: ``n_rows,
+    failure's place, then the last row before it. Output per poll: ``n_rows,
     n_sent, next_checkpoint, outcome`` (all / first / later)."""
     us = epoch_micros("created_at", rows.schema["created_at"].dataType)
-    r = rows.withColumn("_us", us).withColumn("_fail", failed)
-    first_fail = r.groupBy(poll_key).agg(F.min(F.when(F.col("_fail"), F.col("_us"))).alias("_ff"))
+    r = rows.withColumn("_at", F.struct(us.alias("us"), F.col("request_id").alias("id"))).withColumn("_fail", failed)
+    first_fail = r.groupBy(poll_key).agg(F.min(F.when(F.col("_fail"), F.col("_at"))).alias("_ff"))
     j = r.join(first_fail, poll_key)
-    sent = F.col("_ff").isNull() | (F.col("_us") < F.col("_ff"))
+    sent = F.col("_ff").isNull() | (F.col("_at") < F.col("_ff"))
     g = j.groupBy(poll_key).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(sent).alias("n_sent"),
-        F.max(F.when(sent, F.col("_us"))).alias("_last"), F.min("_us").alias("_first"),
+        F.max(F.when(sent, F.col("_at.us"))).alias("_last"), F.min("_at.us").alias("_first"),
         F.first("_ff").alias("_ff"))
     next_us = F.coalesce(F.col("_last"), F.col("_first") - F.lit(ONE_MS_US))
     outcome = (F.when(F.col("_ff").isNull(), "all")
@@ -137,11 +142,11 @@ def daily_tick_backlog(requests: DataFrame, min_age: timedelta = POLL_MIN_AGE,
         unprocessed_alert(F.col("n"), go_time_text(since)).alias("content"))
 
 
-def checkpoint_accept(proposals: DataFrame, span: int) -> DataFrame:
+def checkpoint_accept(proposals: DataFrame) -> DataFrame:
     """A proposed checkpoint ``(name, value, seq)`` is accepted iff none is
     stored or it is strictly greater than the stored one (= every earlier
     proposal of that name). Chunked prefix max, so a hot name spreads out."""
-    d = prefix_max_before(proposals, ["name"], "seq", F.col("value"), "_prior", span)
+    d = prefix_max_before(proposals, ["name"], "seq", F.col("value"), "_prior")
     return d.withColumn("accepted", F.col("_prior").isNull() | (F.col("value") > F.col("_prior"))).drop("_prior")
 
 
@@ -157,35 +162,58 @@ def load_checkpoint(state: DataFrame, names: DataFrame) -> DataFrame:
     return got.select("name", F.coalesce(F.col("value"), zero).alias("value"))
 
 
-def incremental_backfill(requests: DataFrame, metadata: DataFrame, ticks: list[datetime],
-                         store, failed: Column, limit: int,
-                         min_age: timedelta = POLL_MIN_AGE, look_back: timedelta = POLL_LOOK_BACK) -> DataFrame:
-    """The poller as a scheduled job, one Spark job per tick.
+POLL_CHECKPOINT = "rpoll"
+
 
-    The checkpoint is read from the store (A10) once, floored to
-    ``first tick - look_back`` (B3); each tick polls ``(checkpoint,
-    now - min_age)`` oldest-first up to ``limit`` (A1/F2), re-sends until the
-    first failure (E7) and stores the new checkpoint only when it moved
-    forward (E6/D7). The driver only reads one summary row per tick."""
+def poll_tick(requests: DataFrame, tick: int, now: datetime, checkpoint: datetime, store, failed: Column, limit: int,
+              min_age: timedelta = POLL_MIN_AGE, title: str = ALERT_TITLE) -> datetime:
+    """One poll: scan, alert, publish, advance. Returns the next checkpoint.
+
+    The polled rows (at most ``limit``) are written once; the messages of the
+    rows before the first failure, the alert when anything was found, the
+    summary and, last, the checkpoint follow from them. Each output is one
+    overwritten directory of the tick, and the checkpoint commits it: a tick
+    that was cut off is done again from the same checkpoint."""
     spark = requests.sparkSession
-    stored = None  # A10 on a fresh store: absent = zero time
-    ckpt = ticks[0] - look_back
-    if stored is not None and stored > ckpt:
-        ckpt = stored
-    for k, now in enumerate(ticks):
-        lo, hi = ntz_lit(ckpt), ntz_lit(now - min_age)
-        rows = scan_requests(requests, metadata, PENDING, lo, hi, limit).withColumn("_poll", F.lit(k))
-        summ = sent_prefix_checkpoint(rows, "_poll", failed)
-        s = summ.first()
-        start = ckpt
-        if s is not None and s["next_checkpoint"] > ckpt:
-            ckpt = s["next_checkpoint"]
-            store.write("checkpoint", k, spark.range(1).select(F.lit("rpoll").alias("name"),
-                                                               ntz_lit(ckpt).alias("value")))
-        tick_row = spark.range(1).select(
-            F.lit(k).alias("tick"), ntz_lit(now).alias("now"), ntz_lit(start).alias("checkpoint"),
-            F.lit(s["n_rows"] if s else 0).cast("long").alias("n_rows"),
-            F.lit(s["n_sent"] if s else 0).cast("long").alias("n_sent"),
-            ntz_lit(ckpt).alias("next_checkpoint"))
-        store.write("ticks", k, tick_row)
+    lo, hi = ntz_lit(checkpoint), ntz_lit(now - min_age)
+    found = filter_open_interval(filter_status(requests), lo, hi).orderBy("created_at", "request_id").limit(limit)
+    store.write("polled", tick, found.withColumn("_failed", failed))
+    rows = store.read("polled", tick)
+    place = F.struct("created_at", "request_id")
+    # one aggregate over the polled rows: all places, the first failure, the last place before it
+    s = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_failed"), place)).alias("fail"), F.min("created_at").alias("first")).first()
+    ok = F.lit(True) if s["fail"] is None else place < F.struct(
+        ntz_lit(s["fail"]["created_at"]).alias("created_at"), F.lit(s["fail"]["request_id"]).alias("request_id"))
+    sent = rows.filter(ok)
+    store.write("messages", tick, request_to_message(sent))
+    done = sent.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last")).first()
+    proposed = done["last"] or (s["first"] - timedelta(milliseconds=1) if s["n"] else None)
+    after = proposed if proposed is not None and proposed > checkpoint else checkpoint
+    alert = spark.range(1).select(F.lit(title).alias("title"), F.lit(ALERT_DESC_UNPROCESSED).alias("desc"),
+                                  unprocessed_alert(F.lit(s["n"]), go_time_text(lo)).alias("content"), ntz_lit(now).alias("ts"))
+    store.write("alerts", tick, alert.filter(F.lit(s["n"] > 0)))
+    store.write("ticks", tick, spark.range(1).select(
+        F.lit(tick).alias("tick"), ntz_lit(now).alias("now"), lo.alias("checkpoint"), F.lit(s["n"]).cast("long").alias("n_rows"),
+        F.lit(done["n"]).cast("long").alias("n_sent"), ntz_lit(after).alias("next_checkpoint")))
+    store.write("checkpoint", tick, spark.range(1).select(F.lit(POLL_CHECKPOINT).alias("name"), ntz_lit(after).alias("value")))
+    return after
+
+
+def incremental_backfill(requests: DataFrame, ticks: list[datetime], store, failed: Column, limit: int,
+                         min_age: timedelta = POLL_MIN_AGE, look_back: timedelta = POLL_LOOK_BACK) -> DataFrame:
+    """The poller as a scheduled job, one ``poll_tick`` per tick.
+
+    At start the checkpoint is read from the store (A10) and floored to
+    ``first tick to run - look_back`` (B3); ticks whose checkpoint is stored
+    are not run again, so a restart goes on where the last run stopped."""
+    done = store.newest("checkpoint")
+    todo = [(k, now) for k, now in enumerate(ticks) if k > done]
+    if todo:
+        checkpoint = todo[0][1] - look_back
+        if done >= 0:
+            stored = load_checkpoint(store.read("checkpoint", done), requests.sparkSession.range(1).select(
+                F.lit(POLL_CHECKPOINT).alias("name"))).first()["value"]
+            checkpoint = max(checkpoint, stored)
+        for k, now in todo:
+            checkpoint = poll_tick(requests, k, now, checkpoint, store, failed, limit, min_age)
     return store.read_all("ticks").drop("epoch")

@@ -1,8 +1,9 @@
 """J2 batch_requests: size / linger / UTC-flush batching over a bounded table.
 
-Rows are taken in ``(ts, rid)`` order inside their flush window (H1). A batch
-closes when it holds ``size`` rows, when ``linger`` has passed since its first
-member, or at the window boundary.
+Rows ``(rid, ts[, arrival_seq])`` are taken in order of their arrival time
+``ts``; rows that arrive at one time follow ``arrival_seq`` (``rid`` where
+there is none). A batch closes when it holds ``size`` rows, when ``linger``
+has passed since its first member, or at the UTC flush boundary (H1).
 
 * linger >= flush interval (the defaults): the boundary always fires first,
   so batch = ``(window, (rn - 1) div size)`` (E8) with ``rn`` a distributed
@@ -11,40 +12,39 @@ member, or at the window boundary.
   row ``next(i) = min(rn_i + size, 1 + #rows with ts < ts_i + linger)``;
   batch starts are the orbit of row 1 under ``next``. ``#rows with ts < t``
   is a prefix count over rows and probes; the orbit comes from pointer
-  doubling (log2 of the largest window in joins, each checkpointed to the
-  shared folder so lineage stays short and lost executors are recomputed
-  from the last round only).
+  doubling over the rows whose batch closes on linger (see
+  ``_linger_batch_numbers``), each round written to the shared folder so
+  lineage stays short and a lost executor costs a reread.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import batch_key, deterministic_batch_id
 from ..functions.timecols import (epoch_micros, flush_boundary_micros,
                                   flush_window, micros_of, ntz_from_micros)
-from ..options import DEFAULT_SCAN_SPAN, BatchOptions
-from ..session import shared_dir
-from .scan import largest_group, ordinal, prefix_max_before, prefix_sum
+from ..options import BatchOptions
+from ..session import materialise
+from .scan import ordinal, prefix_max_before, prefix_sum
+
+ORDER = "_ord"
+
+
+def arrival_order(rows: DataFrame) -> str:
+    """The column that orders rows of one arrival time."""
+    return "arrival_seq" if "arrival_seq" in rows.columns else "rid"
 
 
 def _prepared(rows: DataFrame, opts: BatchOptions) -> DataFrame:
     us = epoch_micros("ts", rows.schema["ts"].dataType)
-    return (rows.withColumn("_us", us)
+    return (rows.withColumn("_us", us).withColumn(ORDER, F.col(arrival_order(rows)))
             .withColumn("flush_window", flush_window(F.col("_us"), opts.flush)))
 
 
-def _slice(c: str, opts: BatchOptions):
-    return F.floor(F.col(c) / F.lit(micros_of(opts.slice)))
-
-
 def batch_ordinal(rows: DataFrame, opts: BatchOptions) -> DataFrame:
     """``rn`` within the flush window and, in the closed form, ``batch_no``."""
-    d = ordinal(_prepared(rows, opts), ["flush_window"], _slice("_us", opts),
-                [F.col("_us"), F.col("rid")], "rn")
+    d = ordinal(_prepared(rows, opts), ["flush_window"], ["_us", ORDER], "rn")
     return d.withColumn("batch_no", F.floor((F.col("rn") - 1) / F.lit(opts.size)).cast("long"))
 
 
@@ -53,37 +53,26 @@ def _linger_limits(d: DataFrame, opts: BatchOptions) -> DataFrame:
     prefix count over rows and probes (probes sort before rows of equal
     time, so the inclusive count at a probe counts strictly earlier rows)."""
     lin = micros_of(opts.linger)
-    data = d.select("flush_window", "_us", "rid", "rn", F.lit(1).alias("_is_row"))
-    probes = d.select("flush_window", (F.col("_us") + F.lit(lin)).alias("_us"),
-                      F.col("rid"), F.col("rn"), F.lit(0).alias("_is_row"))
-    counted = prefix_sum(data.unionByName(probes), ["flush_window"], _slice("_us", opts),
-                         [F.col("_us"), F.col("_is_row"), F.col("rid")],
+    data = d.select("flush_window", "_us", "rn", F.lit(1).alias("_is_row"))
+    probes = d.select("flush_window", (F.col("_us") + F.lit(lin)).alias("_us"), "rn", F.lit(0).alias("_is_row"))
+    counted = prefix_sum(data.unionByName(probes), ["flush_window"], ["_us", "_is_row", "rn"],
                          F.col("_is_row").cast("long"), "_lt")
     return (counted.filter(F.col("_is_row") == 0)
             .select("flush_window", F.col("rn").alias("i"), (F.col("_lt") + 1).alias("lim")))
 
 
-def _orbit(ptr: DataFrame, start: DataFrame, max_n: int, spark) -> DataFrame:
+def _orbit(ptr: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes reachable from ``start(flush_window, i)`` under ``ptr(flush_window, i, j)``,
     by pointer doubling; pointers past the last node are absent and end the walk.
-    Each round is checkpointed to the shared folder; the loop stops once the
-    reached set stops growing (the walk is then complete)."""
-    shared_dir(spark)
-    reach = start.select("flush_window", "i").checkpoint()
-    jump = ptr
-    known = reach.count()
-    for _ in range(max(1, math.ceil(math.log2(max_n + 1)))):
-        step = (reach.join(jump, ["flush_window", "i"])
-                .select("flush_window", F.col("j").alias("i")))
-        reach = reach.unionByName(step).distinct().checkpoint()
-        grown = reach.count()
-        if grown == known:
-            # closed under next^(2^k): every walk ended within 2^k steps
-            break
-        known = grown
-        j2 = jump.select("flush_window", F.col("i").alias("j"), F.col("j").alias("j2"))
-        jump = (jump.join(j2, ["flush_window", "j"])
-                .select("flush_window", "i", F.col("j2").alias("j")).checkpoint())
+    A round squares the pointers and adds what they reach; it stops when no
+    pointer is left that leads anywhere."""
+    reach, jump = start.select("flush_window", "i"), ptr
+    while not jump.isEmpty():
+        step = reach.join(jump, ["flush_window", "i"]).select("flush_window", F.col("j").alias("i"))
+        reach = materialise(reach.unionByName(step).distinct(), "orbit")
+        further = jump.select("flush_window", F.col("i").alias("j"), F.col("j").alias("j2"))
+        jump = materialise(jump.join(further, ["flush_window", "j"])
+                           .select("flush_window", "i", F.col("j2").alias("j")), "jump")
     return reach
 
 
@@ -104,7 +93,6 @@ def _linger_batch_numbers(d: DataFrame, opts: BatchOptions) -> DataFrame:
     chain segment ``[v, jmp(v)]`` then holds starts ``v, v + size, ...`` and
     a row's batch number is arithmetic on its segment."""
     size = opts.size
-    spark = d.sparkSession
     nw = d.groupBy("flush_window").agg(F.count(F.lit(1)).alias("_n"))
     nodes = (_linger_limits(d, opts)
              .withColumn("dense", F.col("lim") >= F.col("i") + F.lit(size))
@@ -112,16 +100,15 @@ def _linger_batch_numbers(d: DataFrame, opts: BatchOptions) -> DataFrame:
              .withColumn("_neg", -F.col("i")))
     # jmp(i): first non-dense node at or after i in i's residue class (a suffix min)
     nodes = prefix_max_before(nodes, ["flush_window", "_res"], "_neg",
-                              F.when(~F.col("dense"), -F.col("i")), "_nd", DEFAULT_SCAN_SPAN)
-    nodes = (nodes.withColumn("jmp", F.when(~F.col("dense"), F.col("i")).otherwise(-F.col("_nd")))
-             .select("flush_window", "i", "lim", "dense", "jmp").checkpoint())
+                              F.when(~F.col("dense"), -F.col("i")), "_nd")
+    nodes = materialise(nodes.withColumn("jmp", F.when(~F.col("dense"), F.col("i")).otherwise(-F.col("_nd")))
+                        .select("flush_window", "i", "lim", "dense", "jmp"), "nodes")
     look = nodes.select("flush_window", F.col("i").alias("lim"), F.col("jmp").alias("j"))
-    graph = (nodes.filter(~F.col("dense")).select("flush_window", "i", "lim")
-             .join(look, ["flush_window", "lim"]).filter(F.col("j").isNotNull())
-             .select("flush_window", "i", "j").checkpoint())
+    graph = materialise(nodes.filter(~F.col("dense")).select("flush_window", "i", "lim")
+                        .join(look, ["flush_window", "lim"]).filter(F.col("j").isNotNull())
+                        .select("flush_window", "i", "j"), "graph")
     start = nodes.filter((F.col("i") == 1) & F.col("jmp").isNotNull()).select("flush_window", F.col("jmp").alias("i"))
-    max_m = largest_group(nodes.filter(~F.col("dense")), ["flush_window"])
-    reached = _orbit(graph, start, max_m, spark)
+    reached = _orbit(graph, start)
     # segment starts: row 1, and lim(u) of every reached non-dense u inside the window
     follow = (reached.join(nodes.select("flush_window", "i", "lim"), ["flush_window", "i"])
               .join(nw, "flush_window").filter(F.col("lim") <= F.col("_n"))
@@ -129,38 +116,27 @@ def _linger_batch_numbers(d: DataFrame, opts: BatchOptions) -> DataFrame:
     segs = nw.select("flush_window", F.lit(1).cast("long").alias("v")).unionByName(follow)
     segs = (segs.join(nodes.select("flush_window", F.col("i").alias("v"), "jmp"), ["flush_window", "v"])
             .join(nw, "flush_window"))
-    starts = F.when(F.col("jmp").isNotNull(), F.floor((F.col("jmp") - F.col("v")) / F.lit(size)) + 1) \
-        .otherwise(F.floor((F.col("_n") - F.col("v")) / F.lit(size)) + 1).cast("long")
-    segs = prefix_sum(segs, ["flush_window"], F.floor(F.col("v") / F.lit(DEFAULT_SCAN_SPAN)), [F.col("v")],
-                      starts, "_before", inclusive=False).select("flush_window", "v", "_before")
+    end = F.coalesce("jmp", "_n")
+    starts = (F.floor((end - F.col("v")) / F.lit(size)) + 1).cast("long")
+    segs = materialise(prefix_sum(segs, ["flush_window"], ["v"], starts, "_before", inclusive=False)
+                       .select("flush_window", "v", "_before"), "segments")
     # each row's segment: the greatest segment start at or before it
-    marks = segs.select("flush_window", (F.col("v") * 2).alias("_seq"), F.col("v").alias("_val"),
+    marks = segs.select("flush_window", (F.col("v") * 2).alias("_seq"), F.struct("v", "_before").alias("_val"),
                         F.lit(None).cast("long").alias("rn"))
-    rows = d.select("flush_window", (F.col("rn") * 2 + 1).alias("_seq"), F.lit(None).cast("long").alias("_val"), "rn")
-    seg_of = (prefix_max_before(marks.unionByName(rows), ["flush_window"], "_seq", F.col("_val"), "v",
-                                DEFAULT_SCAN_SPAN)
-              .filter(F.col("rn").isNotNull()).select("flush_window", "rn", "v"))
-    num = (seg_of.join(segs, ["flush_window", "v"])
-           .select("flush_window", "rn",
-                   (F.col("_before") + F.floor((F.col("rn") - F.col("v")) / F.lit(size))).cast("long")
-                   .alias("batch_no")))
+    rows = d.select("flush_window", (F.col("rn") * 2 + 1).alias("_seq"), F.lit(None).cast(marks.schema["_val"].dataType).alias("_val"), "rn")
+    num = (prefix_max_before(marks.unionByName(rows), ["flush_window"], "_seq", F.col("_val"), "_seg")
+           .filter(F.col("rn").isNotNull())
+           .select("flush_window", "rn", (F.col("_seg._before") + F.floor((F.col("rn") - F.col("_seg.v")) / F.lit(size)))
+                   .cast("long").alias("batch_no")))
     return d.drop("batch_no").join(num, ["flush_window", "rn"])
 
 
 def assign_batches(rows: DataFrame, opts: BatchOptions) -> DataFrame:
     """Rows (``rid, ts`` + any) with ``flush_window, rn, batch_no`` added."""
     d = batch_ordinal(rows, opts)
-    if opts.linger >= opts.flush:
-        return d.drop("_us").withColumn("_first", F.lit(None))
-    shared_dir(rows.sparkSession)
-    d = _linger_batch_numbers(d.checkpoint(), opts)
-    return d.drop("_us").withColumn("_first", F.lit(None))
-
-
-@dataclass
-class BatchResult:
-    members: DataFrame   # one row per member: bid, position, rid
-    batches: DataFrame   # one row per batch: bid, key, rids, size, reason, ...
+    if opts.linger < opts.flush:
+        d = _linger_batch_numbers(materialise(d, "ordinals"), opts)
+    return d.drop("_us", ORDER)
 
 
 def collect_batches(assigned: DataFrame, opts: BatchOptions) -> DataFrame:
@@ -192,6 +168,18 @@ def batch_requests(rows: DataFrame, opts: BatchOptions) -> DataFrame:
     return collect_batches(assign_batches(rows, opts), opts)
 
 
-def size_distribution(batches: DataFrame) -> DataFrame:
-    """D3: histogram of batch sizes (the service records one sample per batch)."""
-    return batches.groupBy(F.col("n").alias("batch_size")).agg(F.count(F.lit(1)).alias("n_batches"))
+#: Upper ends of the size classes of the distribution, as shares of ``size``.
+SIZE_CLASSES = (0.25, 0.5, 0.75, 1.0)
+
+
+def size_distribution(batches: DataFrame, size: int, classes: tuple[float, ...] = SIZE_CLASSES) -> DataFrame:
+    """D3: the distribution of batch sizes (the service records one sample per
+    batch): samples per class with its upper end, and least, greatest, mean
+    and median size within it. One partial + final aggregate."""
+    bounds = [max(1, int(size * c)) for c in classes]
+    upper = F.lit(None).cast("long")
+    for b in sorted(bounds, reverse=True):
+        upper = F.when(F.col("n") <= b, F.lit(b).cast("long")).otherwise(upper)
+    return batches.groupBy(upper.alias("size_upto")).agg(
+        F.count(F.lit(1)).alias("n_batches"), F.sum("n").alias("n_requests"), F.min("n").alias("min_size"),
+        F.max("n").alias("max_size"), F.avg("n").alias("avg_size"), F.median("n").alias("median_size"))

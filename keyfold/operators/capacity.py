@@ -32,10 +32,14 @@ def capacity_plan(unprocessed: Column, inflight: Column, existing: Column,
     return {"required": required.cast("long"), "allowed": allowed.cast("long"), "create": create}
 
 
+# fixed values: the pipeline's queues
+QUEUES = ["validate", "ready", "batch", "status", "failure", "dlq"]
+
+
 def queue_utilisation(messages: DataFrame, sample_key: str) -> DataFrame:
-    """(unprocessed, inflight) per sample from a message-state table
-    (``state`` in queued / inflight)."""
-    return messages.groupBy(sample_key).agg(
+    """(unprocessed, inflight) per sample and queue from a message-state
+    table (``queue``; ``state`` in queued / inflight)."""
+    return messages.groupBy(sample_key, "queue").agg(
         F.count_if(F.col("state") == "queued").alias("unprocessed"),
         F.count_if(F.col("state") == "inflight").alias("inflight"))
 
@@ -47,6 +51,11 @@ def latest_job_state(states: DataFrame) -> DataFrame:
     return states.groupBy("job").agg(best).select("job", "s.stage", "s.ts")
 
 
+def missing_jobs(requested: DataFrame, latest: DataFrame) -> DataFrame:
+    """Requested jobs (``job``) without any state: an error to the service."""
+    return requested.join(latest, "job", "left_anti")
+
+
 def existing_jobs(latest: DataFrame) -> DataFrame:
     """Non-terminal jobs (terminal = completed, failed)."""
     return latest.agg(F.count_if(~F.col("stage").isin(*TERMINAL_STAGES)).alias("existing_jobs"))

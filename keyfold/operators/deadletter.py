@@ -55,9 +55,3 @@ def quarantine_route(parsed: DataFrame) -> DataFrame:
     """B7 in one pass: ``route`` = quarantine / valid; a sink can then write
     both routes from one scan (``partitionBy("route")``)."""
     return parsed.withColumn("route", F.when(F.col("malformed"), "quarantine").otherwise("valid"))
-
-
-def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split parsed messages into (valid, quarantined). Malformed input is
-    deterministic, so it goes straight to quarantine instead of retrying."""
-    return parsed.filter(~F.col("malformed")), parsed.filter(F.col("malformed"))

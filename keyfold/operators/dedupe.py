@@ -26,11 +26,12 @@ Existing state takes part as seed rows with ``arrival_seq = -1``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..options import DEFAULT_SCAN_SPAN
-from ..session import shared_dir
+from ..functions.timecols import micros_of
+from ..session import materialise
 from .scan import prefix_max_before
 
 DELIVERY_COLS = ["rid", "stream_id", "origin", "cid", "ts", "crt", "arrival_seq"]
@@ -48,6 +49,16 @@ class DedupeResult:
     cids: DataFrame       # D6: cid state after the run
 
 
+def expired(crt: Column, ttl: timedelta, now: Column) -> Column:
+    """Whether a stored row's time to live is over at ``now``."""
+    return F.timestamp_add("MICROSECOND", F.lit(micros_of(ttl)), crt) < now
+
+
+def expire(state: DataFrame, ttl: timedelta, now: Column) -> DataFrame:
+    """The state without the rows whose time to live is over."""
+    return state.filter(~expired(F.col("crt"), ttl, now))
+
+
 def seed_rows(deliveries: DataFrame, tip_state: DataFrame | None) -> DataFrame:
     """Stored tips as pseudo-deliveries with ``arrival_seq = -1``.
 
@@ -56,20 +67,18 @@ def seed_rows(deliveries: DataFrame, tip_state: DataFrame | None) -> DataFrame:
     rows = deliveries.select(*DELIVERY_COLS, F.lit(False).alias("_seed"))
     if tip_state is None:
         return rows
-    touched = deliveries.select("stream_id", "origin")
+    touched = deliveries.select("stream_id", "origin").distinct()
     seeds = (tip_state.join(touched, ["stream_id", "origin"], "left_semi")
              .select(*TIP_COLS).withColumn("arrival_seq", F.lit(-1).cast("long"))
              .select(*DELIVERY_COLS, F.lit(True).alias("_seed")))
     return rows.unionByName(seeds)
 
 
-def tip_flags(deliveries: DataFrame, tip_state: DataFrame | None = None,
-              span: int = DEFAULT_SCAN_SPAN) -> DataFrame:
+def tip_flags(deliveries: DataFrame, tip_state: DataFrame | None = None) -> DataFrame:
     """E1 tip_accept, E2 previous_tip, E4 reprocessed_flag per delivery."""
     rows = seed_rows(deliveries, tip_state)
     tip = F.struct(F.col("ts").alias("ts"), F.col("arrival_seq").alias("seq"), F.col("rid").alias("rid"))
-    rows = prefix_max_before(rows, ["stream_id", "origin"], "arrival_seq", tip, "_prev", span,
-                             total_out="_final")
+    rows = prefix_max_before(rows, ["stream_id", "origin"], "arrival_seq", tip, "_prev", total_out="_final")
     rows = rows.filter(~F.col("_seed"))
     accepted = F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev.ts"))
     return (rows
@@ -89,15 +98,17 @@ def first_cid_flags(flags: DataFrame, cid_state: DataFrame | None = None) -> Dat
     if cid_state is not None:
         # stored pairs win with seq -1; only pairs present in the input matter
         seeds = (cid_state.select("stream_id", "cid")
-                 .join(acc.select("stream_id", "cid"), ["stream_id", "cid"], "left_semi")
+                 .join(acc.select("stream_id", "cid").distinct(), ["stream_id", "cid"], "left_semi")
                  .withColumn("arrival_seq", F.lit(-1).cast("long")))
         acc = acc.unionByName(seeds)
+    # only accepted rows can be winners, so only they take part in the join back
     winners = (acc.groupBy("stream_id", "cid").agg(F.min("arrival_seq").alias("arrival_seq"))
                .filter(F.col("arrival_seq") >= 0)
                .select("arrival_seq", F.lit(True).alias("_new")))
-    return (flags.join(winners, "arrival_seq", "left")
-            .withColumn("new_cid", F.coalesce(F.col("_new"), F.lit(False)))
-            .drop("_new"))
+    accepted = (flags.filter("accepted").join(winners, "arrival_seq", "left")
+                .withColumn("new_cid", F.coalesce(F.col("_new"), F.lit(False))).drop("_new"))
+    stale = flags.filter(~F.col("accepted")).withColumn("new_cid", F.lit(False))
+    return stale.select(*accepted.columns).unionByName(accepted)
 
 
 def mark_stored_cids(rows: DataFrame, cid_state: DataFrame) -> DataFrame:
@@ -105,11 +116,16 @@ def mark_stored_cids(rows: DataFrame, cid_state: DataFrame) -> DataFrame:
     (stream, cid) pair is already in ``cid_state`` (the left-semi side) and
     false otherwise (the left-anti side). State pairs are distinct, so the
     left join keeps the row count."""
-    known = cid_state.select("stream_id", "cid").distinct().withColumn("_known", F.lit(True))
+    known = cid_state.select("stream_id", "cid").withColumn("_known", F.lit(True))
     return (rows.join(known, ["stream_id", "cid"], "left")
             .withColumn("cid_stored", F.coalesce(F.col("_known"), F.lit(False))).drop("_known"))
 
 
+def ready_rows(flags: DataFrame) -> DataFrame:
+    """The deliveries that went READY (redelivered tips and new cids)."""
+    return flags.filter(F.col("accepted") & (F.col("reprocessed") | F.col("new_cid"))).select(*DELIVERY_COLS)
+
+
 def outcomes_of(flags: DataFrame) -> DataFrame:
     """G1 dedupe_outcomes: each delivery yields 1-2 status events, in one pass."""
     acc, reproc, new_cid = F.col("accepted"), F.col("reprocessed"), F.col("new_cid")
@@ -170,18 +186,13 @@ def cid_state_after(flags: DataFrame, cid_state: DataFrame | None = None) -> Dat
 
 
 def dedupe_requests(deliveries: DataFrame, tip_state: DataFrame | None = None,
-                    cid_state: DataFrame | None = None,
-                    span: int = DEFAULT_SCAN_SPAN, materialize: bool = True) -> DedupeResult:
+                    cid_state: DataFrame | None = None) -> DedupeResult:
     """J1 on a bounded set of deliveries, optionally continuing from stored state.
 
-    The tip flags feed both the first-cid aggregate and the join back, so by
-    default they are written once with a reliable ``checkpoint()`` to the
-    shared folder: the scan/shuffle/window pipeline runs once, lineage is cut
-    and a lost executor recomputes from the checkpoint, not from the source."""
-    tf = tip_flags(deliveries, tip_state, span)
-    if materialize:
-        shared_dir(deliveries.sparkSession)
-        tf = tf.checkpoint(eager=True)
+    The tip flags feed the first-cid aggregate, the join back and the state,
+    so they are written once, as columns, to the shared folder; each reader
+    then scans only the columns it needs."""
+    tf = materialise(tip_flags(deliveries, tip_state), "tip-flags")
     flags = first_cid_flags(tf, cid_state)
     return DedupeResult(flags=flags, outcomes=outcomes_of(flags),
                         tips=tip_state_after(tf, tip_state),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import METRIC_EXCLUDE_PATTERN
+from ..functions.text import METRIC_EXCLUDE_PATTERN, metric_name
 
 # fixed values: counter names of the service
 COUNTERS = [
@@ -22,6 +22,30 @@ def filter_metric_names(samples: DataFrame, name: str = "metric") -> DataFrame:
     return samples.filter(~F.col(name).rlike(METRIC_EXCLUDE_PATTERN))
 
 
+def samples(df: DataFrame, metric, kind: str, ts, value) -> DataFrame:
+    """Metric samples (metric, ts, value) under the exporter's names:
+    ``count`` for counters, ``gauge`` for gauges, ``histogram`` for single
+    samples of a distribution."""
+    return df.select(metric_name(metric, kind).alias("metric"), ts.alias("ts"), value.cast("long").alias("value"))
+
+
+def pending_gauge(pending: DataFrame, ts) -> DataFrame:
+    """The pending-requests gauge from D1's one-row count."""
+    return samples(pending, F.lit(GAUGE_PENDING), "gauge", ts, F.col("pending_requests"))
+
+
+def batch_size_samples(batches: DataFrame) -> DataFrame:
+    """One sample of the batch-size distribution a batch, at its boundary."""
+    return samples(batches, F.lit(DISTRIBUTION_BATCH_SIZE), "histogram", F.col("boundary"), F.col("n"))
+
+
+def queue_gauges(utilisation: DataFrame, ts) -> DataFrame:
+    """Two gauges a queue and sample: what waits and what is in flight."""
+    both = utilisation.select(ts.alias("_ts"), F.explode(F.array(*[
+        F.struct(F.concat(F.col("queue"), F.lit("_" + k)).alias("m"), F.col(k).alias("v")) for k in ("unprocessed", "inflight")])).alias("g"))
+    return samples(both, F.col("g.m"), "gauge", F.col("_ts"), F.col("g.v"))
+
+
 def counter_totals(parts: list[DataFrame]) -> DataFrame:
     """One total per counter; ``parts`` are ``(metric, value)`` frames.
     Counters with no increments report 0."""

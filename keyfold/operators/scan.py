@@ -2,21 +2,20 @@
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts every row of a key into
 one task, so a key holding a third of the data becomes one third of the job in
-one task. The scans here cut each key into *chunks* that are contiguous in the
-scan order, aggregate every chunk (partial + final aggregate), carry the
-prefix of earlier chunks over a small window of chunk summaries, join that
-carry back on ``(key, chunk)`` and finish with a window per ``(key, chunk)``.
-Every operator is associative (max, sum), so the result equals the single
-window over the whole key.
-
-The chunk summary table has one row per (key, chunk); AQE turns the join into
-a broadcast only when that table is small at run time, otherwise it stays a
-sort-merge join. One exchange of the rows is paid, on ``(key, chunk)``.
-
-The chunked plan is chosen behind a size check, like a broadcast: one
-partial/final count per key finds the largest key; when no key holds more
-than ``max_rows_per_task`` rows the plain keyed window is already bounded
-per task and is used directly (fewer stages), otherwise the chunked scan.
+one task. The scans here always work in *chunks*:
+
+1. The rows are range-partitioned on (key, order). A range partition holds about
+   rows / partitions rows whatever the keys and however sparse or dense the order
+   column is, and a key's rows lie in consecutive partitions. The partition number
+   is the chunk.
+2. The numbered rows are written once to the shared folder, so both sides below
+   see the same chunks, lineage is cut and a lost executor costs a reread.
+3. Each (key, chunk) is aggregated (partial + final), the carry of a key's earlier
+   chunks is a window over that small table (at most one row a chunk and key),
+   and the rows' own window runs inside (key, chunk).
+
+Every operator is associative (max, sum), so the result equals the single window
+over the whole key. There is no other plan for small inputs.
 """
 
 from __future__ import annotations
@@ -25,94 +24,66 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# rows one window task may hold before a key is split into chunks
-DEFAULT_MAX_ROWS_PER_TASK = 1 << 22
+from ..session import materialise
 
-_CHUNK = "_kf_chunk"
-_CARRY = "_kf_carry"
+CHUNK = "_kf_chunk"
+_CARRY, _VALUE, _PART, _TOTAL = "_kf_carry", "_kf_v", "_kf_part", "_kf_total"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group (a partial + final hash count, one scalar to the driver)."""
-    r = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """``df`` with its chunk numbers, materialised. Chunks follow (keys,
+    order); ``order`` must be total within a key."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys, *order)
+    return materialise(dealt.withColumn(CHUNK, F.spark_partition_id()), "scan")
 
 
-def prefix_max_before(df: DataFrame, keys: Sequence[str], seq: str, value: Column,
-                      out: str, span: int, max_rows_per_task: int | None = None,
+def _carried(d: DataFrame, keys: list[str], partial: Column, before: Column, total: Column) -> DataFrame:
+    """Rows of a chunked table with the aggregate of the key's earlier chunks
+    (and of all its chunks) beside them."""
+    sums = d.groupBy(*keys, CHUNK).agg(partial.alias(_PART))
+    carry = sums.select(*[F.col(k).alias(f"_kf_k{i}") for i, k in enumerate(keys)], F.col(CHUNK).alias("_kf_c"),
+                        before.alias(_CARRY), total.alias(_TOTAL))
+    same = [d[k].eqNullSafe(carry[f"_kf_k{i}"]) for i, k in enumerate(keys)]
+    on = d[CHUNK] == carry["_kf_c"]
+    for cond in same:
+        on = on & cond
+    return d.join(carry, on, "left").drop("_kf_c", *[f"_kf_k{i}" for i in range(len(keys))])
+
+
+def prefix_max_before(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str,
                       total_out: str | None = None) -> DataFrame:
     """``out`` = max(value) over rows of the same key with a smaller ``seq``
     (null when there is none); ``total_out`` (optional) = max(value) over the
-    whole key, from the same window / the same chunk carries (no extra pass).
-    ``seq`` must be unique within a key; a chunk is ``span`` consecutive
-    ``seq`` values, so holds at most ``span`` rows. ``max_rows_per_task``
-    (default ``span``) bounds the plain-window path."""
+    whole key, from the same chunk carries. ``seq`` must be unique within a key."""
     keys = list(keys)
-    bound = span if max_rows_per_task is None else max_rows_per_task
-    if largest_group(df, keys) <= bound:
-        w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-        d = df.withColumn(out, F.max(value).over(w))
-        if total_out:
-            w_all = (Window.partitionBy(*keys).orderBy(seq)
-                     .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-            d = d.withColumn(total_out, F.max(value).over(w_all))
-        return d
-    d = df.withColumn("_kf_v", value).withColumn(_CHUNK, F.floor(F.col(seq) / F.lit(span)))
-    summ = d.groupBy(*keys, _CHUNK).agg(F.max("_kf_v").alias("_kf_cmax"))
-    w_chunks = (Window.partitionBy(*keys).orderBy(_CHUNK)
-                .rowsBetween(Window.unboundedPreceding, -1))
-    w_key = (Window.partitionBy(*keys).orderBy(_CHUNK)
-             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    carry = summ.select(*keys, _CHUNK, F.max("_kf_cmax").over(w_chunks).alias(_CARRY),
-                        F.max("_kf_cmax").over(w_key).alias("_kf_total"))
-    d = d.join(carry, on=[*keys, _CHUNK], how="left")
-    w_rows = (Window.partitionBy(*keys, _CHUNK).orderBy(seq)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    local = F.max("_kf_v").over(w_rows)
+    d = chunked(df.withColumn(_VALUE, value), keys, [seq])
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+    d = _carried(d, keys, F.max(_VALUE),
+                 F.max(_PART).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)),
+                 F.max(_PART).over(by_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     # greatest() skips nulls: no carry or no earlier row in the chunk
-    d = d.withColumn(out, F.greatest(F.col(_CARRY), local))
+    d = d.withColumn(out, F.greatest(F.col(_CARRY), F.max(_VALUE).over(inside)))
     if total_out:
-        d = d.withColumn(total_out, F.col("_kf_total"))
-    return d.drop("_kf_v", _CHUNK, _CARRY, "_kf_total")
+        d = d.withColumn(total_out, F.col(_TOTAL))
+    return d.drop(_VALUE, CHUNK, _CARRY, _TOTAL)
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column],
-               value: Column, out: str, inclusive: bool = True,
-               max_rows_per_task: int | None = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
+               inclusive: bool = True) -> DataFrame:
     """``out`` = sum(value) over rows of the same key that come before (or at,
-    when ``inclusive``) each row in ``order``. ``chunk`` must be monotone in
-    ``order`` within a key (for example a time slice of the order column);
-    it bounds how many rows share one task. With ``max_rows_per_task`` set,
-    keys that all fit that bound use the plain keyed window."""
+    when ``inclusive``) each row in ``order`` (columns, total within a key)."""
     keys = list(keys)
-    end = 0 if inclusive else -1
-    if max_rows_per_task is not None and largest_group(df, keys) <= max_rows_per_task:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    d = df.withColumn("_kf_v", value).withColumn(_CHUNK, chunk)
-    summ = d.groupBy(*keys, _CHUNK).agg(F.sum("_kf_v").alias("_kf_csum"))
-    w_chunks = (Window.partitionBy(*keys).orderBy(_CHUNK)
-                .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summ.select(*keys, _CHUNK,
-                        F.coalesce(F.sum("_kf_csum").over(w_chunks), F.lit(0)).alias(_CARRY))
-    d = d.join(carry, on=[*keys, _CHUNK], how="left")
-    w_rows = (Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, end))
-    local = F.coalesce(F.sum("_kf_v").over(w_rows), F.lit(0))
-    return d.withColumn(out, F.col(_CARRY) + local).drop("_kf_v", _CHUNK, _CARRY)
-
-
-def ordinal(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column],
-            out: str, max_rows_per_task: int | None = DEFAULT_MAX_ROWS_PER_TASK) -> DataFrame:
-    """1-based row number within ``keys`` in ``order`` (a distributed row_number)."""
-    return prefix_sum(df, keys, chunk, order, F.lit(1).cast("long"), out, inclusive=True,
-                      max_rows_per_task=max_rows_per_task)
+    d = chunked(df.withColumn(_VALUE, value), keys, order)
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+    d = _carried(d, keys, F.sum(_VALUE),
+                 F.coalesce(F.sum(_PART).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(None))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = F.coalesce(F.sum(_VALUE).over(inside), F.lit(0))
+    return d.withColumn(out, F.col(_CARRY) + local).drop(_VALUE, CHUNK, _CARRY, _TOTAL)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin spread of an input that has fewer partitions than the
-    session can run at once (a one-file or one-row-group input), before
-    per-row heavy work such as JSON decoding. At cluster scale an input has
-    far more splits than cores and this is a no-op (planning only, no job)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """1-based row number within ``keys`` in ``order`` (a distributed row_number)."""
+    return prefix_sum(df, keys, order, F.lit(1).cast("long"), out)

@@ -66,13 +66,3 @@ def update_status(requests: DataFrame, events: DataFrame, as_of: Column) -> Data
            .withColumn("updated_at", F.when(F.col("changed"), as_of).otherwise(F.col("updated_at")))
            .withColumn("status", F.col("_new")))
     return out.drop("_new", "last_set", "last_set_seq", "last_replaced_seq", "n_events")
-
-
-def status_metrics(events: DataFrame, requests: DataFrame) -> DataFrame:
-    """Counters of J3: ingress messages, ``status_updated`` as the service
-    counts it (every processed message), and rows really changed."""
-    ingress = events.agg(F.count(F.lit(1)).alias("n")).select(F.lit("status_ingress_message").alias("metric"), "n")
-    upd = ingress.select(F.lit("status_updated").alias("metric"), "n")
-    ch = (requests.filter("changed").agg(F.count(F.lit(1)).alias("n"))
-          .select(F.lit("status_rows_changed").alias("metric"), "n"))
-    return ingress.unionByName(upd).unionByName(ch)

@@ -19,18 +19,12 @@ DEFAULT_MAX_WORKERS = 1
 DEFAULT_AMORTIZATION = 1.0
 MONITOR_TICK = timedelta(seconds=30)
 
-# Rows per chunk of a keyed prefix scan, in arrival-sequence units. A key with
-# more rows than this is spread over several tasks (see operators/scan.py).
-DEFAULT_SCAN_SPAN = 1 << 22
-
 
 @dataclass(frozen=True)
 class BatchOptions:
     size: int = DEFAULT_BATCH_SIZE
     linger: timedelta = DEFAULT_BATCH_LINGER
     flush: timedelta = DEFAULT_FLUSH_INTERVAL
-    # time slice used to split one flush window over several tasks
-    slice: timedelta = timedelta(minutes=1)
 
 
 @dataclass(frozen=True)

@@ -20,8 +20,8 @@ from ..operators import dedupe as dd
 from ..operators import deadletter as dl
 from ..operators import metrics as mt
 from ..operators import status as st
-from ..options import DEFAULT_BATCH_SIZE, DEFAULT_SCAN_SPAN, BatchOptions, CapacityOptions, PollOptions
-from ..session import scratch_path
+from ..options import DEFAULT_BATCH_SIZE, BatchOptions, CapacityOptions, PollOptions
+from ..session import materialise, scratch_path
 from ..sources import messages as msg
 from ..sources import sinks
 from ..sources import testdata as td
@@ -123,7 +123,7 @@ LINGER = BatchOptions(size=16, linger=_td(hours=1), flush=_td(days=1))
 
 
 def _batch_rows(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), "ts")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), "ts", F.col("event_id").alias("arrival_seq"))
 
 
 @register("flush_window")
@@ -157,7 +157,7 @@ def q_batch_linger(spark, sf_dir):
 
 @register("batch_size_distribution")
 def q_batch_size_distribution(spark, sf_dir):
-    return bt.size_distribution(bt.batch_requests(_batch_rows(spark, sf_dir), LINGER))
+    return bt.size_distribution(bt.batch_requests(_batch_rows(spark, sf_dir), LINGER), LINGER.size)
 
 
 @register("batch_key")
@@ -174,7 +174,8 @@ def q_write_batches(spark, sf_dir):
 
 @register("write_batch_manifest")
 def q_write_batch_manifest(spark, sf_dir):
-    b = bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED)
+    # computed once for the two writes
+    b = materialise(bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED), "batches")
     base = scratch_path(spark, "batch-out")
     sinks.write_batches(b, base + "/store")
     sinks.write_batch_manifest(b, base + "/manifest")
@@ -221,7 +222,7 @@ def q_filter_allowed(spark, sf_dir):
 @register("pending_count")
 def q_pending_count(spark, sf_dir):
     req = td.request_table(spark, sf_dir)
-    return req.agg(F.count_if(F.col("status") == st.PENDING).alias("pending_requests"))
+    return bf.filter_status(req, st.PENDING).agg(F.count(F.lit(1)).alias("pending_requests"))
 
 
 # ---------------------------------------------------------------- messages / J5
@@ -311,7 +312,7 @@ POLL = PollOptions(now=_dt(2024, 1, 30))
 ZERO_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 
 
-def _poll(spark, sf_dir, limit=DEFAULT_BATCH_SIZE):
+def _poll(spark, sf_dir, limit=None):
     req = td.request_table(spark, sf_dir)
     meta = td.metadata_table(spark, sf_dir)
     lo, hi = bf.poll_window(bf.ntz_lit(POLL.now), F.expr(ZERO_TIME), POLL.min_age, POLL.look_back)
@@ -328,7 +329,8 @@ def _flat(df):
 
 @register("scan_requests")
 def q_scan_requests(spark, sf_dir):
-    return _flat(_poll(spark, sf_dir)).select(*REQ_COLS)
+    """A1 with the poller's load limit (F2's default)."""
+    return _flat(_poll(spark, sf_dir, limit=DEFAULT_BATCH_SIZE)).select(*REQ_COLS)
 
 
 @register("filter_status")
@@ -405,7 +407,7 @@ def _checkpoint_proposals(spark, sf_dir):
 
 @register("checkpoint_accept")
 def q_checkpoint_accept(spark, sf_dir):
-    return bf.checkpoint_accept(_checkpoint_proposals(spark, sf_dir), DEFAULT_SCAN_SPAN)
+    return bf.checkpoint_accept(_checkpoint_proposals(spark, sf_dir))
 
 
 @register("checkpoint_max")
@@ -415,7 +417,7 @@ def q_checkpoint_max(spark, sf_dir):
 
 @register("load_checkpoint")
 def q_load_checkpoint(spark, sf_dir):
-    acc = bf.checkpoint_accept(_checkpoint_proposals(spark, sf_dir), DEFAULT_SCAN_SPAN).filter("accepted")
+    acc = bf.checkpoint_accept(_checkpoint_proposals(spark, sf_dir)).filter("accepted")
     path = scratch_path(spark, "checkpoints")
     sinks.write_table(acc.select("name", "value"), path)
     state = spark.read.parquet(path)
@@ -460,9 +462,18 @@ def _plans(spark, sf_dir):
                     u["create"].alias("create"), m["create"].alias("create_max3"))
 
 
+def _queue_messages(spark, sf_dir):
+    """Message states: queue event_id % 6, in flight where the event is a
+    purchase, sampled by hour."""
+    e = td.events(spark, sf_dir)
+    queue = F.element_at(F.array(*[F.lit(q) for q in cp.QUEUES]), (F.col("event_id") % len(cp.QUEUES) + 1).cast("int"))
+    return e.select(F.floor(F.col("ts_us") / F.lit(HOUR_US)).alias("hour"), queue.alias("queue"),
+                    F.when(F.col("event_type") == "purchase", "inflight").otherwise("queued").alias("state"))
+
+
 @register("queue_utilisation")
 def q_queue_utilisation(spark, sf_dir):
-    return _hourly_samples(spark, sf_dir).select("hour", "unprocessed", "inflight")
+    return cp.queue_utilisation(_queue_messages(spark, sf_dir), "hour")
 
 
 @register("capacity_plan")
@@ -521,13 +532,13 @@ def q_allowlist_state(spark, sf_dir):
 
 @register("anchor_authorised_asof")
 def q_anchor_authorised(spark, sf_dir):
-    r = al.replay(_calls(spark, sf_dir), OWNER, DEFAULT_SCAN_SPAN)
+    r = al.replay(_calls(spark, sf_dir), OWNER)
     return r.select("seq", "caller", "kind", "target", "listed_before", "valid")
 
 
 @register("chain_events")
 def q_chain_events(spark, sf_dir):
-    return al.event_log(al.replay(_calls(spark, sf_dir), OWNER, DEFAULT_SCAN_SPAN))
+    return al.event_log(al.replay(_calls(spark, sf_dir), OWNER))
 
 
 # ---------------------------------------------------------------- state expiry
@@ -536,8 +547,7 @@ def q_state_expiry(spark, sf_dir):
     from ..options import JOB_TTL
     cids = dd.cid_state_after(_flags(spark, sf_dir))
     now = F.expr("TIMESTAMP_NTZ'2024-01-31 00:00:00'")
-    exp = F.timestamp_add("MICROSECOND", F.lit(int(JOB_TTL.total_seconds()) * 1000000), F.col("crt")) < now
-    return cids.withColumn("expired", exp)
+    return cids.withColumn("expired", dd.expired(F.col("crt"), JOB_TTL, now))
 
 
 # ---------------------------------------------------------------- J6 metrics
@@ -564,13 +574,17 @@ def q_metric_name(spark, sf_dir):
 
 @register("write_metrics")
 def q_write_metrics(spark, sf_dir):
+    """Counter, gauge and distribution samples of the pipeline in one table."""
     rows = mt.filter_metric_names(_metric_rows(spark, sf_dir))
     us = epoch_micros("ts", rows.schema["ts"].dataType)
-    samples = (rows.groupBy(metric_name(F.col("metric"), "count").alias("metric"),
-                            ntz_from_micros(F.floor(us / F.lit(HOUR_US)) * F.lit(HOUR_US)).alias("ts"))
-               .agg(F.count(F.lit(1)).alias("value")))
+    hour = lambda c: ntz_from_micros(c * F.lit(HOUR_US))
+    counts = rows.groupBy("metric", F.floor(us / F.lit(HOUR_US)).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    samples = (mt.samples(counts, F.col("metric"), "count", hour(F.col("hour")), F.col("n"))
+               .unionByName(mt.pending_gauge(q_pending_count(spark, sf_dir), F.expr(AS_OF)))
+               .unionByName(mt.queue_gauges(q_queue_utilisation(spark, sf_dir), hour(F.col("hour"))))
+               .unionByName(mt.batch_size_samples(bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED))))
     path = scratch_path(spark, "metrics")
-    sinks.write_table(samples, path, ["metric"])
+    sinks.write_table(samples, path, ["metric"], "ts")
     return spark.read.parquet(path).select("metric", "ts", "value")
 
 
@@ -589,12 +603,18 @@ def q_counter_totals(spark, sf_dir):
     ])).alias("m")).select("m.metric", "m.value")
     ingress = td.deliveries(spark, sf_dir).agg(F.count(F.lit(1)).alias("value")) \
         .select(F.lit("validate_ingress_request").alias("metric"), "value")
-    b = bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED)
+    b = materialise(bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED), "batches")
     batches = b.agg(F.count(F.lit(1)).alias("nb"), F.sum("n").alias("nr")).select(F.explode(F.array(
         F.struct(F.lit("batch_created").alias("metric"), F.col("nb").alias("value")),
-        F.struct(F.lit("batch_stored").alias("metric"), F.col("nb").alias("value")),
         F.struct(F.lit("batch_ingress_request").alias("metric"), F.col("nr").alias("value")))).alias("m")) \
         .select("m.metric", "m.value")
+    # what the store really holds, and what the failure queue received (undecodable requests)
+    store = scratch_path(spark, "stored-batches")
+    sinks.write_batches(b, store)
+    stored = sinks.read_json(spark, store, sinks.BATCH_DOC_SCHEMA).agg(F.count(F.lit(1)).alias("value")) \
+        .select(F.lit("batch_stored").alias("metric"), "value")
+    failed = msg.parse_requests(td.request_texts(spark, sf_dir)).agg(F.count_if("malformed").alias("value")) \
+        .select(F.lit("failure_message").alias("metric"), "value")
     dlq = td.dead_letter_texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("value")) \
         .select(F.lit("failure_dlq_message").alias("metric"), "value")
     ps = msg.parse_status(td.status_texts(spark, sf_dir)).filter(~F.col("malformed"))
@@ -604,15 +624,13 @@ def q_counter_totals(spark, sf_dir):
         .select("m.metric", "m.value")
     jobs = _plans(spark, sf_dir).agg(F.sum("create").alias("value")) \
         .select(F.lit("worker_job_created").alias("metric"), "value")
-    return mt.counter_totals([v, ingress, batches, dlq, status, jobs])
+    return mt.counter_totals([v, ingress, batches, stored, failed, dlq, status, jobs])
 
 
 # ---------------------------------------------------------------- sinks of J1
 @register("write_ready")
 def q_write_ready(spark, sf_dir):
-    r = dd.dedupe_requests(td.deliveries(spark, sf_dir))
-    ready = (r.outcomes.filter(F.col("event") == dd.READY).select("arrival_seq")
-             .join(r.flags.select("arrival_seq", "rid", "stream_id", "origin", "cid", "ts", "crt"), "arrival_seq"))
+    ready = dd.ready_rows(_flags(spark, sf_dir))
     path = scratch_path(spark, "ready")
     sinks.write_table(ready, path)
     return spark.read.parquet(path)
@@ -633,22 +651,23 @@ def q_write_status_events(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 STREAM_CHUNKS = 4
-FILES_PER_CHUNK = 2
 
 
-def _stage_stream(df, order_col: str, root: str) -> str:
-    """Write ``df`` as an arrival-ordered file stream: STREAM_CHUNKS appends
-    cut on ``order_col`` quantile-free (equal-width ranges), each of exactly
-    FILES_PER_CHUNK files, so one trigger of FILES_PER_CHUNK files is one
-    chunk and chunks arrive in order."""
-    bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
+def _chunk_of(df, order_col: str):
+    """Chunk number of a row: STREAM_CHUNKS equal-width ranges of ``order_col``."""
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
     width = (hi - lo) // STREAM_CHUNKS + 1
-    src = f"{root}/source"
+    return F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width))
+
+
+def _stream(df, order_col: str, root: str, fn) -> None:
+    """Feed ``df`` to a file stream in STREAM_CHUNKS appends in the order of
+    ``order_col``. Each append (any number of files) is drained before the next
+    is added, so micro-batches come in order whatever the files' times are."""
+    spark, chunk = df.sparkSession, _chunk_of(df, order_col)
     for i in range(STREAM_CHUNKS):
-        part = df.filter((F.col(order_col) >= lo + i * width) & (F.col(order_col) < lo + (i + 1) * width))
-        part.repartition(FILES_PER_CHUNK).write.mode("append").parquet(src)
-    return src
+        df.filter(chunk == i).write.mode("append").parquet(f"{root}/source")
+        sj.run_file_stream(spark, f"{root}/source", _ddl(df), fn, f"{root}/checkpoint")
 
 
 def _ddl(df) -> str:
@@ -658,17 +677,12 @@ def _ddl(df) -> str:
 def _stream_dedupe(spark, sf_dir, retry_last=False):
     root = scratch_path(spark, "stream-dedupe")
     d = td.deliveries(spark, sf_dir)
-    src = _stage_stream(d, "arrival_seq", root)
     store = EpochStore(spark, root + "/state")
     fn = sj.dedupe_batch_fn(store)
-    sj.run_file_stream(spark, src, _ddl(d), fn, root + "/checkpoint", FILES_PER_CHUNK)
+    _stream(d, "arrival_seq", root, fn)
     if retry_last:
         # an epoch retried after a failure rewrites identical outputs and state
-        last = STREAM_CHUNKS - 1
-        hi = d.agg(F.max("arrival_seq")).first()[0]
-        lo_all = d.agg(F.min("arrival_seq")).first()[0]
-        width = (hi - lo_all) // STREAM_CHUNKS + 1
-        fn(d.filter(F.col("arrival_seq") >= lo_all + last * width), last)
+        fn(d.filter(_chunk_of(d, "arrival_seq") == STREAM_CHUNKS - 1), STREAM_CHUNKS - 1)
     return sj.outcomes(store)
 
 
@@ -690,11 +704,9 @@ def q_redelivery_idempotence(spark, sf_dir):
 
 def _stream_batches(spark, sf_dir, opts):
     root = scratch_path(spark, "stream-batches")
-    rows = td.events(spark, sf_dir).select(F.col("event_id").alias("rid"), "ts", "ts_us")
-    src = _stage_stream(rows, "ts_us", root)
+    rows = td.events(spark, sf_dir).select(F.col("event_id").alias("rid"), "ts", "ts_us", F.col("event_id").alias("arrival_seq"))
     store = EpochStore(spark, root + "/state")
-    sj.run_file_stream(spark, src, _ddl(rows), sj.batching_batch_fn(store, opts), root + "/checkpoint",
-                       FILES_PER_CHUNK)
+    _stream(rows, "ts_us", root, sj.batching_batch_fn(store, opts))
     drained = sj.drain(store, STREAM_CHUNKS - 1, opts)
     return store.read_all("batches").drop("epoch"), drained
 
@@ -702,8 +714,8 @@ def _stream_batches(spark, sf_dir, opts):
 @register("stream_batches")
 def q_stream_batches(spark, sf_dir):
     """I2 with linger < flush (the harder, greedy form)."""
-    emitted, drained = _stream_batches(spark, sf_dir, LINGER)
-    return _batch_cols(emitted.unionByName(drained))
+    emitted, _ = _stream_batches(spark, sf_dir, LINGER)  # the drain is one of the steps
+    return _batch_cols(emitted)
 
 
 @register("drain_flush")
@@ -716,43 +728,52 @@ def q_drain_flush(spark, sf_dir):
 def q_apply_status_stream(spark, sf_dir):
     root = scratch_path(spark, "stream-status")
     events_df, initial = td.status_events(spark, sf_dir)
-    src = _stage_stream(events_df, "seq", root)
     store = EpochStore(spark, root + "/state")
-    sj.run_file_stream(spark, src, _ddl(events_df),
-                       sj.status_batch_fn(store, initial, compact_every=2, state_buckets=4),
-                       root + "/checkpoint", FILES_PER_CHUNK)
-    return sj.current_status(store, initial, STREAM_CHUNKS - 1, state_buckets=4)
+    sj.seed_status(store, initial)
+    _stream(events_df, "seq", root, sj.status_batch_fn(store))
+    return sj.current_status(store, STREAM_CHUNKS - 1)
 
 
 @register("dlq_stream")
 def q_dlq_stream(spark, sf_dir):
     root = scratch_path(spark, "stream-dlq")
-    texts = td.dead_letter_texts(spark, sf_dir)
-    src = _stage_stream(texts, "seq", root)
     store = EpochStore(spark, root + "/state")
-    sj.run_file_stream(spark, src, _ddl(texts), sj.dlq_batch_fn(store), root + "/checkpoint", FILES_PER_CHUNK)
+    _stream(td.dead_letter_texts(spark, sf_dir), "seq", root, sj.dlq_batch_fn(store))
     return store.read_all("alerts").drop("epoch")
 
 
 @register("capacity_samples")
 def q_capacity_samples(spark, sf_dir):
+    """Every event is a utilisation sample; the last one of each 30 s tick
+    is planned."""
     root = scratch_path(spark, "stream-capacity")
-    ev = td.events(spark, sf_dir).select("event_id", "event_type", "ts_us")
-    src = _stage_stream(ev, "ts_us", root)
-    sj.capacity_sample_stream(spark, src, _ddl(ev), root + "/sink", root + "/checkpoint",
-                              tick="1 hour", watermark="2 hours")
-    s = sj.latest_per_window(spark, root + "/sink").withColumn("hour", F.floor(F.col("start_us") / F.lit(HOUR_US)))
+    e = table(spark, sf_dir, "events")
+    ev = e.select("ts", F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("unprocessed"),
+                  (F.col("user_id") % 7).alias("inflight"), (F.col("event_id") % 5).alias("existing"))
+    store = EpochStore(spark, root + "/state")
+    # in order of event_id, which is not the order of time: most samples are late
+    _stream(ev, "seq", root, sj.capacity_sample_fn(store))
+    s = sj.last_samples(store)
     u = cp.capacity_plan(F.col("unprocessed"), F.col("inflight"), F.col("existing"), UNLIMITED)
     m = cp.capacity_plan(F.col("unprocessed"), F.col("inflight"), F.col("existing"), MAX3)
-    return s.select("hour", "unprocessed", "inflight", "existing", u["required"].alias("required"),
+    return s.select("tick_start", "unprocessed", "inflight", "existing", u["required"].alias("required"),
                     u["create"].alias("create"), m["create"].alias("create_max3"))
 
 
+def _poll_ticks(spark, sf_dir):
+    """A tick every other day, from two days after the first request's day
+    until all requests are old enough."""
+    first, last = td.events(spark, sf_dir).agg(*(F.floor(f("ts_us") / F.lit(US_PER_DAY)) for f in (F.min, F.max))).first()
+    return [_dt(1970, 1, 1) + _td(days=d) for d in range(first + 2, last + 4, 2)]
+
+
 @register("incremental_backfill")
 def q_incremental_backfill(spark, sf_dir):
-    from datetime import timedelta
-    root = scratch_path(spark, "backfill")
-    store = EpochStore(spark, root)
-    ticks = [_dt(2024, 1, 1) + timedelta(days=2 * k + 2) for k in range(15)]
-    return bf.incremental_backfill(td.request_table(spark, sf_dir), td.metadata_table(spark, sf_dir), ticks,
-                                   store, F.col("request_id") % 97 == 0, limit=CLOSED.size)
+    store = EpochStore(spark, scratch_path(spark, "backfill"))
+    ticks = bf.incremental_backfill(td.request_table(spark, sf_dir), _poll_ticks(spark, sf_dir), store,
+                                    F.col("request_id") % 97 == 0, DEFAULT_BATCH_SIZE)
+    sent = store.read_all("messages").groupBy(F.col("epoch").alias("e")).agg(F.count(F.lit(1)).alias("n_published"))
+    told = store.read_all("alerts").select(F.col("epoch").alias("e2"), F.col("content").alias("alert"))
+    return (ticks.join(sent, F.col("tick") == F.col("e"), "left").join(told, F.col("tick") == F.col("e2"), "left")
+            .select("tick", "now", "checkpoint", "n_rows", "n_sent", "next_checkpoint",
+                    F.coalesce("n_published", F.lit(0)).alias("n_published"), "alert"))

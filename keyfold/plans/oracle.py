@@ -250,7 +250,10 @@ SELECT {BATCH_COLS} FROM final
 
 SQL["batch_size_distribution"] = f"""
 WITH {_linger_members_sql(16, H1)}, {_batches_sql(16, H1)}
-SELECT n AS batch_size, count(*) AS n_batches FROM final GROUP BY n
+SELECT CAST(CASE WHEN n <= 4 THEN 4 WHEN n <= 8 THEN 8 WHEN n <= 12 THEN 12 WHEN n <= 16 THEN 16 END AS BIGINT) AS size_upto,
+       count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_requests, min(n) AS min_size, max(n) AS max_size,
+       avg(n) AS avg_size, median(n) AS median_size
+FROM final GROUP BY 1
 """
 
 SQL["batch_key"] = f"""
@@ -483,9 +486,9 @@ WHERE r.status = 0 AND r.created_at > TIMESTAMP '2024-01-28 00:00:00'
   AND r.created_at < TIMESTAMP '2024-01-29 12:00:00'
 """
 
-SQL["scan_requests"] = POLL_SQL
-SQL["oldest_pending_topk"] = POLL_SQL + " ORDER BY r.created_at LIMIT 5"
-SQL["load_limit"] = POLL_SQL + " ORDER BY r.created_at LIMIT 16"
+SQL["scan_requests"] = POLL_SQL + " ORDER BY r.created_at, r.request_id LIMIT 16383"
+SQL["oldest_pending_topk"] = POLL_SQL + " ORDER BY r.created_at, r.request_id LIMIT 5"
+SQL["load_limit"] = POLL_SQL + " ORDER BY r.created_at, r.request_id LIMIT 16"
 
 SQL["filter_status"] = "SELECT event_id AS request_id FROM events WHERE event_id % 6 = 0"
 
@@ -521,7 +524,7 @@ FROM req r LEFT JOIN meta m USING (stream_id)
 SQL["sent_prefix_checkpoint"] = f"""
 WITH r AS (
   SELECT event_id, ts, epoch_us(ts) // {DAY_US} AS poll_day,
-         row_number() OVER (PARTITION BY epoch_us(ts) // {DAY_US} ORDER BY ts) AS k
+         row_number() OVER (PARTITION BY epoch_us(ts) // {DAY_US} ORDER BY ts, event_id) AS k
   FROM events),
 ff AS (SELECT poll_day, min(k) FILTER (WHERE event_id % 97 = 0) AS fk, count(*) AS n FROM r GROUP BY poll_day)
 SELECT ff.poll_day, ff.n AS n_rows, coalesce(ff.fk - 1, ff.n) AS n_sent,
@@ -599,7 +602,14 @@ plans AS (
                     greatest(unprocessed + inflight - existing, 0)) AS BIGINT) AS create_max3
   FROM samples)"""
 
-SQL["queue_utilisation"] = f"WITH {SAMPLES} SELECT hour, unprocessed, inflight FROM samples"
+QUEUE_SQL = f"""
+SELECT epoch_us(ts) // {HOUR} AS hour,
+       ['validate', 'ready', 'batch', 'status', 'failure', 'dlq'][event_id % 6 + 1] AS queue,
+       count(*) FILTER (WHERE event_type <> 'purchase') AS unprocessed,
+       count(*) FILTER (WHERE event_type = 'purchase') AS inflight
+FROM events GROUP BY 1, 2
+"""
+SQL["queue_utilisation"] = QUEUE_SQL
 SQL["capacity_plan"] = f"WITH {SAMPLES} SELECT * FROM plans"
 SQL["job_requests"] = f"""
 WITH {SAMPLES}
@@ -683,10 +693,17 @@ kept AS (SELECT * FROM mrows WHERE NOT regexp_matches(metric, '^.*tsdb$'))"""
 SQL["filter_metric_names"] = f"WITH {METRIC_ROWS} SELECT metric, count(*) AS n FROM kept GROUP BY metric"
 SQL["metric_name"] = "SELECT 'keyfold:' || event_type || '_count' AS metric, count(*) AS value FROM events GROUP BY 1"
 SQL["write_metrics"] = f"""
-WITH {METRIC_ROWS}
+WITH {METRIC_ROWS}, {_closed_members_sql(16)}
 SELECT 'keyfold:' || metric || '_count' AS metric, make_timestamp(epoch_us(ts) // {HOUR} * {HOUR}) AS ts,
        count(*) AS value
 FROM kept GROUP BY 1, 2
+UNION ALL SELECT 'keyfold:pending_anchor_requests_gauge', TIMESTAMP '2024-02-01 00:00:00',
+       (SELECT count(*) FROM events WHERE event_id % 6 = 0)
+UNION ALL SELECT 'keyfold:' || queue || '_' || g.k || '_gauge', make_timestamp(hour * {HOUR}),
+       CASE g.k WHEN 'unprocessed' THEN unprocessed ELSE inflight END
+  FROM ({QUEUE_SQL}) q, (VALUES ('unprocessed'), ('inflight')) AS g(k)
+UNION ALL SELECT 'keyfold:batch_size_histogram', make_timestamp((flush_window + 1) * {DAY_US}), count(*)
+  FROM members GROUP BY flush_window, batch_no
 """
 
 SQL["counter_totals"] = f"""
@@ -704,7 +721,7 @@ parts(metric, value) AS (
   UNION ALL SELECT 'batch_stored', (SELECT count(DISTINCT (flush_window, batch_no)) FROM members)
   UNION ALL SELECT 'batch_ingress_request', (SELECT count(*) FROM members)
   UNION ALL SELECT 'failure_dlq_message', (SELECT count(*) FROM events)
-  UNION ALL SELECT 'failure_message', 0
+  UNION ALL SELECT 'failure_message', (SELECT count(*) FROM events WHERE event_id % 17 = 0 OR event_id % 19 = 0)
   UNION ALL SELECT 'status_ingress_message', (SELECT n FROM st)
   UNION ALL SELECT 'status_updated', (SELECT n FROM st)
   UNION ALL SELECT 'worker_job_created', (SELECT sum("create") FROM plans))
@@ -744,30 +761,44 @@ SELECT seq, msg_type, msg_id, 'Pipeline Alert' AS title, 'Dead Letter Queue' AS
        msg_type || ':' || chr(10) || msg_id AS content
 FROM dl
 """
-SQL["capacity_samples"] = SQL["capacity_plan"]
+SQL["capacity_samples"] = """
+WITH s AS (
+  SELECT make_timestamp(epoch_us(ts) // 30000000 * 30000000) AS tick_start, event_id % 50 AS unprocessed,
+         user_id % 7 AS inflight, event_id % 5 AS existing,
+         row_number() OVER (PARTITION BY epoch_us(ts) // 30000000 ORDER BY ts DESC, event_id DESC) AS k
+  FROM events)
+SELECT tick_start, unprocessed, inflight, existing, greatest(unprocessed + inflight - existing, 0) AS required,
+       CAST(least(ceil(greatest(unprocessed + inflight - existing, 0) * 0.5), greatest(unprocessed + inflight - existing, 0)) AS BIGINT) AS "create",
+       CAST(least(ceil((CASE WHEN existing < 3 THEN 3 - existing ELSE 0 END) * 0.5), greatest(unprocessed + inflight - existing, 0)) AS BIGINT) AS create_max3
+FROM s WHERE k = 1
+"""
 
+# the poll loop as a walk: rows are numbered in send order, the first failed number cuts them
 SQL["incremental_backfill"] = """
 WITH RECURSIVE
 pend AS (SELECT event_id AS request_id, ts AS created_at FROM events WHERE event_id % 6 = 0),
-ticks AS (SELECT k, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(2 * k + 2 AS INTEGER)) AS now
-          FROM range(0, 15) t(k)),
+days AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events),
+ticks AS (SELECT g.k, CAST(lo + CAST(2 * g.k + 2 AS INTEGER) AS TIMESTAMP) AS now
+          FROM days, LATERAL range(0, (date_diff('day', lo, hi) + 3) // 2) AS g(k)),
 run(k, now, checkpoint, next_checkpoint, n_rows, n_sent) AS (
-  SELECT -1, NULL::TIMESTAMP, NULL::TIMESTAMP, TIMESTAMP '2024-01-01 00:00:00', 0::BIGINT, 0::BIGINT
+  SELECT -1, NULL::TIMESTAMP, NULL::TIMESTAMP, (SELECT min(now) - INTERVAL 48 HOUR FROM ticks), 0::BIGINT, 0::BIGINT
   UNION ALL
   SELECT t.k, t.now, r.next_checkpoint,
          CASE WHEN s.nxt IS NOT NULL AND s.nxt > r.next_checkpoint THEN s.nxt ELSE r.next_checkpoint END,
          s.n, s.n_sent
   FROM run r JOIN ticks t ON t.k = r.k + 1,
   LATERAL (
-    SELECT count(*) AS n,
-           count(*) FILTER (WHERE ff IS NULL OR created_at < ff) AS n_sent,
+    SELECT count(*) AS n, count(*) FILTER (WHERE fk IS NULL OR rk < fk) AS n_sent,
            CASE WHEN count(*) = 0 THEN NULL
-                WHEN max(ff) IS NULL THEN max(created_at)
-                WHEN max(ff) = min(created_at) THEN min(created_at) - INTERVAL 1 MILLISECOND
-                ELSE max(created_at) FILTER (WHERE created_at < ff) END AS nxt
-    FROM (SELECT w.*, min(CASE WHEN request_id % 97 = 0 THEN created_at END) OVER () AS ff
-          FROM (SELECT * FROM pend p WHERE p.created_at > r.next_checkpoint
-                  AND p.created_at < t.now - INTERVAL 12 HOUR
-                ORDER BY p.created_at LIMIT 16) w)) s)
-SELECT CAST(k AS INTEGER) AS tick, now, checkpoint, n_rows, n_sent, next_checkpoint FROM run WHERE k >= 0
+                WHEN max(fk) = 1 THEN max(created_at) FILTER (WHERE rk = 1) - INTERVAL 1 MILLISECOND
+                ELSE max(created_at) FILTER (WHERE rk = coalesce(fk - 1, last)) END AS nxt
+    FROM (SELECT w.*, min(CASE WHEN request_id % 97 = 0 THEN rk END) OVER () AS fk, max(rk) OVER () AS last
+          FROM (SELECT *, row_number() OVER (ORDER BY p.created_at, p.request_id) AS rk FROM pend p
+                WHERE p.created_at > r.next_checkpoint AND p.created_at < t.now - INTERVAL 12 HOUR) w
+          WHERE rk <= 16383)) s)
+SELECT CAST(k AS INTEGER) AS tick, now, checkpoint, n_rows, n_sent, next_checkpoint, n_sent AS n_published,
+       CASE WHEN n_rows > 0 THEN CAST(n_rows AS VARCHAR) || ' requests found since:' || chr(10) ||
+            strftime(checkpoint, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(checkpoint) % 1000000 = 0 THEN '' ELSE
+              '.' || rtrim(lpad(CAST(epoch_us(checkpoint) % 1000000 AS VARCHAR), 6, '0'), '0') END || ' +0000 UTC' END AS alert
+FROM run WHERE k >= 0
 """

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job relies on. Shuffle partitions stay a cluster decision; AQE
 # coalesces small partitions and splits skewed join partitions at run time.
@@ -24,24 +23,6 @@ JOB_CONF = {
 }
 
 
-# Starting point for 100 TB-scale runs (set at submit time; none is required
-# for correctness). Shuffles start wide and AQE coalesces them to ~256 MB
-# partitions, so no task holds more than it can sort in memory plus spill;
-# input splits of 256 MB keep scan tasks in the tens of thousands; skewed
-# join partitions above 5x the median (and 1 GB) are split by AQE. Keyed
-# scans do not rely on AQE for skew: operators/scan.py chunks hot keys.
-SCALE_CONF = {
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-}
-
-
 @contextmanager
 def conf_override(spark: SparkSession, conf: dict[str, str]):
     """Set session confs for the duration of a block, then restore them."""
@@ -103,8 +84,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/keyfold/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared folder and read it back:
+    columnar, lineage cut, and a lost executor costs a reread."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -113,7 +99,3 @@ def exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
-
-
-def env_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

@@ -1,104 +1,117 @@
 """Queue message codecs: JSON text <-> typed columns.
 
-The service decodes with Go's ``encoding/json``: absent fields become zero
-values and are *valid*; bad syntax or badly typed values are errors. Spark's
-``from_json`` is laxer, so fields are read as text and checked with
-``rlike`` (UUID, RFC-3339 time, small unsigned int). JSON keys are matched
-with exact case (Go matches case-insensitively; documented difference).
+The service decodes with Go's ``encoding/json``: absent and null fields become
+zero values and are *valid*; bad syntax, text after the value, values of another
+type and impossible times are errors. Texts are parsed to VARIANT, which keeps
+the JSON type of every value, so each field is checked by type; nothing here
+throws on any text, and everything is an expression, so a stream decodes like a
+table. JSON keys are matched with exact case and a repeated key is malformed
+(Go matches case-insensitively and takes the last; documented differences).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.ids import NIL_UUID, UUID_PATTERN
-from ..functions.timecols import ntz_from_micros
-from ..operators.scan import spread
+from ..functions.ids import NIL_UUID, canonical_uuid
+from ..functions.timecols import epoch_ntz, ntz_from_micros
 
-# fixed values: wire field names of the three message kinds
-REQUEST_FIELDS = ["rid", "sid", "cid", "org", "ts", "crt"]
-STATUS_FIELDS = ["rid", "sts"]
-BATCH_FIELDS = ["bid", "rids"]
-
-RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}:\d{2})$"
-UINT8 = r"^\s*\d{1,3}\s*$"
+# fixed values: strict RFC-3339 with any number of fraction digits
+RFC3339 = (r"^(\d{4}-\d{2}-\d{2})T((?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)(?:\.(\d+))?"
+           r"(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)$")
 ZERO_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 
-_TEXT = "_kf_text"
-_CORRUPT = "_kf_corrupt"
+_ROOT = "_kf_v"
+
+
+def _decode(df: DataFrame, value: str) -> tuple[DataFrame, Column]:
+    """``df`` with the parsed value, and whether it is one JSON object (or
+    null, which decodes to zero values). The text is parsed as a member of an
+    object and as an element of an array: what stands after the value breaks
+    one of the two."""
+    v = F.col(value)
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}")))
+    element = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]")))
+    d = df.withColumn(_ROOT, F.when(element.isNotNull(), member))
+    kind = F.schema_of_variant(F.try_variant_get(F.col(_ROOT), "$.v", "variant"))
+    return d, F.coalesce(kind.startswith("OBJECT") | (kind == "VOID"), F.lit(False))
 
 
-def _text_schema(fields: list[str]) -> StructType:
-    return StructType([StructField(f, StringType()) for f in fields] + [StructField(_CORRUPT, StringType())])
+def _variant(field: str) -> Column:
+    return F.try_variant_get(F.col(_ROOT), f"$.v.{field}", "variant")
 
 
-def _decode(df: DataFrame, value: str, fields: list[str]) -> DataFrame:
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return spread(df).withColumn("_kf_m", F.from_json(F.col(value), _text_schema(fields), opts))
+def _kind(field: str) -> Column:
+    """JSON type of a field; VOID where it is absent or null."""
+    return F.coalesce(F.schema_of_variant(_variant(field)), F.lit("VOID"))
 
 
-def _object_ok(value: Column) -> Column:
-    """Syntactically a JSON object (``from_json`` returns an all-null row for junk)."""
-    return F.coalesce(value.rlike(r"^\s*\{.*\}\s*$") & F.col(f"_kf_m.{_CORRUPT}").isNull(), F.lit(False))
+def _text(field: str) -> tuple[Column, Column]:
+    """(value or null, whether the type is right) of a text field."""
+    kind = _kind(field)
+    return F.when(kind == "STRING", F.try_variant_get(F.col(_ROOT), f"$.v.{field}", "string")), kind.isin("STRING", "VOID")
 
 
-def _uuid_ok(c: Column) -> Column:
-    return c.isNull() | c.rlike(UUID_PATTERN)
+def _id(field: str) -> tuple[Column, Column]:
+    raw, ok = _text(field)
+    found = canonical_uuid(raw)
+    return F.coalesce(found, F.lit(NIL_UUID)), ok & (raw.isNull() | found.isNotNull())
 
 
-def _time_ok(c: Column) -> Column:
-    return c.isNull() | c.rlike(RFC3339)
+def _time(field: str) -> tuple[Column, Column]:
+    raw, ok = _text(field)
+    at = rfc3339_to_ntz(raw)
+    return F.coalesce(at, F.expr(ZERO_TIME)), ok & (raw.isNull() | at.isNotNull())
 
 
 def rfc3339_to_ntz(c: Column) -> Column:
-    """RFC-3339 text -> UTC TIMESTAMP_NTZ (nanoseconds truncated to micros)."""
-    trimmed = F.regexp_replace(c, r"(\.\d{6})\d+", "$1")
-    return ntz_from_micros(F.unix_micros(F.to_timestamp(trimmed)))
+    """RFC-3339 text -> UTC TIMESTAMP_NTZ (nanoseconds truncated to micros);
+    null for text of another form and for days that do not exist."""
+    part = lambda i: F.regexp_extract(c, RFC3339, i)
+    local = F.concat(part(1), F.lit(" "), part(2), F.lit("."), F.rpad(F.substring(part(3), 1, 6), 6, "0")).try_cast("timestamp_ntz")
+    zone = part(4)
+    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
+    ahead = F.when(zone == "Z", F.lit(0)).otherwise((hours * 60 + minutes) * F.when(zone.startswith("-"), -1).otherwise(1))
+    micros = F.timestamp_diff("MICROSECOND", epoch_ntz(), local) - ahead.cast("long") * 60_000_000
+    return F.when(c.rlike(RFC3339), ntz_from_micros(micros))
+
+
+def _decoded(df: DataFrame, value: str, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The fields where all of them decode, else null, and ``malformed``.
+    ``fields``: output name to (value, whether it decodes)."""
+    d, ok = _decode(df, value)
+    for _, good in fields.values():
+        ok = ok & good
+    d = d.withColumn("malformed", ~ok)
+    return d.withColumns({n: F.when(~F.col("malformed"), v) for n, (v, _) in fields.items()}).drop(_ROOT)
 
 
 def parse_requests(df: DataFrame, value: str = "value") -> DataFrame:
     """A2: request messages; adds ``rid, stream_id, cid, origin, ts, crt,
     malformed``. Absent fields take Go zero values."""
-    d = _decode(df, value, REQUEST_FIELDS)
-    m = lambda f: F.col(f"_kf_m.{f}")
-    ok = _object_ok(F.col(value)) & _uuid_ok(m("rid")) & _time_ok(m("ts")) & _time_ok(m("crt"))
-    zero = F.expr(ZERO_TIME)
-    good = lambda c: F.when(ok, c)
-    return (d.withColumn("malformed", ~ok)
-            .withColumn("rid", good(F.lower(F.coalesce(m("rid"), F.lit(NIL_UUID)))))
-            .withColumn("stream_id", good(F.coalesce(m("sid"), F.lit(""))))
-            .withColumn("cid", good(F.coalesce(m("cid"), F.lit(""))))
-            .withColumn("origin", good(F.coalesce(m("org"), F.lit(""))))
-            .withColumn("ts", good(F.coalesce(rfc3339_to_ntz(m("ts")), zero)))
-            .withColumn("crt", good(F.coalesce(rfc3339_to_ntz(m("crt")), zero)))
-            .drop("_kf_m"))
+    empty = lambda f: (F.coalesce(_text(f)[0], F.lit("")), _text(f)[1])
+    return _decoded(df, value, {"rid": _id("rid"), "stream_id": empty("sid"), "cid": empty("cid"), "origin": empty("org"),
+                                "ts": _time("ts"), "crt": _time("crt")})
 
 
 def parse_status(df: DataFrame, value: str = "value") -> DataFrame:
-    """A3: status messages; adds ``rid, sts, malformed`` (absent sts = 0)."""
-    d = _decode(df, value, STATUS_FIELDS)
-    m = lambda f: F.col(f"_kf_m.{f}")
-    sts_ok = m("sts").isNull() | (m("sts").rlike(UINT8) & (m("sts").cast("int") <= 255))
-    ok = _object_ok(F.col(value)) & _uuid_ok(m("rid")) & sts_ok
-    return (d.withColumn("malformed", ~ok)
-            .withColumn("rid", F.when(ok, F.lower(F.coalesce(m("rid"), F.lit(NIL_UUID)))))
-            .withColumn("sts", F.when(ok, F.coalesce(m("sts").cast("smallint"), F.lit(0).cast("smallint"))))
-            .drop("_kf_m"))
+    """A3: status messages; adds ``rid, sts, malformed`` (absent sts = 0; a
+    whole number from 0 to 255 otherwise)."""
+    kind = _kind("sts")
+    n = F.try_variant_get(F.col(_ROOT), "$.v.sts", "bigint")
+    ok = (kind == "VOID") | ((kind == "BIGINT") & F.coalesce(n.between(0, 255), F.lit(False)))
+    return _decoded(df, value, {"rid": _id("rid"), "sts": (F.coalesce(F.when(kind == "BIGINT", n), F.lit(0)).try_cast("smallint"), ok)})
 
 
 def parse_batch(df: DataFrame, value: str = "value") -> DataFrame:
-    """Batch messages ``{bid, rids}``; adds ``bid, malformed``."""
-    schema = StructType([StructField("bid", StringType()), StructField("rids", StringType()),
-                         StructField(_CORRUPT, StringType())])
-    d = spread(df).withColumn("_kf_m", F.from_json(F.col(value), schema,
-                                           {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
-    m = lambda f: F.col(f"_kf_m.{f}")
-    rids_ok = m("rids").isNull() | m("rids").rlike(r"^\s*\[.*\]\s*$")
-    ok = _object_ok(F.col(value)) & _uuid_ok(m("bid")) & rids_ok
-    return (d.withColumn("malformed", ~ok)
-            .withColumn("bid", F.when(ok, F.lower(F.coalesce(m("bid"), F.lit(NIL_UUID)))))
-            .drop("_kf_m"))
+    """Batch messages ``{bid, rids}``; adds ``bid, malformed``. Every member
+    of ``rids`` must be an id."""
+    kind = _kind("rids")
+    members = F.try_variant_get(F.col(_ROOT), "$.v.rids", "array<variant>")
+    an_id = lambda x: (F.schema_of_variant(x) == "VOID") | (
+        (F.schema_of_variant(x) == "STRING") & canonical_uuid(F.try_variant_get(x, "$", "string")).isNotNull())
+    ok = (kind == "VOID") | (kind.startswith("ARRAY") & F.coalesce(F.forall(members, an_id), F.lit(False)))
+    return _decoded(df, value, {"bid": _id("bid"), "_rids": (F.lit(None), ok)}).drop("_rids")
 
 
 def rfc3339_text(ts: Column) -> Column:

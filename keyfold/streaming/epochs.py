@@ -9,7 +9,9 @@ under one root in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import exists
 
@@ -39,8 +41,35 @@ class EpochStore:
             r = r.schema(schema)
         return r.parquet(f"{self.root}/{name}")
 
-    def has(self, name: str) -> bool:
-        return exists(self.spark, f"{self.root}/{name}")
+    def versions(self, name: str) -> list[int]:
+        """Committed versions of ``name``, ascending."""
+        return committed(self.spark, f"{self.root}/{name}", "epoch=")
+
+    def newest(self, name: str, upto: int | None = None) -> int:
+        """Newest committed version (at most ``upto``); -1 when there is none."""
+        return max((v for v in self.versions(name) if upto is None or v <= upto), default=-1)
+
+
+def committed(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the sub-directories ``<prefix><number>`` whose write committed."""
+    if not exists(spark, path):
+        return []
+    return sorted(int(n[len(prefix):]) for n in children(spark, path) if n.startswith(prefix) and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _filesystem(spark, path)
+    return [st.getPath().getName() for st in fs.listStatus(p)]
 
 
 class DeltaState:
@@ -51,11 +80,13 @@ class DeltaState:
     deltas after it up to ``n - 1`` (partition-pruned on ``epoch``), so a
     micro-batch never rewrites untouched state and a retried epoch reads
     exactly what its first attempt read. ``compact`` folds deltas into a new
-    base with a caller-given "latest per key" reduction.
+    base with a caller-given "latest per key" reduction and removes what no
+    retry can read any more, so neither reads nor listings grow with epochs.
+    State files are bucketed by ``hash(bucket_by)``; a micro-batch reads the
+    buckets that its keys fall in.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, bucket_by: str | None = None,
-                 buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, name: str, bucket_by: str, buckets: int):
         self.spark = spark
         self.deltas = f"{root.rstrip('/')}/{name}"
         self.bases = f"{root.rstrip('/')}/{name}_base"
@@ -65,71 +96,54 @@ class DeltaState:
         self.buckets = buckets
 
     def _bucket(self, c: str):
-        from pyspark.sql import functions as F
         return F.pmod(F.hash(F.col(c)), F.lit(self.buckets))
 
     def _write(self, df: DataFrame, path: str) -> None:
-        if self.bucket_by:
-            df = df.withColumn("_bucket", self._bucket(self.bucket_by))
-            df.write.mode("overwrite").partitionBy("_bucket").parquet(path)
-        else:
-            df.write.mode("overwrite").parquet(path)
+        df = df.withColumn("_bucket", self._bucket(self.bucket_by))
+        # clustered by bucket first: as many files as buckets, not tasks x buckets
+        df.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
 
-    def buckets_of(self, keys: DataFrame) -> list[int] | None:
+    def buckets_of(self, keys: DataFrame) -> list[int]:
         """The (at most ``buckets``) bucket ids the keys of a batch fall in."""
-        if not self.bucket_by:
-            return None
         return [r[0] for r in keys.select(self._bucket(self.bucket_by)).distinct().collect()]
 
     def _base_epochs(self) -> list[int]:
-        if not exists(self.spark, self.bases):
-            return []
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.bases)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        out = []
-        for st in fs.listStatus(p):
-            n = st.getPath().getName()
-            if n.startswith("upto=") and exists(self.spark, f"{self.bases}/{n}/_SUCCESS"):
-                out.append(int(n[5:]))
-        return sorted(out)
+        return committed(self.spark, self.bases, "upto=")
 
     def read(self, upto: int, buckets: list[int] | None = None) -> DataFrame | None:
         """State rows visible to epoch ``upto + 1`` (base + later deltas), with
         ``_epoch``: the epoch that wrote each version (a base counts as ``upto``).
         ``buckets`` prunes to those bucket partitions (see ``buckets_of``)."""
-        if upto < 0:
-            return None
-        from pyspark.sql import functions as F
-
-        def prune(df: DataFrame) -> DataFrame:
-            if self.bucket_by and buckets is not None:
-                df = df.filter(F.col("_bucket").isin(buckets))
-            return df.drop("_bucket") if self.bucket_by else df
-
         bases = [b for b in self._base_epochs() if b <= upto]
         start = bases[-1] if bases else -1
-        parts = []
-        if bases:
-            parts.append(prune(self.spark.read.parquet(f"{self.bases}/upto={start}"))
-                         .withColumn("_epoch", F.lit(start).cast("int")))
-        if exists(self.spark, self.deltas):
-            d = self.spark.read.parquet(self.deltas)
-            d = (prune(d.filter((F.col("epoch") > start) & (F.col("epoch") <= upto)))
-                 .withColumn("_epoch", F.col("epoch").cast("int")).drop("epoch"))
-            parts.append(d)
-        if not parts:
-            return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        later = [e for e in committed(self.spark, self.deltas, "epoch=") if start < e <= upto]
+        parts = [(f"{self.bases}/upto={start}", start)] if bases else []
+        parts += [(f"{self.deltas}/epoch={e}", e) for e in later]
+        out = None
+        for path, epoch in parts:
+            if not any(n.startswith("_bucket=") for n in children(self.spark, path)):
+                continue  # nothing was written in this epoch
+            df = self.spark.read.parquet(path)
+            if buckets is not None:
+                df = df.filter(F.col("_bucket").isin(buckets))
+            df = df.drop("_bucket").withColumn("_epoch", F.lit(epoch).cast("int"))
+            out = df if out is None else out.unionByName(df)
         return out
 
     def write_delta(self, epoch: int, df: DataFrame) -> None:
         self._write(df, f"{self.deltas}/epoch={epoch}")
 
-    def compact(self, upto: int, latest: "callable") -> None:
-        """Write base ``upto`` = ``latest(state visible after epoch upto)``."""
+    def compact(self, upto: int, latest: Callable[[DataFrame], DataFrame]) -> None:
+        """Write base ``upto`` = ``latest(state visible after epoch upto)``.
+        A retry of epoch ``upto`` still needs the base before it and the deltas
+        after that one; everything older is removed."""
+        before = [b for b in self._base_epochs() if b < upto]
         cur = self.read(upto)
         if cur is not None:
             self._write(latest(cur).drop("_epoch"), f"{self.bases}/upto={upto}")
+        if before:
+            for e in committed(self.spark, self.deltas, "epoch="):
+                if e <= before[-1]:
+                    remove(self.spark, f"{self.deltas}/epoch={e}")
+            for b in before[:-1]:
+                remove(self.spark, f"{self.bases}/upto={b}")

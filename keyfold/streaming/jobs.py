@@ -2,16 +2,17 @@
 
 The keyed jobs run through ``foreachBatch`` so a micro-batch uses exactly
 the batch code path (closed forms over windows and aggregates) with state
-seeded from the previous epoch. Capacity samples (I10) use Structured
-Streaming's own stateful window aggregation with a watermark.
+seeded from the previous epoch.
 
-Input order: micro-batches must arrive in arrival order (a file source with
-``maxFilesPerTrigger`` over files written in order, or Kafka offsets).
+Input order: micro-batches must arrive in arrival order (Kafka offsets, or a
+file source to which files are added in order); within one, rows are ordered
+by their columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,69 +20,85 @@ from ..operators import batching as bt
 from ..operators import dedupe as dd
 from ..operators import status as st
 from ..operators.deadletter import classify_dead_letters, dead_letter_alerts
-from ..functions.timecols import epoch_micros, micros_of
-from ..options import DEFAULT_SCAN_SPAN, BatchOptions
-from ..session import SAFE_UNION, conf_override, shared_dir
+from ..functions.timecols import epoch_micros, flush_boundary_micros, micros_of, ntz_from_micros
+from ..operators.backfill import ntz_lit
+from ..options import MONITOR_TICK, BatchOptions
+from ..session import SAFE_UNION, conf_override, materialise
 from .epochs import DeltaState, EpochStore
 
 BatchFn = Callable[[DataFrame, int], None]
 
 
 def run_file_stream(spark: SparkSession, source: str, schema: str, fn: BatchFn, checkpoint: str,
-                    files_per_trigger: int = 1, fmt: str = "parquet") -> None:
-    """Drain a file source with ``availableNow`` through ``fn``; the checkpoint
-    makes a restarted query resume at the first uncommitted micro-batch."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-           .format(fmt).load(source))
+                    fmt: str = "parquet") -> None:
+    """Drain what is new in a file source with ``availableNow`` through ``fn``,
+    as one micro-batch; the checkpoint makes a restarted query resume at the
+    first uncommitted one."""
+    src = spark.readStream.schema(schema).format(fmt).load(source)
     q = (src.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 # ------------------------------------------------------------------ I1 / I5 / I6
-def dedupe_batch_fn(store: EpochStore, span: int = DEFAULT_SCAN_SPAN, compact_every: int = 16,
-                    state_buckets: int | None = None) -> BatchFn:
+#: Buckets of keyed state. A micro-batch reads the buckets of its keys.
+STATE_BUCKETS = 16
+#: Epochs between bases: bounds the deltas that a read goes through.
+COMPACT_EVERY = 16
+
+
+def dedupe_batch_fn(store: EpochStore, compact_every: int = COMPACT_EVERY, state_buckets: int = STATE_BUCKETS,
+                    ttl: timedelta | None = None) -> BatchFn:
     """J1 per micro-batch, continuing from the tip / cid state.
 
-    State is delta-encoded (``DeltaState``): an epoch reads only state of
-    keys present in its batch (left-semi), writes its flags (the durable
-    record), then the tips that changed (rows flagged ``final_tip``) and the
-    (stream, cid) pairs it stored. Every ``compact_every`` epochs the deltas
-    are folded into a base, so reads stay bounded. With ``state_buckets``
-    the state is partitioned by ``hash(stream_id)`` and a micro-batch reads
-    only the buckets of its streams (worth it once state dwarfs a batch)."""
-    by = "stream_id" if state_buckets else None
-    tips_state = DeltaState(store.spark, store.root, "tips", bucket_by=by, buckets=state_buckets or 1)
-    cids_state = DeltaState(store.spark, store.root, "cids", bucket_by=by, buckets=state_buckets or 1)
+    State is delta-encoded and bucketed by stream (``DeltaState``): an epoch
+    reads the buckets of its streams and of those the keys of its rows
+    (left-semi), writes its flags (the durable record), then the tips that
+    changed (rows flagged ``final_tip``) and the (stream, cid) pairs it stored.
+    Every ``compact_every`` epochs the deltas are folded into a base and older
+    versions removed. ``ttl`` (B10, off by default): stored rows whose ``crt``
+    is older than the micro-batch's newest by more than it count as absent and
+    are left out of the next base."""
+    tips_state = DeltaState(store.spark, store.root, "tips", "stream_id", state_buckets)
+    cids_state = DeltaState(store.spark, store.root, "cids", "stream_id", state_buckets)
 
     def fn(batch: DataFrame, epoch: int) -> None:
         with conf_override(store.spark, SAFE_UNION):
             _epoch(batch, epoch)
 
     def _epoch(batch: DataFrame, epoch: int) -> None:
-        shared_dir(store.spark)
         keys = batch.select("stream_id", "origin").distinct()
         pairs = batch.select("stream_id", "cid").distinct()
+        now = batch.agg(F.max("crt")).first()[0] if ttl is not None else None
+
+        def alive(df: DataFrame) -> DataFrame:
+            return df if now is None else df.filter(~dd.expired(F.col("crt"), ttl, ntz_lit(now)))
+
         # seeds: stored state of the keys in this batch only, materialised once
         touched = tips_state.buckets_of(batch.select("stream_id"))
         tips = tips_state.read(epoch - 1, touched)
         if tips is not None:
-            tips = latest_tips(tips.join(keys, ["stream_id", "origin"], "left_semi")).checkpoint()
+            tips = materialise(alive(latest_tips(tips.join(keys, ["stream_id", "origin"], "left_semi"))), "tip-seeds")
         cids = cids_state.read(epoch - 1, touched)
         if cids is not None:
-            cids = cids.drop("_epoch").join(pairs, ["stream_id", "cid"], "left_semi").checkpoint()
-        r = dd.dedupe_requests(batch, tips, cids, span)  # tip flags checkpointed inside
-        store.write("flags", epoch, r.flags)
+            cids = materialise(alive(latest_cids(cids.join(pairs, ["stream_id", "cid"], "left_semi"))), "cid-seeds")
+        store.write("flags", epoch, dd.dedupe_requests(batch, tips, cids).flags)
         flags = store.read("flags", epoch)
         # state last: a crash before this point reruns the epoch from epoch - 1
         tips_state.write_delta(epoch, flags.filter("final_tip").select(*dd.TIP_COLS))  # changed tips only
         cids_state.write_delta(epoch, flags.filter("new_cid").select(*dd.CID_COLS))
         if compact_every and epoch % compact_every == compact_every - 1:
-            tips_state.compact(epoch, latest_tips)
-            cids_state.compact(epoch, lambda c: c.dropDuplicates(["stream_id", "cid"]))
+            for state, latest in ((tips_state, latest_tips), (cids_state, latest_cids)):
+                state.compact(epoch, lambda df, latest=latest: alive(latest(df)).withColumn("_epoch", F.lit(epoch)))
     return fn
 
 
+def latest_cids(cids: DataFrame) -> DataFrame:
+    """One row per (stream, cid): a pair is stored again only after it expired."""
+    best = F.max_by("crt", "_epoch").alias("crt")
+    return cids.groupBy("stream_id", "cid").agg(best)
+
+
 def latest_tips(tips: DataFrame) -> DataFrame:
     """One tip per (stream, origin): the version written by the latest epoch
     (each epoch's delta holds the tip *after* that epoch for the keys it
@@ -105,97 +122,117 @@ def ready_requests(store: EpochStore) -> DataFrame:
 
 
 # ------------------------------------------------------------------ I2 / I4
-def batching_batch_fn(store: EpochStore, opts: BatchOptions) -> BatchFn:
-    """Size / linger / flush batching across micro-batches.
+#: Versions of the batching state: micro-batch ``e`` writes version ``e * STEPS``,
+#: closings between it and the next write the versions after that.
+STEPS = 1 << 10
+
+
+def _batching_step(store: EpochStore, opts: BatchOptions, rows: DataFrame | None, version: int,
+                   now_us: int | None, flush_all: bool) -> None:
+    """One step of the batcher: open tail plus ``rows``, closed batches out,
+    new tail and counts as ``version``. The step reads the newest version
+    before its own, so a retried step writes the same files again."""
+    last = store.newest("tail", version - 1)
+    tail, counts = (store.read(n, last) for n in ("tail", "counts"))
+    parts = [d.select("rid", "ts", "arrival_seq") for d in (tail, rows) if d is not None]
+    if not parts:
+        return
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    assigned = bt.assign_batches(both, opts)
+    us = epoch_micros("ts", assigned.schema["ts"].dataType)
+    assigned = materialise(assigned.withColumn("_us", us), "assigned")
+    # the stream's clock: the newest arrival seen, or a later time that the caller knows
+    seen = assigned.agg(F.max("_us")).first()[0]
+    clock = max([t for t in (seen, now_us) if t is not None], default=None)
+    boundary = flush_boundary_micros(F.col("flush_window"), opts.flush)
+    due = (F.col("_n") >= opts.size) | F.lit(flush_all)
+    if clock is not None:
+        due = due | (boundary <= F.lit(clock)) | (F.col("_first_us") + F.lit(micros_of(opts.linger)) <= F.lit(clock))
+    closing = (assigned.groupBy("flush_window", "batch_no").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_first_us"))
+               .withColumn("_closed", due).select("flush_window", "batch_no", "_closed"))
+    tagged = materialise(assigned.join(closing, ["flush_window", "batch_no"]).drop("_us"), "tagged")
+    closed = tagged.filter("_closed").drop("_closed")
+    if counts is not None:
+        closed = (closed.join(counts, "flush_window", "left")
+                  .withColumn("batch_no", F.col("batch_no") + F.coalesce(F.col("n_emitted"), F.lit(0))).drop("n_emitted"))
+    store.write("batches", version, bt.collect_batches(closed, opts))
+    emitted = closed.groupBy("flush_window").agg(F.countDistinct("batch_no").alias("n_emitted"))
+    if counts is not None:
+        emitted = counts.unionByName(emitted).groupBy("flush_window").agg(F.sum("n_emitted").alias("n_emitted"))
+    if clock is not None:  # windows that ended get no more rows
+        emitted = emitted.filter(boundary > F.lit(clock))
+    store.write("counts", version, emitted)
+    store.write("tail", version, tagged.filter(~F.col("_closed")).select("rid", "ts", "arrival_seq"))
 
-    State: the open tail (members of batches that may still grow) and, per
-    flush window, the number of batches already emitted. Each epoch batches
-    ``tail + new rows`` with the bounded-table operator (the chain restarts
-    at the tail's first member, which is a batch start, so boundaries are
-    unchanged) and emits every batch that can no longer grow: its window is
-    older than the newest window seen (boundary passed), it is full, or its
-    linger expired before the latest arrival seen. Arrivals must come in
-    time order across micro-batches. ``drain`` (I4) flushes the rest."""
-    lin = micros_of(opts.linger)
 
+def batching_batch_fn(store: EpochStore, opts: BatchOptions, now: Callable[[], datetime] | None = None) -> BatchFn:
+    """Size / linger / flush batching across micro-batches of ``(rid, ts,
+    arrival_seq)``.
+
+    State: the open tail (members of batches that may still grow) and, per
+    open flush window, the number of batches already emitted. Each epoch
+    batches ``tail + new rows`` with the bounded-table operator (the chain
+    restarts at the tail's first member, which is a batch start, so boundaries
+    are unchanged) and emits every batch that can no longer grow: its window
+    has ended, it is full, or its linger is over, by the newest arrival or, if
+    given, by ``now()``. Arrivals must come in (ts, arrival_seq) order across
+    micro-batches. ``close_due`` closes batches of an idle stream by time and
+    ``drain`` (I4) all of them."""
     def fn(batch: DataFrame, epoch: int) -> None:
         with conf_override(store.spark, SAFE_UNION):
-            _epoch(batch, epoch)
-
-    def _epoch(batch: DataFrame, epoch: int) -> None:
-        counts = store.read("counts", epoch - 1)
-        tail = store.read("tail", epoch - 1)
-        rows = batch.select("rid", "ts")
-        if tail is not None:
-            rows = rows.unionByName(tail.select("rid", "ts"))
-        assigned = bt.assign_batches(rows, opts).drop("_first")
-        us = epoch_micros("ts", assigned.schema["ts"].dataType)
-        assigned = assigned.withColumn("_us", us)
-        # the stream's clock: newest flush window and latest arrival seen (two scalars)
-        top, now = assigned.agg(F.max("flush_window"), F.max("_us")).first()
-        sizes = (assigned.groupBy("flush_window", "batch_no")
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_first_us"))
-                 .withColumn("_closed", (F.col("flush_window") < F.lit(top)) | (F.col("_n") >= opts.size)
-                             | (F.col("_first_us") + F.lit(lin) <= F.lit(now)))
-                 .select("flush_window", "batch_no", "_closed"))
-        tagged = assigned.join(sizes, ["flush_window", "batch_no"]).drop("_us")
-        closed = tagged.filter("_closed")
-        if counts is not None:
-            closed = (closed.join(counts, "flush_window", "left")
-                      .withColumn("batch_no", F.col("batch_no") + F.coalesce(F.col("n_emitted"), F.lit(0)))
-                      .drop("n_emitted"))
-        closed = closed.drop("_closed").checkpoint()
-        store.write("batches", epoch, bt.collect_batches(closed, opts))
-        emitted = closed.groupBy("flush_window").agg(F.countDistinct("batch_no").alias("_add"))
-        if counts is not None:
-            emitted = (counts.join(emitted, "flush_window", "full")
-                       .select("flush_window", (F.coalesce("n_emitted", F.lit(0)) + F.coalesce("_add", F.lit(0)))
-                               .alias("n_emitted")))
-        else:
-            emitted = emitted.withColumnRenamed("_add", "n_emitted")
-        store.write("tail", epoch, tagged.filter(~F.col("_closed")).select("rid", "ts"))
-        store.write("counts", epoch, emitted)
+            at = None if now is None else _micros(now())
+            _batching_step(store, opts, batch, epoch * STEPS, at, False)
     return fn
 
 
-def drain(store: EpochStore, last_epoch: int, opts: BatchOptions) -> DataFrame | None:
-    """I4: flush every open batch at shutdown (written once, as ``drained``)."""
-    tail = store.read("tail", last_epoch)
-    if tail is None:
-        return None
-    counts = store.read("counts", last_epoch)
-    a = bt.assign_batches(tail, opts).drop("_first")
-    if counts is not None:
-        a = (a.join(counts, "flush_window", "left")
-             .withColumn("batch_no", F.col("batch_no") + F.coalesce(F.col("n_emitted"), F.lit(0)))
-             .drop("n_emitted"))
-    out = bt.collect_batches(a, opts)
-    out.write.mode("overwrite").parquet(f"{store.root}/drained")
-    return store.spark.read.parquet(f"{store.root}/drained")
+def _micros(t: datetime) -> int:
+    return (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
 
 
-# ------------------------------------------------------------------ I8
-def status_batch_fn(store: EpochStore, initial: DataFrame, compact_every: int = 16,
-                    state_buckets: int | None = None) -> BatchFn:
-    """I8: fold each micro-batch of status events into the status table.
+def close_due(store: EpochStore, last_epoch: int, opts: BatchOptions, now: datetime) -> DataFrame:
+    """Close the batches that are due at ``now`` without new arrivals; their
+    rows (none when nothing was due). Committed as a step after ``last_epoch``."""
+    return _closing(store, last_epoch, opts, _micros(now), False)
+
+
+def drain(store: EpochStore, last_epoch: int, opts: BatchOptions) -> DataFrame:
+    """I4: flush every open batch at shutdown. The empty tail and the new counts
+    are committed like any step, so a restart does not see the rows again."""
+    return _closing(store, last_epoch, opts, None, True)
+
+
+def _closing(store: EpochStore, last_epoch: int, opts: BatchOptions, now_us: int | None, flush_all: bool) -> DataFrame:
+    version = store.newest("tail", (last_epoch + 1) * STEPS - 1) + 1
+    with conf_override(store.spark, SAFE_UNION):
+        _batching_step(store, opts, None, version, now_us, flush_all)
+    return store.read("batches", version)
 
-    Only ids present in the batch are read (latest stored version, else the
-    initial table) and written back as a delta; ids absent from the initial
-    table stay no-ops. ``current_status(store, initial)`` gives the table."""
+
+# ------------------------------------------------------------------ I8
+def seed_status(store: EpochStore, initial: DataFrame, state_buckets: int = STATE_BUCKETS) -> None:
+    """Write the initial ``(id, status)`` table into the bucketed state, once:
+    micro-batches then read the buckets of their ids only."""
+    if not store.versions("status"):
+        _status_state(store, state_buckets).write_delta(0, initial.select("id", F.col("status").cast("smallint").alias("status")))
+
+
+def status_batch_fn(store: EpochStore, compact_every: int = COMPACT_EVERY, state_buckets: int = STATE_BUCKETS) -> BatchFn:
+    """I8: fold each micro-batch of status events into the status table
+    seeded by ``seed_status``. Only ids present in the batch are read and
+    written back as a delta; ids absent from the table stay no-ops.
+    Epoch ``e`` writes state version ``e + 1`` (0 is the seed)."""
     state = _status_state(store, state_buckets)
 
     def fn(batch: DataFrame, epoch: int) -> None:
         with conf_override(store.spark, SAFE_UNION):
             ids = batch.select("id").distinct()
-            cur = initial.join(ids, "id", "left_semi")
-            stored = state.read(epoch - 1, state.buckets_of(ids))
-            if stored is not None:
-                latest = latest_status(stored.join(ids, "id", "left_semi"))
-                cur = (cur.join(latest.select("id", F.col("status").alias("_s")), "id", "left")
-                       .select("id", F.coalesce("_s", "status").cast("smallint").alias("status")))
-            state.write_delta(epoch, st.status_fold(batch, cur))
+            stored = state.read(epoch, state.buckets_of(ids))
+            if stored is None:
+                return
+            current = latest_status(stored.join(ids, "id", "left_semi"))
+            state.write_delta(epoch + 1, st.status_fold(batch, current))
             if compact_every and epoch % compact_every == compact_every - 1:
-                state.compact(epoch, latest_status)
+                state.compact(epoch + 1, lambda df: latest_status(df).withColumn("_epoch", F.lit(epoch + 1)))
     return fn
 
 
@@ -203,20 +240,13 @@ def latest_status(stored: DataFrame) -> DataFrame:
     return stored.groupBy("id").agg(F.max_by("status", "_epoch").alias("status"))
 
 
-def _status_state(store: EpochStore, state_buckets: int | None) -> DeltaState:
-    return DeltaState(store.spark, store.root, "status", bucket_by="id" if state_buckets else None,
-                      buckets=state_buckets or 1)
+def _status_state(store: EpochStore, state_buckets: int) -> DeltaState:
+    return DeltaState(store.spark, store.root, "status", "id", state_buckets)
 
 
-def current_status(store: EpochStore, initial: DataFrame, upto: int,
-                   state_buckets: int | None = None) -> DataFrame:
-    """The status table after epoch ``upto``: initial rows overlaid with the latest versions."""
-    stored = _status_state(store, state_buckets).read(upto)
-    if stored is None:
-        return initial
-    latest = latest_status(stored).withColumnRenamed("status", "_s")
-    return (initial.join(latest, "id", "left")
-            .select("id", F.coalesce("_s", "status").cast("smallint").alias("status")))
+def current_status(store: EpochStore, upto: int, state_buckets: int = STATE_BUCKETS) -> DataFrame:
+    """The status table after epoch ``upto``."""
+    return latest_status(_status_state(store, state_buckets).read(upto + 1))
 
 
 # ------------------------------------------------------------------ I9
@@ -230,38 +260,30 @@ def dlq_batch_fn(store: EpochStore) -> BatchFn:
 
 
 # ------------------------------------------------------------------ I10
-def capacity_sample_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str,
-                           tick: str, watermark: str, state_partitions: int | None = None) -> None:
-    """One utilisation sample per tick window, via a stateful streaming
-    window aggregation (state bounded by the watermark); every trigger's
-    updated windows are appended with their batch id, and readers keep the
-    last version of each window.
-
-    The state holds only the windows inside the watermark, so it is
-    partitioned ``state_partitions`` ways (default: the session's
-    parallelism) instead of ``spark.sql.shuffle.partitions``; the count is
-    fixed in the checkpoint at the first start."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ev = src.withColumn("ets", F.timestamp_micros(F.col("ts_us")))
-    agg = (ev.withWatermark("ets", watermark)
-           .groupBy(F.window("ets", tick).alias("w"))
-           .agg(F.count(F.lit(1)).alias("unprocessed"),
-                F.count_if(F.col("event_type") == "purchase").alias("inflight"),
-                F.count_if(F.col("event_type") == "signup").alias("existing")))
+SAMPLE_COLS = ["unprocessed", "inflight", "existing"]
+
 
+def capacity_sample_fn(store: EpochStore, tick: timedelta = MONITOR_TICK) -> BatchFn:
+    """The last utilisation sample of every tick, from a stream of samples
+    ``(ts, seq, unprocessed, inflight, existing)``.
+
+    A micro-batch keeps its last sample per tick (a partial + final max) and
+    writes it as the epoch's output; ``last_samples`` takes the last over all
+    epochs. Nothing is held between micro-batches, so a sample may come late by
+    any time and still counts; no watermark drops it."""
     def fn(batch: DataFrame, epoch: int) -> None:
-        (batch.select(F.unix_micros(F.col("w.start")).alias("start_us"), "unprocessed", "inflight", "existing",
-                      F.lit(epoch).alias("epoch"))
-         .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}"))
+        us = epoch_micros("ts", batch.schema["ts"].dataType)
+        rows = batch.withColumn("_us", us).withColumn("tick", F.floor(F.col("_us") / F.lit(micros_of(tick))))
+        store.write("samples", epoch, _last(rows.select("tick", F.struct("_us", "seq", *SAMPLE_COLS).alias("sample"))))
+    return fn
+
 
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    with conf_override(spark, {"spark.sql.shuffle.partitions": str(parts)}):
-        q = (agg.writeStream.outputMode("update").foreachBatch(fn).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+def _last(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tick").agg(F.max("sample").alias("sample"))
 
 
-def latest_per_window(spark: SparkSession, sink: str) -> DataFrame:
-    s = spark.read.parquet(sink)
-    best = F.max_by(F.struct("unprocessed", "inflight", "existing"), "epoch").alias("s")
-    return s.groupBy("start_us").agg(best).select("start_us", "s.*")
+def last_samples(store: EpochStore, tick: timedelta = MONITOR_TICK) -> DataFrame:
+    """(tick_start, unprocessed, inflight, existing): the last sample per tick."""
+    last = _last(store.read_all("samples").select("tick", "sample"))
+    return last.select(ntz_from_micros(F.col("tick") * F.lit(micros_of(tick))).alias("tick_start"),
+                       *[F.col(f"sample.{c}").alias(c) for c in SAMPLE_COLS])
