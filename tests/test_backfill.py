@@ -3,6 +3,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from keyfold.operators import backfill as bf
+from keyfold.session import scratch_path
+from keyfold.streaming.epochs import EpochStore
 
 C = datetime(2024, 1, 10)
 RCOLS = "request_id long, status smallint, created_at timestamp_ntz, stream_id long"
@@ -42,3 +44,67 @@ def test_sent_prefix_first_failure(spark):
     assert second_fails.next_checkpoint == C + timedelta(minutes=1) and second_fails.n_sent == 1
     none_fail = bf.sent_prefix_checkpoint(df, "poll", F.lit(False)).first()
     assert none_fail.next_checkpoint == C + timedelta(minutes=2) and none_fail.outcome == "all"
+
+
+def test_sent_prefix_tells_tied_rows_apart(spark):
+    t = C + timedelta(minutes=1)
+    rows = [(1, 0, C, 1), (2, 0, t, 1), (3, 0, t, 1)]
+    df = _requests(spark, rows).withColumn("poll", F.lit(0))
+    got = bf.sent_prefix_checkpoint(df, "poll", F.col("request_id") == 3).first()
+    assert (got.n_sent, got.next_checkpoint, got.outcome) == (2, t, "later")
+
+
+def test_tie_safe_limit_in_another_time_zone(spark):
+    t1 = C + timedelta(minutes=1)
+    req = _requests(spark, [(1, 0, t1, 1), (2, 0, t1, 1), (3, 0, C + timedelta(minutes=2), 1)])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        safe = bf.scan_requests(req, _meta(spark), 0, bf.ntz_lit(C), bf.ntz_lit(C + timedelta(hours=1)), limit=1, tie_safe=True)
+        assert sorted(r.request_id for r in safe.collect()) == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+PCOLS = "request_id long, status smallint, created_at timestamp_ntz, stream_id long, cid string, origin string, ts timestamp_ntz"
+
+
+def _pending(spark, times):
+    return spark.createDataFrame([(i + 1, 0, t, 1, "c", "o", t) for i, t in enumerate(times)], PCOLS)
+
+
+def _poll_all(spark, req, ticks, fail, limit=100):
+    store = EpochStore(spark, scratch_path(spark, "t-poll"))
+    out = bf.incremental_backfill(req, ticks, store, fail, limit, min_age=timedelta(hours=12))
+    return store, sorted((r.tick, r.checkpoint, r.n_rows, r.n_sent, r.next_checkpoint) for r in out.collect())
+
+
+def test_poller_publishes_alerts_and_advances(spark):
+    """Two rows a poll: all sent, the first fails, the second fails."""
+    minute = lambda k: C + timedelta(minutes=k)
+    req = _pending(spark, [minute(1), minute(2), minute(3), minute(4)])
+    ticks = [C + timedelta(days=1, hours=k) for k in range(3)]
+    start = ticks[0] - timedelta(hours=48)
+    _, ticks_out = _poll_all(spark, req, ticks, F.lit(False), limit=2)
+    assert [t[1:] for t in ticks_out] == [(start, 2, 2, minute(2)), (minute(2), 2, 2, minute(4)), (minute(4), 0, 0, minute(4))]
+    store, ticks_out = _poll_all(spark, req, ticks[:1], F.col("request_id") == 1, limit=2)
+    assert ticks_out[0][3:] == (0, minute(1) - timedelta(milliseconds=1))
+    store, ticks_out = _poll_all(spark, req, ticks[:1], F.col("request_id") == 2, limit=2)
+    assert ticks_out[0][3:] == (1, minute(1))
+    assert [r.rid for r in store.read_all("messages").collect()] == [1]
+    alert = store.read_all("alerts").first()
+    assert alert.desc == "Unprocessed Requests" and alert.content.startswith("2 requests found since:\n2024-01-09 00:00:00 +0000 UTC")
+
+
+def test_poller_resumes_after_a_stop(spark):
+    times = [C + timedelta(minutes=m // 2) for m in range(40)]  # tied pairs
+    req, ticks = _pending(spark, times), [C + timedelta(days=1, hours=k) for k in range(5)]
+    fail = F.col("request_id") % 7 == 0
+    whole, want = _poll_all(spark, req, ticks, fail, limit=6)
+    part = EpochStore(spark, scratch_path(spark, "t-poll"))
+    bf.incremental_backfill(req, ticks[:2], part, fail, 6)
+    # the third tick stops before its checkpoint is stored
+    part.write("messages", 2, spark.createDataFrame([(0, 0, "x", "x", C, C)], "rid long, stream_id long, cid string, origin string, ts timestamp_ntz, crt timestamp_ntz"))
+    out = bf.incremental_backfill(req, ticks, part, fail, 6)
+    assert sorted((r.tick, r.checkpoint, r.n_rows, r.n_sent, r.next_checkpoint) for r in out.collect()) == want
+    sent = lambda s: sorted((r.epoch, r.rid) for r in s.read_all("messages").collect())
+    assert sent(part) == sent(whole)

@@ -34,8 +34,7 @@ def test_flush_boundary(spark):
 def test_random_linger_matches_fold(spark):
     rng = random.Random(3)
     rows = [(i, T + timedelta(seconds=rng.randint(0, 4000))) for i in range(150)]
-    opts = BatchOptions(size=4, linger=timedelta(minutes=5), flush=timedelta(minutes=30),
-                        slice=timedelta(minutes=7))
+    opts = BatchOptions(size=4, linger=timedelta(minutes=5), flush=timedelta(minutes=30))
     _, got = sizes(spark, rows, opts)
     us = [(r, int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))) for r, t in rows]
     exp = batch_fold(us, 4, 5 * 60 * 10**6, 30 * 60 * 10**6)
@@ -64,8 +63,34 @@ def test_bursts_and_gaps_match_fold(spark):
         for _ in range(rng.randint(1, 6)):       # sparse: rows minutes apart
             t += rng.uniform(60, 400)
             rows.append((rid, T + timedelta(seconds=t))); rid += 1
-    opts = BatchOptions(size=5, linger=timedelta(minutes=2), flush=timedelta(hours=2),
-                        slice=timedelta(minutes=3))
+    opts = BatchOptions(size=5, linger=timedelta(minutes=2), flush=timedelta(hours=2))
     _, got = sizes(spark, rows, opts)
     us = [(r, int((ts - datetime(1970, 1, 1)) / timedelta(microseconds=1))) for r, ts in rows]
     assert got == batch_fold(us, 5, 2 * 60 * 10**6, 2 * 3600 * 10**6)
+
+
+def test_ties_follow_arrival_and_any_flush_interval(spark):
+    """Rows of one time keep arrival order; 7-day and 7-hour windows count from year 1."""
+    rng = random.Random(23)
+    rows = [(rng.randint(0, 10**6) * 1000 + i, T + timedelta(minutes=rng.randint(0, 300) * 5), i) for i in range(300)]
+    for flush in (timedelta(days=7), timedelta(hours=7), timedelta(days=1)):
+        opts = BatchOptions(size=7, linger=timedelta(minutes=20), flush=flush)
+        got = batch_requests(spark.createDataFrame(rows, "rid long, ts timestamp_ntz, arrival_seq long"), opts)
+        got = [list(x.rids) for x in got.orderBy("flush_window", "batch_no").collect()]
+        year1 = datetime(1, 1, 1)
+        us = {i: (r, (t - year1) // timedelta(microseconds=1)) for r, t, i in rows}
+        exp = batch_fold([(i, u) for i, (_, u) in us.items()], 7, 20 * 60 * 10**6, flush // timedelta(microseconds=1))
+        assert got == [[us[i][0] for i in b] for b in exp], flush
+
+
+def test_flush_boundary_counts_from_year_one(spark):
+    from keyfold.functions.timecols import epoch_micros, flush_boundary_micros, flush_window, ntz_from_micros
+    df = spark.createDataFrame([(datetime(2024, 1, 10, 3),)], "ts timestamp_ntz")
+    for flush, want in ((timedelta(days=7), datetime(2024, 1, 15)), (timedelta(days=1), datetime(2024, 1, 11)), (timedelta(hours=1), datetime(2024, 1, 10, 4))):
+        w = flush_window(epoch_micros("ts", df.schema["ts"].dataType), flush)
+        assert df.select(ntz_from_micros(flush_boundary_micros(w, flush))).first()[0] == want
+    seven_hours = timedelta(hours=7)
+    w = flush_window(epoch_micros("ts", df.schema["ts"].dataType), seven_hours)
+    at = df.select(ntz_from_micros(flush_boundary_micros(w, seven_hours))).first()[0]
+    start = datetime(1, 1, 1)
+    assert at == start + ((datetime(2024, 1, 10, 3) - start) // seven_hours + 1) * seven_hours

@@ -14,11 +14,11 @@ TCOLS = "stream_id string, origin string, rid string, cid string, ts timestamp_n
 CCOLS = "stream_id string, cid string, crt timestamp_ntz"
 
 
-def run(spark, rows, tips=None, cids=None, span=1 << 22):
+def run(spark, rows, tips=None, cids=None):
     d = spark.createDataFrame(rows, DCOLS)
     t = spark.createDataFrame(tips, TCOLS) if tips is not None else None
     c = spark.createDataFrame(cids, CCOLS) if cids is not None else None
-    r = dd.dedupe_requests(d, t, c, span)
+    r = dd.dedupe_requests(d, t, c)
     return sorted((o.arrival_seq, o.event, o.target_rid, o.reason) for o in r.outcomes.collect()), r
 
 
@@ -75,7 +75,7 @@ def test_random_sequences_match_fold(spark):
     rng = random.Random(7)
     for _ in range(4):
         rows = _random_rows(rng, 60)
-        got, _ = run(spark, rows, span=3)  # tiny chunks: keys exceed the bound, exercises the carry
+        got, _ = run(spark, rows)
         exp, _, _ = dedupe_fold([dict(zip(["rid", "stream_id", "origin", "cid", "ts", "crt", "arrival_seq"], r))
                                  for r in rows])
         assert got == sorted(exp)

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from keyfold.plans.catalog import QUERIES
-from keyfold.plans.verify import compare, duck
+from verify import compare, duck
 from conftest import SF0001
 
 KEYS = sorted(QUERIES)

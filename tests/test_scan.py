@@ -2,35 +2,54 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
-from keyfold.operators.scan import prefix_max_before, prefix_sum
+from keyfold.operators.scan import CHUNK, chunked, ordinal, prefix_max_before, prefix_sum
 
 
-def _data(spark, n=400, seed=1):
-    rng = random.Random(seed)
-    # one hot key with most rows, a few cold ones
-    rows = [(("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 5)}"), seq, rng.randint(0, 50))
-            for seq in rng.sample(range(100 * n), n)]
-    return spark.createDataFrame(rows, "k string, seq long, v long")
+def hot_key(rng, n):
+    return [(("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 5)}"), seq, rng.randint(0, 50)) for seq in rng.sample(range(100 * n), n)]
 
 
-def test_prefix_max_chunked_equals_window(spark):
-    df = _data(spark)
-    chunked = prefix_max_before(df, ["k"], "seq", F.col("v"), "m", span=500, total_out="t")  # hot key > bound
-    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    plain = df.withColumn("m", F.max("v").over(w)).withColumn("t", F.max("v").over(Window.partitionBy("k")))
-    assert sorted(chunked.collect()) == sorted(plain.collect())
+def sparse_order(rng, n):
+    """Nanosecond stamps: almost every order value far from the next."""
+    return [(rng.choice(["a", "a", "b", None]), rng.randint(0, 10**18), rng.randint(0, 50)) for _ in range(n)]
 
 
-def test_prefix_sum_chunked_equals_window(spark):
-    df = _data(spark, seed=2)
-    chunk = F.floor(F.col("seq") / 997)
-    chunked = prefix_sum(df, ["k"], chunk, [F.col("seq")], F.col("v"), "s", max_rows_per_task=None)
-    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    plain = df.withColumn("s", F.sum("v").over(w))
-    assert sorted(chunked.collect()) == sorted(plain.collect())
-    excl = prefix_sum(df, ["k"], chunk, [F.col("seq")], F.col("v"), "s", inclusive=False, max_rows_per_task=None)
-    w2 = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    plain2 = df.withColumn("s", F.coalesce(F.sum("v").over(w2), F.lit(0)))
-    assert sorted(excl.collect()) == sorted(plain2.collect())
+def burst(rng, n):
+    """One minute holds most rows of the one key, the rest lies days apart."""
+    return [("k", rng.randint(0, 60_000_000) if i % 10 else i * 86_400_000_000, rng.randint(0, 9)) for i in range(n)]
+
+
+@pytest.mark.parametrize("shape", [hot_key, sparse_order, burst])
+def test_scans_equal_the_window(spark, shape):
+    rows = {(k, s): (k, s, v) for k, s, v in shape(random.Random(1), 500)}.values()
+    df = spark.createDataFrame(list(rows), "k string, seq long, v long")
+    w = Window.partitionBy("k").orderBy("seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumn("m", F.max("v").over(before)).withColumn("t", F.max("v").over(Window.partitionBy("k")))
+    key = lambda r: str(tuple(r))
+    assert sorted(prefix_max_before(df, ["k"], "seq", F.col("v"), "m", total_out="t").collect(), key=key) == sorted(plain.collect(), key=key)
+    incl = df.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(prefix_sum(df, ["k"], ["seq"], F.col("v"), "s").collect(), key=key) == sorted(incl.collect(), key=key)
+    excl = df.withColumn("s", F.coalesce(F.sum("v").over(before), F.lit(0)))
+    assert sorted(prefix_sum(df, ["k"], ["seq"], F.col("v"), "s", inclusive=False).collect(), key=key) == sorted(excl.collect(), key=key)
+    rn = df.withColumn("rn", F.row_number().over(w).cast("long"))
+    assert sorted(ordinal(df, ["k"], ["seq"], "rn").collect(), key=key) == sorted(rn.collect(), key=key)
+
+
+@pytest.mark.parametrize("shape", [hot_key, sparse_order, burst])
+def test_chunks_are_bounded_by_rows(spark, shape):
+    """No chunk holds much more than its share, however the order column lies."""
+    n = 4000
+    df = spark.createDataFrame(shape(random.Random(2), n), "k string, seq long, v long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in chunked(df, ["k"], ["seq"]).groupBy(CHUNK).count().collect()]
+    assert max(sizes) <= 3 * n / parts and sum(sizes) == n
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "k string, seq long, v long")
+    assert prefix_max_before(df, ["k"], "seq", F.col("v"), "m").count() == 0
+    assert prefix_sum(df, ["k"], ["seq"], F.col("v"), "s").count() == 0
