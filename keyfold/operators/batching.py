@@ -19,14 +19,14 @@ has passed since its first member, or at the UTC flush boundary (H1).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.ids import batch_key, deterministic_batch_id
 from ..functions.timecols import (epoch_micros, flush_boundary_micros,
                                   flush_window, micros_of, ntz_from_micros)
 from ..options import BatchOptions
 from ..session import materialise
-from .scan import ordinal, prefix_max_before, prefix_sum
+from .scan import ordinal, prefix_sum
 
 ORDER = "_ord"
 
@@ -84,51 +84,46 @@ def _linger_batch_numbers(d: DataFrame, opts: BatchOptions) -> DataFrame:
     fills up and the next start is ``i + size``. From any start the chain
     therefore walks its residue class (mod size) until the first non-dense
     node ``jmp``, whose batch closes on linger and the next start is
-    ``lim``. Only non-dense nodes need pointer doubling (``u -> jmp(lim(u))``).
-    Their number per window is bounded by configuration, not by data: a
-    non-dense node has fewer than ``size`` rows in its own linger interval,
-    so any linger-long span of the window holds at most ``size`` of them,
-    i.e. at most ``size * ceil(flush / linger)`` per window. Under steady
-    load almost every node is dense and the doubled graph is tiny. Every
-    chain segment ``[v, jmp(v)]`` then holds starts ``v, v + size, ...`` and
-    a row's batch number is arithmetic on its segment."""
-    size = opts.size
+    ``lim``. Every chain segment ``[v, jmp(v)]`` holds the starts ``v, v +
+    size, ...`` and a row's batch number is arithmetic on its segment.
+
+    What the configuration bounds, whatever the data: a non-dense node has
+    fewer than ``size`` rows in its own linger interval, so a linger-long span
+    holds at most ``size`` of them, about one a residue class; and a chain
+    passes at most ``flush / linger`` of them, as each closes a batch that
+    lasted for ``linger``. So the windows below run over (window, residue
+    class) or over a window's segments, and the doubling takes log2(flush /
+    linger) rounds over non-dense nodes only."""
+    size = F.lit(opts.size)
     nw = d.groupBy("flush_window").agg(F.count(F.lit(1)).alias("_n"))
-    nodes = (_linger_limits(d, opts)
-             .withColumn("dense", F.col("lim") >= F.col("i") + F.lit(size))
-             .withColumn("_res", F.pmod(F.col("i") - 1, F.lit(size)))
-             .withColumn("_neg", -F.col("i")))
-    # jmp(i): first non-dense node at or after i in i's residue class (a suffix min)
-    nodes = prefix_max_before(nodes, ["flush_window", "_res"], "_neg",
-                              F.when(~F.col("dense"), -F.col("i")), "_nd")
-    nodes = materialise(nodes.withColumn("jmp", F.when(~F.col("dense"), F.col("i")).otherwise(-F.col("_nd")))
-                        .select("flush_window", "i", "lim", "dense", "jmp"), "nodes")
-    look = nodes.select("flush_window", F.col("i").alias("lim"), F.col("jmp").alias("j"))
-    graph = materialise(nodes.filter(~F.col("dense")).select("flush_window", "i", "lim")
-                        .join(look, ["flush_window", "lim"]).filter(F.col("j").isNotNull())
-                        .select("flush_window", "i", "j"), "graph")
-    start = nodes.filter((F.col("i") == 1) & F.col("jmp").isNotNull()).select("flush_window", F.col("jmp").alias("i"))
+    limits = materialise(_linger_limits(d, opts), "limits")
+    sparse = limits.filter(F.col("lim") < F.col("i") + size)
+    # jmp(v) for the places where a chain segment may start: row 1 and every lim
+    asks = sparse.select("flush_window", F.col("lim").alias("v")).unionByName(
+        nw.select("flush_window", F.lit(1).cast("long").alias("v"))).distinct()
+    points = (sparse.select("flush_window", F.col("i").alias("at"), F.col("i").alias("node"))
+              .unionByName(asks.select("flush_window", F.col("v").alias("at"), F.lit(None).cast("long").alias("node"))))
+    later = (Window.partitionBy("flush_window", "_res").orderBy(F.desc("at"), F.desc_nulls_last("node"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+    first = (points.withColumn("_res", F.pmod(F.col("at") - 1, size)).withColumn("jmp", F.min("node").over(later))
+             .filter(F.col("node").isNull()).select("flush_window", F.col("at").alias("v"), "jmp"))
+    first = materialise(first, "segment-ends")
+    hops = sparse.join(first.withColumnRenamed("v", "lim"), ["flush_window", "lim"])
+    graph = materialise(hops.filter(F.col("jmp").isNotNull()).select("flush_window", "i", F.col("jmp").alias("j")), "graph")
+    start = first.filter((F.col("v") == 1) & F.col("jmp").isNotNull()).select("flush_window", F.col("jmp").alias("i"))
     reached = _orbit(graph, start)
-    # segment starts: row 1, and lim(u) of every reached non-dense u inside the window
-    follow = (reached.join(nodes.select("flush_window", "i", "lim"), ["flush_window", "i"])
-              .join(nw, "flush_window").filter(F.col("lim") <= F.col("_n"))
-              .select("flush_window", F.col("lim").alias("v")))
-    segs = nw.select("flush_window", F.lit(1).cast("long").alias("v")).unionByName(follow)
-    segs = (segs.join(nodes.select("flush_window", F.col("i").alias("v"), "jmp"), ["flush_window", "v"])
-            .join(nw, "flush_window"))
-    end = F.coalesce("jmp", "_n")
-    starts = (F.floor((end - F.col("v")) / F.lit(size)) + 1).cast("long")
-    segs = materialise(prefix_sum(segs, ["flush_window"], ["v"], starts, "_before", inclusive=False)
-                       .select("flush_window", "v", "_before"), "segments")
-    # each row's segment: the greatest segment start at or before it
-    marks = segs.select("flush_window", (F.col("v") * 2).alias("_seq"), F.struct("v", "_before").alias("_val"),
-                        F.lit(None).cast("long").alias("rn"))
-    rows = d.select("flush_window", (F.col("rn") * 2 + 1).alias("_seq"), F.lit(None).cast(marks.schema["_val"].dataType).alias("_val"), "rn")
-    num = (prefix_max_before(marks.unionByName(rows), ["flush_window"], "_seq", F.col("_val"), "_seg")
-           .filter(F.col("rn").isNotNull())
-           .select("flush_window", "rn", (F.col("_seg._before") + F.floor((F.col("rn") - F.col("_seg.v")) / F.lit(size)))
-                   .cast("long").alias("batch_no")))
-    return d.drop("batch_no").join(num, ["flush_window", "rn"])
+    # segment starts: row 1, and lim(u) of every reached non-dense u
+    follow = reached.join(sparse, ["flush_window", "i"]).select("flush_window", F.col("lim").alias("v"))
+    segs = (nw.select("flush_window", F.lit(1).cast("long").alias("v")).unionByName(follow)
+            .join(first, ["flush_window", "v"]).join(nw, "flush_window").filter(F.col("v") <= F.col("_n")))
+    n_starts = (F.floor((F.coalesce("jmp", "_n") - F.col("v")) / size) + 1).cast("long")
+    earlier = Window.partitionBy("flush_window").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    segs = segs.withColumn("_before", F.coalesce(F.sum(n_starts).over(earlier), F.lit(0)))
+    segs = segs.groupBy("flush_window").agg(F.sort_array(F.collect_list(F.struct("v", "_before"))).alias("_segs"))
+    own = F.element_at(F.filter("_segs", lambda x: x["v"] <= F.col("rn")), -1)
+    return (d.drop("batch_no").join(segs, "flush_window").withColumn("_own", own)
+            .withColumn("batch_no", (F.col("_own._before") + F.floor((F.col("rn") - F.col("_own.v")) / size)).cast("long"))
+            .drop("_segs", "_own"))
 
 
 def assign_batches(rows: DataFrame, opts: BatchOptions) -> DataFrame:
