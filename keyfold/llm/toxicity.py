@@ -38,7 +38,7 @@ from .common import stage
 ORDER = 6
 SHARED = 3
 #: Documented bound of the labelled sample that the models are fitted on.
-MAX_LABELLED = 12_000
+MAX_LABELLED = 6_000
 #: One in so many sampled documents is kept for the calibration.
 CALIBRATE = 4
 WINDOW = 12
@@ -49,29 +49,33 @@ CACHE = 1_000_000
 CLIP = 12.0
 #: Evidence of a word counts above these levels; a single chance n-gram stays below the higher ones.
 LEVELS = (0.0, 3.0, 6.0)
+N_FEATURES = len(LEVELS) + 4
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Characters of all words with a start and an end mark: word number and
-    place in the word of each character, starts of the words, and for k = 0 to
-    ORDER the hash of the k characters that end at each one."""
+def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all words with a start and an end mark, the word number
+    and place in the word of each, and where the words start."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    starts = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(codes)) - starts[word]
-    codes = codes.astype(np.uint64) + np.uint64(1)
-    run, out = np.zeros(len(codes), np.uint64), [np.zeros(len(codes), np.uint64)]
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int32, len(words))
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    return codes, word, (np.arange(len(codes)) - starts[word]).astype(np.int32), starts
+
+
+def _orders(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k = 1 to ORDER: the hashes of the k characters that end at each
+    character and of the k - 1 before it. One order is held at a time."""
+    wide = codes.astype(np.uint64) + np.uint64(1)
+    run, last = np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)
     for k in range(1, ORDER + 1):
-        back = np.zeros(len(codes), np.uint64)
-        back[k - 1:] = codes[:len(codes) - k + 1]
-        run = run + back * np.uint64(pow(_BASE, k, 1 << 64))
+        run[k - 1:] += wide[:len(codes) - k + 1] * np.uint64(pow(_BASE, k, 1 << 64))
         h = (run + np.uint64(k)) * _MIX
-        out.append((h ^ (h >> np.uint64(29))) * np.uint64(_BASE))
-    return word, place, starts, out
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(_BASE)
+        yield k, h, np.concatenate([np.zeros(1, np.uint64), last[:-1]])
+        last = h
 
 
 def _discounts(total: np.ndarray) -> np.ndarray:
@@ -82,11 +86,6 @@ def _discounts(total: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0.3, 0.5, 0.7], [0.98, 1.95, 2.9])
 
 
-def _context(grams: list[np.ndarray], k: int) -> np.ndarray:
-    """Hash of the k - 1 characters before each one."""
-    return np.concatenate([np.zeros(1, np.uint64), grams[k - 1][:-1]])
-
-
 @dataclass
 class Slots:
     """Values of hashes in a table of fixed size; a hash that finds its slot
@@ -115,22 +114,28 @@ class KneserNey:
 
     def __init__(self, words: list[str], counts: np.ndarray, bits: int = SLOT_BITS) -> None:
         self.bits = bits
-        word, place, _, grams = _grams(words)
+        codes, word, place, _ = _places(words)
         self.base = 1.0 / max(2, len(set("".join(words))) + 1)
-        seen = counts > 0
+        counts = counts.astype(np.float32)
+        seen = (counts > 0).astype(np.float32)
         keys, weights, alphas, contexts, masses, context_weights = [], [], [], [], [], []
-        for k in range(1, ORDER + 1):
+        for k, gram, context in _orders(codes):
             use = place >= max(1, k - 1)
-            key, w, p = grams[k][use], word[use], place[use]
-            before = _context(grams, k)[use]
+            # sorted once: equal n-grams stand together, and sums run over their stretches
+            order = np.argsort(gram[use], kind="stable")
+            at = np.flatnonzero(use)[order].astype(np.int32)
+            del order, use
+            key = gram[at]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            distinct, before = key[first], context[at[first]]
+            del key
             if k <= SHARED:
-                n = np.ones((len(key), 1))
+                total = np.diff(np.concatenate([first, [len(at)]])).astype(np.float64)[:, None]
             else:
-                by_occurrence = (p == k - 1) | (k == ORDER)
-                n = np.where(by_occurrence[:, None], counts[w], seen[w]).astype(np.float64)
-            distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
-            total = np.stack([np.bincount(at, n[:, c], len(distinct)) for c in range(n.shape[1])], 1)
-            heads, head_at = np.unique(before[first], return_inverse=True)
+                by_occurrence = (place[at] == k - 1) | (k == ORDER)
+                total = np.stack([np.add.reduceat(np.where(by_occurrence, counts[word[at], c], seen[word[at], c]), first, dtype=np.float64)
+                                  for c in range(2)], 1)
+            heads, head_at = np.unique(before, return_inverse=True)
             head = np.stack([np.bincount(head_at, total[:, c], len(heads)) for c in range(total.shape[1])], 1)
             if k > SHARED:
                 total = np.where(total.sum(1, keepdims=True) >= 2, total, 0)
@@ -155,12 +160,12 @@ class KneserNey:
         """Toxic minus ordinary log-likelihood of each word."""
         if not words:
             return np.empty(0)
-        _, place, starts, grams = _grams(words)
+        codes, _, place, starts = _places(words)
         p = np.full((len(place), 2), self.base)
-        for k in range(1, ORDER + 1):
+        for k, gram, context in _orders(codes):
             use = np.flatnonzero(place >= max(1, k - 1))
-            head = (_context(grams, k)[use] + np.uint64(k)) * _MIX
-            p[use] = self.alpha.get(grams[k][use], self.bits, 0.0) + self.left.get(head, self.bits, 1.0) * p[use]
+            head = (context[use] + np.uint64(k)) * _MIX
+            p[use] = self.alpha.get(gram[use], self.bits, 0.0) + self.left.get(head, self.bits, 1.0) * p[use]
         gap = np.log(np.maximum(p[:, 0], 1e-12)) - np.log(np.maximum(p[:, 1], 1e-12))
         gap[place == 0] = 0
         return np.clip(np.add.reduceat(gap, starts), -CLIP, CLIP)
@@ -191,9 +196,10 @@ class Scorer:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: for each level the largest window sum of the evidence
-        above it, over the window's size; mean evidence; log of the number of
-        words. Texts go through in groups of bounded size."""
-        out, held, size = np.zeros((len(texts), len(LEVELS) + 2)), [], 0
+        above it, over the window's size; the two largest evidences, which may
+        lie far apart; mean evidence; log of the number of words. Texts go
+        through in groups of bounded size."""
+        out, held, size = np.zeros((len(texts), N_FEATURES)), [], 0
         for i, text in enumerate(texts):
             held.append((i, (text or "").lower().split()))
             size += len(held[-1][1])
@@ -203,7 +209,8 @@ class Scorer:
                 for j, cs in held:
                     if cs:
                         e = np.fromiter(map(get, cs), np.float64, len(cs))
-                        out[j] = [*(self._top(np.maximum(e - x, 0) if x else e) for x in LEVELS), e.mean(), np.log1p(len(cs))]
+                        two = np.partition(e, -2)[-2:] if len(e) > 1 else np.array([0.0, e[0]])
+                        out[j] = [*(self._top(np.maximum(e - x, 0) if x else e) for x in LEVELS), *(two / CLIP), e.mean(), np.log1p(len(cs))]
                 held, size = [], 0
         return out
 
@@ -289,11 +296,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int = M
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
     kept = picked.filter("fold").select("text", "toxic").mapInArrow(features, "x array<double>, y int").toArrow()
-    x = np.array(kept.column("x").to_pylist(), float).reshape(-1, len(LEVELS) + 2)
+    x = np.array(kept.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
     y = (kept.column("y").to_numpy() > 0).astype(float)
     # one row of either class beside the real ones keeps small samples solvable
     high = [max(0.0, 2 * (10 - v)) / WINDOW for v in LEVELS]
-    x, y = np.vstack([x, [[*high, 0.3, 4.0], [0.0] * len(LEVELS) + [0.0, 4.0]]]), np.concatenate([y, [1.0, 0.0]])
+    x, y = np.vstack([x, [[*high, 0.9, 0.9, 0.3, 4.0], [0.0] * (N_FEATURES - 1) + [4.0]]]), np.concatenate([y, [1.0, 0.0]])
     return Toxicity(model, fit_logistic(x, y), rate)
 
 
