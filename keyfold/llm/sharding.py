@@ -17,6 +17,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import chunk_of, prefix_sums, stage
@@ -24,6 +26,9 @@ from .common import chunk_of, prefix_sums, stage
 LAW = "rows"
 N_SHARDS = 40
 MAX_ROUNDS = 6
+#: While labels spread a shard may pass its quota by this share; what is over at
+#: the end is evicted key by key.
+SLACK = 0.1
 
 
 def _lookup(values: list, index: Column, kind: str = "double") -> Column:
@@ -51,12 +56,14 @@ def propagate(entries: DataFrame, quota: list[int], rounds: int = MAX_ROUNDS) ->
     when nothing wants to move.
     """
     n_shards = len(quota)
+    room = [q + math.ceil(q * SLACK) for q in quota]
     for r in range(rounds):
         load = _totals(entries, "shard", "n", n_shards)
-        is_open = _lookup([int(load[s] < quota[s]) for s in range(n_shards)], F.col("shard"), "int") == 1
-        rank = F.struct("n", (-F.col("shard")).alias("s"))
+        is_open = _lookup([int(load[s] < room[s]) for s in range(n_shards)], F.col("shard"), "int") == 1
+        # of shards that hold as many members, a key takes one by hash
+        rank = F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard")
         best = F.max(F.when(is_open, rank)).over(Window.partitionBy("key"))
-        wants = stage(entries.withColumn("best", best).withColumn("target", (-F.col("best.s")).cast("int"))
+        wants = stage(entries.withColumn("best", best).withColumn("target", F.col("best.shard"))
                       .withColumn("move", (F.col("n") <= F.col("best.n")) & (F.col("shard") != F.col("target")))
                       .select("key", "shard", "n", "target", "move"), "lp-wants")
         moving = wants.filter("move")
@@ -64,7 +71,7 @@ def propagate(entries: DataFrame, quota: list[int], rounds: int = MAX_ROUNDS) ->
         if not sum(demand):
             break
         out = _totals(moving, "shard", "n", n_shards)
-        admit = [min(1.0, max(0, quota[s] - load[s] + out[s]) / demand[s]) if demand[s] else 0.0 for s in range(n_shards)]
+        admit = [min(1.0, max(0, room[s] - load[s] + out[s]) / demand[s]) if demand[s] else 0.0 for s in range(n_shards)]
         moved = F.when(F.col("move"), F.floor(F.col("n") * _lookup(admit, F.col("target"))
                                               + _u(F.col("key"), F.col("shard"), F.lit(r)))).otherwise(F.lit(0))
         moved = F.least(moved.cast("long"), F.col("n"))
