@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import scratch_path
+from ..session import conf_override, scratch_path
+from .common import TEXT_BATCH
 from .rangecoder import BLOCK, BadBlock, decode_blocks, encode_blocks
 
 END_ID = 2
 #: Blocks coded side by side: bounds a worker's memory.
-LANES = 4_096
+LANES = 2_048
 #: Chunks of which a worker keeps the ids, and bytes tokenised at once.
-CACHE, BATCH_BYTES = 1_000_000, 4 << 20
+CACHE, BATCH_BYTES = 500_000, 2 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -213,7 +214,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         texts = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         yield from _blocks(TaskContext.get().partitionId(), texts, chunks_of(vocabulary, end_id))
 
-    dealt.mapInArrow(run, BLOCKS).write.parquet(path)
+    with conf_override(spark, TEXT_BATCH):
+        dealt.mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
