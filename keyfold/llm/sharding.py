@@ -50,7 +50,7 @@ def _u(*cols) -> Column:
 def propagate(entries: DataFrame, quota: list[int], rounds: int = MAX_ROUNDS) -> DataFrame:
     """Rounds of label propagation over (key, shard, n) under shard quotas.
 
-    In a round every key picks, among the shards with room, the one that holds
+    In a round every key picks, among the shards below their quota, the one that holds
     most of its members; members in shards that hold no more move there. Shard t
     admits min(1, (room + outflow) / demand) of what wants in, by hash. Stops
     when nothing wants to move.
@@ -59,7 +59,7 @@ def propagate(entries: DataFrame, quota: list[int], rounds: int = MAX_ROUNDS) ->
     room = [q + math.ceil(q * SLACK) for q in quota]
     for r in range(rounds):
         load = _totals(entries, "shard", "n", n_shards)
-        is_open = _lookup([int(load[s] < room[s]) for s in range(n_shards)], F.col("shard"), "int") == 1
+        is_open = _lookup([int(load[s] < quota[s]) for s in range(n_shards)], F.col("shard"), "int") == 1
         # of shards that hold as many members, a key takes one by hash
         rank = F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard")
         best = F.max(F.when(is_open, rank)).over(Window.partitionBy("key"))
@@ -159,12 +159,17 @@ def with_row_id(docs: DataFrame, name: str) -> DataFrame:
     return stage(docs.withColumn("row_id", F.monotonically_increasing_id()), name)
 
 
+def text_key(text: Column) -> Column:
+    """Link key of equal texts; null texts share a key that no digest equals."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the link key of every row."""
     return docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-        F.unhex(F.sha2("text", 256)).alias("key"))
+        text_key(F.col("text")).alias("key"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -178,7 +183,7 @@ def shard_stage(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = MAX_ROU
     """All columns of the documents with shard_no and shard_slot (whole texts
     stay with their row: the row number is staged with them)."""
     numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "shard-docs")
-    keyed = numbered.select(F.col("__row").alias("row_id"), F.unhex(F.sha2("text", 256)).alias("key"))
+    keyed = numbered.select(F.col("__row").alias("row_id"), text_key(F.col("text")).alias("key"))
     out = shard_rows(stage(keyed, "shard-keys"), n_shards, rounds).select(
         F.col("row_id").alias("__at"), F.col("shard").alias("shard_no"), F.col("slot").alias("shard_slot"))
     joined = numbered.join(out, numbered["__row"] == out["__at"]).drop("__row", "__at")

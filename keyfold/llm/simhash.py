@@ -124,9 +124,11 @@ def _bits(fps: np.ndarray) -> np.ndarray:
 
 def partitions(bits: np.ndarray, m: int) -> list[list[int]]:
     """64 bits in m partitions of even width, correlated bits together."""
-    x = bits.astype(np.float64) - bits.mean(axis=0)
-    sd = x.std(axis=0)
-    near = np.abs((x.T @ x) / len(x) / np.maximum(np.outer(sd, sd), 1e-9)) if len(x) else np.zeros((64, 64))
+    near = np.zeros((64, 64))
+    if len(bits):
+        x = bits.astype(np.float64) - bits.mean(axis=0)
+        sd = x.std(axis=0)
+        near = np.abs((x.T @ x) / len(x) / np.maximum(np.outer(sd, sd), 1e-9))
     np.fill_diagonal(near, 0)
     left, out = list(range(64)), []
     for i in range(m):
