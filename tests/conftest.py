@@ -12,6 +12,6 @@ SF001 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from keyfold.session import build_session
-    s = build_session(master="local[*]", app="keyfold-tests", shuffle_partitions=8)
+    s = build_session(master="local[4]", app="keyfold-tests", shuffle_partitions=8)
     yield s
     s.stop()
