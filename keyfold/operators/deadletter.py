@@ -15,7 +15,7 @@ from ..functions.ids import NIL_UUID
 from ..functions.text import (ALERT_DESC_DEAD_LETTER, ALERT_TITLE,
                               dead_letter_alert)
 from ..options import MAX_RECEIVE_COUNT
-from ..sources.messages import parse_batch, parse_requests
+from ..sources.messages import request_or_batch
 
 UNKNOWN = "Unknown"
 TYPE_REQUEST = "Anchor request"
@@ -24,16 +24,13 @@ TYPE_BATCH = "Batch request"
 
 def classify_dead_letters(texts: DataFrame, value: str = "value") -> DataFrame:
     """Adds ``msg_type`` and ``msg_id``."""
-    req = parse_requests(texts, value)
-    req = req.withColumnRenamed("rid", "_rid").withColumnRenamed("malformed", "_req_bad")
-    req = req.drop("stream_id", "cid", "origin", "ts", "crt")
-    both = parse_batch(req, value).withColumnRenamed("malformed", "_batch_bad")
-    is_req = ~F.col("_req_bad") & (F.col("_rid") != F.lit(NIL_UUID))
-    is_batch = ~F.col("_batch_bad") & (F.col("bid") != F.lit(NIL_UUID))
+    both = request_or_batch(texts, value)
+    is_req = F.coalesce(F.col("rid") != F.lit(NIL_UUID), F.lit(False))
+    is_batch = F.coalesce(F.col("bid") != F.lit(NIL_UUID), F.lit(False))
     return (both
             .withColumn("msg_type", F.when(is_req, TYPE_REQUEST).when(is_batch, TYPE_BATCH).otherwise(UNKNOWN))
-            .withColumn("msg_id", F.when(is_req, F.col("_rid")).when(is_batch, F.col("bid")).otherwise(UNKNOWN))
-            .drop("_rid", "_req_bad", "_batch_bad", "bid"))
+            .withColumn("msg_id", F.when(is_req, F.col("rid")).when(is_batch, F.col("bid")).otherwise(UNKNOWN))
+            .drop("rid", "bid"))
 
 
 def dead_letter_alerts(classified: DataFrame, title: str = ALERT_TITLE) -> DataFrame:

@@ -11,6 +11,8 @@ table. JSON keys are matched with exact case and a repeated key is malformed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import NIL_UUID, canonical_uuid
@@ -24,44 +26,52 @@ ZERO_TIME = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 _ROOT = "_kf_v"
 
 
-def _decode(df: DataFrame, value: str) -> tuple[DataFrame, Column]:
-    """``df`` with the parsed value, and whether it is one JSON object (or
-    null, which decodes to zero values). The text is parsed as a member of an
-    object and as an element of an array: what stands after the value breaks
-    one of the two."""
+def _decode(df: DataFrame, value: str, texts: list[str], ids: list[str] = (), times: list[str] = ()) -> DataFrame:
+    """``df`` with the parsed value and, per field, its JSON type (VOID where
+    it is absent or null), its text and what that decodes to.
+
+    The text is parsed as a member of an object and as an element of an array:
+    what stands after the value breaks one of the two. Each step is a
+    projection of its own, so no step's expression is evaluated again by the
+    many uses of its result."""
     v = F.col(value)
     member = F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}")))
     element = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]")))
     d = df.withColumn(_ROOT, F.when(element.isNotNull(), member))
-    kind = F.schema_of_variant(F.try_variant_get(F.col(_ROOT), "$.v", "variant"))
-    return d, F.coalesce(kind.startswith("OBJECT") | (kind == "VOID"), F.lit(False))
+    fields = [*texts, *ids, *times]
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.col(_ROOT), path, "variant"))
+    d = d.withColumns({"_kf_top": F.coalesce(kind("$.v"), F.lit("")),
+                       **{f"_kf_k_{f}": F.coalesce(kind(f"$.v.{f}"), F.lit("VOID")) for f in fields},
+                       **{f"_kf_s_{f}": F.try_variant_get(F.col(_ROOT), f"$.v.{f}", "string") for f in fields}})
+    text = lambda f: F.when(F.col(f"_kf_k_{f}") == "STRING", F.col(f"_kf_s_{f}"))
+    d = d.withColumns({f"_kf_s_{f}": text(f) for f in fields})
+    return d.withColumns({**{f"_kf_d_{f}": canonical_uuid(F.col(f"_kf_s_{f}")) for f in ids},
+                          **{f"_kf_d_{f}": rfc3339_to_ntz(F.col(f"_kf_s_{f}")) for f in times}})
 
 
-def _variant(field: str) -> Column:
-    return F.try_variant_get(F.col(_ROOT), f"$.v.{field}", "variant")
+def _object_ok() -> Column:
+    """One JSON object, or null, which decodes to zero values."""
+    return F.col("_kf_top").startswith("OBJECT") | (F.col("_kf_top") == "VOID")
 
 
-def _kind(field: str) -> Column:
-    """JSON type of a field; VOID where it is absent or null."""
-    return F.coalesce(F.schema_of_variant(_variant(field)), F.lit("VOID"))
+def _text_ok(field: str) -> Column:
+    return F.col(f"_kf_k_{field}").isin("STRING", "VOID")
 
 
-def _text(field: str) -> tuple[Column, Column]:
-    """(value or null, whether the type is right) of a text field."""
-    kind = _kind(field)
-    return F.when(kind == "STRING", F.try_variant_get(F.col(_ROOT), f"$.v.{field}", "string")), kind.isin("STRING", "VOID")
+def _decodes(field: str) -> Column:
+    """An id or time field: absent, null, or text of its form."""
+    return (F.col(f"_kf_k_{field}") == "VOID") | F.col(f"_kf_d_{field}").isNotNull()
 
 
-def _id(field: str) -> tuple[Column, Column]:
-    raw, ok = _text(field)
-    found = canonical_uuid(raw)
-    return F.coalesce(found, F.lit(NIL_UUID)), ok & (raw.isNull() | found.isNotNull())
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
-def _time(field: str) -> tuple[Column, Column]:
-    raw, ok = _text(field)
-    at = rfc3339_to_ntz(raw)
-    return F.coalesce(at, F.expr(ZERO_TIME)), ok & (raw.isNull() | at.isNotNull())
+def _result(d: DataFrame, ok: Column, values: dict[str, Column]) -> DataFrame:
+    """The values where the message decodes, else null, and ``malformed``."""
+    d = d.withColumn("malformed", ~ok)
+    d = d.withColumns({n: F.when(~F.col("malformed"), v) for n, v in values.items()})
+    return d.drop(*[c for c in d.columns if c.startswith("_kf_")])
 
 
 def rfc3339_to_ntz(c: Column) -> Column:
@@ -76,42 +86,62 @@ def rfc3339_to_ntz(c: Column) -> Column:
     return F.when(c.rlike(RFC3339), ntz_from_micros(micros))
 
 
-def _decoded(df: DataFrame, value: str, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """The fields where all of them decode, else null, and ``malformed``.
-    ``fields``: output name to (value, whether it decodes)."""
-    d, ok = _decode(df, value)
-    for _, good in fields.values():
-        ok = ok & good
-    d = d.withColumn("malformed", ~ok)
-    return d.withColumns({n: F.when(~F.col("malformed"), v) for n, (v, _) in fields.items()}).drop(_ROOT)
+#: Fields of a request message that hold text, besides its id and times.
+_REQUEST_TEXTS, _REQUEST_TIMES = ["sid", "cid", "org"], ["ts", "crt"]
+
+
+def request_ok() -> Column:
+    """Whether the decoded text is a request message."""
+    return _all([_object_ok(), _decodes("rid"), *map(_text_ok, _REQUEST_TEXTS), *map(_decodes, _REQUEST_TIMES)])
+
+
+def batch_ok() -> Column:
+    """Whether it is a batch message: every member of ``rids`` must be an id."""
+    kind = F.col("_kf_k_rids")
+    members = F.try_variant_get(F.col(_ROOT), "$.v.rids", "array<variant>")
+    an_id = lambda x: (F.schema_of_variant(x) == "VOID") | (
+        (F.schema_of_variant(x) == "STRING") & canonical_uuid(F.try_variant_get(x, "$", "string")).isNotNull())
+    listed = (kind == "VOID") | (kind.startswith("ARRAY") & F.coalesce(F.forall(members, an_id), F.lit(False)))
+    return _all([_object_ok(), _decodes("bid"), listed])
+
+
+def decoded_id(field: str) -> Column:
+    return F.coalesce(F.col(f"_kf_d_{field}"), F.lit(NIL_UUID))
 
 
 def parse_requests(df: DataFrame, value: str = "value") -> DataFrame:
     """A2: request messages; adds ``rid, stream_id, cid, origin, ts, crt,
     malformed``. Absent fields take Go zero values."""
-    empty = lambda f: (F.coalesce(_text(f)[0], F.lit("")), _text(f)[1])
-    return _decoded(df, value, {"rid": _id("rid"), "stream_id": empty("sid"), "cid": empty("cid"), "origin": empty("org"),
-                                "ts": _time("ts"), "crt": _time("crt")})
+    text = lambda f: F.coalesce(f"_kf_s_{f}", F.lit(""))
+    time = lambda f: F.coalesce(f"_kf_d_{f}", F.expr(ZERO_TIME))
+    d = _decode(df, value, _REQUEST_TEXTS, ["rid"], _REQUEST_TIMES)
+    return _result(d, request_ok(), {"rid": decoded_id("rid"), "stream_id": text("sid"), "cid": text("cid"), "origin": text("org"),
+                                     "ts": time("ts"), "crt": time("crt")})
 
 
 def parse_status(df: DataFrame, value: str = "value") -> DataFrame:
     """A3: status messages; adds ``rid, sts, malformed`` (absent sts = 0; a
     whole number from 0 to 255 otherwise)."""
-    kind = _kind("sts")
-    n = F.try_variant_get(F.col(_ROOT), "$.v.sts", "bigint")
-    ok = (kind == "VOID") | ((kind == "BIGINT") & F.coalesce(n.between(0, 255), F.lit(False)))
-    return _decoded(df, value, {"rid": _id("rid"), "sts": (F.coalesce(F.when(kind == "BIGINT", n), F.lit(0)).try_cast("smallint"), ok)})
+    d = _decode(df, value, ["sts"], ["rid"])
+    d = d.withColumn("_kf_n", F.try_variant_get(F.col(_ROOT), "$.v.sts", "bigint"))
+    kind = F.col("_kf_k_sts")
+    number = (kind == "VOID") | ((kind == "BIGINT") & F.coalesce(F.col("_kf_n").between(0, 255), F.lit(False)))
+    return _result(d, _all([_object_ok(), _decodes("rid"), number]), {
+        "rid": decoded_id("rid"), "sts": F.coalesce("_kf_n", F.lit(0)).try_cast("smallint")})
 
 
 def parse_batch(df: DataFrame, value: str = "value") -> DataFrame:
-    """Batch messages ``{bid, rids}``; adds ``bid, malformed``. Every member
-    of ``rids`` must be an id."""
-    kind = _kind("rids")
-    members = F.try_variant_get(F.col(_ROOT), "$.v.rids", "array<variant>")
-    an_id = lambda x: (F.schema_of_variant(x) == "VOID") | (
-        (F.schema_of_variant(x) == "STRING") & canonical_uuid(F.try_variant_get(x, "$", "string")).isNotNull())
-    ok = (kind == "VOID") | (kind.startswith("ARRAY") & F.coalesce(F.forall(members, an_id), F.lit(False)))
-    return _decoded(df, value, {"bid": _id("bid"), "_rids": (F.lit(None), ok)}).drop("_rids")
+    """Batch messages ``{bid, rids}``; adds ``bid, malformed``."""
+    d = _decode(df, value, ["rids"], ["bid"])
+    return _result(d, batch_ok(), {"bid": decoded_id("bid")})
+
+
+def request_or_batch(df: DataFrame, value: str = "value") -> DataFrame:
+    """Both readings of a text from one parse: ``rid`` and ``bid``, null
+    where it is no such message."""
+    d = _decode(df, value, [*_REQUEST_TEXTS, "rids"], ["rid", "bid"], _REQUEST_TIMES)
+    d = d.withColumns({"rid": F.when(request_ok(), decoded_id("rid")), "bid": F.when(batch_ok(), decoded_id("bid"))})
+    return d.drop(*[c for c in d.columns if c.startswith("_kf_")])
 
 
 def rfc3339_text(ts: Column) -> Column:

@@ -10,6 +10,7 @@ under one root in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -117,18 +118,18 @@ class DeltaState:
         bases = [b for b in self._base_epochs() if b <= upto]
         start = bases[-1] if bases else -1
         later = [e for e in committed(self.spark, self.deltas, "epoch=") if start < e <= upto]
-        parts = [(f"{self.bases}/upto={start}", start)] if bases else []
-        parts += [(f"{self.deltas}/epoch={e}", e) for e in later]
-        out = None
-        for path, epoch in parts:
-            if not any(n.startswith("_bucket=") for n in children(self.spark, path)):
-                continue  # nothing was written in this epoch
-            df = self.spark.read.parquet(path)
+        found = []
+        for root, names in ((self.bases, [f"upto={start}"] if bases else []), (self.deltas, [f"epoch={e}" for e in later])):
+            # an epoch in which nothing was written has no files to read
+            paths = [f"{root}/{n}" for n in names if any(c.startswith("_bucket=") for c in children(self.spark, f"{root}/{n}"))]
+            if not paths:
+                continue
+            df = self.spark.read.option("basePath", root).parquet(*paths)
             if buckets is not None:
                 df = df.filter(F.col("_bucket").isin(buckets))
-            df = df.drop("_bucket").withColumn("_epoch", F.lit(epoch).cast("int"))
-            out = df if out is None else out.unionByName(df)
-        return out
+            version = "upto" if root == self.bases else "epoch"
+            found.append(df.withColumn("_epoch", F.col(version).cast("int")).drop(version, "_bucket"))
+        return reduce(DataFrame.unionByName, found) if found else None
 
     def write_delta(self, epoch: int, df: DataFrame) -> None:
         self._write(df, f"{self.deltas}/epoch={epoch}")

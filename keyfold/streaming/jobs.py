@@ -12,8 +12,10 @@ by their columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import batching as bt
@@ -40,6 +42,12 @@ def run_file_stream(spark: SparkSession, source: str, schema: str, fn: BatchFn,
     q.awaitTermination()
 
 
+def together(*steps: Callable[[], object]) -> list:
+    """Run independent Spark jobs side by side; the first error is raised."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(s)) for s in steps]]
+
+
 # ------------------------------------------------------------------ I1 / I5 / I6
 #: Buckets of keyed state. A micro-batch reads the buckets of its keys.
 STATE_BUCKETS = 16
@@ -76,17 +84,18 @@ def dedupe_batch_fn(store: EpochStore, compact_every: int = COMPACT_EVERY, state
 
         # seeds: stored state of the keys in this batch only, materialised once
         touched = tips_state.buckets_of(batch.select("stream_id"))
-        tips = tips_state.read(epoch - 1, touched)
-        if tips is not None:
-            tips = materialise(alive(latest_tips(tips.join(keys, ["stream_id", "origin"], "left_semi"))), "tip-seeds")
-        cids = cids_state.read(epoch - 1, touched)
-        if cids is not None:
-            cids = materialise(alive(latest_cids(cids.join(pairs, ["stream_id", "cid"], "left_semi"))), "cid-seeds")
+
+        def seeds(state: DeltaState, wanted: DataFrame, latest, name: str) -> DataFrame | None:
+            stored = state.read(epoch - 1, touched)
+            return stored if stored is None else materialise(alive(latest(stored.join(wanted, wanted.columns, "left_semi"))), name)
+
+        tips, cids = together(lambda: seeds(tips_state, keys, latest_tips, "tip-seeds"),
+                              lambda: seeds(cids_state, pairs, latest_cids, "cid-seeds"))
         store.write("flags", epoch, dd.dedupe_requests(batch, tips, cids).flags)
         flags = store.read("flags", epoch)
         # state last: a crash before this point reruns the epoch from epoch - 1
-        tips_state.write_delta(epoch, flags.filter("final_tip").select(*dd.TIP_COLS))  # changed tips only
-        cids_state.write_delta(epoch, flags.filter("new_cid").select(*dd.CID_COLS))
+        together(lambda: tips_state.write_delta(epoch, flags.filter("final_tip").select(*dd.TIP_COLS)),  # changed tips only
+                 lambda: cids_state.write_delta(epoch, flags.filter("new_cid").select(*dd.CID_COLS)))
         if compact_every and epoch % compact_every == compact_every - 1:
             for state, latest in ((tips_state, latest_tips), (cids_state, latest_cids)):
                 state.compact(epoch, lambda df, latest=latest: alive(latest(df)).withColumn("_epoch", F.lit(epoch)))
