@@ -31,15 +31,15 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about SLICE_BYTES of a text column, one row at
-    least, so a worker holds few texts as Python objects."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of a text column, one row
+    at least, so a worker holds few texts as Python objects."""
     for b in batches:
         sizes = pa.compute.binary_length(b.column(column)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             held += n or 0
-            if held >= SLICE_BYTES:
+            if held >= size:
                 yield b.slice(start, i + 1 - start)
                 start, held = i + 1, 0
         if start < len(sizes):

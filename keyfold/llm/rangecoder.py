@@ -5,8 +5,8 @@ checksum. Many blocks go side by side, one numpy lane each.
 
 For every id three predictions are mixed into one distribution over 2**16 parts:
 order 2 and order 1 each name the id that followed the context last, with a mass
-learned by the block from how often such a prediction came true at its
-confidence; order 0 shares the rest among the block's ids by their counts so far.
+that the block learns from how often that came true; order 0 shares the rest
+among the block's ids by their counts so far.
 Counts enter the order-0 table after 32, 64, 128, ... ids and then every
 REFRESH_EVERY ids.
 
@@ -26,11 +26,11 @@ BLOCK = 1024
 TOP, LOW_BITS, WORD = 1 << 48, 32, 16
 PARTS = 1 << 16
 LEAST = 4  # parts of any id of the block's alphabet
-MOST = 20_000  # parts of one prediction
+MOST = 20_000  # parts of one prediction at most
 CONTEXTS = 1 << 10  # order-2 contexts a block
 REFRESH_EVERY = 512
 RATE = 5
-START = (0.04, 0.12, 0.25, 0.4)  # chance of a prediction by confidence, at first
+START = 4_000  # parts of a prediction at first
 
 
 class BadBlock(ValueError):
@@ -48,12 +48,11 @@ class _Model:
         self.lane = np.arange(lanes, dtype=np.int32)
         self.base = self.lane * np.int32(self.width)
         self.base2 = self.lane * np.int32(CONTEXTS)
-        self.base_c = self.lane * np.int32(4)
         self.count = np.zeros(lanes * self.width, np.int32)
-        self.first = np.full(lanes * self.width, -4, np.int32)  # id * 4 + confidence
-        self.second = np.full(lanes * CONTEXTS, -4, np.int32)
-        start = np.array([int(p * PARTS) for p in START], np.int32)
-        self.mass1, self.mass2 = np.tile(start, lanes), np.tile(start, lanes)
+        self.recent: list[np.ndarray] = []
+        self.first = np.full(lanes * self.width, -1, np.int32)
+        self.second = np.full(lanes * CONTEXTS, -1, np.int32)
+        self.mass1, self.mass2 = np.full(lanes, START, np.int32), np.full(lanes, START, np.int32)
         self.last = np.zeros(lanes, np.int32)
         self.before = np.zeros(lanes, np.int32)
         self.seen, self.next = 0, 32
@@ -63,6 +62,9 @@ class _Model:
         """The order-0 table from the counts. It has an entry more than the
         alphabet, so the end of each id's range is the next entry."""
         n_lanes, w = len(self.lane), self.width
+        if self.recent:
+            self.count += np.bincount(np.concatenate(self.recent), minlength=len(self.count)).astype(np.int32)
+            self.recent.clear()
         there = np.arange(w, dtype=np.int32)[None, :] < self.n_ids[:, None]
         spare = (PARTS - LEAST * self.n_ids).astype(np.int32)
         if self.seen:
@@ -90,15 +92,10 @@ class _Model:
     def predict(self) -> None:
         self.at1 = self.base + self.last
         self.at2 = ((self.before * np.int32(0x9E5) + self.last * np.int32(0x3B)) & np.int32(CONTEXTS - 1)) + self.base2
-        self.entry1, self.entry2 = self.first.take(self.at1), self.second.take(self.at2)
-        self.id1, self.id2 = self.entry1 >> 2, self.entry2 >> 2
-        self.atm1, self.atm2 = self.base_c + (self.entry1 & 3), self.base_c + (self.entry2 & 3)
-        self.p1, self.p2 = self.mass1.take(self.atm1), self.mass2.take(self.atm2)
+        self.id1, self.id2 = self.first.take(self.at1), self.second.take(self.at2)
         # an id of -1 was never coded; both orders' naming one id counts once
-        self.m2 = np.minimum(self.p2, MOST)
-        self.m2 *= self.id2 >= 0
-        self.m1 = np.minimum(self.p1, MOST)
-        self.m1 *= (self.id1 >= 0) & (self.id1 != self.id2)
+        self.m2 = self.mass2 * (self.id2 >= 0)
+        self.m1 = self.mass1 * ((self.id1 >= 0) & (self.id1 != self.id2))
         self.taken = self.m1 + self.m2
         self.rest = (PARTS - self.taken).astype(np.int64)
 
@@ -113,21 +110,15 @@ class _Model:
         return low, high
 
     def update(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        fresh = ids << 2
-        for entry, hit, table, at, mass, atm, p in (
-                (self.entry1, hit1, self.first, self.at1, self.mass1, self.atm1, self.p1),
-                (self.entry2, hit2, self.second, self.at2, self.mass2, self.atm2, self.p2)):
-            sure = entry & 3
-            step = np.where(hit, entry + (sure < 3), entry - 1)
-            np.copyto(step, fresh, where=(sure == 0) & ~hit)
-            table[at] = step
-            goal = hit * np.int32(PARTS - 64)
-            goal -= p
-            goal >>= RATE
-            goal += p
-            goal += 1
-            mass[atm] = goal
-        self.count[self.base + ids] += 1
+        self.first[self.at1] = ids
+        self.second[self.at2] = ids
+        for mass, hit in ((self.mass1, hit1), (self.mass2, hit2)):
+            step = hit * np.int32(MOST)
+            step -= mass
+            step >>= RATE
+            mass += step
+            mass += 1
+        self.recent.append(self.base + ids)
         self.before, self.last = self.last, ids
         self.seen += 1
         if self.seen == self.next:
@@ -202,8 +193,9 @@ def decode_lanes(codes: list[bytes], n_ids: np.ndarray, steps: int) -> np.ndarra
         # quotients of whole numbers below 2**48 and 2**33, so far from the next
         # whole number that division in double precision never reaches it
         v = np.minimum((code / size).astype(np.int32), PARTS - 1)
+        # (below zero where a prediction holds; the search then gives any id)
         u = ((v - model.taken + 1) * float(PARTS) - 1) / model.rest
-        s = model.search(np.clip(u, 0, PARTS - 1).astype(np.int32))
+        s = model.search(u.astype(np.int32))
         a, freq = model.order0(s)
         freq -= a
         a += model.taken

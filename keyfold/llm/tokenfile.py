@@ -16,6 +16,7 @@ are documents of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,19 +24,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import conf_override, scratch_path
-from .common import TEXT_BATCH
+from .common import TEXT_BATCH, slices
 from .rangecoder import BLOCK, BadBlock, decode_blocks, encode_blocks
 
 END_ID = 2
 #: Blocks coded side by side: bounds a worker's memory.
 LANES = 2_048
 #: Chunks of which a worker keeps the ids, and bytes tokenised at once.
-CACHE, BATCH_BYTES = 500_000, 2 << 20
+CACHE, BATCH_BYTES = 800_000, 4 << 20
 VOCABULARY = "word_bpe_49k.json"
+#: Lower-case Latin letters, and ASCII marks: of these it is certain how the
+#: tokenizer parts them (a word of letters is one unit, a run of marks another).
+LETTERS = r"[a-z\x{DF}-\x{F6}\x{F8}-\x{24F}]+"
+MARKS = r"[!-/:-@\[-`{-~]+"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -43,99 +49,114 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Numbers(dict):
-    """Numbers chunks in the order in which they are first asked for."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable
+    Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
 
-    def __missing__(self, chunk: bytes) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
+def _strings(values: pa.Array) -> list[str]:
+    """Python strings of an array, by one conversion of the whole of it."""
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 class Chunks:
-    """Token ids of texts, by way of their distinct white-space chunks."""
+    """Token ids of texts, by way of their distinct white-space chunks.
+
+    Chunks are split and numbered by Arrow kernels; what a worker has met keeps
+    its ids. New words of letters go to a tokenizer that has the same merges but
+    neither normalises nor splits, as for lower-case composed letters both do
+    nothing; other chunks go to the tokenizer itself."""
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
         from tokenizers import Tokenizer
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        size = self.tokenizer.get_vocab_size()
-        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.marks = {m: self._plain([m])[0] for m in ".,"}
+        plain = json.loads(self.tokenizer.to_str())
+        plain |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(plain))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: c for b, c in _byte_letters().items() if b != 32}
         self._clear()
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _clear(self) -> None:
-        self.known = _Numbers()
-        self.known[b""] = 0  # the end of a text
-        self.ids, self.starts = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids and sizes of words of letters. They are encoded as one text: a
-        word of letters is one unit of the tokenizer and its last token closes it."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else ids
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return None
-        return ids.astype(np.uint32), np.diff(ends, prepend=0)
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = b" ".join(new).decode().split(" ")
-        marks = [t[-1] if t[-1] in self.marks and t[:-1].isalpha() else "" for t in texts]
-        cores = [t[:-1] if m else t for t, m in zip(texts, marks)]
-        easy = np.array([c.isalpha() for c in cores], bool)
-        size = np.zeros(len(new), np.int64)
-        lists: dict[int, list[int]] = {}
-        got = self._words([c for c, e in zip(cores, easy) if e]) if easy.any() else (np.empty(0, np.uint32), size[:0])
-        if got is None:
-            easy[:], got = False, (np.empty(0, np.uint32), size[:0])
-        rest = np.flatnonzero(~easy).tolist()
-        lists = dict(zip(rest, self._plain([texts[i] for i in rest]))) if rest else {}
-        size[easy] = got[1]
-        marked = np.array([len(self.marks[m]) if m else 0 for m in marks], np.int64) * easy
-        for i, ids in lists.items():
-            size[i] = len(ids)
-        ends = np.cumsum(size + marked)
-        out = np.empty(ends[-1], np.uint32)
-        begin = ends - size - marked
-        core_at = np.repeat(begin[easy], got[1]) + np.arange(len(got[0])) - np.repeat(np.cumsum(got[1]) - got[1], got[1])
-        out[core_at] = got[0]
-        for m, ids in self.marks.items():
-            at = np.flatnonzero(easy & np.array([x == m for x in marks]))
-            for k, x in enumerate(ids):
-                out[begin[at] + size[at] + k] = x
-        for i, ids in lists.items():
-            out[begin[i]:begin[i] + len(ids)] = ids
-        self.ids = np.concatenate([self.ids, out])
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.starts = np.empty(0, np.uint32), np.array([0, 0], np.int64)
+
+    def _append(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n = len(self.starts) - 1
+        self.known.update(zip(chunks, range(n, n + len(chunks))))
+        self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id, and where each text ends."""
-        if any(s in t for s in self.special for t in texts):
+    def _keep(self, chunks: list[str], lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._append(chunks, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), np.cumsum(sizes))
+
+    def _encode_units(self, chunks: pa.Array) -> None:
+        """Learn chunks: words of lower-case composed letters by the merges
+        alone, in the letters of their bytes; others by the tokenizer."""
+        if not len(chunks):
+            return
+        word = pc.and_(pc.match_substring_regex(chunks, f"^{LETTERS}$"),
+                       pc.and_(pc.equal(pc.utf8_lower(chunks), chunks), pc.equal(pc.utf8_normalize(chunks, "NFC"), chunks)))
+        words, others = _strings(chunks.filter(word)), _strings(chunks.filter(pc.invert(word)))
+        if words:
+            spelled = " ".join(words).encode().decode("latin-1").translate(self.letters).split(" ")
+            self._keep(words, [e.ids for e in self.merges.encode_batch_fast(spelled, add_special_tokens=False)])
+        if others:
+            self._keep(others, self._plain(others))
+
+    def _learn(self, new: pa.Array) -> None:
+        """A word followed by marks is learned as the word and the marks."""
+        parted = pc.extract_regex(new, f"^(?P<word>{LETTERS})(?P<marks>{MARKS})$")
+        marked = parted.is_valid()
+        words, marks = (_strings(parted.filter(marked).field(i)) for i in (0, 1))
+        known = self.known
+        units = dict.fromkeys(chain(_strings(new.filter(pc.invert(marked))), words, marks))
+        self._encode_units(pa.array([u for u in units if u not in known], pa.string()))
+        if not words:
+            return
+        both = np.fromiter(map(known.__getitem__, chain(words, marks)), np.int64, 2 * len(words)).reshape(2, -1).T.reshape(-1)
+        begin, size = self.starts[both], self.starts[both + 1] - self.starts[both]
+        ends = np.cumsum(size)
+        ids = self.ids.take(np.arange(int(ends[-1])) + np.repeat(begin - (ends - size), size))
+        self._append(_strings(new.filter(marked)), ids, ends[1::2])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings), each with the end id, and where each ends."""
+        if any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
             # a special token's own string keeps its case and meaning
-            lists = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-            return np.array(_flat(lists), np.uint32), np.cumsum([len(x) for x in lists])
+            lists = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), np.uint32), np.cumsum([len(x) for x in lists])
         if len(self.known) > CACHE:
             self._clear()
         # lower case of ASCII letters first: it meets more known chunks
-        parts = [t.lower().split() for t in texts]
-        for p in parts:
-            p.append(b"")
-        flat = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
-        begin = self.starts.take(at)
-        size = self.starts.take(at + 1) - begin
-        ends = np.cumsum(size)
-        take = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
-        return self.ids.take(take), ends[np.cumsum([len(p) for p in parts]) - 1]
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        names = _strings(distinct)
+        get = self.known.get
+        at = np.array([get(c, -1) for c in names], np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn(distinct.take(pa.array(missing)))
+            at[missing] = [self.known[names[i]] for i in missing.tolist()]
+        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        code = coded.indices.to_numpy()
+        begin, size = begin.take(code), size.take(code)
+        stops = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()  # chunks up to each text's end
+        before = np.concatenate([[0], np.cumsum(size)])
+        ends = before[stops] + np.arange(1, len(texts) + 1)
+        out = np.full(int(before[-1]) + len(texts), self.end_id, np.uint32)
+        is_id = np.ones(len(out), bool)
+        is_id[ends - 1] = False
+        out[is_id] = self.ids.take(np.arange(before[-1]) + np.repeat(begin - before[:-1], size))
+        return out, ends
 
 
 @lru_cache(maxsize=2)
@@ -144,15 +165,12 @@ def chunks_of(path: str, end_id: int) -> Chunks:
     return Chunks(path, end_id)
 
 
-def _flat(lists: list[list]) -> list:
-    return [x for xs in lists for x in xs]
-
-
 BLOCKS = "part int, block long, first_doc long, doc_ids array<long>, ends array<int>, n long, payload binary"
 
 
-def _blocks(part: int, texts: Iterator[tuple[int | None, bytes]], chunks: Chunks) -> Iterator[pa.RecordBatch]:
-    """Block rows of one part; ids are held until LANES blocks are full."""
+def _blocks(part: int, texts: Iterator[tuple[pa.Array, pa.Array]], chunks: Chunks) -> Iterator[pa.RecordBatch]:
+    """Block rows of one part; ids are held until LANES blocks are full.
+    ``texts``: document ids and texts, some documents at a time."""
     held, ids_of, ends, size = [], [], [], 0  # ids, document ids, their ends (positions in what is held)
     block = doc = 0
 
@@ -177,28 +195,14 @@ def _blocks(part: int, texts: Iterator[tuple[int | None, bytes]], chunks: Chunks
                 pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()))],
                 names=["part", "block", "first_doc", "doc_ids", "ends", "n", "payload"])
 
-    some: list[tuple[int | None, bytes]] = []
-
-    def take() -> None:
-        nonlocal size
-        if some:
-            ids, stops = chunks.encode([t for _, t in some])
-            ids_of.extend(i for i, _ in some)
-            ends.extend((stops + size).tolist())
-            held.append(ids)
-            size += len(ids)
-            some.clear()
-
-    weight = 0
-    for doc_id, text in texts:
-        some.append((doc_id, text))
-        weight += len(text)
-        if weight >= BATCH_BYTES:
-            take()
-            weight = 0
-            if size >= LANES * BLOCK:
-                yield from write(False)
-    take()
+    for doc_ids, some in texts:
+        ids, stops = chunks.encode(some)
+        ids_of.extend(doc_ids.to_pylist())
+        ends.extend((stops + size).tolist())
+        held.append(ids)
+        size += len(ids)
+        if size >= LANES * BLOCK:
+            yield from write(False)
     yield from write(True)
 
 
@@ -207,11 +211,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     path of the tokenizer, on every machine."""
     spark: SparkSession = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(parts, F.col("doc_id"), F.crc32("text")).sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        texts = ((b.column(0), b.column(1)) for b in slices(batches, 1, BATCH_BYTES))
         yield from _blocks(TaskContext.get().partitionId(), texts, chunks_of(vocabulary, end_id))
 
     with conf_override(spark, TEXT_BATCH):

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,10 +50,10 @@ def test_checksums_join():
 
 
 def test_chunks_equal_whole_texts(chunks):
-    texts = ["", "Hello, world. it's a'll 'S ... x\x0by\x1cz\u00a0q \u0301a", "İ Σας \u212a \ufb01", "a<|endoftext|>b <|STARTOFTEXT|>", "word. word, word.. (word.) né. 3.14",
+    texts = ["", "  lead and trail. ", "çà, là. ÇA, NÉ. ñandú, straße. \u01c5x", "e\u0301t\u00e9. \u212bngstr\u00f6m", "Hello, world. it's a'll 'S ... x\x0by\x1cz\u00a0q \u0301a", "İ Σας \u212a \ufb01", "a<|endoftext|>b <|STARTOFTEXT|>", "word. word, word.. (word.) né. 3.14",
              "日本語 テキスト", "x" * 5000, "a\u0301 e\u0301."]
-    for group in (texts, texts[:3], [texts[4]], texts[4:]):
-        ids, ends = chunks.encode([t.encode() for t in group])
+    for group in (texts, texts[:3], [texts[7]], texts[4:], texts):
+        ids, ends = chunks.encode(pa.array(group, pa.string()))
         want = [[*chunks.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in group]
         assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
 
