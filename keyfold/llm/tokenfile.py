@@ -38,8 +38,9 @@ LANES = 2_048
 #: Chunks of which a worker keeps the ids, and bytes tokenised at once.
 CACHE, BATCH_BYTES = 800_000, 4 << 20
 VOCABULARY = "word_bpe_49k.json"
-#: Lower-case Latin letters, and ASCII marks: of these it is certain how the
-#: tokenizer parts them (a word of letters is one unit, a run of marks another).
+#: Latin letters, and ASCII marks: of these it is certain how the tokenizer
+#: parts them (a word of letters is one unit, a run of marks another), and without
+#: combining marks the letters are composed.
 LETTERS = r"[a-z\x{DF}-\x{F6}\x{F8}-\x{24F}]+"
 MARKS = r"[!-/:-@\[-`{-~]+"
 
@@ -102,8 +103,7 @@ class Chunks:
         alone, in the letters of their bytes; others by the tokenizer."""
         if not len(chunks):
             return
-        word = pc.and_(pc.match_substring_regex(chunks, f"^{LETTERS}$"),
-                       pc.and_(pc.equal(pc.utf8_lower(chunks), chunks), pc.equal(pc.utf8_normalize(chunks, "NFC"), chunks)))
+        word = pc.and_(pc.match_substring_regex(chunks, f"^{LETTERS}$"), pc.equal(pc.utf8_lower(chunks), chunks))
         words, others = _strings(chunks.filter(word)), _strings(chunks.filter(pc.invert(word)))
         if words:
             spelled = " ".join(words).encode().decode("latin-1").translate(self.letters).split(" ")
