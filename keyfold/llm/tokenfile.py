@@ -34,9 +34,9 @@ from .rangecoder import BLOCK, BadBlock, decode_blocks, encode_blocks
 
 END_ID = 2
 #: Blocks coded side by side: bounds a worker's memory.
-LANES = 2_048
+LANES = 1_024
 #: Chunks of which a worker keeps the ids, and bytes tokenised at once.
-CACHE, BATCH_BYTES = 800_000, 4 << 20
+CACHE, BATCH_BYTES = 300_000, 4 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: Latin letters, and ASCII marks: of these it is certain how the tokenizer
 #: parts them (a word of letters is one unit, a run of marks another), and without
