@@ -319,6 +319,13 @@ def _poll(spark, sf_dir, limit=None):
     return bf.scan_requests(req, meta, st.PENDING, lo, hi, limit)
 
 
+def _pending(spark, sf_dir):
+    """The pending requests of the poll window (messages drop the metadata,
+    so it is not joined)."""
+    lo, hi = bf.poll_window(bf.ntz_lit(POLL.now), F.expr(ZERO_TIME), POLL.min_age, POLL.look_back)
+    return bf.filter_open_interval(bf.filter_status(td.request_table(spark, sf_dir), st.PENDING), lo, hi)
+
+
 REQ_COLS = ["request_id", "cid", "stream_id", "origin", "ts", "created_at", "controllers", "family"]
 
 
@@ -358,7 +365,7 @@ def q_poll_window(spark, sf_dir):
 
 @register("request_to_message")
 def q_request_to_message(spark, sf_dir):
-    return bf.request_to_message(_poll(spark, sf_dir))
+    return bf.request_to_message(_pending(spark, sf_dir))
 
 
 @register("left_join_metadata")
@@ -395,7 +402,7 @@ def q_unprocessed_alert(spark, sf_dir):
 @register("backfill_union")
 def q_backfill_union(spark, sf_dir):
     live = td.deliveries(spark, sf_dir)
-    audit = bf.request_to_message(_poll(spark, sf_dir)).withColumn(
+    audit = bf.request_to_message(_pending(spark, sf_dir)).withColumn(
         "arrival_seq", (F.col("rid") + F.lit(1_000_000_000)) * 10 + 5)
     return dd.dedupe_requests(live.unionByName(audit)).outcomes
 
