@@ -42,10 +42,10 @@ def run_file_stream(spark: SparkSession, source: str, schema: str, fn: BatchFn,
     q.awaitTermination()
 
 
-def together(*steps: Callable[[], object]) -> list:
+def together(spark: SparkSession, *steps: Callable[[], object]) -> list:
     """Run independent Spark jobs side by side; the first error is raised."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(s)) for s in steps]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
 
 
 # ------------------------------------------------------------------ I1 / I5 / I6
@@ -89,12 +89,12 @@ def dedupe_batch_fn(store: EpochStore, compact_every: int = COMPACT_EVERY, state
             stored = state.read(epoch - 1, touched)
             return stored if stored is None else materialise(alive(latest(stored.join(wanted, wanted.columns, "left_semi"))), name)
 
-        tips, cids = together(lambda: seeds(tips_state, keys, latest_tips, "tip-seeds"),
+        tips, cids = together(store.spark, lambda: seeds(tips_state, keys, latest_tips, "tip-seeds"),
                               lambda: seeds(cids_state, pairs, latest_cids, "cid-seeds"))
         store.write("flags", epoch, dd.dedupe_requests(batch, tips, cids).flags)
         flags = store.read("flags", epoch)
         # state last: a crash before this point reruns the epoch from epoch - 1
-        together(lambda: tips_state.write_delta(epoch, flags.filter("final_tip").select(*dd.TIP_COLS)),  # changed tips only
+        together(store.spark, lambda: tips_state.write_delta(epoch, flags.filter("final_tip").select(*dd.TIP_COLS)),  # changed tips only
                  lambda: cids_state.write_delta(epoch, flags.filter("new_cid").select(*dd.CID_COLS)))
         if compact_every and epoch % compact_every == compact_every - 1:
             for state, latest in ((tips_state, latest_tips), (cids_state, latest_cids)):
