@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import conf_override, scratch_path
@@ -35,7 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
     """The batches in slices of about ``size`` bytes of a text column, one row
     at least, so a worker holds few texts as Python objects."""
     for b in batches:
-        sizes = pa.compute.binary_length(b.column(column)).to_pylist()
+        sizes = pc.binary_length(b.column(column)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             held += n or 0
