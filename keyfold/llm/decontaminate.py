@@ -19,7 +19,6 @@ their own; other columns are untouched.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import slices
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 #: A document is dropped when at least this share of its words is hit.
@@ -195,13 +196,14 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     hit ranges as flat (first, end, ...) and item ids."""
     spark = docs.sparkSession
     df = docs.withColumn("__found", F.lit(None).cast(FOUND))
+    width = len(df.columns)
 
     for automaton in blocks(benchmark, window, block_words):
         shared = spark.sparkContext.broadcast(automaton)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             scan = shared.value.scan
-            for b in batches:
+            for b in slices(batches, width - 2):
                 texts = b.column(b.num_columns - 2).to_pylist()
                 before = b.column(b.num_columns - 1).to_pylist()
                 found = []
@@ -222,19 +224,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     df = matched(docs.select("doc_id", F.col("text").cast("binary").alias("__bytes")), benchmark, window, block_words)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = b.column(b.num_columns - 1).to_pylist()
-            hits = [sum(f["spans"][1::2]) - sum(f["spans"][::2]) for f in found]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([f["n_words"] for f in found], pa.int64()), pa.array(hits, pa.int64()),
-                pa.array([len(f["items"]) for f in found], pa.int64()),
-                pa.array([hashlib.sha256(",".join(f["items"]).encode()).hexdigest() for f in found], pa.string()),
-                pa.array([h > 0 for h in hits], pa.bool_())], names=schema.fieldNames())
-
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")],
-                           T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
-    return df.select("doc_id", "__found").mapInArrow(digest, schema)
+    items = F.col("__found.items")
+    hit = F.expr("aggregate(transform(__found.spans, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (a, x) -> a + x)")
+    return df.select("doc_id", F.col("__found.n_words").alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+                     F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
