@@ -25,7 +25,9 @@ from .common import chunk_of, prefix_sums, stage
 
 LAW = "rows"
 N_SHARDS = 40
-MAX_ROUNDS = 6
+#: Rounds go on until nothing wants to move. Each move raises the sum of squared
+#: counts, so that happens; a run past this many rounds plus as many a shard stops with an error.
+SAFE_ROUNDS = 20
 #: While labels spread a shard may pass its quota by this share; what is over at
 #: the end is evicted key by key.
 SLACK = 0.1
@@ -47,28 +49,47 @@ def _u(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def propagate(entries: DataFrame, quota: list[int], rounds: int = MAX_ROUNDS) -> DataFrame:
+def propagate(entries: DataFrame, quota: list[int], rounds: int | None = None) -> DataFrame:
     """Rounds of label propagation over (key, shard, n) under shard quotas.
 
-    In a round every key picks, among the shards below their quota, the one that holds
-    most of its members; members in shards that hold no more move there. Shard t
-    admits min(1, (room + outflow) / demand) of what wants in, by hash. Stops
-    when nothing wants to move.
+    In a round every key picks homes among the shards below their quota: the one that
+    holds most of its members, and the next ones as long as those before have no
+    room for all that may move (a key that holds a third of all rows fills several
+    shards at once). Members in other shards that hold no more than a home move
+    there. Shard t admits min(1, (room + outflow) / demand) of what wants in, by
+    hash. Ends when nothing wants to move; more than ``rounds`` rounds (by default a
+    bound that grows with the shards and is far above what keys need) are an
+    error, never a cut.
     """
     n_shards = len(quota)
+    rounds = SAFE_ROUNDS * (1 + n_shards) if rounds is None else rounds
     room = [q + math.ceil(q * SLACK) for q in quota]
-    for r in range(rounds):
+    for r in range(rounds + 1):
         load = _totals(entries, "shard", "n", n_shards)
         is_open = _lookup([int(load[s] < quota[s]) for s in range(n_shards)], F.col("shard"), "int") == 1
-        # of shards that hold as many members, a key takes one by hash
-        rank = F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard")
-        best = F.max(F.when(is_open, rank)).over(Window.partitionBy("key"))
-        wants = stage(entries.withColumn("best", best).withColumn("target", F.col("best.shard"))
-                      .withColumn("move", (F.col("n") <= F.col("best.n")) & (F.col("shard") != F.col("target")))
-                      .select("key", "shard", "n", "target", "move"), "lp-wants")
+        free = F.when(F.col("open"), _lookup([max(1, room[s] - load[s]) for s in range(n_shards)], F.col("shard"), "long")).otherwise(0)
+        # of shards that hold as many, a key takes one by hash
+        of_key, rank = Window.partitionBy("key"), F.struct("n", "tie", "shard")
+        before = of_key.orderBy(F.desc("open"), F.desc(rank)).rowsBetween(Window.unboundedPreceding, -1)
+        total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        ranked = (entries.withColumn("open", is_open).withColumn("tie", F.xxhash64("key", "shard")).withColumn("free", free)
+                  .withColumn("best", F.max(F.when(F.col("open"), rank)).over(of_key))
+                  .withColumn("may", F.coalesce(F.col("n") <= F.col("best.n"), F.lit(False)))
+                  .withColumn("home", F.col("open") & (total(F.when(F.col("open"), F.col("free") + F.col("n")))
+                                                       < F.sum(F.when(F.col("may"), F.col("n"))).over(of_key)))
+                  .withColumn("move", F.col("may") & ~F.col("home"))
+                  .withColumn("lo", total(F.when(F.col("home"), F.col("free"))))
+                  .withColumn("at", total(F.when(F.col("move"), F.col("n"))))
+                  .withColumn("homes", F.collect_list(F.when(F.col("home"), F.struct(
+                      "lo", (F.col("lo") + F.col("free")).alias("hi"), "n", "shard"))).over(of_key)))
+        fits = F.filter("homes", lambda h: (h["lo"] <= F.col("at")) & (F.col("at") < h["hi"]) & (F.col("n") <= h["n"]))
+        target = F.coalesce(F.get(fits, F.lit(0))["shard"], F.col("best.shard"))
+        wants = stage(ranked.select("key", "shard", "n", target.alias("target"), "move"), "lp-wants")
         moving = wants.filter("move")
         demand = _totals(moving, "target", "n", n_shards)
         if not sum(demand):
+            return entries
+        if r == rounds:
             break
         out = _totals(moving, "shard", "n", n_shards)
         admit = [min(1.0, max(0, room[s] - load[s] + out[s]) / demand[s]) if demand[s] else 0.0 for s in range(n_shards)]
@@ -80,7 +101,7 @@ def propagate(entries: DataFrame, quota: list[int], rounds: int = MAX_ROUNDS) ->
             F.struct(F.coalesce("target", "shard").alias("shard"), F.col("moved").alias("n")))).alias("e"))
         entries = stage(steps.filter("e.n > 0").groupBy("key", F.col("e.shard").alias("shard"))
                         .agg(F.sum("e.n").alias("n")), "lp-entries")
-    return entries
+    raise RuntimeError(f"labels still spread after {rounds} rounds: {sum(demand)} members want to move")
 
 
 def _ranges(sizes: list[int]) -> list[tuple[int, int, int]]:
@@ -123,7 +144,7 @@ def _settle(entries: DataFrame, quota: list[int]) -> tuple[DataFrame, list[int],
     return stage(settled, "lp-settled"), lack, evicted
 
 
-def shard_rows(rows: DataFrame, n_shards: int = N_SHARDS, rounds: int = MAX_ROUNDS) -> DataFrame:
+def shard_rows(rows: DataFrame, n_shards: int = N_SHARDS, rounds: int | None = None) -> DataFrame:
     """Shard and slot of every row of a staged table with ``row_id`` (unique)
     and ``key`` (link key): adds ``shard`` and ``slot``."""
     n_rows = rows.count()
@@ -172,14 +193,14 @@ def sized(docs: DataFrame) -> DataFrame:
         text_key(F.col("text")).alias("key"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = MAX_ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int | None = None) -> DataFrame:
     """One row a document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     out = shard_rows(with_row_id(sized(docs), "shard-rows"), n_shards, rounds)
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-def shard_stage(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = MAX_ROUNDS) -> DataFrame:
+def shard_stage(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int | None = None) -> DataFrame:
     """All columns of the documents with shard_no and shard_slot (whole texts
     stay with their row: the row number is staged with them)."""
     numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "shard-docs")

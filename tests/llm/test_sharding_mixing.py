@@ -3,10 +3,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from keyfold.llm.common import prefix_sums, stage
 from keyfold.llm.mixing import fit_counts, mix_documents, mixed, targets
-from keyfold.llm.sharding import shard_documents, shard_stage
+from keyfold.llm.sharding import propagate, shard_documents, shard_stage
 from pyspark.sql import functions as F
 
 from .conftest import awkward_rows
@@ -55,6 +56,16 @@ def test_shards_of_awkward_rows(make_docs):
     assert shard_documents(make_docs([]), 4).count() == 0
 
 
+def test_labels_spread_until_nothing_wants_to_move(spark):
+    # a text that holds a third of all rows, on 40 shards: shards fill one after the other
+    rows = [("hot", s, 833) for s in range(40)]
+    entries = stage(spark.createDataFrame(rows, "key string, shard int, n long"), "test-hot")
+    got = propagate(entries, [2500] * 40).collect()
+    assert sum(r.n for r in got) == 40 * 833 and len({r.shard for r in got}) <= 14
+    with pytest.raises(RuntimeError):
+        propagate(entries, [2500] * 40, 0)
+
+
 def test_evicted_members_fill_what_lacks(make_docs):
     rows = [(i, "a" if i % 2 else "b") for i in range(90)]  # two groups, far over the quota of a shard
     check_shards(shard_documents(make_docs(rows), 7).collect(), 7)
