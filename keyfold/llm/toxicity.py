@@ -43,7 +43,6 @@ MAX_LABELLED = 6_000
 CALIBRATE = 4
 WINDOW = 12
 THRESHOLD = 0.7
-SLOT_BITS = 20
 #: Words of which a worker keeps the evidence.
 CACHE = 1_000_000
 CLIP = 12.0
@@ -88,37 +87,46 @@ def _discounts(total: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Slots:
-    """Values of hashes in a table of fixed size; a hash that finds its slot
-    taken by a more frequent one is left out."""
+    """Values of hashes, every one of them kept: the sorted hashes, where those of
+    each run of leading bits start, and the size of the largest such run."""
 
-    check: np.ndarray
+    keys: np.ndarray
+    starts: np.ndarray
     values: np.ndarray
+    shift: np.uint64
+    depth: int
 
     @classmethod
-    def build(cls, keys: np.ndarray, weight: np.ndarray, values: np.ndarray, bits: int) -> Slots:
-        check, table = np.zeros(1 << bits, np.uint32), np.zeros((1 << bits, values.shape[1]), np.float32)
-        order = np.argsort(weight, kind="stable")
-        at = (keys[order] >> np.uint64(64 - bits)).astype(np.int64)
-        check[at] = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-        table[at] = values[order]
-        return cls(check, table)
-
-    def get(self, keys: np.ndarray, bits: int, default: float) -> np.ndarray:
-        at = (keys >> np.uint64(64 - bits)).astype(np.int64)
-        there = self.check[at] == ((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1))
-        return np.where(there[:, None], self.values[at], np.float32(default))
+    def build(cls, keys: np.ndarray, values: np.ndarray) -> Slots:
+        order = np.argsort(keys, kind="stable")
+        keys, bits = keys[order], max(1, len(keys).bit_length())
+        sizes = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return cls(keys, starts, values[order].astype(np.float32), np.uint64(64 - bits), int(sizes.max()))
+
+    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
+        run = (keys >> self.shift).astype(np.int64)
+        at, end = self.starts[run], self.starts[run + 1]
+        out = np.full((len(keys), self.values.shape[1]), np.float32(default))
+        left = np.flatnonzero(at < end)
+        for _ in range(self.depth):
+            there = self.keys[at[left]] == keys[left]
+            out[left[there]] = self.values[at[left[there]]]
+            left = left[~there]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
 
 class KneserNey:
     """The two models. ``counts``: occurrences of each word by class (n, 2)."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, bits: int = SLOT_BITS) -> None:
-        self.bits = bits
+    def __init__(self, words: list[str], counts: np.ndarray) -> None:
         codes, word, place, _ = _places(words)
         self.base = 1.0 / max(2, len(set("".join(words))) + 1)
         counts = counts.astype(np.float32)
         seen = (counts > 0).astype(np.float32)
-        keys, weights, alphas, contexts, masses, context_weights = [], [], [], [], [], []
+        keys, alphas, contexts, masses = [], [], [], []
         for k, gram, context in _orders(codes):
             use = place >= max(1, k - 1)
             # sorted once: equal n-grams stand together, and sums run over their stretches
@@ -137,24 +145,24 @@ class KneserNey:
                                   for c in range(2)], 1)
             heads, head_at = np.unique(before, return_inverse=True)
             head = np.stack([np.bincount(head_at, total[:, c], len(heads)) for c in range(total.shape[1])], 1)
-            if k > SHARED:
-                total = np.where(total.sum(1, keepdims=True) >= 2, total, 0)
             off = np.stack([_discounts(total[:, c])[np.clip(np.round(total[:, c]).astype(np.int64) - 1, 0, 2)]
                             for c in range(total.shape[1])], 1)
+            if k > SHARED:
+                # n-grams seen once over both classes give all they have to the backoff (held-out figures: README);
+                # the discounts come from all counts
+                off = np.where(total.sum(1, keepdims=True) >= 2, off, total)
             alpha = np.maximum(total - off, 0) / np.maximum(head[head_at], 1e-9)
             kept = np.stack([np.bincount(head_at, alpha[:, c], len(heads)) for c in range(alpha.shape[1])], 1)
             some = alpha.sum(1) > 0
             two = lambda x: np.repeat(x, 2, 1) if x.shape[1] == 1 else x
             keys.append(distinct[some])
-            weights.append(total[some].sum(1))
             alphas.append(two(alpha[some]))
             used = kept.sum(1) > 0
             contexts.append((heads[used] + np.uint64(k)) * _MIX)
-            context_weights.append(head[used].sum(1))
             masses.append(two(1 - kept[used]))
         join = np.concatenate
-        self.alpha = Slots.build(join(keys), join(weights), join(alphas), bits)
-        self.left = Slots.build(join(contexts), join(context_weights), join(masses), bits)
+        self.alpha = Slots.build(join(keys), join(alphas))
+        self.left = Slots.build(join(contexts), join(masses))
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
@@ -165,7 +173,7 @@ class KneserNey:
         for k, gram, context in _orders(codes):
             use = np.flatnonzero(place >= max(1, k - 1))
             head = (context[use] + np.uint64(k)) * _MIX
-            p[use] = self.alpha.get(gram[use], self.bits, 0.0) + self.left.get(head, self.bits, 1.0) * p[use]
+            p[use] = self.alpha.get(gram[use], 0.0) + self.left.get(head, 1.0) * p[use]
         gap = np.log(np.maximum(p[:, 0], 1e-12)) - np.log(np.maximum(p[:, 1], 1e-12))
         gap[place == 0] = 0
         return np.clip(np.add.reduceat(gap, starts), -CLIP, CLIP)

@@ -4,8 +4,9 @@ import zlib
 import numpy as np
 import pytest
 
+from keyfold.llm import toxicity
 from keyfold.llm.language import UNKNOWN, Classifier, dictionaries, predict_language
-from keyfold.llm.toxicity import KneserNey, Scorer, fit, fit_logistic, in_fold, score_toxicity, without_toxic
+from keyfold.llm.toxicity import KneserNey, Scorer, Slots, fit, fit_logistic, in_fold, score_toxicity, without_toxic
 
 from .conftest import awkward_rows
 
@@ -42,6 +43,22 @@ def test_models_are_normalised_and_tell_words_apart():
     assert len(model.evidence([])) == 0
 
 
+def test_no_ngram_is_lost():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 400_000, dtype=np.uint64) * np.uint64(2))
+    values = rng.random((len(keys), 2)).astype(np.float32)
+    table = Slots.build(keys, values)
+    assert (table.get(keys, -1.0) == values).all()
+    assert (table.get(keys + np.uint64(1), -1.0) == -1).all()
+
+
+def test_discounts_come_from_all_counts(monkeypatch):
+    met, real = [], toxicity._discounts
+    monkeypatch.setattr(toxicity, "_discounts", lambda total: met.append(total.copy()) or real(total))
+    KneserNey(["abcdefgh", "ijklmnop"], np.array([[1, 0], [0, 1]]))
+    assert len(met) > 6 and all((m == 1).any() for m in met)  # every n-gram is seen once
+
+
 def test_windows_find_few_words_in_a_long_text():
     rows, labels = corpus(400)
     from collections import Counter
