@@ -12,8 +12,10 @@ length: over the whole text and over its most toxic window of WINDOW words, so
 that a few expressions in a long text count. A logistic calibration on documents
 kept out of the counts turns that into a score.
 
-The models are fitted on at most ``max_labelled`` labelled rows (least hash of the
-id); every document is scored over its whole text.
+The classes are counted on at most ``max_labelled`` labelled rows (least hash of the
+id, a part for each class), the shared orders over the words of all documents, both
+by Spark; the calibration weighs the classes as they are among all labels. Every
+document is scored over its whole text.
 
 Defined cases: null and empty texts are scored as texts without words; labels
 without a document and null labels are left out; repeated labels of a document
@@ -33,12 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import stage
+from .common import slices, stage
 
 ORDER = 6
 SHARED = 3
 #: Documented bound of the labelled sample that the models are fitted on.
-MAX_LABELLED = 6_000
+MAX_LABELLED = 12_000
 #: One in so many sampled documents is kept for the calibration.
 CALIBRATE = 4
 WINDOW = 12
@@ -118,31 +120,50 @@ class Slots:
         return out
 
 
+def _counted(words: list[str], counts: np.ndarray | None, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For orders ``low`` to ``high``: the distinct n-grams, the context of each and its
+    count, one column for the shared orders and one a class for the others."""
+    codes, word, place, _ = _places(words)
+    for k, gram, context in _orders(codes):
+        if not low <= k <= high:
+            continue
+        use = place >= max(1, k - 1)
+        # sorted once: equal n-grams stand together, and sums run over their stretches
+        order = np.argsort(gram[use], kind="stable")
+        at = np.flatnonzero(use)[order].astype(np.int32)
+        del order, use
+        key = gram[at]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+        distinct, before = key[first], context[at[first]]
+        if not len(key):
+            total = np.zeros((0, 1 if k <= SHARED else 2))
+        elif k <= SHARED:
+            total = np.diff(np.concatenate([first, [len(at)]])).astype(np.float64)[:, None]
+        else:
+            by_occurrence = (place[at] == k - 1) | (k == ORDER)
+            total = np.stack([np.add.reduceat(np.where(by_occurrence, counts[word[at], c], counts[word[at], c] > 0), first, dtype=np.float64)
+                              for c in range(2)], 1)
+        yield k, distinct, before, total
+
+
 class KneserNey:
     """The two models. ``counts``: occurrences of each word by class (n, 2)."""
 
     def __init__(self, words: list[str], counts: np.ndarray) -> None:
-        codes, word, place, _ = _places(words)
-        self.base = 1.0 / max(2, len(set("".join(words))) + 1)
-        counts = counts.astype(np.float32)
-        seen = (counts > 0).astype(np.float32)
+        self._estimate(_counted(words, counts.astype(np.float32), 1, ORDER))
+
+    @classmethod
+    def of(cls, orders: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> KneserNey:
+        """From distinct n-grams, their contexts and counts, order by order."""
+        model = cls.__new__(cls)
+        model._estimate(orders)
+        return model
+
+    def _estimate(self, orders: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
         keys, alphas, contexts, masses = [], [], [], []
-        for k, gram, context in _orders(codes):
-            use = place >= max(1, k - 1)
-            # sorted once: equal n-grams stand together, and sums run over their stretches
-            order = np.argsort(gram[use], kind="stable")
-            at = np.flatnonzero(use)[order].astype(np.int32)
-            del order, use
-            key = gram[at]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            distinct, before = key[first], context[at[first]]
-            del key
-            if k <= SHARED:
-                total = np.diff(np.concatenate([first, [len(at)]])).astype(np.float64)[:, None]
-            else:
-                by_occurrence = (place[at] == k - 1) | (k == ORDER)
-                total = np.stack([np.add.reduceat(np.where(by_occurrence, counts[word[at], c], seen[word[at], c]), first, dtype=np.float64)
-                                  for c in range(2)], 1)
+        for k, distinct, before, total in orders:
+            if k == 1:
+                self.base = 1.0 / max(2, len(distinct))  # the characters and the end of a word
             heads, head_at = np.unique(before, return_inverse=True)
             head = np.stack([np.bincount(head_at, total[:, c], len(heads)) for c in range(total.shape[1])], 1)
             off = np.stack([_discounts(total[:, c])[np.clip(np.round(total[:, c]).astype(np.int64) - 1, 0, 2)]
@@ -223,15 +244,17 @@ class Scorer:
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Weights (last: constant) of a ridge logistic regression, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60, share: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last: constant) of a ridge logistic regression, by Newton steps;
+    a row counts as ``share`` rows (1)."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
+    share = np.ones(len(x)) if share is None else share
     keep = np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (p - y) + keep @ w
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + keep + 1e-9 * np.eye(len(w)), grad)
+        grad = x1.T @ (share * (p - y)) + keep @ w
+        step = np.linalg.solve((x1 * (share * p * (1 - p))[:, None]).T @ x1 + keep + 1e-9 * np.eye(len(w)), grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -258,13 +281,77 @@ class Toxicity:
         return score
 
 
+def labelled(labels: DataFrame, train: Column, max_labelled: int) -> tuple[DataFrame, dict[bool, float]]:
+    """At most ``max_labelled`` labels (id, toxic) of least hash: half of them of
+    each class, more where the other class has fewer; and how many known labels
+    of its class each stands for."""
+    known = labels.filter(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    known = stage(known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic")), "tox-known")
+    n = {r[0]: r[1] for r in known.groupBy(F.col("toxic") > 0).count().collect()}
+    n = {c: n.get(c, 0) for c in (True, False)}
+    part = {c: min(n[c], max(max_labelled // 2, max_labelled - n[not c])) for c in n}
+    some = [known.filter((F.col("toxic") > 0) == c).orderBy(F.xxhash64("id"), "id").limit(part[c]) for c in n]
+    return stage(some[0].unionByName(some[1]), "tox-labels"), {c: n[c] / max(1, part[c]) for c in n}
+
+
+def all_words(docs: DataFrame) -> DataFrame:
+    """The distinct words of all texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in slices(batches, 0):
+            for text in b.column(0).to_pylist():
+                seen.update(LETTERS.findall((text or "").lower()))
+            if len(seen) > 300_000:
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=["word"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=["word"])
+
+    return docs.select("text").mapInArrow(run, "word string").distinct()
+
+
+def _grams(words: DataFrame, low: int, high: int) -> DataFrame:
+    """Distinct n-grams of distinct words (word, and toxic, plain for the orders
+    of the classes), counted by Spark: k, gram, context, toxic, plain."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            counts = np.stack([table.column(c).to_numpy() for c in (1, 2)], 1) if high > SHARED else None
+            for k, gram, context, total in _counted(table.column(0).to_pylist(), counts, low, high):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)),
+                     pa.array(total[:, 0].copy()), pa.array(total[:, -1].copy())], names=["k", "gram", "context", "toxic", "plain"])
+            held.clear()
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 50_000:
+                yield from out()
+        if held:
+            yield from out()
+
+    rows = words.mapInArrow(run, "k int, gram long, context long, toxic double, plain double")
+    grams = rows.groupBy("k", "gram").agg(F.min("context").alias("context"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    return stage(grams, f"tox-grams-{high}")
+
+
+def counted(words: DataFrame, everywhere: DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The orders of the models: the shared ones over the words of all documents,
+    the others over those of the labelled ones. Only distinct n-grams come here, one
+    order at a time."""
+    tables = [_grams(everywhere, 1, SHARED), _grams(words, SHARED + 1, ORDER)]
+    for k in range(1, ORDER + 1):
+        table = tables[k > SHARED].filter(F.col("k") == k).select("gram", "context", "toxic", "plain").toArrow()
+        gram, context, toxic, plain = (table.column(c).to_numpy() for c in range(4))
+        order = np.argsort(gram)
+        total = np.stack([toxic, plain], 1)[order]
+        yield k, gram[order].view(np.uint64), context[order].view(np.uint64), total if k > SHARED else total[:, :1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int = MAX_LABELLED) -> Toxicity:
     """Fit on the labelled documents for which ``train`` (over doc_id) holds."""
     spark = docs.sparkSession
-    known = labels.filter(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    some = stage(some.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")), "tox-labels")
+    some, stands = labelled(labels, train, max_labelled)
     picked = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id"))
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(CALIBRATE)) == 0
     picked = stage(picked.select("text", "toxic", fold.alias("fold")), "tox-texts")
@@ -286,15 +373,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int = M
         yield out()
 
     counts = picked.filter("NOT fold").select("text", "toxic").mapInArrow(count, "word string, toxic long, plain long")
-    table = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).toArrow()
-    n = np.stack([table.column("toxic").to_numpy(), table.column("plain").to_numpy()], 1)
-    by_class = {r[0]: r[1] for r in picked.groupBy(F.col("toxic") > 0).count().collect()}
+    words = stage(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "tox-words")
+    by_class = {r[0]: r[1] * stands[r[0]] for r in picked.groupBy(F.col("toxic") > 0).count().collect()}
     rate = by_class.get(True, 0) / max(1, sum(by_class.values()))
-    if not len(n) or not n.any(axis=0).all():
+    if not all(words.agg(F.sum("toxic"), F.sum("plain")).first()):
         return Toxicity(None, None, rate)
-    words = table.column("word").to_pylist()
-    order = sorted(range(len(words)), key=words.__getitem__)
-    model = KneserNey([words[i] for i in order], n[order])
+    model = KneserNey.of(counted(words, all_words(docs)))
     shared = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int = M
     # one row of either class beside the real ones keeps small samples solvable
     high = [max(0.0, 2 * (10 - v)) / WINDOW for v in LEVELS]
     x, y = np.vstack([x, [[*high, 0.9, 0.9, 0.3, 4.0], [0.0] * (N_FEATURES - 1) + [4.0]]]), np.concatenate([y, [1.0, 0.0]])
-    return Toxicity(model, fit_logistic(x, y), rate)
+    share = np.where(y > 0, stands[True], stands[False])
+    share[-2:] = 1
+    return Toxicity(model, fit_logistic(x, y, share=share), rate)
 
 
 def scored(docs: DataFrame, fitted: Toxicity, out: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyfold.llm import toxicity
 from keyfold.llm.language import UNKNOWN, Classifier, dictionaries, predict_language
@@ -59,6 +60,29 @@ def test_discounts_come_from_all_counts(monkeypatch):
     assert len(met) > 6 and all((m == 1).any() for m in met)  # every n-gram is seen once
 
 
+def test_rare_class_has_its_part(spark):
+    labels = label_table(spark, [(i, 1, int(i % 100 == 0)) for i in range(1000)])
+    some, stands = toxicity.labelled(labels, F.lit(True), 40)
+    toxic = [r.toxic for r in some.collect()]
+    assert len(toxic) == 40 and sum(toxic) == 10 and stands == {True: 1.0, False: 33.0}
+
+
+def test_shared_orders_are_counted_over_all_documents(spark, make_docs):
+    rows, labels = corpus(200, 4)
+    docs = make_docs(rows + [(5000 + i, "жжж ßßß") for i in range(3)])
+    letters = set("".join(t for _, t in rows)) - {" "} | set("жß")
+    assert round(1 / fit(docs, label_table(spark, labels), F.lit(True)).model.base) == len(letters) + 1
+
+
+def test_counts_by_spark_are_those_of_one_process(spark):
+    words = ["that", "than", "trash", "trasher", "the", "vile", "a"]
+    counts = [(w, i + 1, 3 * i) for i, w in enumerate(words)]
+    frame = spark.createDataFrame(counts, "word string, toxic long, plain long").repartition(3)
+    a = KneserNey(words, np.array([c[1:] for c in counts])).evidence([*words, "thrash"])
+    b = KneserNey.of(toxicity.counted(frame, frame.select("word"))).evidence([*words, "thrash"])
+    assert np.allclose(a, b)
+
+
 def test_windows_find_few_words_in_a_long_text():
     rows, labels = corpus(400)
     from collections import Counter
