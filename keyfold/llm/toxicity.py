@@ -51,7 +51,8 @@ CLIP = 12.0
 #: Evidence of a word counts above these levels; a single chance n-gram stays below the higher ones.
 LEVELS = (0.0, 3.0, 6.0)
 N_FEATURES = len(LEVELS) + 4
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words: runs of letters, very long ones (texts without spaces) in pieces.
+LETTERS = re.compile(r"[^\W\d_]{1,32}")
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -206,16 +207,13 @@ class Scorer:
     def __init__(self, model: KneserNey, window: int = WINDOW) -> None:
         self.model, self.window, self.known = model, window, {}
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(chunks)
-        parts = [LETTERS.findall(c) for c in new]
-        flat = [w for ws in parts for w in ws]
-        gaps = np.concatenate([[0.0], np.cumsum(self.model.evidence(flat))])
-        ends = np.cumsum([len(ws) for ws in parts]) if parts else np.empty(0, np.int64)
-        sums = gaps[ends] - gaps[ends - [len(ws) for ws in parts]] if parts else ends
-        self.known.update(zip(new, sums.tolist()))
+            self.known, new = {}, list(words)
+        for a in range(0, len(new), 100_000):
+            part = new[a:a + 100_000]
+            self.known.update(zip(part, self.model.evidence(part).tolist()))
 
     def _top(self, e: np.ndarray) -> float:
         run = np.cumsum(e)
@@ -230,16 +228,16 @@ class Scorer:
         through in groups of bounded size."""
         out, held, size = np.zeros((len(texts), N_FEATURES)), [], 0
         for i, text in enumerate(texts):
-            held.append((i, (text or "").lower().split()))
+            held.append((i, LETTERS.findall((text or "").lower())))
             size += len(held[-1][1])
             if size >= 200_000 or i + 1 == len(texts):
-                self._learn({c for _, cs in held for c in cs})
+                self._learn({w for _, ws in held for w in ws})
                 get = self.known.__getitem__
-                for j, cs in held:
-                    if cs:
-                        e = np.fromiter(map(get, cs), np.float64, len(cs))
+                for j, ws in held:
+                    if ws:
+                        e = np.fromiter(map(get, ws), np.float64, len(ws))
                         two = np.partition(e, -2)[-2:] if len(e) > 1 else np.array([0.0, e[0]])
-                        out[j] = [*(self._top(np.maximum(e - x, 0) if x else e) for x in LEVELS), *(two / CLIP), e.mean(), np.log1p(len(cs))]
+                        out[j] = [*(self._top(np.maximum(e - x, 0) if x else e) for x in LEVELS), *(two / CLIP), e.mean(), np.log1p(len(ws))]
                 held, size = [], 0
         return out
 

@@ -97,6 +97,22 @@ def test_windows_find_few_words_in_a_long_text():
     assert scorer.features([calm + "\n" + calm]).shape == x[:1].shape
 
 
+def test_texts_without_spaces_have_words():
+    rows, labels = corpus(400)
+    from collections import Counter
+    seen = [Counter(), Counter()]
+    for (_, text), (_, _, t) in zip(rows, labels):
+        seen[t].update(text.split())
+    words = sorted({*seen[0], *seen[1]})
+    scorer = Scorer(KneserNey(words, np.array([[seen[1][w], seen[0][w]] for w in words])))
+    calm = " ".join(rows[i][1] for i in range(100) if not labels[i][2])
+    spaced = f"{calm} scumbag vilehead {calm}"
+    x = scorer.features([spaced, *(spaced.replace(" ", c) for c in (",", "_", "/"))])
+    assert np.allclose(x, x[0])  # window, mean and size are those of words
+    assert (scorer.features(["漢字" * 5_000])[0, -2:] <= [toxicity.CLIP, np.log1p(10_000)]).all()
+    assert scorer.features(["a" * 3_200])[0, -1] == np.log1p(100)
+
+
 def test_logistic_fits():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((500, 2))
