@@ -7,8 +7,8 @@ the dictionaries and not on itself. Narrow margins are measured again on short
 overlapping pieces and, if still narrow, marked as rejected.
 
 Dictionaries come from a bounded sample of labelled texts: at most DICT_BYTES a
-language, from at most SAMPLE_DOCS documents of least hash. Every document is
-classified over its whole text.
+language, in pieces from all over documents of least hash, sources in turn,
+nothing twice. Every document is classified over its whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 training rows with null language or text are left out; with no language learned
@@ -23,13 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import stage
+from .common import null_safe, stage
 
 DICT_BYTES = 64 << 10
-#: Documents sampled a language, and the characters taken of each at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_500
+#: Documents sampled a language (twice as many are read, more where texts are short),
+#: and the characters of a piece of them.
+SAMPLE_DOCS, PIECE_CHARS = 400, 200
+#: Stretches of so many bytes are taken into a dictionary once.
+REPEAT = 24
 LEVEL = 9
 PIECE, SHORT = 512, 48
 #: Margins (share of the best size) below this are measured again / rejected.
@@ -41,34 +44,62 @@ UNKNOWN = "und"
 
 
 def sample(docs: DataFrame, train: Column) -> list[tuple[str, str]]:
-    """(lang, piece) of at most SAMPLE_DOCS texts a language. Languages are
-    counted first and thinned by hash, so no group is collected whole."""
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(counts.select(F.col("lang").alias("l"), "n"), "lang-counts")
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(counts, rows["lang"] == counts["l"]).filter(unit < 2.0 * SAMPLE_DOCS / F.col("n"))
-    out, held = [], {}
-    few = picked.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("piece"), F.xxhash64("doc_id").alias("h"))
-    for row in few.orderBy("lang", "h", "piece").toLocalIterator():
-        held[row.lang] = held.get(row.lang, 0) + 1
-        if held[row.lang] <= SAMPLE_DOCS:
-            out.append((row.lang, row.piece))
-    return out
+    """(lang, piece): pieces of at most PIECE_CHARS characters from all over the texts,
+    chosen by hash, enough to fill a dictionary twice. Sources take turns, so a
+    large one has no more than its part; groups are counted first and thinned by
+    hash, so none is collected whole."""
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", "lang", source.alias("source")).filter(
+        train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    counts = rows.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.least(F.octet_length("text"), F.lit(PIECE_CHARS))).alias("bytes"))
+    of_lang = Window.partitionBy("l")
+    in_turn = of_lang.orderBy("n", "s")
+    # texts wanted, and the level at which the sources' shares (n at most) add up to them
+    wanted = F.greatest(F.lit(2.0 * SAMPLE_DOCS), 2.0 * DICT_BYTES * F.col("all") / F.col("all_bytes"))
+    level = (F.col("wanted") - F.col("smaller")) / (F.col("sources") - F.row_number().over(in_turn) + 1)
+    counts = (counts.withColumn("all", F.sum("n").over(of_lang)).withColumn("all_bytes", F.sum("bytes").over(of_lang))
+              .withColumn("sources", F.count(F.lit(1)).over(of_lang)).withColumn("wanted", wanted)
+              .withColumn("smaller", F.sum("n").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+              .withColumn("level", level)
+              .withColumn("level", F.coalesce(F.max(F.when(F.col("level") <= F.col("n"), F.col("level"))).over(of_lang), F.col("all").cast("double")))
+              .withColumn("each", F.ceil(2.0 * DICT_BYTES / PIECE_CHARS / F.least("all", F.lit(SAMPLE_DOCS))).cast("int")))
+    counts = stage(counts.select("l", "s", "n", "level", "each"), "lang-counts")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
+    picked = rows.join(counts, null_safe(rows, counts, [("lang", "l"), ("source", "s")])).filter(turn < F.col("level"))
+    places = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("int")),
+                         lambda i: F.struct(F.xxhash64("doc_id", i).alias("h"), i.alias("i")))
+    few = picked.select("lang", turn.alias("turn"), F.transform(
+        F.slice(F.sort_array(places), 1, F.col("each")),
+        lambda p: F.col("text").substr(p["i"] * PIECE_CHARS + 1, F.lit(PIECE_CHARS))).alias("pieces"))
+    held: dict[str, list[list[str]]] = {}
+    for row in few.orderBy("lang", "turn", "pieces").toLocalIterator():
+        held.setdefault(row.lang, []).append(row.pieces)
+    # the first piece of every text, then the second
+    return [(lang, p[i]) for lang, texts in held.items() for i in range(max(map(len, texts))) for p in texts if i < len(p)]
 
 
 def dictionaries(pieces: list[tuple[str, str]], dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    by_lang: dict[str, list[bytes]] = {}
+    """The pieces of each language until its dictionary is full, without the
+    stretches that stand in it already."""
+    body: dict[str, bytearray] = {}
+    known: dict[str, set[bytes]] = {}
     for lang, piece in pieces:
-        by_lang.setdefault(lang, []).append(piece.lower().encode("utf-8", "replace"))
-    out = {}
-    for lang in sorted(by_lang):
-        each = max(64, dict_bytes // len(by_lang[lang]))
-        # every sampled text gives its share; what is left over goes to the first ones
-        body = b"\n".join(p[:each] for p in by_lang[lang])
-        rest = b"\n".join(p[each:] for p in by_lang[lang])
-        out[lang] = (rest[:max(0, dict_bytes - len(body))] + b"\n" + body)[-dict_bytes:]
-    return out
+        out, seen = body.setdefault(lang, bytearray()), known.setdefault(lang, set())
+        if len(out) >= dict_bytes:
+            continue
+        data = piece.lower().encode("utf-8", "replace")
+        width = min(REPEAT, max(1, len(data)))
+        runs = [data[i:i + width] for i in range(len(data) - width + 1)]
+        fresh = np.ones(len(data), bool)
+        for i, run in enumerate(runs):
+            if run in seen:
+                fresh[i:i + width] = False
+        seen.update(runs)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], fresh.view(np.int8), [0]])))
+        for a, b in zip(edges[::2], edges[1::2]):
+            out += data[a:b] + b"\n"
+    return {lang: bytes(body[lang][:dict_bytes]) for lang in sorted(body)}
 
 
 class Classifier:
@@ -131,7 +162,7 @@ def identify(docs: DataFrame, train: Column) -> DataFrame:
 def predict_language(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score, rejected."""
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held, F.lit(False))
-    some = docs.select("doc_id", "text", "lang")
+    some = docs.select("doc_id", "text", "lang", *[c for c in docs.columns if c == "source"])
     found = identify(some, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
                         F.col("lang_rejected").alias("rejected"))

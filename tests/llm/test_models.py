@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyfold.llm import toxicity
-from keyfold.llm.language import UNKNOWN, Classifier, dictionaries, predict_language
+from keyfold.llm.language import UNKNOWN, Classifier, dictionaries, predict_language, sample
 from keyfold.llm.toxicity import KneserNey, Scorer, Slots, fit, fit_logistic, in_fold, score_toxicity, without_toxic
 
 from .conftest import awkward_rows
@@ -187,6 +187,27 @@ def test_language_awkward(make_docs):
     assert {r.lang_pred for r in predict_language(make_docs([(1, "abc", None), (2, "x", None)])).collect()} == {UNKNOWN}
 
 
+def test_dictionaries_are_not_the_openings(make_docs):
+    opening = ("der schaft über heit ung derung heitschaft " * 5)[:200]
+    rnd = random.Random(9)
+    rows = [(i, (opening if lang == "en" else "") + t, lang, "hot" if rnd.random() < 0.8 else f"s{i % 7}")
+            for i, t, lang in language_rows(900, 7)]
+    dicts = dictionaries(sample(make_docs(rows), F.lit(True)))
+    assert dicts["en"].count("derung heitschaft".encode()) <= 10
+    assert len(dicts["en"]) > 30_000
+    c = Classifier(dicts)
+    assert all(c.predict(t)[0] == lang for _, t, lang in language_rows(60, 11))
+
+
+def test_sources_take_turns(make_docs):
+    rows = [(i, f"hot {i} " + "x" * i, "en", "hot") for i in range(4000)] + [(5000 + i, f"rare {i}", "en", "rare") for i in range(20)]
+    got = [p for _, p in sample(make_docs(rows), F.lit(True))]
+    assert sum(p.startswith("rare") for p in got) == 20
+    rows = [(i, f"s{i % 5} " + "y" * 300, "en", f"s{i % 5}") for i in range(5000)]
+    of = [p[:2] for _, p in sample(make_docs(rows), F.lit(True)) if p[0] == "s"]
+    assert all(60 < of.count(f"s{k}") < 250 for k in range(5))  # sources over the level share the texts evenly
+
+
 def test_narrow_margins_are_rejected():
     c = Classifier(dictionaries([("en", "the thing with that " * 50), ("de", "der heit schaft ung " * 50)]))
     assert c.predict("the thing with that thing")[:1] == ("en",)
