@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .decontaminate import contamination
+from .exactdedup import SQL as EXACT_SQL, duplicates
+from .fillmiddle import SQL as MIDDLE_SQL, middle_digests
 from .language import predict_language
+from .merkle import SQL as MERKLE_SQL, verified_manifest
 from .mixing import mix_documents
 from .personal import find_personal
 from .sharding import shard_documents
@@ -61,6 +64,18 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_displacement_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_nested_rollup_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_kneser_ney_toxicity,
     op2_balanced_label_propagation,
@@ -72,9 +87,15 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_bilstm_crf_personal_data,
     op9_pigeonhole_simhash,
     op10_subset_sum_mixing,
+    op11_displacement_fill_middle,
+    op12_golomb_exact_dedup,
+    op13_nested_rollup_manifest,
 )}
 
 SQL: dict[str, str] = {
     "op3_block_matrix_neighbours": VECTOR_SQL,
     "op6_link_graph_url_filter": URL_SQL,
+    "op11_displacement_fill_middle": MIDDLE_SQL,
+    "op12_golomb_exact_dedup": EXACT_SQL,
+    "op13_nested_rollup_manifest": MERKLE_SQL,
 }
