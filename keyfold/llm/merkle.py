@@ -150,7 +150,9 @@ def manifest(docs: DataFrame, fields: list[str] = FIELDS, tampered_text: Column
     """One row a document: ``doc_id``, ``source``, ``leaf``, ``tampered`` (the
     digest of the tampered row, if another), ``subroot``, ``root`` and ``path``,
     the siblings left and right of it a level, from the leaf to the root."""
-    rows = stage(ranked(leaves(docs, fields, tampered_text), ["source"], ["doc_id", "hash", "tampered"], ["doc_id", "tampered"]), "merkle-leaves")
+    # staged first: dealing rows by range reads its input twice, and only this reads texts
+    digests = stage(leaves(docs, fields, tampered_text), "merkle-digests")
+    rows = stage(ranked(digests, ["source"], ["doc_id", "hash", "tampered"], ["doc_id", "tampered"]), "merkle-leaves")
     tiers = tiers_of(rows, ["source"], "merkle")
     # the sources' own tree: a table of one row a source, in the order of their names
     subroots = tiers[-1].select("source", F.col("node.hash").alias("hash"))
