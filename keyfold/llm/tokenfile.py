@@ -41,7 +41,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Latin letters, and ASCII marks: of these it is certain how the tokenizer
 #: parts them (a word of letters is one unit, a run of marks another), and without
 #: combining marks the letters are composed.
-LETTERS = r"[a-z\x{DF}-\x{F6}\x{F8}-\x{24F}]+"
+#: A dotted capital I is none of them: its lower case is two code points.
+LETTERS = r"[a-z\x{DF}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+"
 MARKS = r"[!-/:-@\[-`{-~]+"
 
 
@@ -112,9 +113,11 @@ class Chunks:
             self._keep(others, self._plain(others))
 
     def _learn(self, new: pa.Array) -> None:
-        """A word followed by marks is learned as the word and the marks."""
+        """A lower-case word followed by marks is learned as the word and the
+        marks; in other case the lower case may meet the marks."""
         parted = pc.extract_regex(new, f"^(?P<word>{LETTERS})(?P<marks>{MARKS})$")
-        marked = parted.is_valid()
+        word = pc.struct_field(parted, "word")
+        marked = pc.fill_null(pc.and_(parted.is_valid(), pc.equal(word, pc.utf8_lower(word))), False)
         words, marks = (_strings(parted.filter(marked).field(i)) for i in (0, 1))
         known = self.known
         units = dict.fromkeys(chain(_strings(new.filter(pc.invert(marked))), words, marks))

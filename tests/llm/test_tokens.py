@@ -18,6 +18,23 @@ def chunks():
     return Chunks(vocabulary_path())
 
 
+def cased():
+    """Every code point that has another case, or is what another one's case gives."""
+    every = map(chr, [*range(0xD800), *range(0xE000, 0x110000)])
+    return [c for c in every if c.lower() != c or c.upper() != c or c.title() != c]
+
+
+@pytest.mark.parametrize("around", ["{}", "{}.", "x{}.", ".{}", "x{}y!", "{}{}", "a{}'s", "{}-{}", "({}),", "1{}.", "{}\u0301.", "É{}} "])
+def test_cased_letters_and_marks(chunks, around):
+    """Each before and after marks, letters, digits and accents: the tokenizer's ids."""
+    texts = [around.replace("{}", c) for c in cased()] + ["YENİ. BİTTİ! İ} İ", "yeni\u0307. i\u0307!"]
+    ids, ends = chunks.encode(pa.array(texts, pa.string()))
+    want = [[*e.ids, 2] for e in chunks.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    starts = [0, *ends.tolist()]
+    wrong = [t for t, a, b, w in zip(texts, starts, starts[1:], want) if ids[a:b].tolist() != w]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("ids", [[2], [5, 5, 5], list(range(3000)), [0] * 5000, [2**32 - 1, 0, 7] * 700,
                                  np.random.default_rng(1).integers(0, 2**32, 2500), np.random.default_rng(2).integers(0, 40, 9000)])
 def test_blocks_round_trip(ids):
