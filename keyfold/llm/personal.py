@@ -2,13 +2,17 @@
 
 The patterns (email, ip, card, phone) give the base spans. They take what stands
 together as one match and drop it when it fails, so a card after a phone number is
-lost; the tagger reads characters and can part them. It is trained on windows of
-the documents, labelled by the base spans, and on windows composed of their words
-and labelled spans of all forms.
+lost; the tagger reads characters and can part them. It also finds what no pattern
+names: secrets, keys and tokens that are assigned to a name, a kind of their own. It
+is trained on windows of the documents, labelled by the base spans and by what is
+assigned to a name, and on windows composed of their words and labelled spans of all
+forms; a sixth of the composed windows is left out, and the epoch that finds their
+spans best is kept.
 
 A text is cut into overlapping windows. Each window's best tag path gives
 candidate spans; candidates of all windows that pass their kind's form are put
 together and the non-overlapping set of greatest weight is kept, base spans first.
+A secret is the whole run of its characters, so windows that see parts of it agree.
 A form always holds a digit or ``@``, so windows without either cannot add a span
 and are not decoded.
 
@@ -31,17 +35,20 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bilstm import Tagger
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 WINDOW = 96
 STRIDE = WINDOW // 2
 #: Documented bounds of the sample: documents looked at, windows learned from.
-SAMPLE_DOCS, REAL_WINDOWS, COMPOSED_WINDOWS = 20_000, 900, 1_500
+SAMPLE_DOCS, REAL_WINDOWS, COMPOSED_WINDOWS = 20_000, 600, 1_800
 EPOCHS = 12
-DECODE_ROWS = 512
+DECODE_ROWS = 256
 
 # ------------------------------------------------- fixed values: the patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches in linear time: a match never starts inside a run of digits, nor gives digits back.
+IP_SCAN = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,6 +56,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: What the tagger may add as a phone: grouped like one, with a plus, an area in brackets, or 3-3-4.
 PHONE_FORM = re.compile(r"\+[0-9]{1,3}([ .-]?\([0-9]{1,4}\))?([ .-]?[0-9]{2,5}){2,5}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,5}|[0-9]{3}(?P<sep>[ .-])[0-9]{3}(?P=sep)[0-9]{4}")
 CARD_FORM = re.compile(r"[0-9]{13,19}|[0-9]{4}([ .-][0-9]{4}){2,3}([ .-][0-9]{1,4})?")
+#: What a secret is made of, and how short one may be.
+SECRET = re.compile(r"[A-Za-z0-9+/_=-]+")
+LEAST_SECRET = 16
+#: Characters before a secret that a window must hold.
+SIGHT = 8
+#: Labels for training: a run that is assigned to a name.
+ASSIGNED = re.compile(r"(?<![A-Za-z_])[A-Za-z_]{2,}+[\"']? ?[=:] ?[\"']?([A-Za-z0-9+/_=-]{16,})")
 TRIGGER = re.compile(r"[0-9@]")
 
 
@@ -96,7 +110,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     if any(map(text.__contains__, "0123456789")):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if _is_ip(m.group())]
+            out += [("ip", *m.span()) for m in IP_SCAN.finditer(text) if _is_ip(m.group())]
         out += [("card", *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and _is_card(m.group())]
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if _is_phone(m.group())]
@@ -111,14 +125,33 @@ def form_holds(kind: str, s: str) -> bool:
         return IP.fullmatch(s) is not None and _is_ip(s)
     if kind == "card":
         return CARD_FORM.fullmatch(s) is not None and _is_card(s)
+    if kind == "secret":
+        whole = SECRET.fullmatch(s) is not None and len(s) >= LEAST_SECRET
+        return whole and any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s)
     return PHONE_FORM.fullmatch(s) is not None and _is_phone(s)
 
 
+def assigned_secrets(text: str) -> list[tuple[str, int, int]]:
+    """What training takes for secrets."""
+    return [("secret", *m.span(1)) for m in ASSIGNED.finditer(text) if form_holds("secret", m.group(1))]
+
+
+def whole_run(text: str, a: int, b: int) -> tuple[int, int]:
+    """The run of secret's characters that a span stands in; the span itself
+    where it holds others."""
+    inside = SECRET.fullmatch(text, a, b)
+    if inside is None:
+        return a, b
+    while a and SECRET.match(text, a - 1, a):
+        a -= 1
+    return a, SECRET.match(text, a).end()
+
+
 # --------------------------------------------------------------- the tagger
 #: Tags: 0 outside; 1 + 2k begins kind k, 2 + 2k goes on.
 N_TAGS = 1 + 2 * len(KINDS)
-_MARKS = "@.-+()_%, :;/\n"
-N_CLASSES = 7 + len(_MARKS)
+_MARKS = "@.-+()_%, :;/\n=\"'"
+N_CLASSES = 8 + len(_MARKS)
 
 
 def _class_table() -> np.ndarray:
@@ -128,11 +161,11 @@ def _class_table() -> np.ndarray:
         if ch.isdigit():
             table[c] = 1 if ch in "01" else 2
         elif ch.islower():
-            table[c] = 3
+            table[c] = 7 if ch in "abcdef" else 3
         elif ch.isupper():
             table[c] = 4
         elif ch in _MARKS:
-            table[c] = 7 + _MARKS.index(ch)
+            table[c] = 8 + _MARKS.index(ch)
     return table
 
 
@@ -184,6 +217,10 @@ def synthetic(rng: random.Random, kind: str, words: list[str]) -> str:
         return f"{w()}{rng.choice(['.', '_', '', '+'])}{n(rng.randint(1, 3))}@{w()}{rng.choice(['', n(1)])}.{rng.choice(['example.com', 'org', 'co.uk', 'net'])}"
     if kind == "ip":
         return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "secret":
+        letters = rng.choice(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+        s = "".join(rng.choice(letters) for _ in range(rng.choice([20, 24, 32, 32, 40, 40])))
+        return s if form_holds(kind, s) else synthetic(rng, kind, words)
     if kind == "card":
         d = rng.choice("3456") + n(rng.choice([12, 14, 14, 14, 14]))
         d += next(c for c in "0123456789" if luhn(d + c))
@@ -193,6 +230,10 @@ def synthetic(rng: random.Random, kind: str, words: list[str]) -> str:
                        f"+{rng.randint(10, 99)}-{n(3)}-{n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}"])
 
 
+#: Names that secrets are given in composed windows.
+SECRET_NAMES = ["token", "api_key", "secret", "password", "access_key", "auth", "API_TOKEN", "client_secret", "key"]
+
+
 def composed(rng: random.Random, words: list[str], spans: dict[str, list[str]]) -> tuple[str, list[tuple[str, int, int]]]:
     """A window of words, plain numbers and spans, some of them side by side."""
     text, out = "", []
@@ -201,11 +242,19 @@ def composed(rng: random.Random, words: list[str], spans: dict[str, list[str]])
         roll = rng.random()
         if roll < 0.25:
             for _ in range(rng.choice([1, 1, 2, 2, 3])):
-                kind = rng.choice(KINDS)
+                kind = rng.choice(BASE_KINDS)
                 s = rng.choice(spans[kind]) if spans.get(kind) and rng.random() < 0.5 else synthetic(rng, kind, words)
                 out.append((kind, len(text), len(text) + len(s)))
                 text += s + rng.choice([" ", " ", " ", ", ", "\n"])
-        elif roll < 0.33:
+        elif roll < 0.35:
+            # a secret is assigned to a name; the same run without one is none
+            s, quote = synthetic(rng, "secret", words), rng.choice(['"', '"', "'", ""])
+            text += rng.choice(SECRET_NAMES) + rng.choice([" = ", " = ", "=", ": "]) + quote
+            out.append(("secret", len(text), len(text) + len(s)))
+            text += s + quote + rng.choice([" ", "\n", ", "])
+        elif roll < 0.38:
+            text += rng.choice(["/", "id ", "", "see "]) + synthetic(rng, "secret", words) + rng.choice([" ", ". ", "/"])
+        elif roll < 0.45:
             text += rng.choice([n(rng.randint(1, 5)), f"{n(2)}.{n(2)}", f"20{n(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{rng.randint(1, 23)}:{n(2)}",
                                 f"v{n(1)}.{n(1)}.{n(2)}", f"${n(3)}.{n(2)}", f"{n(1)},{n(3)}", n(rng.randint(6, 8)), "AKIA" + n(4)]) + " "
         else:
@@ -215,24 +264,38 @@ def composed(rng: random.Random, words: list[str], spans: dict[str, list[str]])
 
 def fit_tagger(windows: list[tuple[str, list[tuple[str, int, int]]]], n_composed: int = COMPOSED_WINDOWS,
                epochs: int = EPOCHS, seed: int = 3) -> Tagger:
-    """Train on labelled windows and on windows composed of their parts."""
+    """Train on labelled windows and on windows composed of their parts, by the
+    score on composed windows that were left out."""
     rng = random.Random(seed)
     words = sorted({w for t, _ in windows for w in re.findall(r"[^\W\d_]+", t)}) or ["the", "and", "of", "to", "in"]
     known: dict[str, list[str]] = {}
     for text, spans in windows:
         for kind, a, b in spans:
             known.setdefault(kind, []).append(text[a:b])
-    every = [*windows, *(composed(rng, words, known) for _ in range(n_composed))]
-    x, y = np.zeros((len(every), WINDOW), np.int64), np.zeros((len(every), WINDOW), np.int64)
-    for i, (text, spans) in enumerate(every):
-        c = classes(text[:WINDOW])
-        x[i, :len(c)] = c
-        y[i] = tags_of(WINDOW, [(k, a, min(b, WINDOW)) for k, a, b in spans])
+    made = [composed(rng, words, known) for _ in range(n_composed)]
+    out, every = made[:n_composed // 6], [*windows, *made[n_composed // 6:]]
+
+    def arrays(rows: list[tuple[str, list[tuple[str, int, int]]]]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
+        for i, (text, spans) in enumerate(rows):
+            c = classes(text[:WINDOW])
+            x[i, :len(c)] = c
+            y[i] = tags_of(WINDOW, [(k, a, min(b, WINDOW)) for k, a, b in spans])
+        return x, y
+
     tagger = Tagger(N_CLASSES, _allowed())
-    tagger.train(x, y, epochs, 60)
+    x_out, y_out = arrays(out)
+    tagger.train(*arrays(every), epochs, 24, score=(lambda: span_score(tagger.decode(x_out)[0], y_out)) if out else None)
     return tagger
 
 
+def span_score(tags: np.ndarray, gold: np.ndarray) -> float:
+    """F1 of whole spans, kind and both ends right."""
+    flat = np.zeros(tags.shape[1])
+    found, real = ({(i, *s[:3]) for i, row in enumerate(rows) for s in _spans_in(row, flat, len(row))} for rows in (tags, gold))
+    return 2 * len(found & real) / max(1, len(found) + len(real))
+
+
 def _spans_in(tags: np.ndarray, margin: np.ndarray, length: int) -> Iterator[tuple[str, int, int, float]]:
     at = 0
     while at < length:
@@ -250,10 +313,20 @@ def _spans_in(tags: np.ndarray, margin: np.ndarray, length: int) -> Iterator[tup
 def reconcile(candidates: dict[tuple[str, int, int], float], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Of the candidates that leave the base spans alone, the non-overlapping
     set of greatest weight over the whole text."""
-    taken = sorted((a, b) for _, a, b in base)
+    # base spans of several kinds may overlap: their union, disjoint and in order
+    begins: list[int] = []
+    closes: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if closes and a <= closes[-1]:
+            closes[-1] = max(closes[-1], b)
+        else:
+            begins.append(a)
+            closes.append(b)
     free = []
     for (kind, a, b), w in candidates.items():
-        if w > 0 and not any(x < b and a < y for x, y in taken):
+        # the first stretch of base spans that ends behind the candidate's start
+        i = bisect_right(closes, a)
+        if w > 0 and (i == len(begins) or begins[i] >= b):
             free.append((b, a, kind, w))
     free.sort()
     ends = [f[0] for f in free]
@@ -284,9 +357,14 @@ def added_spans(tagger: Tagger, texts: list[str], bases: list[list[tuple[str, in
         tags, margin = tagger.decode(x)
         for (doc, start), r, t, m in zip(todo, rows, tags, margin):
             for kind, a, b, w in _spans_in(t, m, len(r)):
-                if form_holds(kind, texts[doc][start + a:start + b]):
-                    key = (kind, start + a, start + b)
-                    found[doc][key] = found[doc].get(key, 0.0) + w
+                a, b = start + a, start + b
+                if kind == "secret":
+                    # what it is assigned to must be in sight; the window before sees that of a run that begins here
+                    a, b = whole_run(texts[doc], a, b)
+                    if start and a < start + SIGHT:
+                        continue
+                if form_holds(kind, texts[doc][a:b]):
+                    found[doc][kind, a, b] = found[doc].get((kind, a, b), 0.0) + w
         todo.clear()
         rows.clear()
 
@@ -313,7 +391,7 @@ def training_windows(docs: DataFrame) -> list[tuple[str, list[tuple[str, int, in
         for b in batches:
             out: list[tuple[int, str, list[int]]] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                spans = base_spans(text or "")
+                spans = base_spans(text or "") + assigned_secrets(text or "")
                 starts = window_starts(text or "")
                 for start in starts[::max(1, len(starts) // 2)][:2]:
                     inside = [(KINDS.index(k), max(0, a - start), z - start) for k, a, z in spans if a < start + WINDOW and z > start]
@@ -336,20 +414,20 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, counts of the base spans by kind,
     base_sha256, spans (base and added) and n_added."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_tagger(training_windows(docs)))
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    names = [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             bases = [base_spans(t) for t in texts]
             added = added_spans(shared.value, texts, bases)
-            counts = [pa.array([sum(s[0] == k for s in base) for base in bases], pa.int64()) for k in KINDS]
+            counts = [pa.array([sum(s[0] == k for s in base) for base in bases], pa.int64()) for k in BASE_KINDS]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), *counts, pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base in bases], pa.string()),
                 pa.array([listed([*x, *y]) for x, y in zip(bases, added)], pa.string()),
                 pa.array([len(a) for a in added], pa.int64())], names=["doc_id", *names])
 
-    kinds = [T.LongType()] * len(KINDS) + [T.StringType(), T.StringType(), T.LongType()]
+    kinds = [T.LongType()] * len(BASE_KINDS) + [T.StringType(), T.StringType(), T.LongType()]
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in zip(names, kinds))])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
