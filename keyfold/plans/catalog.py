@@ -27,7 +27,8 @@ from ..sources import sinks
 from ..sources import testdata as td
 from ..sources.tables import table
 from ..streaming import jobs as sj
-from ..streaming.epochs import EpochStore
+from ..streaming import keyed as ks
+from ..streaming.epochs import EpochStore, rename
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -681,32 +682,54 @@ def _ddl(df) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _stream_dedupe(spark, sf_dir, retry_last=False):
-    root = scratch_path(spark, "stream-dedupe")
-    d = td.deliveries(spark, sf_dir)
-    store = EpochStore(spark, root + "/state")
-    fn = sj.dedupe_batch_fn(store)
-    _stream(d, "arrival_seq", root, fn)
-    if retry_last:
-        # an epoch retried after a failure rewrites identical outputs and state
-        fn(d.filter(_chunk_of(d, "arrival_seq") == STREAM_CHUNKS - 1), STREAM_CHUNKS - 1)
-    return sj.outcomes(store)
+def _keyed_stream(df, order_col: str, name: str, job, restart: bool = False) -> DataFrame:
+    """Feed ``df`` to a keyed job in STREAM_CHUNKS appends, each moved into the
+    source in one step and drained before the next; the job's rows. With
+    ``restart`` the query is stopped halfway and goes on from its checkpoint."""
+    spark, chunk, root = df.sparkSession, _chunk_of(df, order_col), scratch_path(df.sparkSession, name)
+
+    def feed(i: int) -> None:
+        df.filter(chunk == i).write.parquet(f"{root}/ready/{i}")
+        rename(spark, f"{root}/ready/{i}", f"{root}/source/{i}")
+
+    def start():
+        source = spark.readStream.schema(_ddl(df)).option("recursiveFileLookup", "true").parquet(f"{root}/source")
+        return ks.start(job(source), f"{root}/out", f"{root}/checkpoint", every="0 seconds")
+
+    feed(0)
+    query = start()
+    try:
+        for i in range(1, STREAM_CHUNKS + 1):
+            query.processAllAvailable()
+            if restart and i == STREAM_CHUNKS // 2:
+                query.stop()
+                query = start()
+            if i < STREAM_CHUNKS:
+                feed(i)
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{root}/out")
+
+
+def _stream_flags(spark, sf_dir, restart: bool = False) -> DataFrame:
+    return _keyed_stream(td.deliveries(spark, sf_dir), "arrival_seq", "stream-dedupe", ks.dedupe_stream, restart)
 
 
 @register("stream_dedupe")
 def q_stream_dedupe(spark, sf_dir):
-    return _stream_dedupe(spark, sf_dir)
+    return dd.outcomes_of(_stream_flags(spark, sf_dir))
 
 
 @register("late_tip")
 def q_late_tip(spark, sf_dir):
-    o = _stream_dedupe(spark, sf_dir)
-    return o.filter(F.col("reason") == "stale").select("arrival_seq", "rid", "target_rid")
+    return _stream_flags(spark, sf_dir).filter(~F.col("accepted")).select("arrival_seq", "rid", F.col("rid").alias("target_rid"))
 
 
 @register("redelivery_idempotence")
 def q_redelivery_idempotence(spark, sf_dir):
-    return _stream_dedupe(spark, sf_dir, retry_last=True)
+    """The deliveries hold redeliveries, some of which meet the state that a
+    query stopped before them has left."""
+    return dd.outcomes_of(_stream_flags(spark, sf_dir, restart=True))
 
 
 def _stream_batches(spark, sf_dir, opts):
@@ -733,12 +756,9 @@ def q_drain_flush(spark, sf_dir):
 
 @register("apply_status_stream")
 def q_apply_status_stream(spark, sf_dir):
-    root = scratch_path(spark, "stream-status")
     events_df, initial = td.status_events(spark, sf_dir)
-    store = EpochStore(spark, root + "/state")
-    sj.seed_status(store, initial)
-    _stream(events_df, "seq", root, sj.status_batch_fn(store))
-    return sj.current_status(store, STREAM_CHUNKS - 1)
+    changes = _keyed_stream(events_df, "seq", "stream-status", lambda events: ks.status_stream(events, initial))
+    return ks.statuses(initial, changes)
 
 
 @register("dlq_stream")

@@ -9,10 +9,7 @@ under one root in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import exists
 
@@ -63,88 +60,16 @@ def _filesystem(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder in one step, so that what watches ``to``'s parent sees all
+    of it or nothing."""
     p, fs = _filesystem(spark, path)
-    fs.delete(p, True)
+    target, _ = _filesystem(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"could not move {path} to {to}")
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
     p, fs = _filesystem(spark, path)
     return [st.getPath().getName() for st in fs.listStatus(p)]
-
-
-class DeltaState:
-    """Keyed state as a compacted base plus per-epoch deltas.
-
-    Epoch ``n`` writes only the rows it changed to ``<name>/epoch=n``;
-    readers of epoch ``n`` see the newest base at or before ``n - 1`` plus
-    deltas after it up to ``n - 1`` (partition-pruned on ``epoch``), so a
-    micro-batch never rewrites untouched state and a retried epoch reads
-    exactly what its first attempt read. ``compact`` folds deltas into a new
-    base with a caller-given "latest per key" reduction and removes what no
-    retry can read any more, so neither reads nor listings grow with epochs.
-    State files are bucketed by ``hash(bucket_by)``; a micro-batch reads the
-    buckets that its keys fall in.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, name: str, bucket_by: str, buckets: int):
-        self.spark = spark
-        self.deltas = f"{root.rstrip('/')}/{name}"
-        self.bases = f"{root.rstrip('/')}/{name}_base"
-        # state files are partitioned by hash(bucket_by) % buckets, so a batch
-        # reads only the buckets its keys fall in
-        self.bucket_by = bucket_by
-        self.buckets = buckets
-
-    def _bucket(self, c: str):
-        return F.pmod(F.hash(F.col(c)), F.lit(self.buckets))
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        df = df.withColumn("_bucket", self._bucket(self.bucket_by))
-        # clustered by bucket first: as many files as buckets, not tasks x buckets
-        df.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
-
-    def buckets_of(self, keys: DataFrame) -> list[int]:
-        """The (at most ``buckets``) bucket ids the keys of a batch fall in."""
-        return [r[0] for r in keys.select(self._bucket(self.bucket_by)).distinct().collect()]
-
-    def _base_epochs(self) -> list[int]:
-        return committed(self.spark, self.bases, "upto=")
-
-    def read(self, upto: int, buckets: list[int] | None = None) -> DataFrame | None:
-        """State rows visible to epoch ``upto + 1`` (base + later deltas), with
-        ``_epoch``: the epoch that wrote each version (a base counts as ``upto``).
-        ``buckets`` prunes to those bucket partitions (see ``buckets_of``)."""
-        bases = [b for b in self._base_epochs() if b <= upto]
-        start = bases[-1] if bases else -1
-        later = [e for e in committed(self.spark, self.deltas, "epoch=") if start < e <= upto]
-        found = []
-        for root, names in ((self.bases, [f"upto={start}"] if bases else []), (self.deltas, [f"epoch={e}" for e in later])):
-            # an epoch in which nothing was written has no files to read
-            paths = [f"{root}/{n}" for n in names if any(c.startswith("_bucket=") for c in children(self.spark, f"{root}/{n}"))]
-            if not paths:
-                continue
-            df = self.spark.read.option("basePath", root).parquet(*paths)
-            if buckets is not None:
-                df = df.filter(F.col("_bucket").isin(buckets))
-            version = "upto" if root == self.bases else "epoch"
-            found.append(df.withColumn("_epoch", F.col(version).cast("int")).drop(version, "_bucket"))
-        return reduce(DataFrame.unionByName, found) if found else None
-
-    def write_delta(self, epoch: int, df: DataFrame) -> None:
-        self._write(df, f"{self.deltas}/epoch={epoch}")
-
-    def compact(self, upto: int, latest: Callable[[DataFrame], DataFrame]) -> None:
-        """Write base ``upto`` = ``latest(state visible after epoch upto)``.
-        A retry of epoch ``upto`` still needs the base before it and the deltas
-        after that one; everything older is removed."""
-        before = [b for b in self._base_epochs() if b < upto]
-        cur = self.read(upto)
-        if cur is not None:
-            self._write(latest(cur).drop("_epoch"), f"{self.bases}/upto={upto}")
-        if before:
-            for e in committed(self.spark, self.deltas, "epoch="):
-                if e <= before[-1]:
-                    remove(self.spark, f"{self.deltas}/epoch={e}")
-            for b in before[:-1]:
-                remove(self.spark, f"{self.bases}/upto={b}")

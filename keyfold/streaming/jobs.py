@@ -1,8 +1,8 @@
-"""Streaming jobs.
+"""Streaming jobs on tables of their epochs (I2, I4, I9, I10); keyed.py has those on
+keyed state.
 
-The keyed jobs run through ``foreachBatch`` so a micro-batch uses exactly
-the batch code path (closed forms over windows and aggregates) with state
-seeded from the previous epoch.
+They run through ``foreachBatch``, so a micro-batch uses exactly the batch code
+path (closed forms over windows and aggregates).
 
 Input order: micro-batches must arrive in arrival order (Kafka offsets, or a
 file source to which files are added in order); within one, rows are ordered
@@ -12,21 +12,16 @@ by their columns.
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import batching as bt
-from ..operators import dedupe as dd
-from ..operators import status as st
 from ..operators.deadletter import classify_dead_letters, dead_letter_alerts
 from ..functions.timecols import epoch_micros, flush_boundary_micros, micros_of, ntz_from_micros
-from ..operators.backfill import ntz_lit
 from ..options import MONITOR_TICK, BatchOptions
 from ..session import SAFE_UNION, conf_override, materialise
-from .epochs import DeltaState, EpochStore
+from .epochs import EpochStore
 
 BatchFn = Callable[[DataFrame, int], None]
 
@@ -42,94 +37,6 @@ def run_file_stream(spark: SparkSession, source: str, schema: str, fn: BatchFn,
     q.awaitTermination()
 
 
-def together(spark: SparkSession, *steps: Callable[[], object]) -> list:
-    """Run independent Spark jobs side by side; the first error is raised."""
-    with ThreadPoolExecutor(len(steps)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
-
-
-# ------------------------------------------------------------------ I1 / I5 / I6
-#: Buckets of keyed state. A micro-batch reads the buckets of its keys.
-STATE_BUCKETS = 16
-#: Epochs between bases: bounds the deltas that a read goes through.
-COMPACT_EVERY = 16
-
-
-def dedupe_batch_fn(store: EpochStore, compact_every: int = COMPACT_EVERY, state_buckets: int = STATE_BUCKETS,
-                    ttl: timedelta | None = None) -> BatchFn:
-    """J1 per micro-batch, continuing from the tip / cid state.
-
-    State is delta-encoded and bucketed by stream (``DeltaState``): an epoch
-    reads the buckets of its streams and of those the keys of its rows
-    (left-semi), writes its flags (the durable record), then the tips that
-    changed (rows flagged ``final_tip``) and the (stream, cid) pairs it stored.
-    Every ``compact_every`` epochs the deltas are folded into a base and older
-    versions removed. ``ttl`` (B10, off by default): stored rows whose ``crt``
-    is older than the micro-batch's newest by more than it count as absent and
-    are left out of the next base."""
-    tips_state = DeltaState(store.spark, store.root, "tips", "stream_id", state_buckets)
-    cids_state = DeltaState(store.spark, store.root, "cids", "stream_id", state_buckets)
-
-    def fn(batch: DataFrame, epoch: int) -> None:
-        with conf_override(store.spark, SAFE_UNION):
-            _epoch(batch, epoch)
-
-    def _epoch(batch: DataFrame, epoch: int) -> None:
-        keys = batch.select("stream_id", "origin").distinct()
-        pairs = batch.select("stream_id", "cid").distinct()
-        now = batch.agg(F.max("crt")).first()[0] if ttl is not None else None
-
-        def alive(df: DataFrame) -> DataFrame:
-            return df if now is None else df.filter(~dd.expired(F.col("crt"), ttl, ntz_lit(now)))
-
-        # seeds: stored state of the keys in this batch only, materialised once
-        touched = tips_state.buckets_of(batch.select("stream_id"))
-
-        def seeds(state: DeltaState, wanted: DataFrame, latest, name: str) -> DataFrame | None:
-            stored = state.read(epoch - 1, touched)
-            return stored if stored is None else materialise(alive(latest(stored.join(wanted, wanted.columns, "left_semi"))), name)
-
-        tips, cids = together(store.spark, lambda: seeds(tips_state, keys, latest_tips, "tip-seeds"),
-                              lambda: seeds(cids_state, pairs, latest_cids, "cid-seeds"))
-        store.write("flags", epoch, dd.dedupe_requests(batch, tips, cids).flags)
-        flags = store.read("flags", epoch)
-        # state last: a crash before this point reruns the epoch from epoch - 1
-        together(store.spark, lambda: tips_state.write_delta(epoch, flags.filter("final_tip").select(*dd.TIP_COLS)),  # changed tips only
-                 lambda: cids_state.write_delta(epoch, flags.filter("new_cid").select(*dd.CID_COLS)))
-        if compact_every and epoch % compact_every == compact_every - 1:
-            for state, latest in ((tips_state, latest_tips), (cids_state, latest_cids)):
-                state.compact(epoch, lambda df, latest=latest: alive(latest(df)).withColumn("_epoch", F.lit(epoch)))
-    return fn
-
-
-def latest_cids(cids: DataFrame) -> DataFrame:
-    """One row per (stream, cid): a pair is stored again only after it expired."""
-    best = F.max_by("crt", "_epoch").alias("crt")
-    return cids.groupBy("stream_id", "cid").agg(best)
-
-
-def latest_tips(tips: DataFrame) -> DataFrame:
-    """One tip per (stream, origin): the version written by the latest epoch
-    (each epoch's delta holds the tip *after* that epoch for the keys it
-    touched, so the newest version is the current tip)."""
-    best = F.max_by(F.struct("rid", "cid", "ts", "crt"), "_epoch").alias("t")
-    return tips.groupBy("stream_id", "origin").agg(best).select("stream_id", "origin", "t.rid", "t.cid",
-                                                                "t.ts", "t.crt")
-
-
-def outcomes(store: EpochStore) -> DataFrame:
-    """A8/G1 for the stream: READY / REPLACED events of every epoch, derived
-    from the durable per-epoch flags (a projection, so not stored twice)."""
-    return dd.outcomes_of(store.read_all("flags").drop("epoch"))
-
-
-def ready_requests(store: EpochStore) -> DataFrame:
-    """A7 for the stream: deliveries that went READY, across all epochs (the
-    per-epoch flags are the durable record; no second copy is written)."""
-    f = store.read_all("flags")
-    return f.filter(F.col("accepted") & (F.col("reprocessed") | F.col("new_cid"))).select("epoch", *dd.DELIVERY_COLS)
-
-
 # ------------------------------------------------------------------ I2 / I4
 #: Versions of the batching state: micro-batch ``e`` writes version ``e * STEPS``,
 #: closings between it and the next write the versions after that.
@@ -217,47 +124,6 @@ def _closing(store: EpochStore, last_epoch: int, opts: BatchOptions, now_us: int
     return store.read("batches", version)
 
 
-# ------------------------------------------------------------------ I8
-def seed_status(store: EpochStore, initial: DataFrame, state_buckets: int = STATE_BUCKETS) -> None:
-    """Write the initial ``(id, status)`` table into the bucketed state, once:
-    micro-batches then read the buckets of their ids only."""
-    if not store.versions("status"):
-        _status_state(store, state_buckets).write_delta(0, initial.select("id", F.col("status").cast("smallint").alias("status")))
-
-
-def status_batch_fn(store: EpochStore, compact_every: int = COMPACT_EVERY, state_buckets: int = STATE_BUCKETS) -> BatchFn:
-    """I8: fold each micro-batch of status events into the status table
-    seeded by ``seed_status``. Only ids present in the batch are read and
-    written back as a delta; ids absent from the table stay no-ops.
-    Epoch ``e`` writes state version ``e + 1`` (0 is the seed)."""
-    state = _status_state(store, state_buckets)
-
-    def fn(batch: DataFrame, epoch: int) -> None:
-        with conf_override(store.spark, SAFE_UNION):
-            ids = batch.select("id").distinct()
-            stored = state.read(epoch, state.buckets_of(ids))
-            if stored is None:
-                return
-            current = latest_status(stored.join(ids, "id", "left_semi"))
-            state.write_delta(epoch + 1, st.status_fold(batch, current))
-            if compact_every and epoch % compact_every == compact_every - 1:
-                state.compact(epoch + 1, lambda df: latest_status(df).withColumn("_epoch", F.lit(epoch + 1)))
-    return fn
-
-
-def latest_status(stored: DataFrame) -> DataFrame:
-    return stored.groupBy("id").agg(F.max_by("status", "_epoch").alias("status"))
-
-
-def _status_state(store: EpochStore, state_buckets: int) -> DeltaState:
-    return DeltaState(store.spark, store.root, "status", "id", state_buckets)
-
-
-def current_status(store: EpochStore, upto: int, state_buckets: int = STATE_BUCKETS) -> DataFrame:
-    """The status table after epoch ``upto``."""
-    return latest_status(_status_state(store, state_buckets).read(upto + 1))
-
-
 # ------------------------------------------------------------------ I9
 def dlq_batch_fn(store: EpochStore) -> BatchFn:
     """Classify dead letters, append alerts and the DLQ counter."""
