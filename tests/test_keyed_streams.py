@@ -34,14 +34,16 @@ class Feed:
 
     def start(self, every=None):
         src = self.spark.readStream.schema(self.schema).format(self.fmt).load(f"{self.root}/in")
-        return ks.start(self.job(src), self.sink, f"{self.root}/checkpoint", every)
+        stream = self.job(src)
+        self.out_schema = stream.schema
+        return ks.start(stream, self.sink, f"{self.root}/checkpoint", every)
 
     def put(self, rows):
         self.spark.createDataFrame(rows, self.schema).write.mode("append").format(self.fmt).save(f"{self.root}/in")
         self.start().awaitTermination()
 
     def out(self):
-        return self.spark.read.parquet(f"{self.root}/out")
+        return self.spark.read.schema(self.out_schema).parquet(f"{self.root}/out")
 
 
 FLAGS = ["arrival_seq", "rid", "stream_id", "origin", "cid", "ts", "crt", "accepted", "prev_tip_rid", "reprocessed", "new_cid"]
