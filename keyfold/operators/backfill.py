@@ -11,9 +11,10 @@ argument: no operator reads the wall clock.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from ..functions.text import (ALERT_DESC_UNPROCESSED, ALERT_TITLE,
@@ -78,8 +79,12 @@ def scan_requests(requests: DataFrame, metadata: DataFrame, status: int,
 
 def request_to_message(rows: DataFrame) -> DataFrame:
     """Poll row -> request message columns; metadata is dropped."""
-    return rows.select(F.col("request_id").alias("rid"), "stream_id", "cid", "origin", "ts",
-                       F.col("created_at").alias("crt"))
+    return rows.select(*[c.alias(n) for n, c in _message_columns().items()])
+
+
+def _message_columns() -> dict[str, Column]:
+    same = {n: F.col(n) for n in ("stream_id", "cid", "origin", "ts")}
+    return {"rid": F.col("request_id"), **same, "crt": F.col("created_at")}
 
 
 def poll(requests: DataFrame, metadata: DataFrame, checkpoint: Column, opts: PollOptions) -> DataFrame:
@@ -165,55 +170,90 @@ def load_checkpoint(state: DataFrame, names: DataFrame) -> DataFrame:
 POLL_CHECKPOINT = "rpoll"
 
 
+#: What a tick commits; times in microseconds.
+TICK_RECORD = "tick int, now_us long, checkpoint_us long, n_rows long, n_sent long, next_us long, attempt string"
+
+
+def _micros(t: datetime) -> int:
+    return (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
+def _time(us: int) -> datetime:
+    return datetime(1970, 1, 1) + timedelta(microseconds=us)
+
+
 def poll_tick(requests: DataFrame, tick: int, now: datetime, checkpoint: datetime, store, failed: Column, limit: int,
-              min_age: timedelta = POLL_MIN_AGE, title: str = ALERT_TITLE) -> datetime:
-    """One poll: scan, alert, publish, advance. Returns the next checkpoint.
-
-    The polled rows (at most ``limit``) are written once; the messages of the
-    rows before the first failure, the alert when anything was found, the
-    summary and, last, the checkpoint follow from them. Each output is one
-    overwritten directory of the tick, and the checkpoint commits it: a tick
-    that was cut off is done again from the same checkpoint."""
-    spark = requests.sparkSession
+              min_age: timedelta = POLL_MIN_AGE) -> datetime:
+    """One poll: scan, publish, advance. Returns the next checkpoint.
+
+    The polled rows (at most ``limit``, so one task sorts them) are written once,
+    each marked ``sent`` when it comes before the first failure, into a folder of
+    this attempt; what the checkpoint needs is observed on that write. Then one
+    record commits the tick: counts, checkpoint and attempt. Messages and alerts
+    are read through the records, so an attempt that was cut off is never seen.
+    Of several pollers at one tick the first to commit wins (E6: a checkpoint is
+    set only if absent or greater); the others read its record and go on from it."""
     lo, hi = ntz_lit(checkpoint), ntz_lit(now - min_age)
     found = filter_open_interval(filter_status(requests), lo, hi).orderBy("created_at", "request_id").limit(limit)
-    store.write("polled", tick, found.withColumn("_failed", failed))
-    rows = store.read("polled", tick)
     place = F.struct("created_at", "request_id")
-    # one aggregate over the polled rows: all places, the first failure, the last place before it
-    s = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_failed"), place)).alias("fail"), F.min("created_at").alias("first")).first()
-    ok = F.lit(True) if s["fail"] is None else place < F.struct(
-        ntz_lit(s["fail"]["created_at"]).alias("created_at"), F.lit(s["fail"]["request_id"]).alias("request_id"))
-    sent = rows.filter(ok)
-    store.write("messages", tick, request_to_message(sent))
-    done = sent.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last")).first()
-    proposed = done["last"] or (s["first"] - timedelta(milliseconds=1) if s["n"] else None)
-    after = proposed if proposed is not None and proposed > checkpoint else checkpoint
-    alert = spark.range(1).select(F.lit(title).alias("title"), F.lit(ALERT_DESC_UNPROCESSED).alias("desc"),
-                                  unprocessed_alert(F.lit(s["n"]), go_time_text(lo)).alias("content"), ntz_lit(now).alias("ts"))
-    store.write("alerts", tick, alert.filter(F.lit(s["n"] > 0)))
-    store.write("ticks", tick, spark.range(1).select(
-        F.lit(tick).alias("tick"), ntz_lit(now).alias("now"), lo.alias("checkpoint"), F.lit(s["n"]).cast("long").alias("n_rows"),
-        F.lit(done["n"]).cast("long").alias("n_sent"), ntz_lit(after).alias("next_checkpoint")))
-    store.write("checkpoint", tick, spark.range(1).select(F.lit(POLL_CHECKPOINT).alias("name"), ntz_lit(after).alias("value")))
-    return after
+    first_fail = F.min(F.when(F.col("_failed"), place)).over(
+        Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = (found.withColumn("_failed", failed).withColumn("_ff", first_fail)
+            .withColumn("sent", F.col("_ff").isNull() | (place < F.col("_ff"))).drop("_failed", "_ff"))
+    attempt, seen = f"a-{uuid.uuid4().hex}", Observation()
+    us = epoch_micros("created_at", requests.schema["created_at"].dataType)
+    (rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("sent").alias("n_sent"), F.min(us).alias("first"),
+                  F.max(F.when(F.col("sent"), us)).alias("last"))
+     .write.mode("overwrite").parquet(f"{store.path('polled', tick)}/attempt={attempt}"))
+    s = seen.get
+    n, n_sent = int(s.get("n") or 0), int(s.get("n_sent") or 0)
+    proposed = s["last"] if n_sent else s["first"] - ONE_MS_US if n else None
+    before = _micros(checkpoint)
+    record = store.commit("ticks", tick, {
+        "tick": tick, "now_us": _micros(now), "checkpoint_us": before, "n_rows": n, "n_sent": n_sent,
+        "next_us": before if proposed is None else max(before, proposed), "attempt": attempt})
+    return _time(record["next_us"])
+
+
+def poll_ticks(store) -> DataFrame:
+    """The committed ticks, a row each: tick, now, checkpoint, n_rows, n_sent,
+    next_checkpoint, attempt."""
+    at = lambda c: ntz_from_micros(F.col(c))
+    return store.read_commits("ticks", TICK_RECORD).select(
+        "tick", at("now_us").alias("now"), at("checkpoint_us").alias("checkpoint"), "n_rows", "n_sent",
+        at("next_us").alias("next_checkpoint"), "attempt")
+
+
+def poll_messages(store) -> DataFrame:
+    """The messages of the committed ticks, with their ``tick``."""
+    rows = store.read_all("polled").withColumnRenamed("epoch", "tick").filter("sent")
+    kept = rows.join(poll_ticks(store).select("tick", "attempt"), ["tick", "attempt"], "left_semi")
+    return kept.select(*[c.alias(n) for n, c in _message_columns().items()], "tick")
+
+
+def poll_alerts(store, title: str = ALERT_TITLE) -> DataFrame:
+    """An alert for every committed tick that found rows."""
+    return poll_ticks(store).filter(F.col("n_rows") > 0).select(
+        F.lit(title).alias("title"), F.lit(ALERT_DESC_UNPROCESSED).alias("desc"),
+        unprocessed_alert(F.col("n_rows"), go_time_text(F.col("checkpoint"))).alias("content"), F.col("now").alias("ts"), "tick")
 
 
 def incremental_backfill(requests: DataFrame, ticks: list[datetime], store, failed: Column, limit: int,
                          min_age: timedelta = POLL_MIN_AGE, look_back: timedelta = POLL_LOOK_BACK) -> DataFrame:
     """The poller as a scheduled job, one ``poll_tick`` per tick.
 
-    At start the checkpoint is read from the store (A10) and floored to
-    ``first tick to run - look_back`` (B3); ticks whose checkpoint is stored
-    are not run again, so a restart goes on where the last run stopped."""
-    done = store.newest("checkpoint")
+    At start the checkpoint is read from the committed ticks (A10) and floored to
+    ``first tick to run - look_back`` (B3); committed ticks are not run again, so
+    a restart goes on where the last run stopped."""
+    done = store.newest_commit("ticks")
     todo = [(k, now) for k, now in enumerate(ticks) if k > done]
     if todo:
         checkpoint = todo[0][1] - look_back
         if done >= 0:
-            stored = load_checkpoint(store.read("checkpoint", done), requests.sparkSession.range(1).select(
-                F.lit(POLL_CHECKPOINT).alias("name"))).first()["value"]
+            name = F.lit(POLL_CHECKPOINT).alias("name")
+            stored = load_checkpoint(poll_ticks(store).select(name, F.col("next_checkpoint").alias("value")),
+                                     requests.sparkSession.range(1).select(name)).first()["value"]
             checkpoint = max(checkpoint, stored)
         for k, now in todo:
             checkpoint = poll_tick(requests, k, now, checkpoint, store, failed, limit, min_age)
-    return store.read_all("ticks").drop("epoch")
+    return poll_ticks(store).drop("attempt")

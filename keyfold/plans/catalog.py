@@ -799,8 +799,8 @@ def q_incremental_backfill(spark, sf_dir):
     store = EpochStore(spark, scratch_path(spark, "backfill"))
     ticks = bf.incremental_backfill(td.request_table(spark, sf_dir), _poll_ticks(spark, sf_dir), store,
                                     F.col("request_id") % 97 == 0, DEFAULT_BATCH_SIZE)
-    sent = store.read_all("messages").groupBy(F.col("epoch").alias("e")).agg(F.count(F.lit(1)).alias("n_published"))
-    told = store.read_all("alerts").select(F.col("epoch").alias("e2"), F.col("content").alias("alert"))
-    return (ticks.join(sent, F.col("tick") == F.col("e"), "left").join(told, F.col("tick") == F.col("e2"), "left")
+    sent = bf.poll_messages(store).groupBy("tick").agg(F.count(F.lit(1)).alias("n_published"))
+    told = bf.poll_alerts(store).select("tick", F.col("content").alias("alert"))
+    return (ticks.join(sent, "tick", "left").join(told, "tick", "left")
             .select("tick", "now", "checkpoint", "n_rows", "n_sent", "next_checkpoint",
                     F.coalesce("n_published", F.lit(0)).alias("n_published"), "alert"))

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from keyfold.operators import backfill as bf
@@ -90,8 +91,8 @@ def test_poller_publishes_alerts_and_advances(spark):
     assert ticks_out[0][3:] == (0, minute(1) - timedelta(milliseconds=1))
     store, ticks_out = _poll_all(spark, req, ticks[:1], F.col("request_id") == 2, limit=2)
     assert ticks_out[0][3:] == (1, minute(1))
-    assert [r.rid for r in store.read_all("messages").collect()] == [1]
-    alert = store.read_all("alerts").first()
+    assert [r.rid for r in bf.poll_messages(store).collect()] == [1]
+    alert = bf.poll_alerts(store).first()
     assert alert.desc == "Unprocessed Requests" and alert.content.startswith("2 requests found since:\n2024-01-09 00:00:00 +0000 UTC")
 
 
@@ -102,9 +103,41 @@ def test_poller_resumes_after_a_stop(spark):
     whole, want = _poll_all(spark, req, ticks, fail, limit=6)
     part = EpochStore(spark, scratch_path(spark, "t-poll"))
     bf.incremental_backfill(req, ticks[:2], part, fail, 6)
-    # the third tick stops before its checkpoint is stored
-    part.write("messages", 2, spark.createDataFrame([(0, 0, "x", "x", C, C)], "rid long, stream_id long, cid string, origin string, ts timestamp_ntz, crt timestamp_ntz"))
+    # the third tick stops before it is committed
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(part, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            bf.incremental_backfill(req, ticks, part, fail, 6)
+    assert {r.tick for r in bf.poll_ticks(part).collect()} == {0, 1}  # nothing of the third is seen
+    assert {r.tick for r in bf.poll_messages(part).collect()} <= {0, 1}
     out = bf.incremental_backfill(req, ticks, part, fail, 6)
     assert sorted((r.tick, r.checkpoint, r.n_rows, r.n_sent, r.next_checkpoint) for r in out.collect()) == want
-    sent = lambda s: sorted((r.epoch, r.rid) for r in s.read_all("messages").collect())
+    sent = lambda s: sorted((r.tick, r.rid) for r in bf.poll_messages(s).collect())
     assert sent(part) == sent(whole)
+
+
+def test_two_pollers_commit_a_tick_once(spark):
+    """Both poll the second tick before either commits it; requests have come in
+    between, so their rows differ. One record stands, and both go on from it."""
+    minute = lambda k: C + timedelta(minutes=k)
+    early, late = _pending(spark, [minute(k) for k in range(1, 6)]), _pending(spark, [minute(k) for k in range(1, 9)])
+    ticks = [C + timedelta(days=1, hours=k) for k in range(3)]
+    root = scratch_path(spark, "t-pollers")
+    slow, fast = EpochStore(spark, root), EpochStore(spark, root)
+    commit, records = slow.commit, []
+
+    def behind(name, number, record):
+        if number == 1:
+            bf.poll_tick(late, 1, ticks[1], minute(3), fast, F.lit(False), 3)
+        records.append((record, commit(name, number, record)))
+        return records[-1][1]
+    slow.commit = behind
+    out = bf.incremental_backfill(early, ticks, slow, F.lit(False), 3)
+    assert [(r.tick, r.n_rows, r.next_checkpoint) for r in out.orderBy("tick").collect()] == [
+        (0, 3, minute(3)), (1, 3, minute(6)), (2, 0, minute(6))]
+    lost = [(mine["n_rows"], stands["n_rows"]) for mine, stands in records if mine != stands]
+    assert lost == [(2, 3)] and {r.attempt for r in bf.poll_ticks(slow).collect()} == {s["attempt"] for _, s in records}
+    assert sorted((r.tick, r.rid) for r in bf.poll_messages(slow).collect()) == [(0, 1), (0, 2), (0, 3), (1, 4), (1, 5), (1, 6)]
+    assert bf.poll_alerts(slow).count() == 2
+    bf.incremental_backfill(late, [*ticks, C + timedelta(days=2)], fast, F.lit(False), 3)
+    assert sorted(r.rid for r in bf.poll_messages(fast).collect()) == list(range(1, 9))
