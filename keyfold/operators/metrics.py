@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.text import METRIC_EXCLUDE_PATTERN, metric_name
 
@@ -55,3 +55,41 @@ def counter_totals(parts: list[DataFrame]) -> DataFrame:
     for p in parts:
         u = u.unionByName(p.select("metric", F.col("value").cast("long")))
     return u.groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+def counter_columns(counters: dict[str, Column]) -> list[Column]:
+    """The counters as named aggregates; a name the service does not have is an error."""
+    unknown = set(counters) - set(COUNTERS)
+    if unknown:
+        raise ValueError(f"no such counters: {sorted(unknown)}")
+    return [c.alias(n) for n, c in counters.items()]
+
+
+class RunCounters:
+    """D2 of a run, from the passes the run makes anyway: each of its outputs is
+    counted as it is written, and nothing is read again.
+
+    Put ``on`` last before the write, past every shuffle: then the counting is
+    done by the writing tasks, of which each partition commits one. A stage before
+    a shuffle may run twice (a lost executor, a sampled range) and would count
+    twice. ``totals`` waits until every counted output has been written once."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[Observation, list[str]]] = []
+
+    def on(self, output: DataFrame, **counters: Column) -> DataFrame:
+        seen = Observation()
+        self._seen.append((seen, list(counters)))
+        return output.observe(seen, *counter_columns(counters))
+
+    def totals(self) -> dict[str, int]:
+        """Every counter of the service; 0 where the run counted none."""
+        out = dict.fromkeys(COUNTERS, 0)
+        for seen, names in self._seen:
+            values = seen.get
+            for n in names:
+                out[n] += int(values.get(n) or 0)
+        return out
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.totals().items()), "metric string, value long")

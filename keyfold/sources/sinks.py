@@ -7,6 +7,8 @@ caller-given location, never a machine-local temp dir.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -18,10 +20,12 @@ def clustered(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartitionByRange(*columns)
 
 
-def write_batches(batches: DataFrame, path: str) -> None:
+def write_batches(batches: DataFrame, path: str, counted: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """A5: one JSON document ``{bid, rids}`` per batch, with its object key,
-    partitioned by flush window so a window's rewrite is independent."""
-    (clustered(batches.select("flush_window", "bid", "batch_key", "rids"), "flush_window", "bid")
+    partitioned by flush window so a window's rewrite is independent.
+    ``counted`` may observe what the store gets, after the shuffle."""
+    docs = clustered(batches.select("flush_window", "bid", "batch_key", "rids"), "flush_window", "bid")
+    ((counted(docs) if counted else docs)
      .write.mode("overwrite").partitionBy("flush_window").json(path))
 
 

@@ -1,4 +1,4 @@
-"""Streaming jobs on tables of their epochs (I2, I4, I9, I10); keyed.py has those on
+"""Streaming jobs on tables of their epochs (B9, I2, I4, I9, I10); keyed.py has those on
 keyed state.
 
 They run through ``foreachBatch``, so a micro-batch uses exactly the batch code
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import batching as bt
 from ..operators.deadletter import classify_dead_letters, dead_letter_alerts
 from ..functions.timecols import epoch_micros, flush_boundary_micros, micros_of, ntz_from_micros
-from ..options import MONITOR_TICK, BatchOptions
+from ..options import MAX_RECEIVE_COUNT, MONITOR_TICK, BatchOptions
 from ..session import SAFE_UNION, conf_override, materialise
 from .epochs import EpochStore
 
@@ -134,6 +134,30 @@ def dlq_batch_fn(store: EpochStore) -> BatchFn:
     return fn
 
 
+# ------------------------------------------------------------------ B9
+def receive_counts(deliveries: DataFrame, message_id: str = "rid") -> DataFrame:
+    """B9 on a stream: how often each message has been received so far, by
+    Spark's streaming aggregate; run it in output mode update. Map-side partial
+    counts keep a hot message id cheap. The state is one count a message id."""
+    return deliveries.groupBy(message_id).agg(F.count(F.lit(1)).alias("receive_count"))
+
+
+def redrive_batch_fn(store: EpochStore, max_receive: int = MAX_RECEIVE_COUNT) -> BatchFn:
+    """The counts that a micro-batch changed, and whether the message is dead
+    (received more than ``max_receive`` times, over all micro-batches)."""
+    def fn(batch: DataFrame, epoch: int) -> None:
+        store.write("receives", epoch, batch.withColumn("dead", F.col("receive_count") > F.lit(max_receive)))
+    return fn
+
+
+def redriven(store: EpochStore, message_id: str = "rid") -> DataFrame:
+    """Every message with its receives, whether it is dead, and the micro-batch
+    in which it went dead (null: alive). Later receives do not move that."""
+    return store.read_all("receives").groupBy(message_id).agg(
+        F.max("receive_count").alias("receive_count"), F.bool_or("dead").alias("dead"),
+        F.min(F.when(F.col("dead"), F.col("epoch"))).alias("dead_epoch"))
+
+
 # ------------------------------------------------------------------ I10
 SAMPLE_COLS = ["unprocessed", "inflight", "existing"]
 

@@ -321,14 +321,16 @@ def batch_stream(rows: DataFrame, opts: BatchOptions, live: bool = False) -> Dat
 
 
 # ------------------------------------------------------------------ running
-def start(stream: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+def start(stream: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None,
+          mode: str = "append") -> StreamingQuery:
     """Start a stream into a folder of Parquet files, whose log makes a retried
     micro-batch count once, or into a function of (micro-batch, epoch): with
     ``every`` by that clock (so that timers fire on an idle stream), else for
-    what is available now, as one micro-batch."""
+    what is available now, as one micro-batch. Streaming aggregates go into a
+    function, in ``mode`` update."""
     spark: SparkSession = stream.sparkSession
     with conf_override(spark, STATE_CONF):
-        w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         w = w.foreachBatch(sink) if callable(sink) else w.format("parquet").option("path", sink)
         return w.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
