@@ -25,6 +25,7 @@ from ..session import materialise, scratch_path
 from ..sources import messages as msg
 from ..sources import sinks
 from ..sources import testdata as td
+from ..sources.keyfiles import read_keyed, write_keyed
 from ..sources.tables import table
 from ..streaming import jobs as sj
 from ..streaming import keyed as ks
@@ -116,6 +117,15 @@ def q_cid_seen(spark, sf_dir):
     return dd.mark_stored_cids(second, stored).select("arrival_seq", "stream_id", "cid", "cid_stored")
 
 
+@register("state_point_reads")
+def q_state_point_reads(spark, sf_dir):
+    """Stored tips of the keys that the second run touches, read from keyed files."""
+    first, second = _split(spark, sf_dir)
+    tips, path, keys = dd.final_tips(first), scratch_path(spark, "keyed-tips"), ["stream_id", "origin"]
+    write_keyed(tips, path, keys, slot_bits=4)
+    return read_keyed(spark, path, second, keys, tips.schema, slot_bits=4)
+
+
 # ---------------------------------------------------------------- J2 batching
 
 

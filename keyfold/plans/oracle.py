@@ -162,6 +162,15 @@ SELECT d.arrival_seq, d.stream_id, d.cid,
 FROM second_half d
 """
 
+SQL["state_point_reads"] = f"""
+WITH {DELIVERIES}, {SPLIT}, {dedupe_flags("first_half", sfx="1")}
+SELECT f.stream_id, f.origin, f.rid, f.cid, f.ts, f.crt FROM flags1 f
+WHERE f.accepted AND f.arrival_seq = (
+  SELECT max(g.arrival_seq) FROM flags1 g
+  WHERE g.accepted AND g.stream_id = f.stream_id AND g.origin = f.origin)
+AND EXISTS (SELECT 1 FROM second_half d WHERE d.stream_id = f.stream_id AND d.origin = f.origin)
+"""
+
 
 # ---------------------------------------------------------------- J2 batching
 DAY_US = 86400000000
