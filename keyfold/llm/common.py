@@ -15,6 +15,9 @@ from ..session import conf_override, scratch_path
 TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Bytes of a slice whose rows become Python objects at once.
 SLICE_BYTES = 2 << 20
+#: Groups that may be broadcast, at most; in small tables groups of up to SMALL rows are not.
+HOT_GROUPS, SMALL = 10_000, 64
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the cluster's shared folder and read it
@@ -31,6 +34,22 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+    """Left join of ``rows`` to ``groups``, one row a group with ``size``, the
+    number of its members among the ``n_rows`` rows (dropped from the result).
+
+    Groups over a ten-thousandth of the rows, of which there are at most
+    HOT_GROUPS, are broadcast, so their members stay where they are; the others
+    are joined by a shuffle. ``rows`` is read twice, so pass a staged table."""
+    limit = max(SMALL, -(-n_rows // HOT_GROUPS))
+    named = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    pairs = [(k, f"__{k}") for k in keys]
+    hot, cold = F.broadcast(named.filter(F.col(size) > limit)), named.filter(F.col(size) <= limit)
+    rest = rows.join(hot.select(*[k for _, k in pairs]), null_safe(rows, hot, pairs), "left_anti")
+    met = rows.join(hot, null_safe(rows, hot, pairs)).unionByName(rest.join(cold, null_safe(rest, cold, pairs), "left"))
+    return met.drop(size, *[k for _, k in pairs])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``size`` bytes of a text column, one row
     at least, so a worker holds few texts as Python objects."""

@@ -9,7 +9,9 @@ distrust passes a threshold; pages without a rule follow their host.
 Host edges: every absolute link of a page to another host, and each host with
 its parent domain (down to two labels) in both directions. Pages are reduced to
 distinct edges with counts before any join, so a host that holds a third of
-the pages is one row. Main path: DataFrame functions only.
+the pages is one row; the edges of a hub are dealt over salts. Rounds go on until
+the ranks of both kinds stand still to TOLERANCE. Main path: DataFrame functions
+only.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 fits no rule; an empty host is allowed; hosts that no trust or distrust reaches
@@ -18,18 +20,22 @@ are allowed; null html has no links; repeated rows each get a verdict.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stage
+from .common import join_groups, stage
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
-ITERATIONS = 12
-STAGE_EVERY = 4
+#: Ranks (which sum to 1 at most) have settled when STAGE_EVERY rounds change them by less in sum.
+TOLERANCE = 1e-6
+STAGE_EVERY = 8
+#: Edges of a host that one salt holds.
+FAN = 10_000
 BLOCK_SHARE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -84,25 +90,57 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(parents).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """(kind, host, p): personalised PageRank of each kind of seed. ``edges``:
-    kind, src, dst, w; ``seeds``: kind, host, s (sums to 1 a kind). Mass of
-    hosts without edges is not carried on."""
-    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
-    flow = stage(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("f")), "url-flow")
+def most_rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which ranks have settled on any graph: a round shrinks the
+    change of the one before by the damping at least."""
+    return math.ceil(math.log(tolerance / 2) / math.log(damping)) + 2 * STAGE_EVERY
+
+
+def _change(old: DataFrame, new: DataFrame) -> float:
+    """Sum of the changes of all ranks of the kind that changes more."""
+    both = new.select("kind", "host", "p").unionByName(old.select("kind", "host", (-F.col("p")).alias("p")))
+    by_host = both.groupBy("kind", "host").agg(F.abs(F.sum("p")).alias("d"))
+    return by_host.groupBy("kind").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None,
+              tolerance: float = TOLERANCE, fan: int = FAN) -> DataFrame:
+    """(kind, host, p): personalised PageRank of each kind of seed. ``edges``
+    (staged): kind, src, dst, w; ``seeds``: kind, host, s (sums to 1 a kind). Mass
+    of hosts without edges is not carried on. Runs until the ranks have settled,
+    or for ``rounds`` rounds.
+
+    A host's edges are dealt over salts of about ``fan`` edges and its rank is
+    sent to each, so no task holds all edges of a hub; what meets at a hub is
+    summed in the sending tasks first."""
+    out = stage(edges.groupBy("kind", "src").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("n")), "url-out")
+    salts = F.ceil(F.col("n") / fan).cast("int")
+    met = join_groups(edges, out.withColumn("salts", salts), ["kind", "src"], "n", edges.count())
+    flow = stage(met.select("kind", "src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
+                            (F.col("w") / F.col("all")).alias("f")), "url-flow")
     seeds = stage(seeds, "url-seeds")
-    base = seeds.select("kind", "host", (F.col("s") * (1 - damping)).alias("p"))
-    state = seeds.select("kind", "host", F.col("s").alias("p"))
-    for i in range(iterations):
-        sent = (state.withColumnRenamed("host", "src").join(flow, ["kind", "src"])
-                .select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("f") * damping).alias("p")))
-        state = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("p").alias("p"))
-        if (i + 1) % STAGE_EVERY == 0 or i + 1 == iterations:
+    hubs = stage(out.withColumn("salts", salts).filter("salts > 1").select("kind", F.col("src").alias("host"), F.lit(0.0).alias("p"), "salts"), "url-hubs")
+    given = lambda share: seeds.select("kind", "host", (F.col("s") * share).alias("p"), F.lit(1).alias("salts")).unionByName(hubs)
+    total = lambda rows: rows.groupBy("kind", "host").agg(F.sum("p").alias("p"), F.max("salts").alias("salts"))
+    old = state = stage(total(given(1.0)), "url-rank")
+    bound = most_rounds(damping, tolerance)
+    i = 0
+    while True:
+        sent = (state.select("kind", F.col("host").alias("src"), "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+                .join(flow, ["kind", "src", "salt"])
+                .select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("f") * damping).alias("p"), F.lit(1).alias("salts")))
+        state = total(sent.unionByName(given(1 - damping)))
+        i += 1
+        if i % STAGE_EVERY == 0 or i == rounds:
             state = stage(state, "url-rank")
-    return state
+            if i == rounds or rounds is None and _change(old, state) < tolerance:
+                return state.filter("p > 0").select("kind", "host", "p")
+            if rounds is None and i >= bound:
+                raise RuntimeError(f"ranks did not settle in {i} rounds")
+            old = state
 
 
-def host_scores(pages: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def host_scores(pages: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust); ``pages``: host, links, ruled."""
     edges = stage(host_edges(pages), "url-edges")
     kinds = [edges.select(F.lit("trust").alias("kind"), "src", "dst", "w"),
@@ -112,7 +150,8 @@ def host_scores(pages: DataFrame, damping: float = DAMPING, iterations: int = IT
     seeds = counted.join(totals, "ruled").select(
         F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host",
         (F.col("n") / F.col("all")).alias("s"))
-    ranks = propagate(reduce(DataFrame.unionByName, kinds), seeds, damping, iterations)
+    both = stage(reduce(DataFrame.unionByName, kinds), "url-both")
+    ranks = propagate(both, seeds, damping, rounds)
     pick = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("p"))), F.lit(0.0))
     return ranks.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
 
@@ -138,7 +177,7 @@ def _sql_rule(field: int) -> str:
 
 
 def _sql() -> str:
-    """The same judgement with the iterations written out."""
+    """The same judgement with as many rounds written out as may be needed."""
     href = HREF.replace("'", "''")
     low = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
     head = f"""WITH parts AS MATERIALIZED (
@@ -161,9 +200,9 @@ def _sql() -> str:
     r0 AS (SELECT kind, host, s AS p FROM seeds)"""
     rounds = [f"""r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(p) AS p FROM (
       SELECT r.kind, f.dst AS host, r.p * f.f * {DAMPING} AS p FROM r{i} r JOIN flow f ON f.kind = r.kind AND f.src = r.host
-      UNION ALL SELECT kind, host, s * {1 - DAMPING} FROM seeds) GROUP BY kind, host)""" for i in range(ITERATIONS)]
+      UNION ALL SELECT kind, host, s * {1 - DAMPING} FROM seeds) GROUP BY kind, host)""" for i in range(most_rounds())]
     tail = f"""bad AS (SELECT host FROM (SELECT host, coalesce(sum(p) FILTER (kind = 'trust'), 0) AS t,
-      coalesce(sum(p) FILTER (kind = 'distrust'), 0) AS d FROM r{ITERATIONS} GROUP BY host) WHERE d / (t + d) > {BLOCK_SHARE})
+      coalesce(sum(p) FILTER (kind = 'distrust'), 0) AS d FROM r{most_rounds()} GROUP BY host) WHERE d / (t + d) > {BLOCK_SHARE})
     SELECT page_id, host, path, rule, coalesce(ruled, m) AS verdict, m AS host_verdict FROM (
       SELECT *, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS m FROM ruled)"""
     return ",\n".join([head, *rounds, tail])

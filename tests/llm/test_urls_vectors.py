@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from keyfold.llm.urlfilter import filter_urls, host_scores, judged, linked_hosts
+from keyfold.llm.urlfilter import filter_urls, host_scores, judged, linked_hosts, propagate
 from keyfold.llm.vectors import nearest, quantise, search, search_block
 from pyspark.sql import functions as F
 
@@ -51,12 +51,35 @@ def test_links_carry_distrust(spark):
     assert verdict["fine.net"] == verdict["good.org"] == verdict["alone.net"] == "allow"
     edges = [("bad.com", "worse.net", 1), ("friend.net", "bad.com", 2), ("friend.net", "worse.net", 1), ("good.org", "fine.net", 2), ("fine.net", "good.org", 1), ("worse.net", "bad.com", 1)]
     found = judged(df.select("page_id", "url", "html")).withColumn("links", linked_hosts(F.coalesce("html", F.lit(""))))
-    got = {r.host: r for r in host_scores(found).collect()}
+    got = {r.host: r for r in host_scores(found, rounds=12).collect()}
     trust, distrust = slow_scores(edges, {"good.org": 1.0}), slow_scores([(b, a, w) for a, b, w in edges], {"bad.com": 1.0})
     for h in {*trust, *distrust}:
         assert math.isclose(got[h].trust, trust.get(h, 0), abs_tol=1e-12) and math.isclose(got[h].distrust, distrust.get(h, 0), abs_tol=1e-12)
 
 
+def test_ranks_settle_and_hubs_are_salted(spark):
+    """A chain longer than any fixed number of rounds would reach, two rings and a
+    hub whose edges are dealt over many salts."""
+    edges = [(f"c{i}", f"c{i + 1}", 1) for i in range(40)] + [("a", "b", 1), ("b", "a", 3), ("b", "c0", 1)]
+    edges += [("hub", f"h{i}", 1 + i % 3) for i in range(60)] + [(f"h{i}", "hub", 1) for i in range(60)] + [("c40", "hub", 1)]
+    seeds = {"trust": {"a": 0.75, "h3": 0.25}, "distrust": {"c0": 1.0}}
+    df = spark.createDataFrame([(k, *e) for k in seeds for e in edges], "kind string, src string, dst string, w long")
+    given = spark.createDataFrame([(k, h, s) for k, v in seeds.items() for h, s in v.items()], "kind string, host string, s double")
+    got = {(r.kind, r.host): r.p for r in propagate(df, given, fan=7).collect()}
+    for k, v in seeds.items():
+        want = slow_scores(edges, v, rounds=400)
+        assert {h for (kind, h) in got if kind == k} == set(want)
+        assert all(math.isclose(got[k, h], p, abs_tol=1.1e-6) for h, p in want.items())
+    assert got["distrust", "c40"] > 0
+
+
+def test_pages_far_from_a_seed_are_judged(spark):
+    """Twenty hosts in a row point at the next; the last is blocked."""
+    rows = [(f"http://n{i}x.net/", f'<a href="http://n{i + 1}x.net/">') for i in range(20)] + [("http://n20x.net/", '<a href="http://bad.com/">'), ("http://bad.com/de/1", "")]
+    got = {r.host: r.verdict for r in filter_urls(pages(spark, rows)).collect()}
+    assert set(got.values()) == {"block"} and len(got) == 22
+
+
 def brute(rows, every, k):
     out = []
     good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
