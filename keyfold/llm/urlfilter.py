@@ -9,9 +9,11 @@ distrust passes a threshold; pages without a rule follow their host.
 Host edges: every absolute link of a page to another host, and each host with
 its parent domain (down to two labels) in both directions. Pages are reduced to
 distinct edges with counts before any join, so a host that holds a third of
-the pages is one row; the edges of a hub are dealt over salts. Rounds go on until
-the ranks of both kinds stand still to TOLERANCE. Main path: DataFrame functions
-only.
+the pages is one row; the edges of a hub are dealt over salts. After k rounds a
+rank is at most DAMPING ** k from its limit, so rounds go on until no host's
+verdict can change any more, or that bound is below TOLERANCE (hosts whose trust
+and distrust are nearer to the threshold than that are judged as they stand).
+Main path: DataFrame functions only.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 fits no rule; an empty host is allowed; hosts that no trust or distrust reaches
@@ -31,7 +33,7 @@ from .common import join_groups, stage
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
-#: Ranks (which sum to 1 at most) have settled when STAGE_EVERY rounds change them by less in sum.
+#: How far from its limit a rank (they sum to 1 at most) may be.
 TOLERANCE = 1e-6
 STAGE_EVERY = 8
 #: Edges of a host that one salt holds.
@@ -91,24 +93,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def most_rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
-    """Rounds after which ranks have settled on any graph: a round shrinks the
-    change of the one before by the damping at least."""
-    return math.ceil(math.log(tolerance / 2) / math.log(damping)) + 2 * STAGE_EVERY
+    """Rounds after which every rank of any graph is within the tolerance."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
 
 
-def _change(old: DataFrame, new: DataFrame) -> float:
-    """Sum of the changes of all ranks of the kind that changes more."""
-    both = new.select("kind", "host", "p").unionByName(old.select("kind", "host", (-F.col("p")).alias("p")))
-    by_host = both.groupBy("kind", "host").agg(F.abs(F.sum("p")).alias("d"))
-    return by_host.groupBy("kind").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0.0
+def by_host(ranks: DataFrame) -> DataFrame:
+    """(host, trust, distrust) of (kind, host, p)."""
+    pick = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("p"))), F.lit(0.0)).alias(k)
+    return ranks.groupBy("host").agg(pick("trust"), pick("distrust"))
+
+
+def _standing(ranks: DataFrame, share: float, error: float) -> tuple[int, int]:
+    """How many ranks are positive, and how many hosts that both kinds have
+    reached may yet change sides if ranks are within ``error``."""
+    ranks = ranks.filter("p > 0")
+    both = by_host(ranks).filter("trust > 0 AND distrust > 0")
+    open_ = F.abs(F.col("distrust") * (1 - share) - F.col("trust") * share) <= error
+    return ranks.count(), both.filter(open_).count()
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None,
-              tolerance: float = TOLERANCE, fan: int = FAN) -> DataFrame:
+              tolerance: float = TOLERANCE, fan: int = FAN, share: float | None = None) -> DataFrame:
     """(kind, host, p): personalised PageRank of each kind of seed. ``edges``
     (staged): kind, src, dst, w; ``seeds``: kind, host, s (sums to 1 a kind). Mass
-    of hosts without edges is not carried on. Runs until the ranks have settled,
-    or for ``rounds`` rounds.
+    of hosts without edges is not carried on. Runs for ``rounds`` rounds, or until
+    the ranks are within the tolerance, or, with ``share``, until all hosts are
+    reached and none can pass that share of distrust any more.
 
     A host's edges are dealt over salts of about ``fan`` edges and its rank is
     sent to each, so no task holds all edges of a hub; what meets at a hub is
@@ -122,26 +132,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     hubs = stage(out.withColumn("salts", salts).filter("salts > 1").select("kind", F.col("src").alias("host"), F.lit(0.0).alias("p"), "salts"), "url-hubs")
     given = lambda share: seeds.select("kind", "host", (F.col("s") * share).alias("p"), F.lit(1).alias("salts")).unionByName(hubs)
     total = lambda rows: rows.groupBy("kind", "host").agg(F.sum("p").alias("p"), F.max("salts").alias("salts"))
-    old = state = stage(total(given(1.0)), "url-rank")
-    bound = most_rounds(damping, tolerance)
-    i = 0
-    while True:
+    state = stage(total(given(1.0)), "url-rank")
+    most, reached = rounds or most_rounds(damping, tolerance), 0
+    for i in range(1, most + 1):
         sent = (state.select("kind", F.col("host").alias("src"), "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
                 .join(flow, ["kind", "src", "salt"])
                 .select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("f") * damping).alias("p"), F.lit(1).alias("salts")))
         state = total(sent.unionByName(given(1 - damping)))
-        i += 1
-        if i % STAGE_EVERY == 0 or i == rounds:
+        if i % STAGE_EVERY == 0 or i == most:
             state = stage(state, "url-rank")
-            if i == rounds or rounds is None and _change(old, state) < tolerance:
-                return state.filter("p > 0").select("kind", "host", "p")
-            if rounds is None and i >= bound:
-                raise RuntimeError(f"ranks did not settle in {i} rounds")
-            old = state
-
-
-def host_scores(pages: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
-    """(host, trust, distrust); ``pages``: host, links, ruled."""
+            if share is not None and i < most:
+                now, undecided = _standing(state, share, damping ** i)
+                # hosts reached grow every round until there are no more
+                if now == reached and not undecided:
+                    break
+                reached = now
+    return state.filter("p > 0").select("kind", "host", "p")
+
+
+def host_scores(pages: DataFrame, damping: float = DAMPING, rounds: int | None = None, share: float | None = None) -> DataFrame:
+    """(host, trust, distrust); ``pages``: host, links, ruled; with ``share`` only
+    as exact as verdicts at that share need."""
     edges = stage(host_edges(pages), "url-edges")
     kinds = [edges.select(F.lit("trust").alias("kind"), "src", "dst", "w"),
              edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")]
@@ -151,16 +162,14 @@ def host_scores(pages: DataFrame, damping: float = DAMPING, rounds: int | None =
         F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host",
         (F.col("n") / F.col("all")).alias("s"))
     both = stage(reduce(DataFrame.unionByName, kinds), "url-both")
-    ranks = propagate(both, seeds, damping, rounds)
-    pick = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("p"))), F.lit(0.0))
-    return ranks.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
+    return by_host(propagate(both, seeds, damping, rounds, share=share))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, block_share: float = BLOCK_SHARE) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict, host_verdict."""
     found = judged(pages.select("page_id", "url", "html"), rules).withColumn("links", linked_hosts(F.col("html")))
     found = stage(found.drop("url", "html"), "url-pages")
-    scores = host_scores(found)
+    scores = host_scores(found, share=block_share)
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
     bad = scores.filter(share > block_share).select(F.col("host").alias("h"))
     rows = found.select("page_id", "host", "path", "rule", "ruled")

@@ -69,7 +69,7 @@ def test_ranks_settle_and_hubs_are_salted(spark):
     for k, v in seeds.items():
         want = slow_scores(edges, v, rounds=400)
         assert {h for (kind, h) in got if kind == k} == set(want)
-        assert all(math.isclose(got[k, h], p, abs_tol=1.1e-6) for h, p in want.items())
+        assert all(math.isclose(got[k, h], p, abs_tol=1e-6) for h, p in want.items())
     assert got["distrust", "c40"] > 0
 
 
