@@ -16,11 +16,14 @@ COLUMNS = {
     6: ["page_id", "host", "path", "rule", "verdict"], 7: ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     8: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], 9: ["doc_id", "fingerprint", "component_id"],
     10: ["doc_id", "size", "source_size", "target", "taken"],
+    11: ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    12: ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    13: ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
