@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from keyfold.llm import tokenfile
 from keyfold.llm.rangecoder import BadBlock, decode_blocks, encode_blocks
 from keyfold.llm.tokenfile import Chunks, join_crc, read_digest, token_digest, token_ids, vocabulary_path, write_tokens
 from keyfold.session import scratch_path
@@ -60,6 +61,75 @@ def test_damage_is_seen():
             decode_blocks([bytes(bad)])
 
 
+def test_damage_anywhere_is_seen():
+    """Every byte, header and alphabet too: never another error, never other ids."""
+    ids = np.random.default_rng(5).integers(0, 70_000, 60).astype(np.uint32)
+    block = encode_blocks(ids)[0]
+    for at in range(len(block) - 8):  # the coder's last words may hold spare bits
+        bad = bytearray(block)
+        bad[at] ^= 0xFF
+        try:
+            assert (decode_blocks([bytes(bad)])[0] == ids).all()
+        except BadBlock:
+            pass
+
+
+def test_sizes_of_blocks():
+    """One id, all ids different, and predictable ids: no larger than the coder makes them."""
+    for ids, most in ((np.zeros(4096), 0.26), (np.tile(np.arange(1024), 4), 2.4), (np.tile(np.arange(50), 200), 0.35)):
+        ids = ids.astype(np.uint32)
+        blocks = encode_blocks(ids)
+        assert (np.concatenate(decode_blocks(blocks)) == ids).all() and sum(map(len, blocks)) < most * len(ids)
+
+
+def plain(chunks, texts):
+    return [[*e.ids, 2] for e in chunks.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_are_learned_once():
+    """A word meets its known chunk whatever mark ends it, and words go to the
+    tokenizer many in a text."""
+    chunks, calls = Chunks(vocabulary_path()), []
+    merges = chunks.merges
+
+    class Counted:
+        def encode_batch_fast(self, texts, **k):
+            calls.append(len(texts))
+            return merges.encode_batch_fast(texts, **k)
+
+    chunks.merges = Counted()
+    texts = ["Wordyq, wordyq. wordyq! wordyq", "(wordyq) " + " ".join(f"x{chr(97 + i // 26)}{chr(97 + i % 26)}q;" for i in range(500))]
+    ids, _ = chunks.encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == sum(plain(chunks, texts), [])
+    known = chunks.known.to_pylist()
+    assert known.count("wordyq") == 1 and not any(k[-1:] in (",", ".", "!", ";") and len(k) > 1 for k in known)
+    assert sum(calls) == 1
+
+
+def test_forgetting_chunks(monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE", 40)
+    chunks, rnd = Chunks(vocabulary_path()), random.Random(6)
+    for k in range(30):
+        texts = ["the word né, (said) " + " ".join(f"q{rnd.randint(0, 300)}z" for _ in range(12)) for _ in range(2)]
+        ids, ends = chunks.encode(pa.array(texts, pa.string()))
+        want = plain(chunks, texts)
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert len(chunks.known) < 120 and len(chunks.met) == len(chunks.known) == len(chunks.starts) - 1
+    assert "word" in chunks.known.to_pylist()
+
+
+def test_final_marks(chunks):
+    """Marks at ends of words, texts and slices, next to every kind of neighbour."""
+    rnd = random.Random(7)
+    some = ["a", "b", "'", "'s", ",", ".", "!", "?", ";", ":", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u00c9", "\u00e9", "\u0130",
+            "i\u0307", "\u0301", "\u0338", "9", "(", ")", "-", "\u6f22", "\u00df", "Z", "<|", "|>", "\U0001F600", "\x00", ""]
+    texts = ["", "a", ",", "a,", ",a", "a,\n"] + ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 14))) for _ in range(5000)]
+    for array, own in ((pa.array(texts, pa.string()), texts), (pa.array(texts, pa.string()).slice(7, 99), texts[7:106]), (pa.array([""] * 3, pa.string()), [""] * 3)):
+        ids, ends = chunks.encode(array)
+        want = plain(chunks, own)
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 def test_checksums_join():
     data = bytes(range(256)) * 9
     cuts = [0, 1, 1, 700, len(data)]
